@@ -173,7 +173,8 @@ def task_state(c: Column | str, states: dict[str, str] | None = None) -> Column:
 
 
 def duration_seconds(started: Column | str, finished: Column | str, digits: int) -> Column:
-    return F.round((F.unix_millis(col(finished)) - F.unix_millis(col(started))) / 1000, digits)
+    millis = lambda c: F.unix_millis(col(c).cast("timestamp"))
+    return F.round((millis(finished) - millis(started)) / 1000, digits)
 
 
 def run_status(enabled: Column, error: Column, governance_status: Column) -> Column:

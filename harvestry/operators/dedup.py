@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming
+from ..functions.hashing import hamming, variant_hash
 from ..session import cut_lineage
 
 SEEN_REASON = "dedup_incremental_existing_raw_id"
@@ -105,23 +105,27 @@ def drop_archived(pages: DataFrame, archived: DataFrame) -> DataFrame:
 def drop_archived_by_engine(pages: DataFrame, archived: DataFrame, ocr_results: DataFrame) -> DataFrame:
     """Pages not yet archived as read by their recogniser.
 
-    ``pages(content_hash, variant_hash, ocr_engine)`` is dropped when its
-    variant is stored with OCR rows of that engine, or its plain hash is stored
-    without OCR or with OCR rows of that engine. Each branch is an equi-join.
+    ``pages(content_hash, ocr_engine, ...)`` is dropped when a stored page has
+    its plain or variant hash and no OCR, or has OCR rows of that engine under
+    the variant hash, or under the plain hash with that engine on record
+    (``archived.ocr_engine``). The alternatives become keys of one semi-join
+    over the distinct (hash, engine) pairs.
     """
-    stored = archived.select("page_id", "content_hash", "contains_ocr")
-    engines = ocr_results.select("page_id", F.col("engine").alias("ocr_engine")).distinct()
-    with_engine = stored.join(engines, "page_id").select("content_hash", "ocr_engine")
-    without_ocr = stored.filter(~F.coalesce(F.col("contains_ocr"), F.lit(False))).select("content_hash")
-    has_engine = F.coalesce(F.col("ocr_engine"), F.lit("")) != ""
-    by_variant = with_engine.withColumnRenamed("content_hash", "variant_hash")
-    out = pages.join(by_variant.distinct(), ["variant_hash", "ocr_engine"], "left_anti")
-    out = out.join(with_engine.distinct(), ["content_hash", "ocr_engine"], "left_anti")
-    plain = without_ocr.distinct().withColumn("_plain", F.lit(True))
-    any_hash = stored.select("content_hash").distinct().withColumn("_any", F.lit(True))
-    out = out.join(plain, "content_hash", "left").join(any_hash, "content_hash", "left")
-    skip = F.coalesce(F.col("_plain"), F.lit(False)) | (~has_engine & F.coalesce(F.col("_any"), F.lit(False)))
-    return out.filter(~skip).select(*pages.columns)
+    stored = archived.select("page_id", "content_hash", F.coalesce("contains_ocr", F.lit(False)).alias("ocr"), "ocr_engine")
+    read_by = ocr_results.select("page_id", "engine").distinct()
+    key = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *parts).alias("key")
+    plain = stored.filter(~F.col("ocr")).select(key("any", "content_hash"))
+    read = stored.filter("ocr").join(read_by, "page_id")
+    variant = read.select(key("read", "content_hash", "engine"))
+    recorded = read.filter(F.col("ocr_engine") == F.col("engine")).select(key("same", "content_hash", "engine"))
+    known = plain.unionByName(variant).unionByName(recorded).distinct()
+    own = variant_hash(F.col("content_hash"), F.col("ocr_engine"))
+    asked = pages.select("content_hash", "ocr_engine").filter(F.coalesce("content_hash", F.lit("")) != "").distinct()
+    keys = F.array(key("any", own), key("any", "content_hash"), key("read", own, "ocr_engine"), key("same", "content_hash", "ocr_engine"))
+    skip = asked.select("content_hash", "ocr_engine", F.explode(keys).alias("key")).join(known, "key", "left_semi")
+    skip = skip.select("content_hash", F.coalesce("ocr_engine", F.lit("")).alias("_engine")).distinct()
+    out = pages.withColumn("_engine", F.coalesce("ocr_engine", F.lit("")))
+    return out.join(skip, ["content_hash", "_engine"], "left_anti").select(*pages.columns)
 
 
 # --- near duplicates -------------------------------------------------------

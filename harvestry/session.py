@@ -27,7 +27,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def build_session(master: str = "local[8]", app: str = "harvestry", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
-    builder = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for key, value in {**RUNTIME_CONF, "spark.sql.shuffle.partitions": "8", **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
