@@ -167,29 +167,30 @@ def _(t):
     return extract.fill_raw_id(rows, r"/[a-z]{2}/(\d+)").select("page_id", F.nullif("raw_id", F.lit("")).alias("raw_id"))
 
 
-# API bodies: one document per user with all of its events.
+# API bodies: one response document per event, with the event and its user.
 def _bodies(t):
     row = F.struct("event_id", F.col("event_type").alias("title"), F.col("value").alias("score"), F.from_json("props", "k int").alias("props"))
-    per = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("data"))
-    return per.select("user_id", F.to_json(F.struct(F.struct(F.col("data").alias("list")).alias("result"), "data")).alias("body"))
+    user = F.struct(F.col("user_id").alias("event_id"), F.lit("<b>user</b> ").alias("title"), F.lit(0.0).alias("score"), F.struct(F.lit(None).cast("int").alias("k")).alias("props"))
+    return t.events.select("event_id", F.to_json(F.struct(F.struct(F.array(row, user).alias("list")).alias("result"), F.array(row).alias("data"))).alias("body"))
 
 
-@query("json_path_items", "SELECT user_id, event_id FROM events")
+@query("json_path_items", "SELECT event_id AS doc, 0 AS pos, event_id AS id FROM events UNION ALL SELECT event_id, 1, user_id FROM events")
 def _(t):
-    found = extract.json_items(_bodies(t), "body", "$.result.list[*]", ["user_id"])
-    return found.select("user_id", extract.json_first("item", "event_id").cast("bigint").alias("event_id"))
+    found = extract.json_items(_bodies(t).withColumnRenamed("event_id", "doc"), "body", "$.result.list[*]", ["doc"])
+    return found.select("doc", "pos", extract.json_first("item", "event_id").cast("bigint").alias("id"))
 
 
-@query("json_default_path", "SELECT user_id, count(*) AS items, 0 AS bad FROM events GROUP BY user_id")
+@query("json_default_path", "SELECT event_id, 1 AS items, 2 AS titles, 0 AS bad FROM events")
 def _(t):
-    b = _bodies(t)
-    return b.select("user_id", F.size(extract.json_find("body", "")).alias("items"), F.size(extract.json_find("body", "$.no.such[*]")).alias("bad"))
+    size = lambda p: F.size(extract.json_find("body", p))
+    return _bodies(t).select("event_id", size("").alias("items"), size("result.list[*].title").alias("titles"), size("$.no.such[*]").alias("bad"))
 
 
 @query(
     "api_record_assembly",
-    """SELECT user_id, event_id AS id, 'api' AS platform, event_type AS title, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '' AS missing,
-       'https://api.example.org/' || event_type || '/' || event_id || '?k=' || CAST(json_extract(props, '$.k') AS VARCHAR) AS url FROM events""",
+    """SELECT event_id AS doc, event_id AS id, 'api' AS platform, event_type AS title, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '' AS missing,
+       'https://api.example.org/' || event_type || '/' || event_id || '?k=' || CAST(json_extract(props, '$.k') AS VARCHAR) AS url FROM events
+       UNION ALL SELECT event_id, user_id, 'api', 'user', '', '', 'https://api.example.org/<b>user</b> /' || user_id || '?k=' FROM events""",
 )
 def _(t):
     fields = [
@@ -198,8 +199,8 @@ def _(t):
         {"name": "missing", "type": "field", "path": "$.nothing"},
         {"name": "url", "type": "computed", "value": "https://api.example.org/{t}/{id}?k={k}", "vars": {"t": "title", "id": "$.event_id", "k": "$.props.k"}},
     ]
-    found = extract.json_items(_bodies(t), "body", "result.list", ["user_id"])
-    return extract.api_records(found, fields, ["user_id"]).withColumn("id", F.col("id").cast("bigint"))
+    found = extract.json_items(_bodies(t).withColumnRenamed("event_id", "doc"), "body", "result.list", ["doc"])
+    return extract.api_records(found, fields, ["doc"]).withColumn("id", F.col("id").cast("bigint"))
 
 
 @query(

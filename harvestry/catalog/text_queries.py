@@ -25,7 +25,7 @@ def _(t):
 @query(
     "epoch_to_iso",
     """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS from_seconds,
-       strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_ms(ts) % 1000 = 0 THEN '' ELSE '.' || lpad(CAST((epoch_ms(ts) % 1000) * 1000 AS VARCHAR), 6, '0') END AS from_millis,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) // 1000 % 1000 = 0 THEN '' ELSE '.' || lpad(CAST((epoch_us(ts) // 1000 % 1000) * 1000 AS VARCHAR), 6, '0') END AS from_millis,
        props AS bad_value FROM events""",
 )
 def _(t):
@@ -163,15 +163,18 @@ def _(t):
 
 @query(
     "word_confidence_profile",
-    """SELECT l_orderkey, count(*) AS word_count, round(sum(CASE WHEN l_discount > 0 THEN l_quantity END) / nullif(count(*) FILTER (l_discount > 0), 0), 2) AS avg_word_conf,
-       count(*) > 3 AS table_grid_detected FROM lineitem GROUP BY l_orderkey""",
+    """SELECT l_orderkey, l_linenumber, 3 AS word_count, round((l_quantity + CASE WHEN l_discount > 0 THEN l_discount * 100 ELSE 0 END) / (1 + CASE WHEN l_discount > 0 THEN 1 ELSE 0 END), 2) AS avg_word_conf,
+       l_returnflag = 'A' AS table_grid_detected, CASE WHEN l_linestatus = 'F' THEN 2 ELSE 0 END AS table_cell_rows FROM lineitem""",
 )
 def _(t):
-    word = F.struct(F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(-1.0).alias("conf"))
-    per = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(word).alias("words"))
-    lines = F.when(F.size("words") > 3, F.array(F.lit(1), F.lit(2), F.lit(3)))
-    prof = ocr.word_profile("words", lines, F.lit(None).cast("array<array<string>>"))
-    return per.select("l_orderkey", *[prof[n].alias(n) for n in ("word_count", "avg_word_conf", "table_grid_detected")])
+    conf = lambda c: F.struct(c.cast("double").alias("conf"))
+    words = F.array(conf(F.col("l_quantity")), conf(F.when(F.col("l_discount") > 0, F.col("l_discount") * 100).otherwise(-1)), conf(F.lit(-1)))
+    grid = F.when(F.col("l_returnflag") == "A", F.array(F.lit(1), F.lit(2), F.lit(3)))
+    cells = F.when(F.col("l_linestatus") == "F", F.array(F.array(F.lit("a")), F.array(F.lit("b"))))
+    prof = ocr.word_profile("words", "grid", "cells")
+    return t.lineitem.select("l_orderkey", "l_linenumber", words.alias("words"), grid.alias("grid"), cells.alias("cells")).select(
+        "l_orderkey", "l_linenumber", *[c.alias(n) for n, c in prof.items()]
+    )
 
 
 @query(
