@@ -10,7 +10,7 @@ from ..plans import collect
 from ..sources import readers, writers
 from . import query
 from .fixtures import EVENTS_SQL, ITEMS_SQL, REGISTRY_SQL, RUNS_SQL, WS, items, registry, runs, task_events
-from .text_queries import SIMHASH_SQL
+from .text_queries import SIMHASH_SQL, simhash_sql
 
 GONE = "trim(regexp_replace(X, '(?i)ignore previous instructions|忽略之前的指令|system prompt|developer message', '', 'g'), ' 。.，,')"
 RISK = "contains(lower(title || ' ' || content), 'ignore previous instructions')"
@@ -165,13 +165,14 @@ def governance_summary(t):
 query("governance_summary", SUMMARY_SQL)(governance_summary)
 
 
-@query("simhash_governance", f"SELECT * FROM ({SUMMARY_SQL}) WHERE false")
+@query(
+    "simhash_governance",
+    f"""WITH {ITEMS_SQL}, c AS (SELECT *, trim(title, {WS}) || ' ' || trim(content, {WS}) AS body FROM items), {simhash_sql('c', 'body')}
+    SELECT i.lang, min(i.doc_id) AS doc_id FROM prints p JOIN items i USING (doc_id) GROUP BY i.lang, p.fp""",
+)
 def _(t):
-    # No copy of a document is left: SimHash at threshold 0 keeps what exact
-    # hashing keeps, so the two summaries have no difference.
     rows = items(t).select("doc_id", "lang", "title", "content")
-    near = governance.govern(rows, Policy(("title", "content", "summary"), 0.6, "simhash", 0), ["doc_id"], ["lang"], FIELDS)
-    return governance.summarise(near, rows, ["lang"], 0.6).exceptAll(governance_summary(t))
+    return governance.govern(rows, Policy((), 0.8, "simhash", 0), ["doc_id"], ["lang"], FIELDS).select("lang", "doc_id")
 
 
 # --- run tables ------------------------------------------------------------

@@ -136,12 +136,17 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(hashing.simhash_tokens(F.concat(F.lit("数据集"), "source", F.lit(" "), "text")), "|").alias("tokens"))
 
 
-SIMHASH_SQL = f"""tok AS (SELECT doc_id, unnest({_TOKENS}) AS tok FROM documents),
+def simhash_sql(source: str = "documents", text: str = "text") -> str:
+    """CTE ``prints(doc_id, fp)`` with the fingerprint of a text expression."""
+    return f"""tok AS (SELECT doc_id, unnest({_TOKENS.replace('text', text)}) AS tok FROM {source}),
   cnt AS (SELECT doc_id, tok, count(*) AS c FROM tok GROUP BY ALL),
   hashed AS (SELECT doc_id, c, CAST('0x' || substr(sha256(tok), 49, 16) AS UBIGINT) AS h FROM cnt),
   votes AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1::UBIGINT = 1 THEN c ELSE -c END) AS v FROM hashed, range(0, 64) r(b) GROUP BY ALL),
   prints AS (SELECT d.doc_id, coalesce(sum(CASE WHEN v > 0 THEN 1::UBIGINT << b::UBIGINT ELSE 0 END), 0)::UBIGINT AS fp
-             FROM documents d LEFT JOIN votes USING (doc_id) GROUP BY d.doc_id)"""
+             FROM {source} d LEFT JOIN votes USING (doc_id) GROUP BY d.doc_id)"""
+
+
+SIMHASH_SQL = simhash_sql()
 
 
 @query("simhash_fingerprint", f"WITH {SIMHASH_SQL} SELECT doc_id, upper(to_hex(fp)) AS simhash FROM prints")
