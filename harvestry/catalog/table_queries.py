@@ -127,11 +127,11 @@ def _(t):
     return _part_words(t).select("p_partkey", F.explode(ranges).alias("r")).select("p_partkey", "r.field", finite(F.col("r.start")).alias("start"), finite(F.col("r.end")).alias("end"))
 
 
-@query("inferred_id_column", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_linenumber + 6.0 ELSE l_linenumber + 5.0 END AS center FROM lineitem")
+@query("inferred_id_column", "SELECT l_orderkey, l_linenumber, l_linenumber + CASE WHEN l_tax > 0.04 THEN 6.0 WHEN l_quantity > 25 THEN 7.0 ELSE 5.0 END AS center FROM lineitem")
 def _(t):
     n = F.col("l_linenumber").cast("double")
     row = lambda left, text: F.array(word(text, left, 0, 10.0), word("x", 300.0, 0))
-    rows = F.array(row(n, "1"), row(n + 1, "2"), row(n + 900, "3"), row(n + 2, F.when(F.col("l_quantity") > 25, "4").otherwise("no")), row(n - 5, "x"), row(n - 1, F.when(F.col("l_quantity") > 25, "no").otherwise("no")))
+    rows = F.array(row(n, "1"), row(n + 1, F.when(F.col("l_tax") > 0.04, "2").otherwise("no")), row(n + 900, "3"), row(n + 2, F.when(F.col("l_quantity") > 25, "4").otherwise("no")), row(n - 5, "x"))
     return t.lineitem.select("l_orderkey", "l_linenumber", tables.inferred_id_center(rows, F.lit(100.0)).alias("center"))
 
 

@@ -99,7 +99,9 @@ def simhash64(text: Column | str) -> Column:
     tokens and summing 64 votes natively was measured at five times the cost
     and needs a shuffle.
     """
-    return _simhash_batch(col(text))
+    # Never NULL: a join on it then infers no IS NOT NULL filter, which would
+    # be pushed below the function and run it twice.
+    return F.coalesce(_simhash_batch(col(text)), F.lit(0).cast("bigint"))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

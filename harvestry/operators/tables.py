@@ -190,17 +190,9 @@ def parse_text(text: Column | str, config: dict) -> Column:
 
 
 def _sorted(ws: Column, *by) -> Column:
-    """Stable sort of an array of structs."""
+    """Stable sort of an array of structs: the position settles equal keys."""
     ranked = F.transform(ws, lambda w, i: F.struct(*[b(w).alias(f"k{n}") for n, b in enumerate(by)], i.alias("i"), w.alias("w")))
-    key = [f"k{n}" for n in range(len(by))] + ["i"]
-
-    def order(a: Column, b: Column) -> Column:
-        out = F.lit(0)
-        for k in reversed(key):
-            out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
-        return out
-
-    return F.transform(F.array_sort(ranked, order), lambda r: r["w"])
+    return F.transform(F.array_sort(ranked), lambda r: r["w"])
 
 
 def _left(w: Column) -> Column:
@@ -267,39 +259,50 @@ def _is_id_row(row: Column) -> Column:
 def record_groups(rows: Column) -> Column:
     """A row that starts with an integer opens a group, later rows join it,
     rows before the first one are left out."""
-    starts = F.filter(F.transform(rows, lambda r, i: F.when(_is_id_row(r), i)), lambda x: x.isNotNull())
-    n = F.size(rows)
-    return let(starts, lambda s: F.transform(s, lambda at, k: F.flatten(F.slice(rows, at + 1, F.coalesce(F.get(s, k + 1), n) - at))))
+
+    def group(rs: Column) -> Column:
+        starts = F.filter(F.transform(rs, lambda r, i: F.when(_is_id_row(r), i)), lambda x: x.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.flatten(F.slice(rs, at + 1, F.coalesce(F.get(s, k + 1), F.size(rs)) - at))))
+
+    return let(rows, group)
 
 
 def line_groups(positions: Column | str, gap: int = 2) -> Column:
     """Centres of runs of positions at most ``gap`` apart."""
-    p = col(positions)
-    starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x - F.get(p, i - 1) > gap), i)), lambda x: x.isNotNull())
-    return let(
-        starts,
-        lambda s: F.transform(s, lambda at, k: F.floor((F.get(p, at) + F.get(p, F.coalesce(F.get(s, k + 1), F.size(p)) - 1)) / 2).cast("int")),
-    )
+
+    def centres(p: Column) -> Column:
+        starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x - F.get(p, i - 1) > gap), i)), lambda x: x.isNotNull())
+        last = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(p)) - 1
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.floor((F.get(p, at) + F.get(p, last(s, k))) / 2).cast("int")))
+
+    return let(col(positions), centres)
 
 
 def header_fields(row: Column, mapping: Column) -> Column:
     """Fields named by up to six words in a row: struct(center, field), by
     centre, the first per field."""
-    n = F.size(row)
 
-    def spans(i: Column) -> Column:
-        def one(j: Column) -> Column:
-            a, b = F.get(row, i), F.get(row, j)
-            right = _left(b) + F.coalesce(b["width"], F.lit(0.0))
-            phrase = F.array_join(F.transform(F.slice(row, i + 1, j - i + 1), lambda w: w["text"]), "")
-            return F.struct(((_left(a) + right) / 2).alias("center"), (i * 8 + j - i).alias("no"), _mapped(mapping, phrase).alias("field"))
+    def named(ws: Column) -> Column:
+        n = F.size(ws)
+
+        def spans(i: Column) -> Column:
+            def one(j: Column) -> Column:
+                a, b = F.get(ws, i), F.get(ws, j)
+                right = _left(b) + F.coalesce(b["width"], F.lit(0.0))
+                phrase = F.array_join(F.transform(F.slice(ws, i + 1, j - i + 1), lambda w: w["text"]), "")
+                return F.struct(((_left(a) + right) / 2).alias("center"), (i * 8 + j - i).alias("no"), _mapped(mapping, phrase).alias("field"))
+
+            return F.transform(F.sequence(i, F.least(n, i + 6) - 1), one)
 
-        return F.transform(F.sequence(i, F.least(n, i + 6) - 1), one)
+        found = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spans)), lambda h: h["field"].isNotNull())
+        return F.when(n > 0, let(F.array_sort(found), unique))
 
-    found = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), spans)), lambda h: h["field"].isNotNull())
-    unique = lambda hs: F.filter(hs, lambda h, i: F.array_position(F.transform(hs, lambda x: x["field"]), h["field"]) == i + 1)
-    plain = lambda hs: F.transform(hs, lambda h: F.struct(h["center"].alias("center"), h["field"].alias("field")))
-    return F.when(n > 0, plain(let(F.array_sort(found), unique)))
+    def unique(hs: Column) -> Column:
+        names = F.transform(hs, lambda x: x["field"])
+        firsts = F.filter(hs, lambda h, i: F.array_position(names, h["field"]) == i + 1)
+        return F.transform(firsts, lambda h: F.struct(h["center"].alias("center"), h["field"].alias("field")))
+
+    return let(row, named)
 
 
 def inferred_id_center(rows: Column, first_center: Column) -> Column:
@@ -313,12 +316,15 @@ def column_ranges(headers: Column) -> Column:
     """struct(field, start, end): midpoints to the neighbours, open ends."""
     mid = lambda a, b: (a["center"] + b["center"]) / 2
     inf = F.lit(float("inf"))
-    return F.transform(
+    return let(
         headers,
-        lambda h, i: F.struct(
-            h["field"].alias("field"),
-            F.coalesce(F.when(i > 0, mid(F.get(headers, i - 1), h)), -inf).alias("start"),
-            F.coalesce(mid(h, F.get(headers, i + 1)), inf).alias("end"),
+        lambda hs: F.transform(
+            hs,
+            lambda h, i: F.struct(
+                h["field"].alias("field"),
+                F.coalesce(F.when(i > 0, mid(F.get(hs, i - 1), h)), -inf).alias("start"),
+                F.coalesce(mid(h, F.get(hs, i + 1)), inf).alias("end"),
+            ),
         ),
     )
 
@@ -655,7 +661,8 @@ def visual_rows(lines_: Column | str, tolerance: float = 14.0) -> Column:
 def repair_first_id(rows: Column) -> Column:
     """rows with the first id corrected to 1 when it was misread and the next
     row is 2."""
-    return F.transform(rows, lambda r, i: F.when((i == 0) & _misread(rows), F.concat(F.array(F.lit("1")), F.slice(r, 2, F.size(r)))).otherwise(r))
+    one = lambda r: F.concat(F.array(F.lit("1")), F.slice(r, 2, F.size(r)))
+    return let(rows, lambda rs: F.when(_misread(rs), F.transform(rs, lambda r, i: F.when(i == 0, one(r)).otherwise(r))).otherwise(rs))
 
 
 def _misread(rows: Column) -> Column:

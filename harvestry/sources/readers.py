@@ -84,7 +84,7 @@ def result_items(files: DataFrame, keys: list[str], body: str = "body", limit: i
     """(keys, total, pos, item): items of result files as JSON text. A broken
     object gives no rows, a broken line none but it counts in ``total``."""
     b = F.col(body)
-    from_object = F.transform(_data_items(b), F.to_json)
+    from_object = F.transform(_data_items(b), lambda v: F.to_json(v))
     all_lines = _jsonl(b)
     from_lines = F.filter(all_lines, lambda x: F.try_parse_json(x).isNotNull())
     rows = files.select(
