@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import configure
+from ..session import configure, spread
 
 
 class Tables:
@@ -21,6 +21,11 @@ class Tables:
         self.spark = configure(spark)
         self.folder = folder.rstrip("/")
 
+    def even(self, name: str) -> DataFrame:
+        """A table spread over all cores when it is small, for steps that cost
+        much per row."""
+        return spread(getattr(self, name))
+
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         zoneless = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]

@@ -171,7 +171,7 @@ def _(t):
 def _bodies(t):
     row = F.struct("event_id", F.col("event_type").alias("title"), F.col("value").alias("score"), F.from_json("props", "k int").alias("props"))
     user = F.struct(F.col("user_id").alias("event_id"), F.lit("<b>user</b> ").alias("title"), F.lit(0.0).alias("score"), F.struct(F.lit(None).cast("int").alias("k")).alias("props"))
-    return t.events.select("event_id", F.to_json(F.struct(F.struct(F.array(row, user).alias("list")).alias("result"), F.array(row).alias("data"))).alias("body"))
+    return t.even("events").select("event_id", F.to_json(F.struct(F.struct(F.array(row, user).alias("list")).alias("result"), F.array(row).alias("data"))).alias("body"))
 
 
 @query("json_path_items", "SELECT event_id AS doc, 0 AS pos, event_id AS id FROM events UNION ALL SELECT event_id, 1, user_id FROM events")

@@ -7,6 +7,7 @@ from ..functions.text import strip
 from ..operators import dedup, governance, lists, runs as run_ops
 from ..operators.governance import Policy
 from ..plans import collect
+from ..session import spread
 from ..sources import readers, writers
 from . import query
 from .fixtures import EVENTS_SQL, ITEMS_SQL, REGISTRY_SQL, RUNS_SQL, WS, items, registry, runs, task_events
@@ -66,7 +67,7 @@ PAIRS_SQL = f"""WITH {SIMHASH_SQL},
 
 
 def _fps(t):
-    prints = t.documents.select("doc_id", hashing.simhash64("text").alias("fp"))
+    prints = t.even("documents").select("doc_id", hashing.simhash64("text").alias("fp"))
     return dedup.distinct_fingerprints(prints, "fp", "doc_id")
 
 
@@ -88,7 +89,7 @@ def _(t):
     SELECT f.seq AS doc_id FROM (SELECT min(doc_id) AS seq FROM prints GROUP BY fp) f WHERE NOT list_contains((SELECT gone FROM walk ORDER BY r DESC LIMIT 1), f.seq)""",
 )
 def _(t):
-    prints = t.documents.select("doc_id", hashing.simhash64("text").alias("fp"))
+    prints = t.even("documents").select("doc_id", hashing.simhash64("text").alias("fp"))
     return dedup.near_survivors(prints, "fp", "doc_id", 3).select("doc_id")
 
 
@@ -171,7 +172,7 @@ query("governance_summary", SUMMARY_SQL)(governance_summary)
     SELECT i.lang, min(i.doc_id) AS doc_id FROM prints p JOIN items i USING (doc_id) GROUP BY i.lang, p.fp""",
 )
 def _(t):
-    rows = items(t).select("doc_id", "lang", "title", "content")
+    rows = spread(items(t).select("doc_id", "lang", "title", "content"))
     return governance.govern(rows, Policy((), 0.8, "simhash", 0), ["doc_id"], ["lang"], FIELDS).select("lang", "doc_id")
 
 

@@ -81,7 +81,7 @@ def _part_words(t):
         word(key, 12, shift + 40, 10), word(F.col("p_name"), 90, shift + 41, 60), word(F.col("p_brand"), 300, shift + 39, 50), word(F.col("p_type"), 495, shift + 40),
         word("more", 95, shift + 55), word("7", 12, shift + 80, 10), word(F.when(F.col("p_size") <= 25, F.col("p_type")).otherwise(" "), 110, shift + 80),
     )
-    return t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", ws.alias("words"))
+    return t.even("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", ws.alias("words"))
 
 
 @query(
@@ -161,7 +161,7 @@ def _grid_words():
 def _(t):
     ints = lambda *xs: F.array(*[F.lit(x) for x in xs])
     ws = F.filter(_grid_words(), lambda w: F.trim(w["text"]) != "")
-    rows = t.part.select("p_partkey", ws.alias("words"), ints(0, 130, 40, 260).alias("rows"), ints(0, 80, 260, 420).alias("cols"))
+    rows = t.even("part").select("p_partkey", ws.alias("words"), ints(0, 130, 40, 260).alias("rows"), ints(0, 80, 260, 420).alias("cols"))
     out = rows.select("p_partkey", tables.parse_grid("words", "rows", "cols", {"column_mapping": NAMES}).alias("r"))
     return rows_of(out, "r", ["p_partkey"]).select("p_partkey", "row_no", *[entry("record", c).alias(c) for c in ("id", "name", "brand", "ocr_text")], "errors")
 
@@ -192,7 +192,7 @@ def _cells():
        (p_partkey + row_no) || ' ' || CASE row_no WHEN 0 THEN p_name || ' ' || p_brand ELSE p_type END AS ocr_text FROM part, (VALUES (0), (1)) r(row_no)""",
 )
 def _(t):
-    out = t.part.select("p_partkey", tables.parse_cells(_cells(), {"column_mapping": NAMES}).alias("r"))
+    out = t.even("part").select("p_partkey", tables.parse_cells(_cells(), {"column_mapping": NAMES}).alias("r"))
     return rows_of(out, "r", ["p_partkey"]).select("p_partkey", "row_no", *[entry("record", c).alias(c) for c in ("id", "name", "brand", "ocr_text")])
 
 
@@ -254,7 +254,7 @@ def _line(text, x, y, score=0.9):
 )
 def _(t):
     lines = F.array(_line("h", 40, 20), _line("I", 100, 60, 0.2), _line("11", 40, 60), _line(F.col("p_name"), 190, 55), _line(F.col("p_brand"), 430, 62), _line("2", 40, 100), _line("a", 190, 95), _line(F.col("p_type"), 180, 105), _line("end", 610, 100))
-    out = t.part.select("p_partkey", tables.lines_table(lines, F.lit(686)).alias("r"))
+    out = t.even("part").select("p_partkey", tables.lines_table(lines, F.lit(686)).alias("r"))
     return out.select("p_partkey", "r.markdown", F.get("r.corrections", F.lit(0))["source"].alias("source"), F.size("r.corrections").alias("n"))
 
 

@@ -133,7 +133,7 @@ _TOKENS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambd
     SELECT doc_id, array_to_string(flatten(list_transform({_TOKENS}, lambda s: CASE WHEN regexp_matches(s, '^[\\x{{4e00}}-\\x{{9fff}}]') THEN string_split(s, '') ELSE [s] END)), '|') AS tokens FROM src""",
 )
 def _(t):
-    return t.documents.select("doc_id", F.array_join(hashing.simhash_tokens(F.concat(F.lit("数据集"), "source", F.lit(" "), "text")), "|").alias("tokens"))
+    return t.even("documents").select("doc_id", F.array_join(hashing.simhash_tokens(F.concat(F.lit("数据集"), "source", F.lit(" "), "text")), "|").alias("tokens"))
 
 
 def simhash_sql(source: str = "documents", text: str = "text") -> str:
@@ -151,7 +151,7 @@ SIMHASH_SQL = simhash_sql()
 
 @query("simhash_fingerprint", f"WITH {SIMHASH_SQL} SELECT doc_id, upper(to_hex(fp)) AS simhash FROM prints")
 def _(t):
-    return t.documents.select("doc_id", hashing.simhash64("text").alias("f")).select("doc_id", F.hex("f").alias("simhash"))
+    return t.even("documents").select("doc_id", hashing.simhash64("text").alias("f")).select("doc_id", F.hex("f").alias("simhash"))
 
 
 @query(
@@ -163,7 +163,7 @@ def _(t):
         FROM documents""",
 )
 def _(t):
-    return t.documents.withColumns(ocr.text_profile("text")).drop("text", "lang", "source", "n_chars")
+    return t.even("documents").withColumns(ocr.text_profile("text")).drop("text", "lang", "source", "n_chars")
 
 
 @query(

@@ -153,23 +153,27 @@ def fill_raw_id(items: DataFrame, pattern: str, url: str = "url") -> DataFrame:
 # --- JSON ------------------------------------------------------------------
 
 
-def _json_path(path: str) -> list[str]:
-    """Path text between ``[*]`` wildcards, each as a ``$`` path."""
-    body = path.strip()
-    body = body[1:] if body.startswith("$") else ("." + body if body and body[0] not in ".[" else body)
-    return ["$" + part for part in body.split("[*]")]
+_PATH = re.compile(r"\$(?:\.[\w-]+|\['[^']+'\]|\[\d+\]|\[\*\])*\Z")
+_NONE = "CAST(ARRAY() AS ARRAY<VARIANT>)"
 
 
-def json_find(value: Column | str, path: str) -> Column:
-    """All matches of a JSONPath as ``array<variant>``; a match that is a list
-    gives its elements, a bad path or bad JSON an empty array."""
-    parsed = F.try_parse_json(col(value))
-    empty = F.expr("CAST(ARRAY() AS ARRAY<VARIANT>)")
+def _json_path(path: str) -> list[str] | None:
+    """Path text between ``[*]`` wildcards, each as a ``$`` path; None when the
+    path cannot be read."""
+    body = (path or "$.data").strip()
+    if not body.startswith("$"):
+        body = "$" + (body if body.startswith("[") else "." + body)
+    return ["$" + part for part in body[1:].split("[*]")] if _PATH.match(body) else None
+
+
+def _find(parsed: Column, path: str) -> Column:
+    parts = _json_path(path)
+    if parts is None:
+        return F.expr(_NONE)
     found = F.filter(F.array(parsed), lambda v: v.isNotNull())
-    parts = _json_path(path or "$.data")
     for i, part in enumerate(parts):
         found = _step(found, part, i + 1 < len(parts))
-    return F.coalesce(F.flatten(F.transform(found, _spread)), empty)
+    return F.coalesce(F.flatten(F.transform(found, _spread)), F.expr(_NONE))
 
 
 def _spread(v: Column) -> Column:
@@ -178,10 +182,25 @@ def _spread(v: Column) -> Column:
 
 def _step(found: Column, part: str, wildcard: bool) -> Column:
     if wildcard:
-        return F.flatten(F.transform(found, lambda v: F.coalesce(F.try_variant_get(v, part, "array<variant>"), F.expr("CAST(ARRAY() AS ARRAY<VARIANT>)"))))
+        return F.flatten(F.transform(found, lambda v: F.coalesce(F.try_variant_get(v, part, "array<variant>"), F.expr(_NONE))))
     return F.filter(F.transform(found, lambda v: F.try_variant_get(v, part, "variant")), lambda v: v.isNotNull())
 
 
+def _find_first(parsed: Column, path: str) -> Column:
+    parts = _json_path(path)
+    if parts is None or len(parts) > 1:
+        return F.try_element_at(_find(parsed, path), F.lit(1))
+    many = F.try_variant_get(parsed, parts[0], "array<variant>")
+    return F.when(many.isNotNull(), F.get(many, F.lit(0))).otherwise(F.try_variant_get(parsed, parts[0], "variant"))
+
+
+def json_find(value: Column | str, path: str) -> Column:
+    """All matches of a JSONPath as ``array<variant>``; a match that is a list
+    gives its elements, a bad path or bad JSON an empty array. An empty path
+    means ``$.data``."""
+    return _find(F.try_parse_json(col(value)), path)
+
+
 def json_text(v: Column) -> Column:
     """A JSON value as text: strings bare, the rest as JSON."""
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
@@ -195,33 +214,34 @@ def json_items(docs: DataFrame, body: str, path: str, keys: list[str]) -> DataFr
 
 def json_first(value: Column | str, path: str) -> Column:
     """First match as text, '' when there is none."""
-    return F.coalesce(json_text(F.try_element_at(json_find(value, path), F.lit(1))), F.lit(""))
+    return F.coalesce(json_text(_find_first(F.try_parse_json(col(value)), path)), F.lit(""))
 
 
-def _shown(value: Column | str, path: str) -> Column:
-    first = F.try_element_at(json_find(value, path), F.lit(1))
+def _shown(first: Column) -> Column:
     text = F.coalesce(json_text(first), F.lit(""))
-    return F.when(F.schema_of_variant(first) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return F.when(text.isin("true", "false") & (F.schema_of_variant(first) == "BOOLEAN"), F.initcap(text)).otherwise(text)
 
 
 def api_records(items: DataFrame, fields: list[dict], keys: list[str], item: str = "item") -> DataFrame:
-    """Records from JSON items: constant, field with transforms, template."""
+    """Records from JSON items: constant, field with transforms, template.
+    Each item is parsed once for all of its fields."""
+    parsed = F.col("_json")
     columns = []
     for f in fields:
         if f["type"] == "constant":
             value = F.lit(f["value"])
         elif f["type"] == "field":
-            value = json_first(item, f.get("path", ""))
+            value = F.coalesce(json_text(_find_first(parsed, f.get("path", ""))), F.lit(""))
             if f.get("transform"):
                 value = apply_transforms(value, f["transform"])
         elif f["type"] == "computed":
             value = F.lit(f.get("value", ""))
             for name, path in (f.get("vars") or {}).items():
-                value = F.replace(value, F.lit("{" + name + "}"), _shown(item, path))
+                value = F.replace(value, F.lit("{" + name + "}"), _shown(_find_first(parsed, path)))
         else:
             continue
         columns.append(value.alias(f["name"]))
-    return items.select(*keys, *columns)
+    return items.withColumn("_json", F.try_parse_json(item)).select(*keys, *columns)
 
 
 def pick_capture(desktop: DataFrame, mobile: DataFrame, min_chars: int = 5000) -> DataFrame:

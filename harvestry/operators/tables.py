@@ -351,8 +351,13 @@ def _partial(id_value: Column, text: Column) -> Column:
 
 def _split_records(built: Column) -> Column:
     """Result struct from an array of struct(record, error)."""
-    errors = F.filter(F.transform(built, lambda b: b["error"]), lambda e: e.isNotNull())
-    return F.when(F.size(built) > 0, _result(F.transform(built, lambda b: b["record"]), errors, F.size(errors) > 0))
+
+    def split(bs: Column) -> Column:
+        errors = F.filter(F.transform(bs, lambda b: b["error"]), lambda e: e.isNotNull())
+        failed = F.exists(bs, lambda b: b["error"].isNotNull())
+        return F.when(F.size(bs) > 0, _result(F.transform(bs, lambda b: b["record"]), errors, failed))
+
+    return let(built, split)
 
 
 def parse_positioned(ws: Column | str, config: dict) -> Column:
@@ -379,19 +384,18 @@ def parse_positioned(ws: Column | str, config: dict) -> Column:
         lead = F.get(ordered, F.lit(0))["text"]
         text = across_text(ordered)
 
-        def finish(cs: Column) -> Column:
-            filled = F.filter(cs, lambda e: e["value"] != "")
+        def finish(filled: Column) -> Column:
             has = lambda name: F.exists(filled, lambda e: e["key"] == name)
             own_id = F.get(F.filter(filled, lambda e: e["key"] == "id"), F.lit(0))["value"]
             id_value = F.coalesce(own_id, lead)
-            full = F.concat(filled, F.array(_entry("ocr_text", text)), F.when(own_id.isNull(), F.array(_entry("id", lead))).otherwise(F.slice(filled, 1, 0)))
+            with_id = F.when(has("id"), filled).otherwise(F.concat(F.array(_entry("id", lead)), filled))
             error = F.concat(F.lit(PARTIAL_ERROR[0]), id_value, F.lit(PARTIAL_ERROR[1]))
             return F.struct(
-                F.when(has("name"), F.map_from_entries(full)).otherwise(_partial(id_value, text)).alias("record"),
+                F.when(has("name"), F.map_from_entries(F.concat(with_id, F.array(_entry("ocr_text", text))))).otherwise(_partial(id_value, text)).alias("record"),
                 F.when(~has("name"), error).alias("error"),
             )
 
-        return let(cells, finish)
+        return let(F.filter(cells, lambda e: e["value"] != ""), finish)
 
     return let(word_rows(ws), whole)
 
@@ -721,7 +725,9 @@ def lines_table(lines_: Column | str, image_width: Column) -> Column:
     def by_anchor(found: Column) -> Column:
         def row(band: Column) -> Column:
             mine = F.filter(found, lambda p: (p["y"] >= band["start"]) & (p["y"] < band["end"]) & (p["no"] != band["anchor"]["no"]) & (p["text"] != ""))
-            ordered = _sorted(mine, lambda p: p["y"], lambda p: p["x"])
+            return let(_sorted(mine, lambda p: p["y"], lambda p: p["x"]), lambda ordered: cells_of(ordered, band))
+
+        def cells_of(ordered: Column, band: Column) -> Column:
             digits = F.filter(ordered, lambda p: (_column_of(p["x"], width) == 0) & p["text"].rlike(r"(?U)\A\d+\z"))
             lead = F.coalesce(F.try_element_at(digits, F.lit(-1))["text"], band["anchor"]["text"])
             part = lambda k: F.array_join(F.transform(F.filter(ordered, lambda p: _column_of(p["x"], width) == k), lambda p: collapse_ws(p["text"])), "")

@@ -49,7 +49,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan (file sizes for scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def checked_broadcast(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
@@ -58,3 +58,16 @@ def checked_broadcast(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if size_in_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, bytes_per_task: int = 32 * 1024 * 1024) -> DataFrame:
+    """Even out a small input before a CPU-heavy step.
+
+    A few files read by a few tasks leave cores idle while pages are parsed.
+    Inputs large enough to give every core its own splits are left alone: past
+    that size the shuffle would cost more than it gains.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size_in_bytes(df) < cores * bytes_per_task else df

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 NODE = T.StructType(
     [
         T.StructField("id", T.IntegerType()),
@@ -258,7 +260,7 @@ _parse_once = _parse_batch.asNondeterministic()
 def with_fragment(pages: DataFrame, html: str = "html", out: str = "dom") -> DataFrame:
     """Add the parsed page as a fragment column (see ``operators.dom``)."""
     return (
-        pages.withColumn("_parsed", _parse_once(F.col(html)))
+        spread(pages).withColumn("_parsed", _parse_once(F.col(html)))
         .withColumn(
             out,
             F.struct(
