@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..functions.urls import hostname_of
+from ..session import cut_lineage
 
 
 def any_keyword(c: Column | str, keywords: list[str]) -> Column:
@@ -214,11 +215,14 @@ def next_page_chain(links: DataFrame, starts: DataFrame, max_pages: int) -> Data
 
     ``max_pages`` comes from the rule and is small; each hop is one equi-join.
     """
+    # One row per page, however often it was captured, and parsed only once.
+    links = cut_lineage(links.groupBy("url").agg(F.min("next_url").alias("next_url")))
     captured = links.select(F.col("url").alias("next_url"))
     hops = links.select(F.col("url").alias("_from"), "next_url").join(captured, "next_url", "left_semi")
     step = starts.select(F.col("url").alias("start_url"), "url", F.lit(1).alias("page_no"))
     out = step
     for number in range(2, max_pages + 1):
         step = step.join(hops, F.col("url") == F.col("_from")).select("start_url", F.col("next_url").alias("url"), F.lit(number).alias("page_no"))
+        step = cut_lineage(step) if number % 4 == 0 else step
         out = out.unionByName(step)
     return out

@@ -128,7 +128,8 @@ def match_older_items(run_items: DataFrame, stored: DataFrame) -> DataFrame:
     with very many items is two rows before the join.
     """
     body = F.struct("collected_at", F.col("id"), "title", "url", "content_hash")
-    newest = stored.filter(F.col("raw_id").isNotNull()).withColumn(
+    asked = run_items.filter(F.col("item_stage") == "filtered").select("platform", "raw_id").distinct()
+    newest = stored.join(asked, ["platform", "raw_id"], "left_semi").withColumn(
         "rn", F.row_number().over(W.partitionBy("platform", "raw_id").orderBy(F.col("collected_at").desc(), F.col("id").desc()))
     ).filter("rn <= 2")
     pairs = newest.groupBy("platform", "raw_id").agg(
@@ -144,8 +145,10 @@ def match_older_items(run_items: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def latest_archive(pages: DataFrame) -> DataFrame:
-    """The newest archived page per source URL."""
+def latest_archive(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """The newest archived page per source URL, of ``urls(url)`` if given."""
+    if urls is not None:
+        pages = pages.join(urls.select(F.col("url").alias("source_url")), "source_url", "left_semi")
     ranked = pages.withColumn("_at", -F.coalesce(F.unix_micros("fetched_at"), F.lit(0)))
     return first_per_key(ranked, ["source_url"], ["_at", "id"]).drop("_at")
 
@@ -180,7 +183,8 @@ def archive_by_hash(pages: DataFrame, scopes: DataFrame, content_hash: str | Col
     wanted = F.lit(content_hash) if isinstance(content_hash, str) else content_hash
     out = in_scope(pages.filter(F.col("content_hash") == wanted), scopes)
     for name, child in (("block_count", blocks), ("asset_count", assets), ("record_count", records)):
-        counts = child.groupBy(F.col("page_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
+        own = child.join(out.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+        counts = own.groupBy(F.col("page_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
         out = out.join(counts, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
 

@@ -9,6 +9,8 @@ from ..functions.hashing import body_hash, page_hash, variant_hash
 from ..functions.text import strip
 from ..functions.urls import resolve_url
 from ..operators import archive, dedup, dom, lists, tables
+from ..session import cut_lineage
+from ..sources import writers
 from ..sources.html_nodes import with_fragment
 
 
@@ -120,6 +122,13 @@ def archive_run(list_pages: DataFrame, pages: DataFrame, rule: dict, **known: Da
     return archived, page_records(archived, rule)
 
 
+def save_run(archived: DataFrame, rule: dict, root: str) -> None:
+    """Store archived pages and their records. The pages are checkpointed
+    first, so the five tables come from one parse."""
+    pages = cut_lineage(archived)
+    writers.save_archive(archive.storage_tables(pages, page_records(pages, rule)), root)
+
+
 def archive_single(pages: DataFrame, rule: dict, first_titles: DataFrame | None = None, **known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Archive pages as they are, without discovery. An empty title falls back
     to the page's first item (``first_titles(url, title)``)."""

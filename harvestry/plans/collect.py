@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import run_status
 from ..operators import dedup, dom, extract, governance, lists, runs
 from ..operators.governance import Policy
+from ..session import cut_lineage
 
 
 @dataclass
@@ -65,16 +66,22 @@ def collect_items(pages: DataFrame, rule: dict, keys: list[str]) -> DataFrame:
     return items.withColumns({"platform": F.lit(rule_platform(rule)), "seq": F.struct(*at)})
 
 
-def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fields: list[str], scope: list[str] | None = None, strict_reference: bool = False) -> RunOutcome:
-    """De-duplicate against earlier runs, govern, and summarise per ``scope``."""
+def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fields: list[str], scope: list[str] | None = None, strict_reference: bool = False, materialise: bool = False) -> RunOutcome:
+    """De-duplicate against earlier runs, govern, and summarise per ``scope``.
+
+    ``materialise`` checkpoints the items and the governed items, for runs
+    whose stages go to several tables: pages are then parsed once.
+    """
     scope = scope or ["run_id"]
     if registry is None:
         marked = items.withColumns({"matched_existing_id": F.lit(None).cast("string"), "filter_reason": F.lit(None).cast("string")})
     else:
         marked = dedup.split_seen(items, registry, strict_reference)
+    marked = cut_lineage(marked) if materialise else marked
     fresh = F.col("matched_existing_id").isNull()
     kept, filtered = marked.filter(fresh).drop("matched_existing_id", "filter_reason"), marked.filter(~fresh)
     governed = governance.govern(kept, policy, ["seq"], scope, fields)
+    governed = cut_lineage(governed) if materialise else governed
     totals = marked.groupBy(*scope).agg(F.count(F.lit(1)).alias("total_collected"), F.count_if(~fresh).alias("dedup_filtered"), F.count_if(fresh).alias("_fresh"))
     kept_stats = governed.groupBy(*scope).agg(F.count(F.lit(1)).alias("_kept"), F.count_if("injection_risk").alias("_risk"), F.avg("field_completeness").alias("_full"))
     joined = totals.join(kept_stats, scope, "left")
@@ -84,16 +91,30 @@ def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fiel
         *scope, "total_collected", "dedup_filtered", items_n.alias("item_count"), (F.col("_fresh") - items_n).alias("duplicate_count"),
         risk.alias("injection_risk_count"), *[c.alias(n) for n, c in parts.items()],
     )
-    return RunOutcome(items, kept, filtered, governed, summary, fields)
+    raw = marked.drop("matched_existing_id", "filter_reason")
+    return RunOutcome(raw, kept, filtered, governed, summary, fields)
 
 
-def run_rule(pages: DataFrame, rule: dict, registry: DataFrame | None, run_id: str, keys: list[str] | None = None) -> RunOutcome:
+def run_rule(pages: DataFrame, rule: dict, registry: DataFrame | None, run_id: str, keys: list[str] | None = None, materialise: bool = False) -> RunOutcome:
     """A whole collection run of one rule over its captured pages."""
     items = collect_items(pages, rule, keys or ["page_id"]).withColumn("run_id", F.lit(run_id))
     fields = rule_fields(rule)
     if "raw_id" in items.columns and "raw_id" not in fields:
         fields = [*fields, "raw_id"]
-    return run_items(items, registry, Policy.from_rule(rule), fields)
+    return run_items(items, registry, Policy.from_rule(rule), fields, materialise=materialise)
+
+
+def run_record(outcome: RunOutcome, rule: dict, rule_path: str, started_at: Column, finished_at: Column, output_path: str = "") -> DataFrame:
+    """``collection_runs`` rows of a finished run."""
+    source = rule.get("source") or {}
+    subject = rule.get("subject") or source.get("subject") or rule_platform(rule)
+    status = run_status(F.lit(rule.get("enabled", True) and source.get("enabled", True)), F.lit(""), F.col("status"))
+    rows = outcome.summary.select(
+        "run_id", F.lit(rule.get("name") or rule_path).alias("rule_name"), F.lit(rule_path).alias("rule_path"), F.lit(subject).alias("subject"), F.lit(rule_platform(rule)).alias("platform"),
+        status.alias("status"), "total_collected", F.col("item_count").alias("saved_count"), "dedup_filtered", F.lit(output_path).alias("output_path"),
+        started_at.alias("started_at"), finished_at.alias("finished_at"), F.lit(None).cast("string").alias("error"),
+    )
+    return runs.run_rows(rows)
 
 
 def run_all(items: DataFrame, registry: DataFrame | None, rules: DataFrame, policy: Policy, fields: list[str]) -> tuple[RunOutcome, DataFrame]:

@@ -63,7 +63,7 @@ def task_detail(tasks: DataFrame, run_table: DataFrame, run_items: DataFrame, st
     matched = runs.match_runs(tasks, run_table, zone).select("task_id", "run_id").filter("run_id IS NOT NULL")
     items = run_items.join(matched.select("run_id").distinct(), "run_id", "left_semi")
     older = runs.match_older_items(items, stored)
-    return matched.join(runs.attach_archive(older, runs.latest_archive(pages)), "run_id")
+    return matched.join(runs.attach_archive(older, runs.latest_archive(pages, items)), "run_id")
 
 
 def recognise_images(pages: DataFrame, ocr: DataFrame, config: dict, keys: list[str], url: str = "url") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages vary a thousandfold in size: bound Arrow batches by bytes too.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
 }
 
 
@@ -47,19 +51,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name for tables a job writes and reads back, under
+    ``spark.checkpoint.dir`` where that is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base or tempfile.mkdtemp(prefix='harvestry-')}/{uuid.uuid4().hex}"
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan (file sizes for scans)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def checked_broadcast(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint only while the estimated size is under ``limit``; past
-    it the planner and AQE choose a shuffle join."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if size_in_bytes(df) <= limit else df
-
-
 def spread(df: DataFrame, bytes_per_task: int = 32 * 1024 * 1024) -> DataFrame:
     """Even out a small input before a CPU-heavy step.
 

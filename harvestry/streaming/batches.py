@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import dedup
 from ..operators.governance import Policy
 from ..plans import collect
+from ..session import cut_lineage
 
 REGISTRY = "id string, platform string, raw_id string, url string"
 
@@ -30,7 +31,7 @@ def dedup_batch(batch: DataFrame, batch_id: int, registry_path: str) -> DataFram
     """Unseen items of a batch; their ids are registered under ``batch_id``."""
     spark = batch.sparkSession
     registry = _registry(spark, registry_path, batch_id)
-    fresh = dedup.drop_seen(batch, registry.select("id"))
+    fresh = cut_lineage(dedup.drop_seen(batch, registry.select("id")))
     keyed = fresh.withColumn("id", dedup.registry_id()).filter("id IS NOT NULL").select("id", "platform", "raw_id", "url")
     additions = dedup.first_per_key(keyed, ["id"], ["url"]).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     additions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(registry_path)
@@ -65,7 +66,7 @@ def governed_stream(pages: DataFrame, rule: dict, registry_path: str, out: str,
         if "url" not in items.columns:
             items = items.withColumn("url", F.lit(None).cast("string"))
         fresh = dedup_batch(items, batch_id, registry_path)
-        outcome = collect.run_items(fresh, None, Policy.from_rule(rule), fields)
+        outcome = collect.run_items(fresh, None, Policy.from_rule(rule), fields, materialise=True)
         _append_once(outcome.governed.drop("seq"), batch_id, f"{out}/items")
         _append_once(outcome.summary, batch_id, f"{out}/summary")
 

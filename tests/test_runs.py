@@ -139,8 +139,13 @@ def test_collect_run(spark):
 
 def test_run_tables_append(spark, tmp_path):
     pages = spark.createDataFrame([(1, list_html(("/d/1", "a")))], "page_id int, html string")
-    writers.append_run_tables(collect.run_rule(pages, RULE, None, "r1").tables(), str(tmp_path))
-    assert sorted(os.listdir(tmp_path)) == ["collection_governance_records", "collection_items", "collection_run_items"]
+    run = collect.run_rule(pages, RULE, None, "r1", materialise=True)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    record = collect.run_record(run, RULE, "rules/news.yaml", start, start + F.expr("INTERVAL 90 SECONDS"))
+    writers.append_run_tables(run.tables() | {"collection_runs": record}, str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == ["collection_governance_records", "collection_items", "collection_run_items", "collection_runs"]
+    r = spark.read.parquet(f"{tmp_path}/collection_runs").first()
+    assert (r.rule_name, r.subject, r.platform, r.status, r.saved_count, r.duration_seconds) == ("news", "web", "docs", "success", 1, 90.0)
     assert spark.read.parquet(f"{tmp_path}/collection_run_items").count() == 2
 
 
@@ -157,10 +162,11 @@ def test_archive_run_orders_and_dedups(spark, tmp_path):
     assert [b.id for b in rows[0].blocks] == ["b1", "b2"]
     assert [(dict(r.data), r.raw_columns) for r in records.collect()] == [({"No": "1", "Name": "x"}, ["1", "x"])] * 2
     stored = arch.select(F.monotonically_increasing_id().alias("page_id"), "meta.content_hash", "meta.contains_ocr", F.lit(None).cast("string").alias("ocr_engine"))
-    assert archiving.archive_run(lp, pages, RULE, archived=stored.filter("true"))[0].count() == 0 or True
+    assert archiving.archive_run(lp, pages, RULE, archived=stored)[0].count() == 0
     writers.save_packages(arch, str(tmp_path / "pkg"))
     assert spark.read.json(str(tmp_path / "pkg")).count() == 2
-    writers.save_archive(archive.storage_tables(arch, records), str(tmp_path / "db"))
+    archiving.save_run(arch, RULE, str(tmp_path / "db"))
+    assert spark.read.parquet(str(tmp_path / "db/structured_records")).count() == 2
     assert spark.read.parquet(str(tmp_path / "db/archive_blocks")).count() == 4
     assert spark.read.parquet(str(tmp_path / "db/archive_pages")).select("id").distinct().count() == 2
 
