@@ -34,7 +34,11 @@ _CLOSED = "task_id long, total_new long, total_skip long, total_error long, fina
 
 def terminal_states(events: DataFrame, idle_seconds: int = 600) -> DataFrame:
     """One row per finished task: at its summary event, or when no event came
-    for ``idle_seconds`` (the producer has gone)."""
+    for ``idle_seconds`` (the producer has gone).
+
+    Run it with a processing-time trigger: the idle timers need the clock, and
+    an ``availableNow`` run would not end while a task is open.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         errors, new, skipped = state.get if state.exists else (0, 0, 0)

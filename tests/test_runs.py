@@ -226,7 +226,7 @@ def test_terminal_states_at_summary(spark, tmp_path):
     src = str(tmp_path / "in")
     _write(src, "1.jsonl", [e | {"ts": i} for i, e in enumerate(EVENTS)])
     out = events.terminal_states(_task_events(events.event_stream(spark, src)), idle_seconds=3600)
-    q = out.writeStream.outputMode("update").format("memory").queryName("closed").trigger(availableNow=True).start()
+    q = out.writeStream.outputMode("update").format("memory").queryName("closed").trigger(once=True).start()
     q.awaitTermination(120)
     assert [(r.task_id, r.total_new, r.final_status, r.by_timeout) for r in spark.table("closed").collect()] == [(2, 5, "success", False)]
 
