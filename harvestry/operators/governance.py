@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.hashing import record_hash, simhash64
+from ..session import spread
 from . import dedup
 
 
@@ -70,7 +71,7 @@ def govern(items: DataFrame, policy: Policy, order: list[str], scope: list[str]
     """
     scope = scope or []
     names = list(fields or policy.fields)
-    cleaned = text.clean_record(items, names, policy.sanitize)
+    cleaned = text.clean_record(spread(items), names, policy.sanitize)
     if policy.dedup in ("hash", "minhash"):
         hashed = cleaned.withColumn("dedup_hash", record_hash(cleaned, names))
         cleaned = dedup.exact(hashed, "dedup_hash", order, scope)
