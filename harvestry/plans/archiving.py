@@ -71,10 +71,11 @@ def archive_details(
     """
     config = rule.get("archive") or {}
     image_config = config.get("image_ocr") or {}
-    engine = (image_config.get("ocr") or {}).get("plugin") or "tesseract" if image_config.get("enabled") else None
+    plugin = (image_config.get("ocr") or {}).get("plugin") or "tesseract"
+    engine = plugin if image_config.get("enabled") else None
     blank = F.lit("")
     hashed = details.withColumns(
-        {"content_hash": page_hash(F.col("url"), F.col("url"), F.col("html"), blank), "ocr_engine": F.lit(engine).cast("string"), "body_hash": body_hash(F.col("html"), blank)}
+        {"content_hash": page_hash(F.col("url"), F.col("url"), F.col("html"), blank), "ocr_engine": F.lit(plugin), "body_hash": body_hash(F.col("html"), blank)}
     )
     if archived is not None:
         known = archived_ocr if archived_ocr is not None else archived.select("page_id", F.lit("").alias("engine")).filter(F.lit(False))
