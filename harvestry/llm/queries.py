@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Tables
-from . import mixing, sharding
+from ..session import scratch_folder
+from . import bpe, mixing, quality, records, sharding, simhash, topk
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,60 @@ def op2_source_mix(t: Tables) -> DataFrame:
     size = word_count(F.col("text"))
     mixed = mixing.mix(docs, size)
     return mixed.select("doc_id", size.alias("size"), "source_size", "target", (F.col("copies") * size).cast("long").alias("taken"))
+
+
+def vocabulary() -> str:
+    """Place of the public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op3_trie_bpe(t: Tables) -> DataFrame:
+    """Token ids of every text and the text they decode to."""
+    coded = bpe.decode(bpe.encode(t.documents.select("doc_id", "text"), vocabulary()).drop("text"), vocabulary())
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query()
+def op4_token_records(t: Tables) -> DataFrame:
+    """Token ids written to record files and read back."""
+    folder = scratch_folder(t.spark)
+    records.write_records(t.documents, folder, vocabulary(), end_id=1)
+    read = records.read_records(t.spark, folder).select("file", "record", "doc_id", F.crc32("ids").alias("ids_crc32"))
+    places = records.read_index(t.spark, folder).select("file", "record", "start", "n_tokens")
+    return read.join(places, ["file", "record"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+_TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query(_TOP_SQL)
+def op5_top_k_search(t: Tables) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
+    return topk.top_k(t.embeddings, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op6_distribution_quality(t: Tables) -> DataFrame:
+    """Plain rules and distances to language references for every document."""
+    judged = quality.judge(t.documents.select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query()
+def op9_simhash_components(t: Tables) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_classes(t.documents.select("doc_id", "text"), words=3, budget=2)

@@ -27,7 +27,6 @@ QUERIES, CANDIDATES, BINS = 1024, 4096, 256
 _BLOCK = "block long, n long, ids binary, no_id binary, vectors binary, reach double"
 #: Beyond this a component is cut, so that a sum of products stays in 64 bits.
 _LIMIT = 1 << 26
-_NO_ID = np.iinfo(np.int64).max
 
 
 def _pack(rows: int, dim: int, scale: float):
@@ -36,42 +35,21 @@ def _pack(rows: int, dim: int, scale: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        place, seq = TaskContext.get().partitionId() << 32, 0
-        ids, vectors, held = [], [], 0
-
-        def block() -> pa.RecordBatch:
-            nonlocal seq, held
-            v, i = np.concatenate(vectors), np.concatenate(ids)
-            out = [place + seq, len(i), i[:, 0].tobytes(), i[:, 1].astype(np.int8).tobytes(), v.astype("<i4").tobytes(), float(np.sqrt((v.astype(float) ** 2).sum(1).max()))]
-            seq, held = seq + 1, 0
-            ids.clear()
-            vectors.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [c.split()[0] for c in _BLOCK.split(", ")])
-
-        for b in batches:
-            lists, key = b.column(1), b.column(0)
-            for at in range(0, b.num_rows, rows):
-                part, own = lists.slice(at, rows), key.slice(at, rows)
-                matrix, good = _matrix(part, dim)
-                if not good.any():
-                    continue
-                scaled = np.clip(np.floor(matrix[good] * scale), -_LIMIT, _LIMIT).astype(np.int64)
-                null = np.asarray(own.is_null())[good]
-                known = own.fill_null(_NO_ID).to_numpy(False)[good].astype(np.int64)
-                for f in range(0, len(known), rows):
-                    take = min(rows - held, len(known) - f)
-                    vectors.append(scaled[f : f + take])
-                    ids.append(np.stack([known, null.astype(np.int64)], 1)[f : f + take])
-                    held += take
-                    if held == rows:
-                        yield block()
-                    if take < min(rows, len(known) - f):
-                        rest = slice(f + take, min(f + rows, len(known)))
-                        vectors.append(scaled[rest])
-                        ids.append(np.stack([known, null.astype(np.int64)], 1)[rest])
-                        held += rest.stop - rest.start
-        if held:
-            yield block()
+        block = TaskContext.get().partitionId() << 32
+        ids, none = np.empty(0, np.int64), np.empty(0, np.int8)
+        vectors = np.empty((0, dim), np.int32)
+        for b in [*batches, None]:
+            if b is not None:
+                matrix, good = _matrix(b.column(1), dim)
+                vectors = np.concatenate([vectors, np.clip(np.floor(matrix[good] * scale), -_LIMIT, _LIMIT).astype(np.int32)])
+                none = np.concatenate([none, np.asarray(b.column(0).is_null())[good].astype(np.int8)])
+                ids = np.concatenate([ids, b.column(0).fill_null(0).to_numpy(False)[good].astype(np.int64)])
+            while len(ids) >= rows or b is None and len(ids):
+                v = vectors[:rows]
+                reach = float(np.sqrt((v.astype(float) ** 2).sum(1).max()))
+                out = [block, len(v), ids[:rows].tobytes(), none[:rows].tobytes(), v.astype("<i4").tobytes(), reach]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [c.split()[0] for c in _BLOCK.split(", ")])
+                block, ids, none, vectors = block + 1, ids[rows:], none[rows:], vectors[rows:]
 
     return step
 
@@ -136,38 +114,39 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
     limit = int(reach) + 2
 
     queries = asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    q_list = asked.select(F.col("block").alias("q"))
     # Which group meets which block of queries is the same for all: every
     # candidate block goes to each query block's task of its own group.
     dealt = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     spread = dealt.join(queries.select("q", "g"), "g").select("q", "g", "ids", "no_id", "vectors")
     pairs = spread.join(queries, ["q", "g"])
-    del q_list
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for r, q_ids, _, _, s, other in _blocks(b, dim):
-                low, width = np.frombuffer(r["low"], "<i8")[:, None], np.frombuffer(r["width"], "<i8")[:, None]
-                at = np.floor_divide(s - low, width)
-                inside = other & (at >= 0) & (at < BINS)
-                flat = (np.arange(len(q_ids))[:, None] * BINS + at)[inside]
-                counts = np.bincount(flat, minlength=len(q_ids) * BINS).reshape(-1, BINS)
-                sums[r["q"]] = sums[r["q"]] + counts if r["q"] in sums else counts
-        for q, counts in sums.items():
-            above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts  # in higher bins of this task
-            row, at = np.nonzero((counts > 0) & (above < k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), q)), pa.array(row), pa.array(at), pa.array(counts[row, at])], ["q", "row", "bin", "n"])
+    def histogram(width: int, span: int):
+        """Counts of the scores within span of each row's low, in bins."""
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for r, q_ids, _, _, s, other in _blocks(b, dim):
+                    over = s - np.array(r["lows"])[:, None]
+                    inside = other & (over >= 0) & (over < span)
+                    flat = (np.arange(len(q_ids))[:, None] * BINS + over // width)[inside]
+                    counts = np.bincount(flat, minlength=len(q_ids) * BINS).reshape(-1, BINS)
+                    sums[r["q"]] = sums[r["q"]] + counts if r["q"] in sums else counts
+            for q, counts in sums.items():
+                above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts  # in higher bins of this task
+                row, at = np.nonzero((counts > 0) & (above < k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), q)), pa.array(row), pa.array(at), pa.array(counts[row, at])], ["q", "row", "bin", "n"])
+
+        return step
 
     # For each row of a query block: the range still open, and how many
     # scores lie above it. A query with fewer than k scores keeps all.
     start = asked.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("row"))
-    width = max(1, -(-(2 * limit) // BINS))
+    span = 2 * limit + 1
     state = cut_lineage(start.withColumns({"low": F.lit(-limit).cast("long"), "above": F.lit(0).cast("long")}))
     while True:
-        held = state.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("row", "low"))).alias("rows"))  # a block's rows at most
-        lows = held.select("q", F.col("rows.low").alias("lows"))
-        counted = pairs.join(lows, "q").mapInArrow(_lowered(width), _LOWERED).mapInArrow(histogram, "q long, row long, bin long, n long")
+        width = -(-span // BINS)
+        counted = pairs.join(_lows(state), "q").mapInArrow(histogram(width, span), "q long, row long, bin long, n long")
         sums = counted.groupBy("q", "row", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("q", "row").orderBy(F.desc("bin"))
         running = sums.withColumn("upto", F.sum("n").over(down)).join(state.select("q", "row", "above"), ["q", "row"])
@@ -178,12 +157,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
         state = cut_lineage(step.select("q", "row", low.alias("low"), F.coalesce("now_above", "above").alias("above")))
         if width == 1:
             break
-        width = -(-width // BINS)
+        span = width
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r, q_ids, ids, none, s, other in _blocks(b, dim):
-                low = np.frombuffer(r["low"], "<i8")[:, None]
+                low = np.array(r["lows"])[:, None]
                 row, at = np.nonzero(other & (s >= low))
                 score, cand, tie = s[row, at], ids[at], s[row, at] == low[row, 0]
                 # Of a row's equal scores only the k smallest ids can be in.
@@ -196,24 +175,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
                     [pa.array(np.full(len(keep), r["q"])), pa.array(row[keep]), pa.array(q_ids[row[keep]]), pa.array(cand[keep], mask=~known), pa.array(score[keep])], ["q", "row", "query_id", "vec_id", "score"]
                 )
 
-    held = state.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("row", "low"))).alias("rows")).select("q", F.col("rows.low").alias("lows"))
-    found = pairs.join(held, "q").mapInArrow(_lowered(1), _LOWERED).mapInArrow(final, "q long, row long, query_id long, vec_id long, score long")
+    found = pairs.join(_lows(state), "q").mapInArrow(final, "q long, row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("q", "row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-_LOWERED = "q long, q_ids binary, q_vectors binary, ids binary, no_id binary, vectors binary, low binary, width binary"
-
-
-def _lowered(width: int):
-    """The open ranges of a query block's rows as binary values."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lows = [np.array(x, dtype="<i8") for x in b.column("lows").to_pylist()]
-            low = pa.array([x.tobytes() for x in lows], pa.binary())
-            widths = pa.array([np.full(len(x), width, dtype="<i8").tobytes() for x in lows], pa.binary())
-            names = [c.split()[0] for c in _LOWERED.split(", ")]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names[:-2]] + [low, widths], names)
-
-    return step
+def _lows(state: DataFrame) -> DataFrame:
+    """(q, lows): the lower ends of a block's rows in order, a block's rows
+    at most."""
+    rows = F.array_sort(F.collect_list(F.struct("row", "low")))
+    return state.groupBy("q").agg(rows.alias("rows")).select("q", F.col("rows.low").alias("lows"))
