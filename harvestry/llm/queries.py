@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..session import scratch_folder
-from . import bpe, mixing, quality, records, sharding, simhash, topk
+from . import bpe, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,67 @@ def op6_distribution_quality(t: Tables) -> DataFrame:
 def op9_simhash_components(t: Tables) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_classes(t.documents.select("doc_id", "text"), words=3, budget=2)
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The conversations as mail would carry them: every message after the
+    first quotes the one before it in full, and that one's answer to its own
+    predecessor a level deeper."""
+    marked = lambda text, mark: F.regexp_replace(F.concat(F.lit(mark), text), "\n", "\n" + mark)
+    earlier = [messages.select(F.col("conv_id").alias("c"), (F.col("turn") + k).alias("t"), F.col("text").alias(f"text{k}")) for k in (1, 2)]
+    joined = messages
+    for e in earlier:
+        joined = joined.join(e, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t")
+    text = F.concat_ws("\n", marked(F.col("text2"), ">> "), marked(F.col("text1"), "> "), F.col("text"))
+    return joined.select("conv_id", "turn", "role", text.alias("text"))
+
+
+@query()
+def op7_quotation_threads(t: Tables) -> DataFrame:
+    """Threads of all conversations, sent as mail that quotes."""
+    return quotes.link(quoting(t.conversations.select("conv_id", "turn", "role", "text")))
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Names that a host of the block list has among its labels.
+BAD_NAMES = ["spam-farm", "cheap-pills", "casino", "free-money"]
+_URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS params
+  FROM pages
+), forms AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^(?:www|m)\.', ''), ':(?:80|443)$', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
+  FROM parts
+), listed AS (
+  SELECT DISTINCT canonical FROM forms WHERE len(list_filter(string_split(host, '.'), lambda p: p IN ('spam-farm', 'cheap-pills', 'casino', 'free-money'))) > 0
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM forms
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query(_URL_SQL)
+def op8_url_filter(t: Tables) -> DataFrame:
+    """Verdict on every page; the list holds the addresses of bad hosts."""
+    listed = t.pages.filter(F.arrays_overlap(F.split(urls.host(F.col("url")), r"\."), F.array(*[F.lit(n) for n in BAD_NAMES]))).select("url")
+    judged = urls.judge(t.pages.select("page_id", "url"), listed, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_license_notices(t: Tables) -> DataFrame:
+    """License phrases and fuzzy notices of every document."""
+    found = licenses.scan(t.documents.select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
