@@ -113,7 +113,9 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[int] = (5, 2, 1), cap:
     own = without(docs, ["source_size", "target", "copies"])
     sized = written(own.select("source", draw(F.col("doc_id"), F.col("text")).alias("draw"), size.alias("size")))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    limits = thresholds(sized, sources, level_bits).select(F.col("source").alias("__source"), "source_size", "target", F.col("copies").alias("__copies"), "below")
+    # A table whose size Spark knows: it is sent to all tasks while it is small
+    # enough for that, and joined by a shuffle beyond.
+    limits = written(thresholds(sized, sources, level_bits).select(F.col("source").alias("__source"), "source_size", "target", F.col("copies").alias("__copies"), "below"))
     own_draw = draw(F.col("doc_id"), F.col("text"))
     joined = own.join(limits, F.col("source").eqNullSafe(F.col("__source")))
     copies = F.least(F.lit(cap), F.col("__copies") + (own_draw < F.col("below")).cast("int"))
