@@ -43,7 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with what they decode to as a digest."""
     configure(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), vocabulary()).drop("text"), vocabulary())
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary(), decoded=True)
     return coded.select("doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

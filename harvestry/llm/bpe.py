@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column, without
+from .common import slices, without
 
 #: Bounds of a worker's tables, in entries for each of two generations.
-CHUNKS, WORDS, PAIRS = 300_000, 200_000, 1_000_000
+CHUNKS, WORDS, PAIRS = 200_000, 200_000, 600_000
 #: White space that separates words in this tokenizer (Unicode White_Space).
 _SPACE = regex.compile(r"[\t\n\v\f\r \x85\xa0  -     　]+")
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
@@ -233,33 +233,40 @@ def tokenizer(path: str) -> Tokenizer:
     return _TOKENIZERS[path]
 
 
-def with_column(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, make: Callable[[list], list]) -> DataFrame:
-    """``df`` with a column made from another one, batch by batch."""
-    own = without(df, [name])
-    ordered = own.select(*[column(c) for c in own.columns])
-    at = own.columns.index(source)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = pa.array(make(b.column(at).to_pylist()), arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, name])
-
-    return ordered.mapInArrow(step, T.StructType([*own.schema.fields, T.StructField(name, kind)]))
-
-
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Every row with ``ids``: the token ids of its whole text as
-    little-endian unsigned 32-bit numbers in one binary value.
+    little-endian unsigned 32-bit numbers in one binary value; with
+    ``decoded``, if asked for, the text that these ids stand for.
 
     path: a tokenizer file that every executor has. Null and empty texts get
-    an empty value. Other columns pass as they are; an input column named ids
-    is replaced. An empty table gives an empty result. No row moves; a text is
-    encoded whole, and a lost task encodes its rows again.
+    an empty value. Other columns pass as they are; input columns named ids or
+    decoded are replaced. An empty table gives an empty result. No row moves; a
+    text is encoded whole, and a lost task encodes its rows again.
     """
-    return with_column(docs, "ids", T.BinaryType(), pa.binary(), text, lambda texts: tokenizer(path).encode_batch(texts))
+    fields = [("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())][: 1 + decoded]
+    own = without(docs, [f[0] for f in fields])
+    at = own.columns.index(text)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
+        for b in slices(batches, at):
+            ids = coder.encode_batch(b.column(at).to_pylist())
+            made = [pa.array(ids, pa.binary())] + [pa.array(map(coder.decode, ids), pa.string())] * decoded
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *(f[0] for f in fields)])
+
+    return own.mapInArrow(step, T.StructType([*own.schema.fields, *[T.StructField(n, k) for n, k, _ in fields]]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Every row with ``decoded``, the text that its ``ids`` stand for; null
     ids decode to an empty text. An input column named decoded is replaced."""
-    return with_column(encoded, "decoded", T.StringType(), pa.string(), "ids", lambda ids: [tokenizer(path).decode(i or b"") for i in ids])
+    own = without(encoded, ["decoded"])
+    at = own.columns.index("ids")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
+        for b in slices(batches, at):
+            made = pa.array([coder.decode(i or b"") for i in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, "decoded"])
+
+    return own.mapInArrow(step, T.StructType([*own.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,14 @@ def column(name: str) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a whole text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``most`` bytes of the texts in
+    column ``at``, or one row: what a step makes of a slice is a small multiple
+    of that, however large Arrow's batches are."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(at)).fill_null(0).to_numpy(False)
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        for start, end in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+            yield b.slice(start, end - start)

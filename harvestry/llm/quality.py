@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, without, written
+from .common import column, slices, without, written
 
 # Frequent words of each language, from general knowledge.
 COMMON_WORDS = {
@@ -119,7 +119,7 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([*[ordered.schema[c] for c in rest], *[T.StructField(c, T.LongType()) for c in _COUNTERS], T.StructField("classes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.LongType()))])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0, 4 << 20):
             made = _count(b.column(0).to_pylist())
             arrays = [pa.array(v, pa.int64() if k in _COUNTERS else pa.list_(pa.int64())) for k, v in made.items()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], [*rest, *made])

@@ -89,7 +89,7 @@ def vocabulary() -> str:
 @query()
 def op3_trie_bpe(t: Tables) -> DataFrame:
     """Token ids of every text and the text they decode to."""
-    coded = bpe.decode(bpe.encode(t.documents.select("doc_id", "text"), vocabulary()).drop("text"), vocabulary())
+    coded = bpe.encode(t.documents.select("doc_id", "text"), vocabulary(), decoded=True)
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import CHUNKS, Recent, chunks
+from .common import slices
 
 _MASK = 0xA282EAD8
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
@@ -81,7 +82,7 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known = Recent(2 * CHUNKS)
+        self.known = Recent(CHUNKS)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
@@ -91,8 +92,10 @@ class LibraryEncoder:
         self.known.turn()
         fresh = list(self.known.missing(set().union(*split)))
         table = self.known.young
-        for chunk, coded in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            table[chunk] = self.pack(coded.ids)
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            for chunk, coded in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                table[chunk] = self.pack(coded.ids)
         return [b"".join(map(table.__getitem__, s)) for s in split]
 
 
@@ -126,7 +129,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, file
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         end = encoder.pack([end_id])
-        for b in batches:
+        for b in slices(batches, 1):
             ids = encoder.encode_batch(b.column(1).to_pylist())
             frames = pa.array([framed(i, t + end, encoder.width) for i, t in zip(b.column(0).to_pylist(), ids, strict=True)], pa.binary())
             # The writer copies a string's bytes as they are.
