@@ -195,18 +195,21 @@ class Tokenizer:
         words, known = self.words, self.known
         pieces = {c: self._pieces(c) for c in fresh}
         new = words.missing({p for own in pieces.values() for p in own if p.__class__ is str})
-        letters = self._letters
-        spelt = {p: p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]) for p in new}
-        ids = self.trie.encode(spelt.values())
         table = words.young
-        for p, s in spelt.items():
-            table[p] = ids[s]
+        table.update(self.code_words(new))
         for c, own in pieces.items():
             if len(own) == 1 and own[0].__class__ is str:
                 known.young[c] = table[own[0]]
             else:
                 known.young[c] = b"".join([table[p] if p.__class__ is str else int(p).to_bytes(4, "little") for p in own])
 
+    def code_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are no longer than a piece of the pattern."""
+        letters = self._letters
+        spelt = {p: p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]) for p in words}
+        ids = self.trie.encode(spelt.values())
+        return {p: ids[s] for p, s in spelt.items()}
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers; none for null."""
         split = [chunks(t) if t else [] for t in texts]

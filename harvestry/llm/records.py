@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import CHUNKS, Recent, chunks
+from .bpe import Tokenizer
 from .common import slices
 
 _MASK = 0xA282EAD8
@@ -69,34 +69,36 @@ def records(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at += size + 17
 
 
-class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each chunk
-    between white space once as long as it stays in a table of bounded size.
-    Only for tokenizers whose tokens never reach over white space."""
+class LibraryEncoder(Tokenizer):
+    """Ids by the tokenizers library, which sees each word once as long as it
+    stays in a table of bounded size: a white-space separated list of words,
+    told apart again by the word ends among the tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        super().__init__(path)
+        self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known = Recent(CHUNKS)
+        size = self.library.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [chunks(t) if t else [] for t in texts]
-        self.known.turn()
-        fresh = list(self.known.missing(set().union(*split)))
-        table = self.known.young
+    def code_words(self, words: set[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        fresh = list(words)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            for chunk, coded in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                table[chunk] = self.pack(coded.ids)
-        return [b"".join(map(table.__getitem__, s)) for s in split]
+            (coded,) = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            data, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            out.update({w: data[a:b] for w, a, b in zip(part, [0, *ends], ends, strict=False)})
+        return out
+
+    def pack(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -128,10 +130,10 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, file
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        end = encoder.pack([end_id])
+        end = end_id.to_bytes(4, "little")
         for b in slices(batches, 1):
             ids = encoder.encode_batch(b.column(1).to_pylist())
-            frames = pa.array([framed(i, t + end, encoder.width) for i, t in zip(b.column(0).to_pylist(), ids, strict=True)], pa.binary())
+            frames = pa.array([framed(i, encoder.pack(t + end), encoder.width) for i, t in zip(b.column(0).to_pylist(), ids, strict=True)], pa.binary())
             # The writer copies a string's bytes as they are.
             yield pa.RecordBatch.from_arrays([frames.view(pa.utf8())], ["value"])
 
