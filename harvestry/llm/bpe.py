@@ -15,6 +15,7 @@ tables of bounded size.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -140,10 +141,9 @@ class Recent:
 
     def missing(self, keys: set[str]) -> set[str]:
         """The keys in neither generation; those of the old one are young again."""
-        keys = keys.difference(self.young)
-        back = keys.intersection(self.old)
-        for k in back:
-            self.young[k] = self.old[k]
+        keys, old = keys.difference(self.young), self.old
+        back = {k: old[k] for k in keys if k in old}
+        self.young.update(back)
         return keys.difference(back)
 
 
@@ -158,6 +158,7 @@ class Tokenizer:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         # Added tokens are found in the raw text, before it is lower-cased.
         self._added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self._mark = os.path.commonprefix(list(self.added)) if self.added else "\0\0"
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"])
         # The same for ASCII, where the standard library's patterns do.
@@ -180,10 +181,10 @@ class Tokenizer:
         low = self._lowered(chunk)
         if low.isalpha():
             return [low]
-        if not any(a in chunk for a in self.added):
+        if self._mark not in chunk:
             return (self._ascii if low.isascii() else self._words).findall(low)
         out: list[str | int] = []
-        for part in self._added.split(chunk):
+        for part in self._added.split(chunk) if self._added else [chunk]:
             if part in self.added:
                 out.append(self.added[part])
             else:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Tokenizer
+from .bpe import Recent, Tokenizer
 from .common import slices
 
 _MASK = 0xA282EAD8
+#: Entries of a worker's tables: smaller than where no files are held beside.
+TABLE = 120_000
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
 _INDEX = "file long, record long, offset long, length long, doc_id long, start_in_file long, n_tokens long"
 
@@ -82,13 +85,17 @@ class LibraryEncoder(Tokenizer):
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.known, self.words = Recent(TABLE), Recent(TABLE)
         size = self.library.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def code_words(self, words: set[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        fresh = list(words)
+        # The library normalises a word again; the few that this would change
+        # (marks that lower-casing has put out of order) go to the trie.
+        changed = {w for w in words if not w.isascii() and not unicodedata.is_normalized("NFC", w)}
+        out = super().code_words(changed) if changed else {}
+        fresh = list(words - changed)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             (coded,) = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
@@ -110,7 +117,7 @@ def _encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
-def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, file_bytes: int = 32 << 20) -> None:
+def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, file_bytes: int = 16 << 20) -> None:
     """Encode the whole texts of docs (doc_id, text) and write them to
     ``folder``/data in ascending doc_id order, null ids first, rows of equal id
     by the hash of their text; then write the index to ``folder``/index.
