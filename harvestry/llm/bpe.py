@@ -193,24 +193,30 @@ class Tokenizer:
 
     def learn(self, fresh: Iterable[str]) -> None:
         """Encode chunks not met lately."""
-        words, known = self.words, self.known
-        pieces = {c: self._pieces(c) for c in fresh}
-        new = words.missing({p for own in pieces.values() for p in own if p.__class__ is str})
-        table = words.young
-        table.update(self.code_words(new))
-        for c, own in pieces.items():
-            if len(own) == 1 and own[0].__class__ is str:
-                known.young[c] = table[own[0]]
+        single: dict[str, str] = {}
+        pieces: dict[str, list[str | int]] = {}
+        for c in fresh:
+            if c.isascii() and c.isalpha():  # most of them: one word
+                single[c] = c.lower()
             else:
-                known.young[c] = b"".join([table[p] if p.__class__ is str else int(p).to_bytes(4, "little") for p in own])
+                pieces[c] = self._pieces(c)
+        new = self.words.missing({*single.values(), *(p for own in pieces.values() for p in own if p.__class__ is str)})
+        table, known = self.words.young, self.known.young
+        table.update(self.code_words(new))
+        known.update({c: table[p] for c, p in single.items()})
+        known.update({c: b"".join([table[p] if p.__class__ is str else int(p).to_bytes(4, "little") for p in own]) for c, own in pieces.items()})
 
     def code_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are no longer than a piece of the pattern."""
         letters = self._letters
         spelt = {p: p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]) for p in words}
-        ids = self.trie.encode(spelt.values())
+        ids = self.code_spelt(set(spelt.values()))
         return {p: ids[s] for p, s in spelt.items()}
 
+    def code_spelt(self, spelt: set[str]) -> dict[str, bytes]:
+        """Ids of words in the vocabulary's letters."""
+        return self.trie.encode(spelt)
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers; none for null."""
         split = [chunks(t) if t else [] for t in texts]

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from .common import slices
 
 _MASK = 0xA282EAD8
 #: Entries of a worker's tables: smaller than where no files are held beside.
-TABLE = 120_000
+TABLE = 180_000
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
 _INDEX = "file long, record long, offset long, length long, doc_id long, start_in_file long, n_tokens long"
 
@@ -73,9 +72,8 @@ def records(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 
 
 class LibraryEncoder(Tokenizer):
-    """Ids by the tokenizers library, which sees each word once as long as it
-    stays in a table of bounded size: a white-space separated list of words,
-    told apart again by the word ends among the tokens."""
+    """Ids by the tokenizers library's model, which sees each word once as
+    long as it stays in a table of bounded size."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -86,23 +84,11 @@ class LibraryEncoder(Tokenizer):
         self.library.no_truncation()
         self.library.no_padding()
         self.known, self.words = Recent(TABLE), Recent(TABLE)
-        size = self.library.get_vocab_size()
-        self.width = 2 if size <= 1 << 16 else 4
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-    def code_words(self, words: set[str]) -> dict[str, bytes]:
-        # The library normalises a word again; the few that this would change
-        # (marks that lower-casing has put out of order) go to the trie.
-        changed = {w for w in words if not w.isascii() and not unicodedata.is_normalized("NFC", w)}
-        out = super().code_words(changed) if changed else {}
-        fresh = list(words - changed)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            (coded,) = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            data, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            out.update({w: data[a:b] for w, a, b in zip(part, [0, *ends], ends, strict=False)})
-        return out
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+
+    def code_spelt(self, spelt: set[str]) -> dict[str, bytes]:
+        coded, tokenize = self.trie.coded, self.library.model.tokenize
+        return {s: b"".join([coded[t.id] for t in tokenize(s)]) for s in spelt}
 
     def pack(self, ids: bytes) -> bytes:
         return np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
