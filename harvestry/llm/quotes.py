@@ -83,13 +83,19 @@ def link(messages: DataFrame) -> DataFrame:
     parents = written(votes.groupBy("conv", "turn").agg(F.max(F.struct("n", "source")).alias("best")).select("conv", "turn", F.col("best.source").alias("parent")))
     counts = found.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_quoted"), F.count("source").alias("n_linked"))
 
-    state = parents.select("conv", "turn", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth"))
+    # Chains that have come to their first message stand aside.
+    open_ = parents.select("conv", "turn", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth"))
+    state, ended = open_, None
     while True:
         ahead = state.select("conv", F.col("turn").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        state = written(state.join(ahead, ["conv", "at"], "left").select("conv", "turn", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
-        if state.filter("moved").isEmpty():
+        moved = open_.join(ahead, ["conv", "at"], "left").select("conv", "turn", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
+        step = written(moved)
+        fresh = step.filter(~F.col("moved")).drop("moved")
+        ended = fresh if ended is None else ended.union(fresh)
+        open_ = step.filter("moved").drop("moved")
+        state = ended.union(open_)
+        if open_.isEmpty():
             break
-        state = state.drop("moved")
     links = parents.join(counts, ["conv", "turn"], "full").join(state.select("conv", "turn", "at", "depth"), ["conv", "turn"], "left")
     links = links.select(F.col("conv").alias("__conv"), F.col("turn").alias("__turn"), "parent", "n_quoted", "n_linked", "at", F.col("depth").alias("__depth"))
     kept = F.array_join(F.transform(F.filter(levels(F.col("text")), lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
