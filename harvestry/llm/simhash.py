@@ -1,10 +1,10 @@
 """SimHash near-duplicates by a self-join of the binary trie of fingerprints.
 
-A node of the trie is a prefix of fingerprints. The join starts with the pair
-(root, root) and replaces a pair of nodes by the pairs of their children eight
-bits further down, adding up the bits in which they differ and dropping a pair
-as soon as it differs in more than the budget. A node has 256 children at
-most, so no key of these joins is hot, and equal fingerprints are one leaf.
+A node of the trie is a prefix of fingerprints. The join starts with the pairs
+of nodes at the first level and replaces a pair of nodes by the pairs of their
+children some bits further down, adding up the bits in which they differ and
+dropping a pair as soon as it differs in more than the budget. A node has 256
+children at most, so no key of these joins is hot, and equal fingerprints are one leaf.
 """
 
 from __future__ import annotations
@@ -81,25 +81,31 @@ def close_pairs(leaves: DataFrame, bits: int, budget: int) -> DataFrame:
     that differ in ``budget`` bits at most, each pair once.
 
     leaves: distinct (tree, fp), fp a long of which the lowest ``bits`` (a
-    multiple of 8, 64 at most) count.
+    multiple of 8, 64 at most) count. The 256 nodes of the first level meet by
+    the masks of few bits; then levels are four bits deep as long as nodes can
+    be full of children, and eight from there.
     """
-    pairs = leaves.select("tree", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("diff")).distinct()
-    for depth in range(0, bits, 8):
-        below = bits - depth - 8
-        node = F.shiftrightunsigned("fp", below)
-        parent = F.shiftrightunsigned(node, 8) if depth else F.lit(0).cast("long")
-        kids = leaves.groupBy("tree", parent.alias("node")).agg(F.collect_set(node.bitwiseAND(F.lit(255)).cast("int")).alias("kids"))
+    top = leaves.select("tree", F.shiftrightunsigned("fp", bits - 8).alias("a")).distinct()
+    masks = F.array(*[F.lit(m).cast("long") for m in range(256) if m.bit_count() <= budget])
+    met = top.withColumn("mask", F.explode(masks)).withColumn("b", F.col("a").bitwiseXOR(F.col("mask"))).filter(F.col("a") <= F.col("b"))
+    pairs = met.join(top.withColumnRenamed("a", "b"), ["tree", "b"], "left_semi").select("tree", "a", "b", F.bit_count("mask").alias("diff"))
+    depth = 8
+    while depth < bits:
+        step = 4 if depth < 32 else 8
+        node = F.shiftrightunsigned("fp", bits - depth - step)
+        kids = leaves.groupBy("tree", F.shiftrightunsigned(node, step).alias("node")).agg(F.collect_set(node.bitwiseAND(F.lit((1 << step) - 1)).cast("int")).alias("kids"))
         left = kids.select("tree", F.col("node").alias("a"), F.col("kids").alias("of_a"))
         right = kids.select("tree", F.col("node").alias("b"), F.col("kids").alias("of_b"))
-        both = pairs.join(left, ["tree", "a"]).withColumn("x", F.explode("of_a")).drop("of_a").join(right, ["tree", "b"]) if depth < 8 else pairs.join(left, ["tree", "a"]).join(right, ["tree", "b"]).withColumn("x", F.explode("of_a")).drop("of_a")
+        both = pairs.join(left, ["tree", "a"]).join(right, ["tree", "b"]).withColumn("x", F.explode("of_a")).drop("of_a")
         near = F.filter("of_b", lambda y: (F.bit_count(y.bitwiseXOR(F.col("x"))) + F.col("diff") <= budget) & ((F.col("a") != F.col("b")) | (y >= F.col("x"))))
         down = both.withColumn("y", F.explode(near))
         pairs = down.select(
             "tree",
-            F.shiftleft("a", 8).bitwiseOR(F.col("x")).alias("a"),
-            F.shiftleft("b", 8).bitwiseOR(F.col("y")).alias("b"),
+            F.shiftleft("a", step).bitwiseOR(F.col("x")).alias("a"),
+            F.shiftleft("b", step).bitwiseOR(F.col("y")).alias("b"),
             (F.col("diff") + F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).alias("diff"),
         )
+        depth += step
     return pairs.filter(F.col("a") != F.col("b"))
 
 
@@ -185,14 +191,12 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     duplicates of anything and stay. Null ids come last. An empty table gives
     an empty result; all columns of docs are kept as they are.
     """
-    lowered = F.lower_ascii("text") if hasattr(F, "lower_ascii") else F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     content = F.trim(F.regexp_replace(F.coalesce(lowered, F.lit("")), r"[\x20\x09-\x0D]+", " "))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(*[column(c) for c in docs.columns]).alias("row"))
     keyed = docs.withColumns({"__node": F.xxhash64(content), "__words": content != "", "__order": order})
-    firsts = keyed.filter("__words").groupBy(F.col("__node").alias("node")).agg(F.min("__order").alias("first"))
-    firsts = written(firsts)
+    firsts = written(keyed.filter("__words").groupBy(F.col("__node").alias("node")).agg(F.min("__order").alias("first")))
     heads = keyed.filter("__words").join(firsts, (F.col("__node") == F.col("node")) & (F.col("__order") == F.col("first")), "left_semi").select(F.col("__node").alias("node"), "text")
-    count = -(-trees * bits // 64)
     per_word = 64 // bits
     count = -(-trees // per_word)
     printed = written(fingerprints(heads, "node", "text", words, count).dropDuplicates(["node"]))
