@@ -262,7 +262,7 @@ def _(t):
 def _(t):
     recs = lists.governance_records(readers.result_meta(_files(t)))
     scopes = t.documents.filter("lang = 'en'").select(F.col("lang").alias("subject"), F.col("source").alias("platform"))
-    return lists.governance_totals(run_ops.in_scope(recs, scopes))
+    return lists.governance_totals(run_ops.in_scope(recs, scopes), 100)
 
 
 @query(

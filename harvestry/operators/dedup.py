@@ -46,10 +46,10 @@ def registry_id(platform: str = "platform", raw_id: str = "raw_id", strict_refer
 def mark_seen(items: DataFrame, registry: DataFrame, strict_reference: bool = False) -> DataFrame:
     """Add ``matched_existing_id``: the registry id the item was seen under.
 
-    ``registry(id, ...)`` holds each id once. Items without a key get a
+    ``registry(id, ...)`` may hold an id several times. Items without a key get a
     row number that matches nothing, so they spread instead of meeting in one task.
     """
-    known = registry.select(F.col("id").alias("_seen"))
+    known = registry.select(F.col("id").alias("_seen")).distinct()
     key = registry_id(strict_reference=strict_reference)
     salted = F.coalesce(key, F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
     return (
@@ -211,9 +211,13 @@ def near_survivors(items: DataFrame, fp: str, seq: str, threshold: int = 3, scop
 
     Runs on the pair table of distinct fingerprints. Each round keeps the
     fingerprints with no undecided earlier neighbour and drops theirs; the
-    number of rounds is the longest chain of such decisions.
+    number of rounds is the longest chain of such decisions. A null scope is a
+    scope like others: nulls within a struct are equal in joins.
     """
-    scope = scope or []
+    if scope:
+        items, scope = items.withColumn("_scope", F.struct(*scope)), ["_scope"]
+    else:
+        scope = []
     fps = cut_lineage(distinct_fingerprints(items, fp, seq, scope))
     pairs = near_pairs(fps, fp, threshold, scope)
     edges = cut_lineage(pairs.select(*scope, F.col("a_fp").alias("early"), F.col("b_fp").alias("late")))
@@ -233,4 +237,4 @@ def near_survivors(items: DataFrame, fp: str, seq: str, threshold: int = 3, scop
     if dropped:
         keep = keep.join(reduce(DataFrame.unionByName, dropped), [*scope, fp], "left_anti")
     winners = keep.select(*scope, fp, F.col("first_seq").alias(seq))
-    return items.join(winners, [*scope, fp, seq], "left_semi")
+    return items.join(winners, [*scope, fp, seq], "left_semi").drop("_scope")

@@ -113,7 +113,9 @@ def summarise(governed: DataFrame, incoming: DataFrame, scope: list[str], min_co
     )
     if not scope:  # two one-row aggregates
         total, kept = total.withColumn("_one", F.lit(1)), kept.withColumn("_one", F.lit(1))
-    both = total.join(kept, scope or ["_one"], "left")
+    else:  # nulls within a struct are equal, so a null run finds its items
+        total, kept = total.withColumn("_run", F.struct(*scope)), kept.withColumn("_run", F.struct(*scope)).drop(*scope)
+    both = total.join(kept, "_run" if scope else "_one", "left")
     items, risk = F.coalesce(F.col("_kept"), F.lit(0)), F.coalesce(F.col("_risk"), F.lit(0))
     parts = score(items, F.col("_full"), risk, min_completeness)
     return both.select(

@@ -84,7 +84,8 @@ def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fiel
     governed = cut_lineage(governed) if materialise else governed
     totals = marked.groupBy(*scope).agg(F.count(F.lit(1)).alias("total_collected"), F.count_if(~fresh).alias("dedup_filtered"), F.count_if(fresh).alias("_fresh"))
     kept_stats = governed.groupBy(*scope).agg(F.count(F.lit(1)).alias("_kept"), F.count_if("injection_risk").alias("_risk"), F.avg("field_completeness").alias("_full"))
-    joined = totals.join(kept_stats, scope, "left")
+    run = F.struct(*scope)  # nulls within a struct are equal
+    joined = totals.withColumn("_run", run).join(kept_stats.withColumn("_run", run).drop(*scope), "_run", "left")
     items_n, risk = F.coalesce("_kept", F.lit(0)), F.coalesce("_risk", F.lit(0))
     parts = governance.score(items_n, F.col("_full"), risk, policy.min_completeness)
     summary = joined.select(

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.dedup import first_per_key
 from ..operators.lists import top_per_key
 
-LATEST_FILES = 200
-
 
 def save_results(governed: DataFrame, path: str, run_id: str) -> bool:
     """Write governed items under subject / platform / collected_date; nothing
@@ -22,15 +20,17 @@ def save_results(governed: DataFrame, path: str, run_id: str) -> bool:
     return True
 
 
-def combined_latest(items: DataFrame, files: int = LATEST_FILES) -> DataFrame:
-    """Newest view per subject over its ``files`` newest files: the first item
+def combined_latest(items: DataFrame, files: int | None = None) -> DataFrame:
+    """Newest view per subject over its files (the ``files`` newest, if a number is given): the first item
     per URL, newest file first; items without a URL are left out.
 
     ``items(subject, file, modified_at, pos, url, ...)``.
     """
-    listed = items.select("subject", "file", "modified_at").distinct()
-    newest = top_per_key(listed, ["subject"], [F.col("modified_at").desc(), F.col("file").desc()], files)
-    kept = items.filter(F.coalesce("url", F.lit("")) != "").join(newest.select("subject", "file"), ["subject", "file"], "left_semi")
+    kept = items.filter(F.coalesce("url", F.lit("")) != "")
+    if files is not None:
+        listed = items.select("subject", "file", "modified_at").distinct()
+        newest = top_per_key(listed, ["subject"], [F.col("modified_at").desc(), F.col("file").desc()], files)
+        kept = kept.join(newest.select("subject", "file"), ["subject", "file"], "left_semi")
     ranked = kept.withColumn("_age", -F.unix_micros("modified_at"))
     return first_per_key(ranked, ["subject", "url"], ["_age", "file", "pos"]).drop("_age")
 

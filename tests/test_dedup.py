@@ -136,3 +136,16 @@ def test_simhash_governance_equals_greedy(spark):
 def test_empty_run_is_complete(spark):
     part = spark.range(1).select(*[c.alias(n) for n, c in governance.score(F.lit(0), F.lit(None).cast("double"), F.lit(0), 0.8).items()]).first()
     assert (part.field_completeness, part.quality_score, part.status) == (1.0, 1.0, "SUCCESS")
+
+
+def test_null_scope_keeps_one_copy(spark):
+    rows = [(None, 1, 7), (None, 2, 7), ("r", 3, 7), ("r", 4, 7 << 40)]
+    items = spark.createDataFrame(rows, "run_id string, seq int, fp long")
+    kept = dedup.near_survivors(items, "fp", "seq", 3, ["run_id"])
+    assert sorted(r.seq for r in kept.collect()) == [1, 3, 4]
+
+
+def test_repeated_registry_ids_multiply_nothing(spark):
+    items = spark.createDataFrame([("p", "1"), ("p", "2")], "platform string, raw_id string")
+    registry = spark.createDataFrame([("p_1",), ("p_1",)], "id string")
+    assert dedup.split_seen(items, registry).count() == 2
