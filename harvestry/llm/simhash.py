@@ -9,7 +9,7 @@ children at most, so no key of these joins is hot, and equal fingerprints are on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,28 +85,56 @@ def close_pairs(leaves: DataFrame, bits: int, budget: int) -> DataFrame:
     the masks of few bits; then levels are four bits deep as long as nodes can
     be full of children, and eight from there.
     """
+    nodes, step = _walk(leaves, bits, budget)
+    kids = collect_kids(leaves, bits, bits - step, step)
+    pairs = _down(nodes, kids, step, budget).select("tree", _child("a", "x", step), _child("b", "y", step), _differ())
+    return pairs.filter(F.col("a") != F.col("b"))
+
+
+def collect_kids(leaves: DataFrame, bits: int, depth: int, step: int, extra: Sequence[str] = ()) -> DataFrame:
+    """(tree, node, kids): the nodes of a depth with their children ``step``
+    bits further down (k), and the columns ``extra`` of leaves."""
+    node = F.shiftrightunsigned("fp", bits - depth - step)
+    kid = F.struct(node.bitwiseAND(F.lit((1 << step) - 1)).cast("int").alias("k"), *extra)
+    return leaves.groupBy("tree", F.shiftrightunsigned(node, step).alias("node")).agg(F.collect_set(kid).alias("kids"))
+
+
+def _child(end: str, kid: str, step: int) -> Column:
+    return F.shiftleft(end, step).bitwiseOR(F.col(f"{kid}.k")).alias(end)
+
+
+def _differ() -> Column:
+    return (F.col("diff") + F.bit_count(F.col("x.k").bitwiseXOR(F.col("y.k")))).alias("diff")
+
+
+def _down(pairs: DataFrame, kids: DataFrame, step: int, budget: int, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs of nodes with each pair x, y of their children that is within the
+    budget (and wanted); other pairs never become rows."""
+    left = kids.select("tree", F.col("node").alias("a"), F.col("kids").alias("of_a"))
+    right = kids.select("tree", F.col("node").alias("b"), F.col("kids").alias("of_b"))
+    both = pairs.join(left, ["tree", "a"]).join(right, ["tree", "b"]).withColumn("x", F.explode("of_a")).drop("of_a")
+
+    def near(y: Column) -> Column:
+        x = F.col("x")
+        inside = (F.bit_count(y["k"].bitwiseXOR(x["k"])) + F.col("diff") <= budget) & ((F.col("a") != F.col("b")) | (y["k"] >= x["k"]))
+        return inside if wanted is None else inside & wanted(x, y)
+
+    return both.withColumn("y", F.explode(F.filter("of_b", near)))
+
+
+def _walk(leaves: DataFrame, bits: int, budget: int) -> tuple[DataFrame, int]:
+    """Pairs of nodes one level above the leaves, and the bits of that level."""
     top = leaves.select("tree", F.shiftrightunsigned("fp", bits - 8).alias("a")).distinct()
     masks = F.array(*[F.lit(m).cast("long") for m in range(256) if m.bit_count() <= budget])
     met = top.withColumn("mask", F.explode(masks)).withColumn("b", F.col("a").bitwiseXOR(F.col("mask"))).filter(F.col("a") <= F.col("b"))
     pairs = met.join(top.withColumnRenamed("a", "b"), ["tree", "b"], "left_semi").select("tree", "a", "b", F.bit_count("mask").alias("diff"))
-    depth = 8
-    while depth < bits:
-        step = 4 if depth < 32 else 8
-        node = F.shiftrightunsigned("fp", bits - depth - step)
-        kids = leaves.groupBy("tree", F.shiftrightunsigned(node, step).alias("node")).agg(F.collect_set(node.bitwiseAND(F.lit((1 << step) - 1)).cast("int")).alias("kids"))
-        left = kids.select("tree", F.col("node").alias("a"), F.col("kids").alias("of_a"))
-        right = kids.select("tree", F.col("node").alias("b"), F.col("kids").alias("of_b"))
-        both = pairs.join(left, ["tree", "a"]).join(right, ["tree", "b"]).withColumn("x", F.explode("of_a")).drop("of_a")
-        near = F.filter("of_b", lambda y: (F.bit_count(y.bitwiseXOR(F.col("x"))) + F.col("diff") <= budget) & ((F.col("a") != F.col("b")) | (y >= F.col("x"))))
-        down = both.withColumn("y", F.explode(near))
-        pairs = down.select(
-            "tree",
-            F.shiftleft("a", step).bitwiseOR(F.col("x")).alias("a"),
-            F.shiftleft("b", step).bitwiseOR(F.col("y")).alias("b"),
-            (F.col("diff") + F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).alias("diff"),
-        )
+    depth, step = 8, 4
+    while depth + step < bits:
+        kids = collect_kids(leaves, bits, depth, step)
+        pairs = _down(pairs, kids, step, budget).select("tree", _child("a", "x", step), _child("b", "y", step), _differ())
         depth += step
-    return pairs.filter(F.col("a") != F.col("b"))
+        step = 4 if depth < 32 else 8
+    return pairs, step
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,6 +197,43 @@ def _jaccard() -> Column:
     return both / (F.size("left") + F.size("right") - both)
 
 
+def _apart(left: Column, right: Column) -> Column:
+    """Bits in which two arrays of fingerprints differ."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
+def _most(count: int, similarity: float) -> float:
+    """Bits in which ``count`` fingerprints of a pair at the bound differ, give
+    or take; a pair far beyond is no near-duplicate."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return float(64 * count * share + 4.5 * np.sqrt(64 * count * share * (1 - share)))
+
+
+def _settle(
+    heads: DataFrame, nodes: DataFrame, printed: DataFrame, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int, roots: DataFrame, links: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(node, root) and the links (a, b) once every candidate (a, b) is
+    compared or lies within a group."""
+    signs = [printed.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in ("a", "b")]
+    close = _apart(F.col("a_fps"), F.col("b_fps")) <= _most(count, similarity)
+    open_ = written(candidates.distinct().join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b"))
+    touched = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
+    sets = written(_sets(heads.join(touched, "node", "left_semi"), words).dropDuplicates(["node"]))
+    while not open_.isEmpty():
+        # The smallest candidates of each node, as far as it is the larger end.
+        turn = F.row_number().over(W.partitionBy("b").orderBy("a"))
+        asked = open_.withColumn("turn", turn).filter(F.col("turn") <= per_round).drop("turn")
+        compared = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+        tried = written(compared.select("a", "b", (_jaccard() >= similarity).alias("near")))
+        near = tried.filter("near").select("a", "b")
+        links = near if links is None else links.union(near)
+        roots = written(components(nodes, links).select("node", "root"))
+        left = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        where = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+        open_ = written(left.join(where[0], "a").join(where[1], "b").filter(F.col("a_root") != F.col("b_root")).select("a", "b"))
+    return roots, links
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 16, bits: int = 24, budget: int = 1, per_round: int = 4) -> DataFrame:
     """The rows of docs less near-duplicates: of each group the row with the
     smallest doc_id stays (of rows with that id, the one of the smallest text
@@ -184,12 +249,16 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     few, or too many candidates are compared in vain.
 
     Equal texts (A-Z lower-cased, white space aside) are one node from the
-    start. In each round a node compares itself with at most per_round
-    candidates outside its group; links between groups that have been tried
-    are gone, and those within a group need no try, so a group of n copies
-    costs some n comparisons and not its square. Texts without a word are no
-    duplicates of anything and stay. Null ids come last. An empty table gives
-    an empty result; all columns of docs are kept as they are.
+    start. Texts of equal fingerprints go first: each is a candidate of the
+    smallest of its leaf. Then the trie is joined with the groups found so
+    far, and pairs of leaves of one group never become rows, so a large group
+    of near copies costs as many rows as it has stragglers. In each round a
+    node compares itself with at most per_round candidates outside its group;
+    links between groups that have been tried are gone, and those within a
+    group need no try, so a group of n copies costs some n comparisons and not
+    its square. Texts without a word are no duplicates of anything and stay.
+    Null ids come last. An empty table gives an empty result; all columns of
+    docs are kept as they are.
     """
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     content = F.trim(F.regexp_replace(F.coalesce(lowered, F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -200,43 +269,28 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     per_word = 64 // bits
     count = -(-trees // per_word)
     printed = written(fingerprints(heads, "node", "text", words, count).dropDuplicates(["node"]))
-    cut = [F.shiftrightunsigned(F.col("fps")[i // per_word], bits * (i % per_word)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(trees)]
-    spread = printed.select("node", F.posexplode(F.array(*cut)).alias("tree", "fp"))
-    leaves = written(spread.groupBy("tree", "fp").agg(F.min("node").alias("head")))
-    same = spread.join(leaves, ["tree", "fp"]).filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    pairs = close_pairs(leaves.select("tree", "fp"), bits, budget)
-    ends = [leaves.select("tree", F.col("fp").alias(x), F.col("head").alias(f"{x}_head")) for x in ("a", "b")]
-    other = pairs.join(ends[0], ["tree", "a"]).join(ends[1], ["tree", "b"]).select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
-    ordered = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = ordered.union(other).filter(F.col("a") != F.col("b")).distinct()
-    # Of a pair at the bound the fingerprints differ in so many bits, give or
-    # take; a pair far beyond is no near-duplicate.
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = 64 * count * share + 4.5 * np.sqrt(64 * count * share * (1 - share))
-    signs = [printed.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in ("a", "b")]
-    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    open_ = written(candidates.join(signs[0], "a").join(signs[1], "b").filter(apart <= float(most)).select("a", "b"))
-
     nodes = firsts.select("node", F.col("first.rank").alias("rank"))
-    touched = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
-    sets = written(_sets(heads.join(touched, "node", "left_semi"), words).dropDuplicates(["node"]))
-    links = None
-    while not open_.isEmpty():
-        # The smallest candidates of each node, as far as it is the larger end.
-        turn = F.row_number().over(W.partitionBy("b").orderBy("a"))
-        asked = open_.withColumn("turn", turn).filter(F.col("turn") <= per_round).drop("turn")
-        compared = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        tried = written(compared.select("a", "b", (_jaccard() >= similarity).alias("near")))
-        near = tried.filter("near").select("a", "b")
-        links = near if links is None else links.union(near)
-        roots = written(components(nodes, links).select("node", "root"))
-        left = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        where = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
-        open_ = written(left.join(where[0], "a").join(where[1], "b").filter(F.col("a_root") != F.col("b_root")).select("a", "b"))
-    keep = firsts
-    if links is not None:
-        grouped = firsts.join(components(nodes, links), "node")
-        keep = grouped.groupBy("root").agg(F.min(F.struct("first", "node")).alias("k")).select(F.col("k.node").alias("node"), F.col("k.first").alias("first"))
+    cut = [F.shiftrightunsigned(F.col("fps")[i // per_word], bits * (i % per_word)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(trees)]
+    in_trees = F.posexplode(F.array(*cut)).alias("tree", "fp")
+
+    spread = printed.select("node", in_trees)
+    full = spread.groupBy("tree", "fp").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter(F.col("a") != F.col("last")).drop("last")
+    same = spread.join(full, ["tree", "fp"]).select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b"))
+    roots, links = _settle(heads, nodes, printed, same, words, similarity, count, per_round, nodes.select("node", F.col("node").alias("root")), None)
+
+    # Two words of each fingerprint travel along and stop nearly all chance
+    # meetings before they are rows.
+    short = min(count, 2)
+    grouped = printed.join(roots, "node").select("node", "root", F.slice("fps", 1, short).alias("sketch"), in_trees)
+    leaves = written(grouped.groupBy("tree", "fp").agg(F.min(F.struct("node", "root", "sketch")).alias("head")).select("tree", "fp", "head"))
+    most = _most(short, similarity)
+    above, step = _walk(leaves.select("tree", "fp"), bits, budget)
+    kids = collect_kids(leaves, bits, bits - step, step, ["head"])
+    met = _down(above, kids, step, budget, lambda x, y: (x["head"]["root"] != y["head"]["root"]) & (_apart(x["head"]["sketch"], y["head"]["sketch"]) <= most))
+    other = met.select(F.least("x.head.node", "y.head.node").alias("a"), F.greatest("x.head.node", "y.head.node").alias("b"))
+    roots, links = _settle(heads, nodes, printed, other, words, similarity, count, per_round, roots, links)
+    grouped = firsts.join(roots, "node").groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
+    keep = grouped.select(F.col("k.node").alias("node"), F.col("k.first").alias("first"))
     # Rows equal in every column are one: number those of the first's hash.
     stays = keyed.join(keep, (F.col("__node") == F.col("node")) & (F.col("__order") == F.col("first")), "left_semi")
     once = stays.dropDuplicates(["__node"]).select(*[column(c) for c in docs.columns])
