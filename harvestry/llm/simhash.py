@@ -28,10 +28,15 @@ _LAST = (1 << 63) - 1
 _FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64)) for i in range(64)]
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 of each run of so many words of a text, A-Z lower-cased, repeats
     included; of the whole sequence if it is shorter; none without a word."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    own = plain_words(text)
     if not own:
         return np.empty(0, np.uint64)
     joined = b" ".join(own)
@@ -43,12 +48,25 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64, len(starts))
 
 
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """For each column of hashes the number of which a bit is 1 if it is set
+    in over half of the rows; zeros without a row."""
+    n, width = hashes.shape
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8 * width), axis=1, bitorder="little")
+    set_in = np.zeros(64 * width, np.int64)
+    for at in range(0, n, 255):  # a byte holds the sum of 255 bits
+        set_in += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_in > n, bitorder="little").view("<u8")
+
+
 def majority(hashes: np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    set_in = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majorities(hashes.reshape(-1, 1))[0])
+
+
+def _drawn(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` fingerprints of the hashes and of hashes drawn from them."""
+    return majorities(np.stack([hashes, *[_mixed(hashes, i) for i in range(1, count)]], axis=1)).view(np.int64)
 
 
 def _mixed(hashes: np.ndarray, i: int) -> np.ndarray:
@@ -69,8 +87,7 @@ def fingerprints(docs: DataFrame, key: str, text: str = "text", words: int = 3,
         for b in batches:
             made = []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py(), words)
-                made.append(np.array([majority(h if i == 0 else _mixed(h, i)) for i in range(count)], np.uint64).view(np.int64))
+                made.append(_drawn(shingle_hashes(t.as_py(), words), count))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], [key, "fps"])
 
     return ordered.mapInArrow(step, schema)
@@ -181,6 +198,24 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return printed.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(rows: DataFrame, words: int, count: int) -> DataFrame:
+    """(rank, row, node, fps) of rows (rank, row, text): a hash of the words of
+    the text, null without a word, and its fingerprints."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, nodes = [], []
+            for t in b.column(2):
+                text = t.as_py()
+                own = plain_words(text)
+                digest = xxhash.xxh64_intdigest(b" ".join(own), SEED)
+                nodes.append(digest - (digest >> 63 << 64) if own else None)
+                made.append(_drawn(shingle_hashes(text, words), count))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["rank", "row", "node", "fps"])
+
+    return rows.mapInArrow(step, "rank long, row long, node long, fps array<long>")
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, shingles): the distinct shingle hashes of each text."""
 
@@ -210,15 +245,17 @@ def _most(count: int, similarity: float) -> float:
 
 
 def _settle(
-    heads: DataFrame, nodes: DataFrame, printed: DataFrame, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int, roots: DataFrame, links: DataFrame | None
+    texts: DataFrame, firsts: DataFrame, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int, roots: DataFrame, links: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(node, root) and the links (a, b) once every candidate (a, b) is
     compared or lies within a group."""
-    signs = [printed.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in ("a", "b")]
+    nodes = firsts.select("node", "rank")
+    signs = [firsts.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in ("a", "b")]
     close = _apart(F.col("a_fps"), F.col("b_fps")) <= _most(count, similarity)
     open_ = written(candidates.distinct().join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b"))
     touched = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
-    sets = written(_sets(heads.join(touched, "node", "left_semi"), words).dropDuplicates(["node"]))
+    heads = texts.join(firsts.join(touched, "node", "left_semi").select("node", "rank", "row"), ["rank", "row"])
+    sets = written(_sets(heads, words).dropDuplicates(["node"]))
     while not open_.isEmpty():
         # The smallest candidates of each node, as far as it is the larger end.
         turn = F.row_number().over(W.partitionBy("b").orderBy("a"))
@@ -260,23 +297,21 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     Null ids come last. An empty table gives an empty result; all columns of
     docs are kept as they are.
     """
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    content = F.trim(F.regexp_replace(F.coalesce(lowered, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(*[column(c) for c in docs.columns]).alias("row"))
-    keyed = docs.withColumns({"__node": F.xxhash64(content), "__words": content != "", "__order": order})
-    firsts = written(keyed.filter("__words").groupBy(F.col("__node").alias("node")).agg(F.min("__order").alias("first")))
-    heads = keyed.filter("__words").join(firsts, (F.col("__node") == F.col("node")) & (F.col("__order") == F.col("first")), "left_semi").select(F.col("__node").alias("node"), "text")
+    rank, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(*[column(c) for c in docs.columns])
+    keyed = docs.withColumns({"__rank": rank, "__row": row})
+    texts = docs.select(rank.alias("rank"), row.alias("row"), "text")
     per_word = 64 // bits
     count = -(-trees // per_word)
-    printed = written(fingerprints(heads, "node", "text", words, count).dropDuplicates(["node"]))
-    nodes = firsts.select("node", F.col("first.rank").alias("rank"))
+    marked = written(_marked(texts, words, count))
+    firsts = written(marked.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("rank", "row", "fps")).alias("first")).select("node", "first.*"))
+    printed, nodes = firsts.select("node", "fps"), firsts.select("node", "rank")
     cut = [F.shiftrightunsigned(F.col("fps")[i // per_word], bits * (i % per_word)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(trees)]
     in_trees = F.posexplode(F.array(*cut)).alias("tree", "fp")
 
     spread = printed.select("node", in_trees)
     full = spread.groupBy("tree", "fp").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter(F.col("a") != F.col("last")).drop("last")
     same = spread.join(full, ["tree", "fp"]).select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b"))
-    roots, links = _settle(heads, nodes, printed, same, words, similarity, count, per_round, nodes.select("node", F.col("node").alias("root")), None)
+    roots, links = _settle(texts, firsts, same, words, similarity, count, per_round, nodes.select("node", F.col("node").alias("root")), None)
 
     # Two words of each fingerprint travel along and stop nearly all chance
     # meetings before they are rows.
@@ -288,10 +323,13 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     kids = collect_kids(leaves, bits, bits - step, step, ["head"])
     met = _down(above, kids, step, budget, lambda x, y: (x["head"]["root"] != y["head"]["root"]) & (_apart(x["head"]["sketch"], y["head"]["sketch"]) <= most))
     other = met.select(F.least("x.head.node", "y.head.node").alias("a"), F.greatest("x.head.node", "y.head.node").alias("b"))
-    roots, links = _settle(heads, nodes, printed, other, words, similarity, count, per_round, roots, links)
-    grouped = firsts.join(roots, "node").groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
-    keep = grouped.select(F.col("k.node").alias("node"), F.col("k.first").alias("first"))
-    # Rows equal in every column are one: number those of the first's hash.
-    stays = keyed.join(keep, (F.col("__node") == F.col("node")) & (F.col("__order") == F.col("first")), "left_semi")
-    once = stays.dropDuplicates(["__node"]).select(*[column(c) for c in docs.columns])
-    return once.unionByName(keyed.filter(~F.col("__words")).select(*[column(c) for c in docs.columns]))
+    roots, links = _settle(texts, firsts, other, words, similarity, count, per_round, roots, links)
+    grouped = firsts.join(roots, "node").groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k"))
+    keep = grouped.select("k.*")
+    # Rows equal in every column are one; the hash of its own lets them meet
+    # only after a first reduction where they lie.
+    stays = keyed.join(keep, (F.col("__rank") == F.col("rank")) & (F.col("__row") == F.col("row")), "left_semi")
+    own = [column(c) for c in docs.columns]
+    once = stays.withColumn("__equal", F.xxhash64(F.lit("equal"), *own)).dropDuplicates(["__equal"]).select(*own)
+    without_word = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return once.unionByName(docs.filter(without_word).select(*own))
