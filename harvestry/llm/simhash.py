@@ -164,6 +164,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     folder. A label that very many nodes share is a hot key of the second
     join only, which Spark splits as skewed.
     """
+    labels = _labels(nodes, edges)
+    return nodes.join(labels, "node", "left").select("node", F.coalesce(F.col("label.rank"), F.col("rank")).alias("root_rank"), F.coalesce(F.col("label.node"), F.col("node")).alias("root"))
+
+
+def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of the nodes with an edge; label: rank and node of the
+    smallest one that it reaches."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     own = F.struct(F.col("rank").alias("rank"), F.col("node").alias("node"))
     labels = written(nodes.join(both.select(F.col("a").alias("node")).distinct(), "node").select("node", own.alias("label")))
@@ -175,8 +182,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         fresh = written(jumped)
         labels = fresh.select("node", "label")
         if fresh.filter(F.col("label") != F.col("before")).isEmpty():
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce(F.col("label.rank"), F.col("rank")).alias("root_rank"), F.coalesce(F.col("label.node"), F.col("node")).alias("root"))
+            return labels
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
@@ -244,31 +250,40 @@ def _most(count: int, similarity: float) -> float:
     return float(64 * count * share + 4.5 * np.sqrt(64 * count * share * (1 - share)))
 
 
-def _settle(
-    texts: DataFrame, firsts: DataFrame, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int, roots: DataFrame, links: DataFrame | None
-) -> tuple[DataFrame, DataFrame | None]:
-    """(node, root) and the links (a, b) once every candidate (a, b) is
-    compared or lies within a group."""
-    nodes = firsts.select("node", "rank")
-    signs = [firsts.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in ("a", "b")]
-    close = _apart(F.col("a_fps"), F.col("b_fps")) <= _most(count, similarity)
-    open_ = written(candidates.distinct().join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b"))
+def _settle(texts: DataFrame, firsts: DataFrame, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int) -> DataFrame:
+    """firsts (node, rank, row, fps, root) with the roots that hold once every
+    candidate (a, b) is compared or lies within a group.
+
+    A round joins groups by their roots alone: what goes round are the links
+    just found, not those of earlier rounds. Each round asks eight times as
+    far down a node's candidates as the one before, so the rounds grow with
+    the logarithm of the most candidates that a node has."""
+    signs = [firsts.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps"), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+    close = (_apart(F.col("a_fps"), F.col("b_fps")) <= _most(count, similarity)) & (F.col("a_root") != F.col("b_root"))
+    # A node asks its smallest candidates first, as far as it is the larger end.
+    turn = F.row_number().over(W.partitionBy("b").orderBy("a")).alias("turn")
+    open_ = written(candidates.distinct().join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b", "a_root", "b_root", turn))
     touched = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
     heads = texts.join(firsts.join(touched, "node", "left_semi").select("node", "rank", "row"), ["rank", "row"])
-    sets = written(_sets(heads, words).dropDuplicates(["node"]))
+    sets = written(_sets(heads.select("node", "text").dropDuplicates(["node"]), words))
+    ends = [sets.select(F.col("node").alias(x), F.col("shingles").alias(side)) for x, side in (("a", "left"), ("b", "right"))]
+    nodes = firsts.select("node", "rank")
     while not open_.isEmpty():
-        # The smallest candidates of each node, as far as it is the larger end.
-        turn = F.row_number().over(W.partitionBy("b").orderBy("a"))
-        asked = open_.withColumn("turn", turn).filter(F.col("turn") <= per_round).drop("turn")
-        compared = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        tried = written(compared.select("a", "b", (_jaccard() >= similarity).alias("near")))
-        near = tried.filter("near").select("a", "b")
-        links = near if links is None else links.union(near)
-        roots = written(components(nodes, links).select("node", "root"))
-        left = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        where = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
-        open_ = written(left.join(where[0], "a").join(where[1], "b").filter(F.col("a_root") != F.col("b_root")).select("a", "b"))
-    return roots, links
+        compared = open_.filter(F.col("turn") <= per_round).join(ends[0], "a").join(ends[1], "b")
+        near = written(compared.filter(_jaccard() >= similarity).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        open_ = open_.filter(F.col("turn") > per_round)
+        per_round *= 8
+        if not near.isEmpty():
+            labels = _labels(nodes, near).select("node", F.col("label.node").alias("top"))
+            firsts = written(_moved(firsts, labels, "root"))
+            open_ = written(_moved(_moved(open_, labels, "a_root"), labels, "b_root").filter(F.col("a_root") != F.col("b_root")))
+    return firsts
+
+
+def _moved(rows: DataFrame, labels: DataFrame, root: str) -> DataFrame:
+    """rows with each root replaced by its top, if it has one in labels (node, top)."""
+    own = rows.join(labels.withColumnRenamed("node", root), root, "left")
+    return own.withColumn(root, F.coalesce("top", root)).select(*rows.columns)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 16, bits: int = 24, budget: int = 1, per_round: int = 4) -> DataFrame:
@@ -289,11 +304,11 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     start. Texts of equal fingerprints go first: each is a candidate of the
     smallest of its leaf. Then the trie is joined with the groups found so
     far, and pairs of leaves of one group never become rows, so a large group
-    of near copies costs as many rows as it has stragglers. In each round a
-    node compares itself with at most per_round candidates outside its group;
-    links between groups that have been tried are gone, and those within a
-    group need no try, so a group of n copies costs some n comparisons and not
-    its square. Texts without a word are no duplicates of anything and stay.
+    of near copies costs as many rows as it has stragglers. In the first round
+    a node compares itself with at most per_round candidates outside its group
+    and in each later one with eight times as many; candidates that have been
+    tried are gone, and those within a group need no try, so a group of n
+    copies costs some n comparisons and not its square. Texts without a word are no duplicates of anything and stay.
     Null ids come last. An empty table gives an empty result; all columns of
     docs are kept as they are.
     """
@@ -302,30 +317,28 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     texts = docs.select(rank.alias("rank"), row.alias("row"), "text")
     per_word = 64 // bits
     count = -(-trees // per_word)
-    marked = written(_marked(texts, words, count))
-    firsts = written(marked.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("rank", "row", "fps")).alias("first")).select("node", "first.*"))
-    printed, nodes = firsts.select("node", "fps"), firsts.select("node", "rank")
+    marked = _marked(texts, words, count).filter("node IS NOT NULL")
+    firsts = written(marked.groupBy("node").agg(F.min(F.struct("rank", "row", "fps")).alias("first")).select("node", "first.*", F.col("node").alias("root")))
     cut = [F.shiftrightunsigned(F.col("fps")[i // per_word], bits * (i % per_word)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(trees)]
     in_trees = F.posexplode(F.array(*cut)).alias("tree", "fp")
 
-    spread = printed.select("node", in_trees)
+    spread = firsts.select("node", in_trees)
     full = spread.groupBy("tree", "fp").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter(F.col("a") != F.col("last")).drop("last")
     same = spread.join(full, ["tree", "fp"]).select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b"))
-    roots, links = _settle(texts, firsts, same, words, similarity, count, per_round, nodes.select("node", F.col("node").alias("root")), None)
+    firsts = _settle(texts, firsts, same, words, similarity, count, per_round)
 
     # Two words of each fingerprint travel along and stop nearly all chance
     # meetings before they are rows.
     short = min(count, 2)
-    grouped = printed.join(roots, "node").select("node", "root", F.slice("fps", 1, short).alias("sketch"), in_trees)
+    grouped = firsts.select("node", "root", F.slice("fps", 1, short).alias("sketch"), in_trees)
     leaves = written(grouped.groupBy("tree", "fp").agg(F.min(F.struct("node", "root", "sketch")).alias("head")).select("tree", "fp", "head"))
     most = _most(short, similarity)
     above, step = _walk(leaves.select("tree", "fp"), bits, budget)
     kids = collect_kids(leaves, bits, bits - step, step, ["head"])
     met = _down(above, kids, step, budget, lambda x, y: (x["head"]["root"] != y["head"]["root"]) & (_apart(x["head"]["sketch"], y["head"]["sketch"]) <= most))
     other = met.select(F.least("x.head.node", "y.head.node").alias("a"), F.greatest("x.head.node", "y.head.node").alias("b"))
-    roots, links = _settle(texts, firsts, other, words, similarity, count, per_round, roots, links)
-    grouped = firsts.join(roots, "node").groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k"))
-    keep = grouped.select("k.*")
+    firsts = _settle(texts, firsts, other, words, similarity, count, per_round)
+    keep = firsts.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k")).select("k.*")
     # Rows equal in every column are one; the hash of its own lets them meet
     # only after a first reduction where they lie.
     stays = keyed.join(keep, (F.col("__rank") == F.col("rank")) & (F.col("__row") == F.col("row")), "left_semi")
