@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from harvestry.catalog import load_all  # noqa: E402
-from harvestry.session import build_session  # noqa: E402
+from harvestry.session import SPREAD, build_session  # noqa: E402
 
 HEADLINE = [
     "governance_summary",
@@ -47,7 +47,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", "bench", **{"spark.driver.memory": "16g", "spark.sql.shuffle.partitions": cpus})
+    spark = build_session(f"local[{cpus}]", "bench", **{"spark.driver.memory": "16g", "spark.sql.shuffle.partitions": cpus, SPREAD: cpus})
     spark.sparkContext.setLogLevel("ERROR")
     entries = load_all()
     names = list(entries) if "--all" in sys.argv else HEADLINE

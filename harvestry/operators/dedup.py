@@ -94,6 +94,14 @@ def by_body(pages: DataFrame, body: str = "body_hash", order: tuple[str, ...] =
     return first_per_key(pages, [*(scope or []), body], list(order))
 
 
+def latest_capture(pages: DataFrame, order: tuple[str, ...] = ("captured_at", "page_id")) -> DataFrame:
+    """(url, html): the newest capture of each url, by those of the ``order``
+    columns that pages has and then by the hash of the html. Pages without a
+    url are left out."""
+    rank = F.struct(*[F.col(c) for c in order if c in pages.columns], F.xxhash64("html"))
+    return pages.filter(F.col("url").isNotNull()).groupBy("url").agg(F.max_by("html", rank).alias("html"))
+
+
 # --- against the archive ---------------------------------------------------
 
 
@@ -149,58 +157,38 @@ def band_masks(threshold: int, agree: int = 2) -> list[int]:
     return [_mask([b for block in pick for b in block]) for pick in combinations(blocks, agree)]
 
 
-def _rest_masks(mask: int, threshold: int) -> list[int]:
-    """Second-level masks for one band: its other bits in threshold+1 blocks,
-    of which at least one agrees."""
-    rest = [b for b in range(64) if not (mask >> b) & 1]
-    return [_mask(block) for block in _blocks(rest, threshold + 1)]
-
-
 def distinct_fingerprints(items: DataFrame, fp: str, seq: str, scope: list[str] | None = None) -> DataFrame:
     """One row per fingerprint with its first position and number of copies.
     A group of copies, however large, is one row from here on."""
     return items.groupBy(*(scope or []), fp).agg(F.min(seq).alias("first_seq"), F.count(F.lit(1)).alias("copies"))
 
 
-def near_pairs(fps: DataFrame, fp: str, threshold: int = 3, scope: list[str] | None = None, hot: int = 5000) -> DataFrame:
+def near_pairs(fps: DataFrame, fp: str, threshold: int = 3, scope: list[str] | None = None, agree: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints within ``threshold`` bits.
 
     Input is the result of ``distinct_fingerprints``. A banded equi-join finds
-    the candidates. Bands that hold more than ``hot`` fingerprints are split
-    once more by the bits outside the band. A pair that meets in several bands
-    is kept in the first one, so no distinct is needed afterwards.
+    the candidates, on the same keys whatever a band holds: ``agree`` blocks
+    of ``threshold + agree``, 32 bits at the defaults. A pair that meets in
+    several bands is kept in the first one, so no distinct is needed afterwards.
     """
     scope = scope or []
     if threshold <= 0:
         none = fps.limit(0)
         return none.select(*scope, F.col("first_seq").alias("a_seq"), F.col("first_seq").alias("b_seq"),
                            F.col(fp).alias("a_fp"), F.col(fp).alias("b_fp"), F.lit(0).alias("distance"))
-    masks = band_masks(threshold)
-    rest = [_rest_masks(m, threshold) for m in masks]
+    masks = band_masks(threshold, agree)
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col(fp).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     keyed = fps.select(*scope, fp, "first_seq", F.explode(bands).alias("b")).select(*scope, fp, "first_seq", "b.band", "b.key")
     at = [*scope, "band", "key"]
-    crowded = keyed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select(*at, F.lit(True).alias("_hot"))
-    keyed = keyed.join(crowded, at, "left")
-    rest_table = F.array(*[F.array(*[F.lit(m) for m in row]) for row in rest])
-    own_rest = F.element_at(rest_table, F.col("band") + 1)
-    finer = F.transform(own_rest, lambda m, j: F.struct(j.alias("part"), F.col(fp).bitwiseAND(m).alias("part_key")))
-    plain = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("part_key")))
-    keyed = keyed.withColumn("_p", F.explode(F.when(F.col("_hot"), finer).otherwise(plain)))
-    keyed = keyed.select(*at, "_p.part", "_p.part_key", fp, "first_seq")
-    join_on = [*at, "part", "part_key"]
-    a = keyed.select(*join_on, F.col(fp).alias("a_fp"), F.col("first_seq").alias("a_seq"))
-    b = keyed.select(*join_on, F.col(fp).alias("b_fp"), F.col("first_seq").alias("b_seq"))
+    a = keyed.select(*at, F.col(fp).alias("a_fp"), F.col("first_seq").alias("a_seq"))
+    b = keyed.select(*at, F.col(fp).alias("b_fp"), F.col("first_seq").alias("b_seq"))
     diff = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
     first_band = reduce(lambda acc, im: F.when(diff.bitwiseAND(F.lit(im[1])) == 0, im[0]).otherwise(acc),
                         reversed(list(enumerate(masks))), F.lit(-1))
-    part_masks = F.element_at(rest_table, F.col("band") + 1)
-    first_part = F.array_position(F.transform(part_masks, lambda m: diff.bitwiseAND(m) == 0), True) - 1
     return (
-        a.join(b, join_on)
+        a.join(b, at)
         .filter((F.col("a_seq") < F.col("b_seq")) & (hamming("a_fp", "b_fp") <= threshold))
         .filter(first_band == F.col("band"))
-        .filter((F.col("part") < 0) | (F.col("part") == first_part))
         .select(*scope, "a_seq", "b_seq", "a_fp", "b_fp", hamming("a_fp", "b_fp").alias("distance"))
     )
 

@@ -44,7 +44,9 @@ def discover_candidates(list_pages: DataFrame, rule: dict, keys: list[str] | Non
 
 
 def list_page_chain(pages: DataFrame, starts: DataFrame, rule: dict) -> DataFrame:
-    """(start_url, page_no, url, html): list pages reached by next-page links."""
+    """(start_url, page_no, url, html): list pages reached by next-page links,
+    each in its newest capture."""
+    pages = dedup.latest_capture(pages)
     paging = (rule.get("discovery") or {}).get("pagination") or {}
     selector = (paging.get("next_page") or {}).get("selector") or ""
     first = starts.select(F.col("url").alias("start_url"), F.lit(1).alias("page_no"), "url")
@@ -115,9 +117,10 @@ def page_records(pages: DataFrame, rule: dict) -> DataFrame:
 
 
 def archive_run(list_pages: DataFrame, pages: DataFrame, rule: dict, **known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(archived pages, structured records) of a rule with discovery."""
+    """(archived pages, structured records) of a rule with discovery. Of
+    several captures of a detail page the newest counts."""
     candidates = discover_candidates(list_pages, rule)
-    captured = pages.select(F.col("url").alias("detail_url"), "html")
+    captured = dedup.latest_capture(pages).withColumnRenamed("url", "detail_url")
     details = candidates.join(captured, "detail_url").select(F.col("detail_url").alias("url"), "html", F.col("title"), F.struct("page_no", "pos").alias("seq"))
     archived = archive_details(details, rule, **known)
     return archived, page_records(archived, rule)

@@ -18,12 +18,15 @@ REGISTRY = "id string, platform string, raw_id string, url string"
 
 def _registry(spark: SparkSession, path: str, before: int) -> DataFrame:
     """Registry rows of earlier batches. A replayed batch does not see the rows
-    of its own first attempt."""
+    of its own first attempt. Only a registry that does not exist yet is
+    empty; other faults are raised, as all items would pass as new."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(REGISTRY + ", batch_id long").parquet(path).filter(F.col("batch_id") < before)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], REGISTRY)
 
 

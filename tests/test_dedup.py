@@ -45,25 +45,24 @@ def all_pairs(rows, k):
 def test_band_masks_cover_every_difference():
     rng = random.Random(1)
     for k in (1, 2, 3, 5):
-        masks = dedup.band_masks(k)
-        for _ in range(300):
-            diff = 0
-            for b in rng.sample(range(64), k):
-                diff |= 1 << b
-            assert any(diff & (m % (1 << 64)) == 0 for m in masks)
-            assert any(diff & (p % (1 << 64)) == 0 for m in masks if diff & (m % (1 << 64)) == 0 for p in dedup._rest_masks(m, k))
+        for masks in (dedup.band_masks(k), dedup.band_masks(k, 3)):
+            for _ in range(300):
+                diff = 0
+                for b in rng.sample(range(64), k):
+                    diff |= 1 << b
+                assert any(diff & (m % (1 << 64)) == 0 for m in masks)
 
 
-def test_near_pairs_equal_brute_force_with_and_without_hot_bands(spark):
+def test_near_pairs_equal_brute_force_with_short_and_long_keys(spark):
     rows = clustered(random.Random(2), 250, 12, 4)
     rows += [(1000 + i, rows[0][1]) for i in range(120)]  # a third are copies of one
     df = spark.createDataFrame(rows, "seq long, fp long")
     fps = dedup.distinct_fingerprints(df, "fp", "seq")
     for k in (1, 3):
         want = all_pairs(rows, k)
-        for hot in (10_000, 2):
-            got = sorted((r.a_seq, r.b_seq) for r in dedup.near_pairs(fps, "fp", k, hot=hot).collect())
-            assert got == want, (k, hot)
+        for agree in (1, 2, 3):
+            got = sorted((r.a_seq, r.b_seq) for r in dedup.near_pairs(fps, "fp", k, agree=agree).collect())
+            assert got == want, (k, agree)
     assert dedup.near_pairs(fps, "fp", 0).count() == 0
 
 

@@ -174,6 +174,14 @@ def test_archive_run_orders_and_dedups(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "db/archive_pages")).select("id").distinct().count() == 2
 
 
+def test_archive_takes_the_newest_capture(spark):
+    lp = spark.createDataFrame([(1, list_html(("/d/1", "one")))], "page_no int, html string")
+    body = "<h1>{}</h1><div class=c><p>No</p></div>"
+    captures = [(1, "https://e.org/d/1", body.format("old")), (3, "https://e.org/d/1", body.format("new")), (2, "https://e.org/d/1", body.format("mid")), (4, None, body.format("none"))]
+    pages = spark.createDataFrame(captures, "page_id long, url string, html string")
+    assert [r.meta.title for r in archiving.archive_run(lp, pages, RULE)[0].collect()] == ["new"]
+
+
 def test_package_without_hash_fails(spark):
     page = archive.build_pages(spark.createDataFrame([("https://e.org", "<p>")], "source_url string, html string"))
     broken = page.withColumn("meta", F.col("meta").withField("content_hash", F.lit("")))
