@@ -303,10 +303,13 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     Equal texts (A-Z lower-cased, white space aside) are one node from the
     start. Texts of equal fingerprints go first: each is a candidate of the
     smallest of its leaf. Then the trie is joined with the groups found so
-    far, and pairs of leaves of one group never become rows, so a large group
-    of near copies costs as many rows as it has stragglers. In the first round
-    a node compares itself with at most per_round candidates outside its group
-    and in each later one with eight times as many; candidates that have been
+    far: a leaf holds its texts by group, and groups of one leaf or of near
+    leaves meet unless they are the same, at first by their smallest texts
+    there, and if they are still apart after that by every pair of their texts.
+    So any two texts that meet in a tree are compared or lie in one group, and
+    a large group of near copies costs as many rows as it has stragglers. In
+    the first round a node compares itself with at most per_round candidates
+    outside its group and in each later one with eight times as many; candidates that have been
     tried are gone, and those within a group need no try, so a group of n
     copies costs some n comparisons and not its square. Texts without a word are no duplicates of anything and stay.
     Null ids come last. An empty table gives an empty result; all columns of
@@ -330,14 +333,29 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     # Two words of each fingerprint travel along and stop nearly all chance
     # meetings before they are rows.
     short = min(count, 2)
-    grouped = firsts.select("node", "root", F.slice("fps", 1, short).alias("sketch"), in_trees)
-    leaves = written(grouped.groupBy("tree", "fp").agg(F.min(F.struct("node", "root", "sketch")).alias("head")).select("tree", "fp", "head"))
     most = _most(short, similarity)
-    above, step = _walk(leaves.select("tree", "fp"), bits, budget)
-    kids = collect_kids(leaves, bits, bits - step, step, ["head"])
-    met = _down(above, kids, step, budget, lambda x, y: (x["head"]["root"] != y["head"]["root"]) & (_apart(x["head"]["sketch"], y["head"]["sketch"]) <= most))
-    other = met.select(F.least("x.head.node", "y.head.node").alias("a"), F.greatest("x.head.node", "y.head.node").alias("b"))
-    firsts = _settle(texts, firsts, other, words, similarity, count, per_round)
+
+    def alike(x: Column, y: Column) -> Column:
+        return _apart(x["sketch"], y["sketch"]) <= most
+
+    def wanted(x: Column, y: Column) -> Column:
+        return (x["root"] != y["root"]) & F.exists(x["members"], lambda m: F.exists(y["members"], lambda o: alike(m, o)))
+
+    member = F.struct("node", F.slice("fps", 1, short).alias("sketch")).alias("member")
+    leaves = written(firsts.select("root", member, in_trees).groupBy("tree", "fp", "root").agg(F.collect_set("member").alias("members")))
+    above, step = _walk(leaves.select("tree", "fp").distinct(), bits, budget)
+    kids = collect_kids(leaves, bits, bits - step, step, ["root", "members"])
+    met = written(_down(above, kids, step, budget, wanted).select(F.col("x.root").alias("a_root"), F.col("y.root").alias("b_root"), F.col("x.members").alias("left"), F.col("y.members").alias("right")))
+    heads = [F.array_min(side)["node"] for side in ("left", "right")]
+    firsts = _settle(texts, firsts, met.select(F.least(*heads).alias("a"), F.greatest(*heads).alias("b")), words, similarity, count, per_round)
+
+    # Groups that are still apart: every member of one with every near one of the other.
+    top = firsts.select("node", F.col("root").alias("top"))
+    apart = written(_moved(_moved(met, top, "a_root"), top, "b_root").filter(F.col("a_root") != F.col("b_root")))
+    if not apart.isEmpty():
+        every = apart.select("right", F.explode("left").alias("x")).select("x", F.explode(F.filter("right", lambda y: alike(F.col("x"), y))).alias("y"))
+        rest = every.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        firsts = _settle(texts, firsts, rest, words, similarity, count, per_round)
     keep = firsts.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k")).select("k.*")
     # Rows equal in every column are one; the hash of its own lets them meet
     # only after a first reduction where they lie.

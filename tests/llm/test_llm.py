@@ -311,6 +311,67 @@ def test_deduplicate(spark, odd, empty):
     assert simhash.deduplicate(odd).count() == 8 and simhash.deduplicate(odd).columns == odd.columns
 
 
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def jaccard_groups(texts, similarity=0.8):
+    """The smallest index of each text's group, of all pairs; None without a word."""
+    sets = five_word_sets(texts)
+    of = list(range(len(texts)))
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= similarity * len(a | sets[j]):
+                low, high = sorted((top(i), top(j)))
+                of[high] = low
+    return [top(i) if sets[i] else None for i in range(len(texts))]
+
+
+def variants(seed, groups, copies, changes):
+    """Texts of 300 words in groups; each copy changes words of the one before
+    it, so only neighbours in a chain are near-duplicates for sure."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(copies):
+            out.append(" ".join(words))
+            for at in rng.sample(range(300), changes):
+                words[at] = f"c{rng.randrange(10**6)}"
+    rng.shuffle(out)
+    return out
+
+
+def test_deduplicate_unlike_texts_in_one_leaf(spark):
+    """Eight bits a tree: each leaf holds texts of several groups."""
+    texts = variants(4, 120, 3, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs, trees=1, bits=16, budget=4).collect())
+    prints = simhash.fingerprints(docs, "doc_id", words=5).collect()
+    low = {r.doc_id: r.fps[0] & 0xFFFF for r in prints}
+    sets, of = five_word_sets(texts), list(range(len(texts)))
+    changed = True
+    while changed:  # groups over the pairs that meet in the tree
+        changed = False
+        for i in range(len(texts)):
+            for j in range(i):
+                if of[i] != of[j] and (low[i] ^ low[j]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    keep, gone = sorted((of[i], of[j]))
+                    of = [keep if x == gone else x for x in of]
+                    changed = True
+    assert got == sorted(set(of))
+
+
 def test_licenses(spark, odd, empty):
     texts = {
         "Released under the MIT License. Under the mit license": (2, "mit", "mit", 1.0),
