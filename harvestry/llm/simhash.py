@@ -206,7 +206,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 def _marked(rows: DataFrame, words: int, count: int) -> DataFrame:
     """(rank, row, node, fps) of rows (rank, row, text): a hash of the words of
-    the text, null without a word, and its fingerprints."""
+    the text, null without a word, and fingerprints of its distinct shingles,
+    on which near-duplicates are judged as well."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +217,7 @@ def _marked(rows: DataFrame, words: int, count: int) -> DataFrame:
                 own = plain_words(text)
                 digest = xxhash.xxh64_intdigest(b" ".join(own), SEED)
                 nodes.append(digest - (digest >> 63 << 64) if own else None)
-                made.append(_drawn(shingle_hashes(text, words), count))
+                made.append(_drawn(np.unique(shingle_hashes(text, words)), count))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["rank", "row", "node", "fps"])
 
     return rows.mapInArrow(step, "rank long, row long, node long, fps array<long>")

@@ -372,6 +372,18 @@ def test_deduplicate_unlike_texts_in_one_leaf(spark):
     assert got == sorted(set(of))
 
 
+@pytest.mark.parametrize("times", [5, 10])
+def test_deduplicate_repeated_phrase(spark, times):
+    """The repeats of a phrase are one set of shingles: a Jaccard of 0.9."""
+    rows = []
+    for g in range(20):
+        words = [f"g{g}w{i}" for i in range(200)]
+        phrase = [f"g{g}p{i}" for i in range(8)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + phrase * times))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(0, 40, 2))
+
+
 def test_licenses(spark, odd, empty):
     texts = {
         "Released under the MIT License. Under the mit license": (2, "mit", "mit", 1.0),
