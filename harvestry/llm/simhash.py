@@ -287,7 +287,7 @@ def _moved(rows: DataFrame, labels: DataFrame, root: str) -> DataFrame:
     return own.withColumn(root, F.coalesce("top", root)).select(*rows.columns)
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 16, bits: int = 24, budget: int = 1, per_round: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 48, bits: int = 24, budget: int = 1, per_round: int = 4) -> DataFrame:
     """The rows of docs less near-duplicates: of each group the row with the
     smallest doc_id stays (of rows with that id, the one of the smallest text
     hash, and of equal ones any one).
@@ -297,7 +297,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     Candidates come from ``trees`` tries of ``bits``-bit SimHash fingerprints
     that differ in ``budget`` bits at most, and are then compared exactly on
     their shingle sets. One tree finds a pair of similarity 0.9 with
-    probability 0.27 and one of 0.8 with 0.10, all sixteen with 0.99 and 0.83;
+    probability 0.27 and one of 0.8 with 0.10, all 48 with over 0.9999 and 0.994;
     ``bits`` should exceed the logarithm of the number of different texts by a
     few, or too many candidates are compared in vain.
 

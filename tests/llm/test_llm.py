@@ -372,6 +372,14 @@ def test_deduplicate_unlike_texts_in_one_leaf(spark):
     assert got == sorted(set(of))
 
 
+def test_deduplicate_at_the_bound(spark):
+    """Chains of texts of which neighbours are just above 0.8, far beyond 0.64."""
+    texts = variants(8, 60, 4, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = jaccard_groups(texts)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == sorted(set(want))
+
+
 @pytest.mark.parametrize("times", [5, 10])
 def test_deduplicate_repeated_phrase(spark, times):
     """The repeats of a phrase are one set of shingles: a Jaccard of 0.9."""
