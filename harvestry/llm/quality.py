@@ -3,7 +3,9 @@
 A document's histograms of character classes and of common words are compared
 with references of four languages by Jensen-Shannon distance. The references
 are sums over all documents that name the language and pass the plain rules.
-Documents too short for a histogram are not judged by it.
+The fewer words a document has, the further chance alone takes it from its
+reference; words are therefore judged by what goes beyond that distance.
+Documents too short for a class histogram are not judged by it.
 """
 
 from __future__ import annotations
@@ -151,15 +153,29 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = 0.2, max_word: float = 0.35, min_chars: int = 200, min_words: int = 150) -> DataFrame:
+#: Lengths in words for which the chance distance is drawn.
+_LENGTHS = np.unique(np.round(20 * 2 ** (np.arange(25) / 2)).astype(int))
+
+
+def chance_distance(reference: np.ndarray) -> np.ndarray:
+    """Mean distance to the reference of 200 samples of each of _LENGTHS words
+    that are drawn from it; the seed is fixed, so it is the same every time."""
+    rng = np.random.default_rng(42)
+    share = reference / max(reference.sum(), 1)
+    return np.array([distance(rng.multinomial(n, share, 200).astype(float), reference).mean() for n in _LENGTHS])
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = 0.2, word_margin: float = 0.1, min_chars: int = 200, min_words: int = 20) -> DataFrame:
     """Every row of docs, without its text, with the counters n_words,
     word_chars, n_symbols, n_dup_lines and n_repeat_words, ``base_failed``,
     ``class_distance``, ``word_distance`` and ``kept``.
 
     The distances are to the nearest language reference. A document is kept if
-    it passes the plain rules and lies within max_class and max_word; the class
-    histogram counts from min_chars characters, the word histogram from
-    min_words words, and below that the distance is null and judges nothing.
+    it passes the plain rules, lies within max_class, and its words lie at most
+    word_margin further from some reference than a sample of as many words of
+    that reference does on average. The class histogram counts from min_chars
+    characters, the word histogram from min_words words, and below that the
+    distance is null and judges nothing.
     Null and empty texts have no words and fail the plain rules. Null and
     unknown languages are judged like others but add to no reference; without
     any reference the distances are null. Repeated rows give repeated results;
@@ -174,16 +190,25 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: fl
     class_refs = [np.array(c, float)[_COMPARED] for c, _ in found.values()]
     word_refs = [np.array(w, float) for _, w in found.values()]
 
-    def nearest(refs: list[np.ndarray], bins: list[int] | slice = slice(None)):
-        def step(counts: pd.Series) -> pd.Series:
-            rows = np.array(counts.tolist(), float).reshape(len(counts), -1)[:, bins]
-            return pd.Series(reduce(np.minimum, [distance(rows, r) for r in refs]))
-
-        return F.pandas_udf(step, T.DoubleType())
-
-    none = F.lit(None).cast("double")
-    class_distance = F.when(F.col("word_chars") >= min_chars, nearest(class_refs, _COMPARED)("classes")) if found else none
-    word_distance = F.when(F.col("n_words") >= min_words, nearest(word_refs)("words")) if found else none
-    judged = counted.withColumns({"class_distance": class_distance, "word_distance": word_distance, "base_failed": base_failed()})
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
-    return judged.withColumn("kept", ~F.col("base_failed") & near).drop("classes", "words")
+    chance = [chance_distance(r) for r in word_refs]
+
+    def nearest_class(counts: pd.Series) -> pd.Series:
+        rows = np.array(counts.tolist(), float).reshape(len(counts), -1)[:, _COMPARED]
+        return pd.Series(reduce(np.minimum, [distance(rows, r) for r in class_refs]))
+
+    def nearest_words(counts: pd.Series) -> pd.DataFrame:
+        rows = np.array(counts.tolist(), float).reshape(len(counts), -1)
+        length = np.log(np.maximum(rows.sum(1), 1))
+        far = [distance(rows, r) for r in word_refs]
+        beyond = [d - np.interp(length, np.log(_LENGTHS), c) for d, c in zip(far, chance, strict=True)]
+        return pd.DataFrame({"distance": reduce(np.minimum, far), "beyond": reduce(np.minimum, beyond)})
+
+    double = T.DoubleType()
+    both = T.StructType([T.StructField("distance", double), T.StructField("beyond", double)])
+    none = F.lit(None)
+    class_distance = F.when(F.col("word_chars") >= min_chars, F.pandas_udf(nearest_class, double)("classes")) if found else none.cast(double)
+    of_words = F.when(F.col("n_words") >= min_words, F.pandas_udf(nearest_words, both)("words")) if found else none.cast(both)
+    judged = counted.withColumns({"class_distance": class_distance, "__words": of_words, "base_failed": base_failed()})
+    judged = judged.withColumn("word_distance", F.col("__words.distance"))
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("__words.beyond", F.lit(0.0)) <= word_margin)
+    return judged.withColumn("kept", ~F.col("base_failed") & near).drop("classes", "words", "__words")

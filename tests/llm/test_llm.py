@@ -218,6 +218,20 @@ def test_quality_verdict(spark):
     assert abs(quality.distance(np.array([[1.0, 0.0]]), np.array([0.0, 1.0]))[0] - 1) < 1e-12
 
 
+def test_quality_rejects_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    # Words that are common nowhere, in clean letters: short and long.
+    soup = [(10**6 + n, " ".join(f"qu{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}" for i in range(n)), "en", "s", 1) for n in (60, 140, 160, 400)]
+    judged = {r.doc_id: r for r in quality.judge(docs.unionByName(spark.createDataFrame(soup, docs.schema))).collect()}
+    for i, *_ in soup:
+        assert not judged[i].kept and not judged[i].base_failed and judged[i].class_distance <= 0.2
+    bad = [r for i, r in judged.items() if labels.get(i) == 0 and not r.base_failed]
+    assert len(bad) > 20 and sum(r.kept for r in bad) <= 0.1 * len(bad)
+    clean = [r for i, r in judged.items() if labels.get(i) == 1 and not r.base_failed]
+    assert sum(r.kept for r in clean) >= 0.995 * len(clean)
+
+
 def test_threads(spark):
     mail = [
         (1, 0, "a", "Hello there.\nSecond line"),
