@@ -63,13 +63,18 @@ def _seeds() -> dict[bytes, list[tuple[str, int]]]:
     """The pieces of all notices: (notice, offset of the piece in it)."""
     out: dict[bytes, list[tuple[str, int]]] = {}
     for notice in NOTICES:
-        parts = budget(notice) + 1
-        cuts = [len(notice) * i // parts for i in range(parts + 1)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            out.setdefault(notice[a:b].encode(), []).append((notice, a))
+        for a, piece in _pieces(notice):
+            out.setdefault(piece.encode(), []).append((notice, a))
     return out
 
 
+@lru_cache(maxsize=None)
+def _pieces(notice: str) -> list[tuple[int, str]]:
+    parts = budget(notice) + 1
+    cuts = [len(notice) * i // parts for i in range(parts + 1)]
+    return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 @lru_cache(maxsize=None)
 def _pattern(notice: str) -> regex.Pattern:
     return regex.compile(f"(?:{regex.escape(notice)}){{e<={budget(notice)}}}", regex.BESTMATCH)
@@ -82,6 +87,20 @@ def _places(text: bytes, piece: bytes) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
+def _matches(notice: str, stretch: str) -> Iterator[regex.Match]:
+    """The best match in the stretch, and those in what lies before and behind it."""
+    open_ = [(0, len(stretch))]
+    while open_:
+        a, b = open_.pop()
+        # Without an untouched piece there is no match.
+        if b - a < len(notice) - budget(notice) or not any(stretch.find(piece, a, b) >= 0 for _, piece in _pieces(notice)):
+            continue
+        m = _pattern(notice).search(stretch, a, b)
+        if m:
+            yield m
+            open_ += [(a, m.start()), (m.end(), b)]
+
+
 def fuzzy(words: bytes) -> list[tuple[str, int, int, int]]:
     """(notice, start, end, edits) of every notice in words with a space
     between, in characters; of overlapping finds of a notice the best."""
@@ -106,7 +125,7 @@ def fuzzy(words: bytes) -> list[tuple[str, int, int, int]]:
                 a += 1
             base = len(words[:a].decode())
             stretch = words[a:b].decode(errors="ignore")
-            for m in _pattern(notice).finditer(stretch):
+            for m in _matches(notice, stretch):
                 found.append((notice, base + m.start(), base + m.end(), sum(m.fuzzy_counts)))
     return found
 

@@ -427,6 +427,18 @@ def test_licenses(spark, odd, empty):
         assert (r.n_words == 0) == (r.doc_id in (5, 6) or r.doc_id is None and r.n_words == 0)
 
 
+def test_neighbouring_notices_are_all_found():
+    bad, good = "relesed undr the mit license", "released under the mit license"
+    for notices in ([bad, good], [good, bad], [bad, good, bad, good, bad], [bad, bad], [good] * 30):
+        text = "Foo " + " and foo ".join(notices) + " bar"
+        at, want = 0, []
+        for n in notices:
+            at = text.index(n, at)
+            want.append((at, at + len(n), 0 if n == good else 2))
+            at += len(n)
+        assert [(s["start"], s["end"], s["edits"]) for s in licenses.scan_text(text)[-1]] == want
+
+
 def test_digests_of_queries(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(vocabulary())
