@@ -464,3 +464,75 @@ def test_pipeline(spark, odd, empty):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def verdicts(texts, langs):
+    """Which texts the quality rules keep, from their counts one by one."""
+    made = quality._count(texts)
+    passes = [n >= 20 and 100 * r <= 30 * n for n, r in zip(made["n_words"], made["n_repeat_words"])]
+    classes, words = [list(c[quality._COMPARED]) for c in made["classes"]], [list(w) for w in made["words"]]
+    refs = {}
+    for lang in set(langs) & set(quality.COMMON_WORDS):
+        own = [i for i in range(len(texts)) if passes[i] and langs[i] == lang]
+        refs[lang] = [[sum(x) for x in zip(*(h[i] for i in own))] for h in (classes, words)]
+
+    def apart(p, q):
+        p, q = [x / max(sum(p), 1) for x in p], [x / max(sum(q), 1) for x in q]
+        part = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b) if x)
+        return max(0.0, (part(p, q) + part(q, p)) / 2) ** 0.5
+
+    chance = {k: quality.chance_distance(np.array(r[1], float)) for k, r in refs.items()}
+    kept = []
+    for i, n in enumerate(made["n_words"]):
+        far = min(apart(classes[i], r[0]) for r in refs.values()) if passes[i] and made["word_chars"][i] >= 200 else 0
+        beyond = min(apart(words[i], r[1]) - np.interp(np.log(n), np.log(quality._LENGTHS), chance[k]) for k, r in refs.items()) if passes[i] else 0
+        kept.append(passes[i] and far <= 0.2 and beyond <= 0.1)
+    return kept
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The rows of every stage and of the whole run, from plain Python; the mix
+    from the SQL of its query."""
+    duckdb, tokenizers = pytest.importorskip("duckdb"), pytest.importorskip("tokenizers")
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in read.orderBy("doc_id").limit(250).collect()]
+    for i, r in enumerate([r for r in rows if 100 < len((r[1] or "").split()) < 1000][:40]):
+        words = r[1].split()
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((10**6 + i, " ".join(words + words[:5] * (i % 3)), *r[2:]))
+    rows += [(10**7, None, "en", "s", None), (10**7 + 1, "", None, None, 0)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, read.schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    (_, rules), (_, dedup), (_, mix), (_, encode) = corpus_pipeline.STAGES
+
+    judged = [r for r, k in zip(rows, verdicts([r[1] for r in rows], [r[2] for r in rows])) if k]
+    one = rules(spark, docs, folder)
+    assert 100 < len(judged) < len(rows) and Counter(tuple(r) for r in one.collect()) == Counter(judged)
+    judged.sort()
+    single = [judged[i] for i in sorted(set(jaccard_groups([r[1] for r in judged])))]
+    two = dedup(spark, spark.createDataFrame(judged, read.schema), folder)
+    assert len(single) < len(judged) - 10 and Counter(tuple(r) for r in two.collect()) == Counter(single)
+
+    path = f"{folder}/single"
+    spark.createDataFrame(single, read.schema).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    cur = con.execute(SQL["op2_source_mix"])
+    names = [c[0] for c in cur.description]
+    copies = {r["doc_id"]: r["taken"] // r["size"] for r in (dict(zip(names, x)) for x in cur.fetchall())}
+    mixed = Counter({r: copies[r[0]] for r in single if copies[r[0]]})
+    assert Counter(tuple(r) for r in mix(spark, spark.read.parquet(path), folder).collect()) == mixed
+
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    want = Counter()
+    for r, n in mixed.items():
+        ids = library.encode(r[1], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want[r[0], r[3], len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(decoded.encode()).hexdigest()] += n
+    seen = lambda df: Counter((r.doc_id, r.source, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in df.collect())
+    assert seen(encode(spark, spark.createDataFrame(list(mixed.elements()), read.schema), folder)) == want
+    assert seen(corpus_pipeline.run(spark, folder)) == want
