@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..session import scratch_folder
-from . import bpe, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls
+from . import bpe, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls, whitening
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,9 @@ def op10_license_notices(t: Tables) -> DataFrame:
     """License phrases and fuzzy notices of every document."""
     found = licenses.scan(t.documents.select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op13_embedding_whitening(t: Tables) -> DataFrame:
+    """Every embedding on its first eight principal components, whitened."""
+    return whitening.whiten(t.embeddings, components=8)
