@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..session import scratch_folder
-from . import bpe, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls, whitening
+from . import bpe, collocations, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls, whitening
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,43 @@ def op10_license_notices(t: Tables) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 100
+), cut AS (
+  SELECT *, array_to_string(w[1:j], ' ') AS first_part, array_to_string(w[j + 1:k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates)
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, t.n, j, ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut c JOIN totals t ON t.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM candidates q WHERE q.lang = s.lang AND q.k > s.k AND 100 * q.a >= 100 * s.a AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query(_PHRASE_SQL)
+def op11_phrase_collocations(t: Tables) -> DataFrame:
+    """Each language's best collocations of two to five words."""
+    return collocations.collocations(t.documents.select("lang", "text"))
+
+
 @query()
 def op13_embedding_whitening(t: Tables) -> DataFrame:
     """Every embedding on its first eight principal components, whitened."""
