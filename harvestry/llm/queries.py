@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..session import scratch_folder
-from . import bpe, collocations, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls, whitening
+from . import bpe, collocations, forest, licenses, mixing, quality, quotes, records, sharding, simhash, topk, urls, whitening
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +237,12 @@ def op11_phrase_collocations(t: Tables) -> DataFrame:
     return collocations.collocations(t.documents.select("lang", "text"))
 
 
+@query()
+def op12_minhash_forest(t: Tables) -> DataFrame:
+    """Group of every document whose word pairs are 0.8 alike."""
+    return forest.near_groups(t.documents.select("doc_id", "text"), words=2, percent=80)
+
+
 @query()
 def op13_embedding_whitening(t: Tables) -> DataFrame:
     """Every embedding on its first eight principal components, whitened."""
