@@ -89,8 +89,8 @@ def detail_blocks(fragment: Column | str, title: Column, content: str = "body")
     numbered from 2 with the empty ones counted; without any ``p`` the direct
     ``div`` children are taken."""
     paragraphs = let(
-        dom.select_nodes(fragment, f"{content} p"),
-        lambda found: F.when(F.size(found) > 0, found).otherwise(dom.select_nodes(fragment, f"{content} > div")),
+        F.struct(dom.select_nodes(fragment, f"{content} p").alias("p"), dom.select_nodes(fragment, f"{content} > div").alias("div")),
+        lambda found: F.when(F.size(found["p"]) > 0, found["p"]).otherwise(found["div"]),
     )
     numbered = F.transform(
         paragraphs,

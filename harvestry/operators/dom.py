@@ -7,8 +7,6 @@ way a selector applied to an item's own HTML does.
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,146 +15,60 @@ from pyspark.sql import functions as F
 from ..functions.text import col, let, strip
 from ..functions.urls import resolve_url
 from ..sources.html_nodes import node_bytes, with_fragment
+from .selectors import Path, node_numbers, node_values, selector_paths
 
-_SIMPLE = re.compile(
-    r"""(?P<tag>[A-Za-z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
-    r"""|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<raw>[^\]\s]+))\s*)?\]"""
-    r"""|:(?P<pseudo>first-child|last-child)"""
-)
-_XPATH_STEP = re.compile(r"(?P<axis>//?)(?P<tag>[\w-]+|\*)(?P<preds>(?:\[[^\]]*\])*)")
-_XPATH_PRED = re.compile(
-    r"""\[\s*(?:contains\(\s*@(?P<has>[\w-]+)\s*,\s*['"](?P<part>[^'"]*)['"]\s*\)|@(?P<attr>[\w-]+)(?:\s*=\s*['"](?P<value>[^'"]*)['"])?)\s*\]"""
-)
+def _single(paths: tuple[Path, ...]) -> bool:
+    """Whether every node can be told by its own tag and attributes."""
+    plain = ("has", "=", "~=", "|=", "^=", "$=", "*=")
+    tests = [t for p in paths for t in p.steps[0].tests]
+    return all(len(p.steps) == 1 and p.steps[0].link == " " for p in paths) and all(t[0] == "tag" or t[0] == "attr" and t[2] in plain for t in tests)
 
 
-@dataclass
-class Step:
-    """One compound selector and how it hangs on the step before it."""
-
-    link: str = " "
-    tests: list[tuple[str, str, str]] = field(default_factory=list)
-
-    def matches(self, n: Column) -> Column:
-        return reduce(lambda a, b: a & b, [_test(n, *t) for t in self.tests], F.lit(True))
-
-
-def _test(n: Column, kind: str, name: str, value: str) -> Column:
-    attr = n["attrs"][name] if name else None
-    if kind == "tag":
-        return n["tag"] == value
-    if kind == "class":
-        return F.coalesce(F.array_contains(F.split(n["attrs"]["class"], r"\s+"), value), F.lit(False))
-    if kind == "has":
+def _test(n: Column, test: tuple) -> Column:
+    if test[0] == "tag":
+        return n["tag"] == test[1]
+    _, name, op, value = test
+    attr = n["attrs"][name]
+    if op == "has":
         return attr.isNotNull()
-    if kind == "~=":
-        return F.coalesce(F.array_contains(F.split(attr, r"\s+"), value), F.lit(False))
-    if kind == "|=":
-        return F.coalesce((attr == value) | F.startswith(attr, F.lit(value + "-")), F.lit(False))
-    tests = {"=": lambda: attr == value, "^=": lambda: F.startswith(attr, F.lit(value)),
-             "$=": lambda: F.endswith(attr, F.lit(value)), "*=": lambda: F.contains(attr, F.lit(value))}
-    return F.coalesce(tests[kind](), F.lit(False))
-
-
-def css_steps(selector: str) -> list[list[Step]]:
-    """Alternatives of a selector list, each a list of steps."""
-    out = []
-    for alternative in selector.split(","):
-        steps: list[Step] = []
-        for token in re.findall(r"\s*[>+~]\s*(?![^\[]*\])|\s+(?![^\[]*\])|[^\s>+~\[]+(?:\[[^\]]*\][^\s>+~\[]*)*|\[[^\]]*\][^\s>+~]*", alternative.strip()):
-            if not token.strip() or token.strip() in ">+~":
-                link = token.strip() or " "
-                steps.append(Step(link=link))
-                continue
-            if not steps:
-                steps.append(Step())
-            at = 0
-            for m in _SIMPLE.finditer(token):
-                if m.start() != at:
-                    raise ValueError(f"unsupported selector: {selector!r}")
-                at = m.end()
-                if m["tag"]:
-                    if m["tag"] != "*":
-                        steps[-1].tests.append(("tag", "", m["tag"].lower()))
-                elif m["id"]:
-                    steps[-1].tests.append(("=", "id", m["id"]))
-                elif m["cls"]:
-                    steps[-1].tests.append(("class", "", m["cls"]))
-                elif m["attr"]:
-                    value = next((v for v in (m["dq"], m["sq"], m["raw"]) if v is not None), "")
-                    steps[-1].tests.append((m["op"] or "has", m["attr"].lower(), value))
-                else:
-                    raise ValueError(f"unsupported selector: {selector!r}")
-            if at != len(token):
-                raise ValueError(f"unsupported selector: {selector!r}")
-        if any(s.link in "+~" for s in steps) or not steps:
-            raise ValueError(f"unsupported selector: {selector!r}")
-        out.append(steps)
-    return out
-
-
-def xpath_steps(expr: str) -> list[list[Step]]:
-    """``/`` and ``//`` paths with tag, attribute and contains() tests."""
-    body = expr[1:] if expr.startswith(".") else expr
-    steps, at = [], 0
-    for m in _XPATH_STEP.finditer(body):
-        if m.start() != at:
-            raise ValueError(f"unsupported path: {expr!r}")
-        at = m.end()
-        step = Step(link=" " if m["axis"] == "//" else ">")
-        if m["tag"] != "*":
-            step.tests.append(("tag", "", m["tag"].lower()))
-        rest = m["preds"]
-        for p in _XPATH_PRED.finditer(m["preds"]):
-            rest = rest.replace(p.group(0), "", 1)
-            if p["has"]:
-                step.tests.append(("*=", p["has"].lower(), p["part"]))
-            elif p["value"] is not None:
-                step.tests.append(("=", p["attr"].lower(), p["value"]))
-            else:
-                step.tests.append(("has", p["attr"].lower(), ""))
-        if rest.strip():
-            raise ValueError(f"unsupported path: {expr!r}")
-        steps.append(step)
-    if not steps or at != len(body):
-        raise ValueError(f"unsupported path: {expr!r}")
-    return [steps]
-
-
-def selector_steps(path: str) -> list[list[Step]]:
-    if path.startswith("xpath:"):
-        return xpath_steps(path[6:])
-    return css_steps(path.removeprefix("css:"))
+    if op == "=":
+        return F.coalesce(attr == value, F.lit(False))
+    if not value:
+        return F.lit(False)
+    tests = {
+        "~=": lambda: F.array_contains(F.split(attr, r"\s+"), value),
+        "|=": lambda: (attr == value) | F.startswith(attr, F.lit(value + "-")),
+        "^=": lambda: F.startswith(attr, F.lit(value)),
+        "$=": lambda: F.endswith(attr, F.lit(value)),
+        "*=": lambda: F.contains(attr, F.lit(value)),
+    }
+    return F.coalesce(tests[op](), F.lit(False))
 
 
 def select_nodes(fragment: Column | str, path: str) -> Column:
-    """Array of matching nodes in document order."""
-    nodes = col(fragment)["nodes"]
-    is_xpath = path.startswith("xpath:")
-
-    def chain(steps: list[Step]) -> Column:
-        first, rest = steps[0], steps[1:]
-        if is_xpath and first.link == ">":
-            found = F.filter(nodes, lambda n: first.matches(n) & (n["depth"] == 0))
-        else:
-            found = F.filter(nodes, first.matches)
-        for step in rest:
-            found = narrow(found, step)
-        return found
+    """Array of matching nodes in document order.
 
-    def narrow(found: Column, step: Step) -> Column:
-        return let(found, lambda above: F.filter(nodes, lambda n: step.matches(n) & _under(n, above, step.link)))
-
-    found = [chain(steps) for steps in selector_steps(path)]
-    if len(found) == 1:
-        return found[0]
-    ids = F.array_distinct(F.flatten(F.array(*[F.transform(f, lambda n: n["id"]) for f in found])))
-    return let(ids, lambda wanted: F.filter(nodes, lambda n: F.array_contains(wanted, n["id"])))
+    A selector that tells each node by its own tag and attributes is a filter;
+    one that relates nodes is a structural join over the whole batch, whose
+    result are places in the node array. A path that ends in an attribute or
+    text gives the nodes which that is taken from.
+    """
+    f = col(fragment)
+    nodes, paths = f["nodes"], selector_paths(path)
+    if not _single(paths):
+        return F.transform(node_numbers(f, path), lambda i: F.get(nodes, i))
+    passes = lambda n, p: reduce(lambda a, b: a & b, [_test(n, t) for t in p.steps[0].tests], F.lit(True))
+    return F.filter(nodes, lambda n: reduce(lambda a, b: a | b, [passes(n, p) for p in paths]))
 
 
-def _under(n: Column, above: Column, link: str) -> Column:
-    if link == ">":
-        return F.exists(above, lambda a: a["id"] == n["parent"])
-    return F.exists(above, lambda a: (n["id"] > a["id"]) & (n["id"] <= a["end"]))
+def values(fragment: Column | str, path: str) -> Column:
+    """Array of strings in document order: what a path that ends in ``@name``,
+    ``text()``, ``::attr(name)`` or ``::text`` takes, or the whole text of each
+    node that any other path leads to."""
+    f = col(fragment)
+    if selector_paths(path)[0].value:
+        return node_values(f, path)
+    return F.transform(select_nodes(f, path), lambda n: node_text(f, n))
 
 
 def node_text(fragment: Column | str, n: Column) -> Column:
@@ -192,18 +104,20 @@ def all_text(fragment: Column | str, path: str) -> Column:
     f = col(fragment)
     if not path:
         return strip(F.coalesce(f["text"].cast("string"), F.lit("")))
-    return strip(F.array_join(F.transform(select_nodes(f, path), lambda n: node_text(f, n)), ""))
+    return strip(F.array_join(values(f, path), ""))
 
 
 def text_list(fragment: Column | str, path: str) -> Column:
     f = col(fragment)
     if not path:
         return F.array(all_text(f, ""))
-    return F.transform(select_nodes(f, path), lambda n: strip(node_text(f, n)))
+    return F.transform(values(f, path), strip)
 
 
 def first_text(fragment: Column | str, path: str) -> Column:
     f = col(fragment)
+    if selector_paths(path)[0].value:
+        return F.coalesce(strip(_first(node_values(f, path))), F.lit(""))
     return F.coalesce(let(_first(select_nodes(f, path)), lambda n: strip(node_text(f, n))), F.lit(""))
 
 

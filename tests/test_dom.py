@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from harvestry.operators import archive, dom, extract, lists
+from harvestry.operators import archive, dom, extract, lists, selectors
 from harvestry.sources.html_nodes import node_table, parse_nodes, with_fragment
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a="<p>";</script></head>
@@ -63,10 +63,103 @@ def test_selectors(spark, path, want):
     assert pick(spark, PAGE, dom.text_list("dom", path)) == want
 
 
-@pytest.mark.parametrize("path", ["a + b", "a:hover", "xpath://a[1]", "xpath:count(//a)", "a::text", ""])
+@pytest.mark.parametrize("path", ["a:hover", "xpath:count(//a)", "a::before", "", "a +", "a:nth-child(x)", ":not(", "xpath://a[", "xpath://a[//b]", "xpath://a/@href/b", "a::text, b", "xpath://a/ancestor::*[1]", "a[b!=c]"])
 def test_unsupported_selectors_are_refused(path):
     with pytest.raises(ValueError):
-        dom.selector_steps(path)
+        selectors.selector_paths(path)
+
+
+FORMS = """<body><h1>H</h1><p class="a x">one</p>t0<p lang="de-AT">two <b>bold</b> tail</p><div id="d"><p>three</p><span/></span><p>four</p><p>five</p><ul><li>1</li><li class="s">2</li><li>3</li><li>4</li></ul></div><p>six</p><a href=" /x ">l</a></body>"""
+
+
+@pytest.mark.parametrize(
+    "path,want",
+    [
+        ("h1 + p", ["one"]), ("h1 ~ p", ["one", "two bold tail", "six"]), ("p + p", ["two bold tail", "five"]), ("li.s ~ li", ["3", "4"]), ("p:first-child", ["three"]), ("li:last-child", ["4"]),
+        ("li:nth-child(2n+1)", ["1", "3"]), ("li:nth-child(odd)", ["1", "3"]), ("li:nth-child(even)", ["2", "4"]), ("li:nth-child(-n+2)", ["1", "2"]), ("li:nth-child(3)", ["3"]), ("li:nth-last-child(1)", ["4"]),
+        ("p:nth-of-type(2)", ["two bold tail", "four"]), ("div > p:last-of-type", ["five"]), ("h1:only-of-type", ["H"]), ("b:only-child", ["bold"]), ("li:not(.s)", ["1", "3", "4"]), ("p:not([class], [lang])", ["three", "four", "five", "six"]),
+        ("p:not(div p)", ["one", "two bold tail", "six"]), ("p:has(b)", ["two bold tail"]), ("div:has(> ul) > p", ["three", "four", "five"]), ("p:has(+ div)", ["two bold tail"]), ("p:is(.a, [lang|=de])", ["one", "two bold tail"]), ("span:empty", [""]),
+        ("p.a::text", ["one"]), ("p::text", ["one", "two", "tail", "three", "four", "five", "six"]), ("a::attr(href)", ["/x"]), ("p[class~='x'], li.s", ["one", "2"]),
+        ("xpath://li[2]", ["2"]), ("xpath://li[last()]", ["4"]), ("xpath://li[last()-1]", ["3"]), ("xpath://li[position()<3]", ["1", "2"]), ("xpath://li[position()>1 and not(@class)]", ["3", "4"]), ("xpath://p[1]", ["one", "three"]),
+        ("xpath://p[@class or @lang]", ["one", "two bold tail"]), ("xpath://p[@class='a x' or text()='six']", ["one", "six"]), ("xpath://p[contains(text(),'ou')]", ["four"]), ("xpath://p[contains(.,'bold')]", ["two bold tail"]),
+        ("xpath://p[starts-with(@lang,'de')]/b", ["bold"]), ("xpath://p[b]", ["two bold tail"]), ("xpath://div[.//li[@class='s']]/p[2]", ["four"]), ("xpath://p[@class!='a']", ["one"]), ("xpath://p[normalize-space()='two bold tail']/b", ["bold"]),
+        ("xpath://b/..", ["two bold tail"]), ("xpath://b/ancestor::p", ["two bold tail"]), ("xpath://li[@class='s']/following-sibling::li", ["3", "4"]), ("xpath://li[@class='s']/preceding-sibling::li", ["1"]),
+        ("xpath://p/text()", ["one", "two", "tail", "three", "four", "five", "six"]), ("xpath://p[@lang]//text()", ["two", "bold", "tail"]), ("xpath://a/@href", ["/x"]), ("xpath://body//@class", ["a x", "s"]), ("xpath://h1 | //a", ["H", "l"]),
+        ("xpath://a[normalize-space(@href)='/x']", ["l"]), ("xpath:/html/body/div/ul/li[3]", ["3"]), ("xpath://li[position()!=last()][2]", ["2"]), ("xpath://p[not(@class) and not(ancestor::div)]", ["two bold tail", "six"]), ("xpath://ul/li[self::li]/@class", ["s"]),
+    ],
+)
+def test_selector_forms(spark, path, want):
+    assert pick(spark, FORMS, dom.text_list("dom", path)) == want
+
+
+def test_selectors_keep_to_their_fragment(spark):
+    pages = spark.createDataFrame([(1, FORMS), (2, None), (3, ""), (4, FORMS.replace("six", "6"))], "page_id int, html string").repartition(1)
+    rows = with_fragment(pages).select("page_id", dom.text_list("dom", "h1 ~ p").alias("p"), dom.text_list("dom", "xpath://p[last()]/text()").alias("t")).orderBy("page_id").collect()
+    assert [r.p for r in rows] == [["one", "two bold tail", "six"], [], [], ["one", "two bold tail", "6"]]
+    assert [r.t for r in rows] == [["five", "six"], [], [], ["five", "6"]]
+    # An item is a tree of its own: its root is a first and last child.
+    items = dom.elements(pages.filter("page_id = 1"), "css:div > p", ["page_id"]).select("pos", dom.text_list("item", "p:first-child").alias("x"), dom.text_list("item", "body p").alias("y")).orderBy("pos").collect()
+    assert [(r.x, r.y) for r in items] == [(["three"], []), (["four"], []), (["five"], [])]
+
+
+def _slow(rows, link, a, b):
+    """Nodes of tag b in the relation to a node of tag a, pair by pair."""
+    def holds(x, y):
+        if link == " ":
+            return x[0] < y[0] <= x[1]
+        if link == ">":
+            return y[2] == x[0]
+        later = x[2] == y[2] and x[0] < y[0]
+        return later if link == "~" else later and not any(z[2] == x[2] and x[0] < z[0] < y[0] for z in rows)
+    return [y[0] for y in rows if y[4] == b and any(x[4] == a and holds(x, y) for x in rows)]
+
+
+def test_relations_against_pairs():
+    import random
+
+    import pyarrow as pa
+
+    from harvestry.sources.html_nodes import NODE
+
+    random.seed(5)
+    pages = []
+    for _ in range(30):
+        parts, depth = [], 0
+        for _ in range(60):
+            if depth and random.random() < 0.45:
+                parts.append("</" + parts_open.pop() + ">")
+                depth -= 1
+            else:
+                if not depth:
+                    parts_open = []
+                tag = random.choice(["div", "b", "i"])
+                parts_open.append(tag)
+                parts.append(f"<{tag}>")
+                depth += 1
+        pages.append("".join(parts))
+    trees = [parse_nodes(p)[0] for p in pages]
+    kinds = {"tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string())}
+    lists = pa.array([[dict(zip([f.name for f in NODE], r)) for r in t] for t in trees], pa.list_(pa.struct([(f.name, kinds.get(f.name, pa.int32())) for f in NODE])))
+    for batch, own in ((lists, trees), (lists.slice(7, 11), trees[7:18])):
+        nodes = selectors.Nodes(batch)
+        for link in (" ", ">", "+", "~"):
+            (path,) = selectors.css_paths("div b" if link == " " else f"div {link} b")
+            got = nodes.met(path)
+            want = [x for t, start in zip(own, nodes.bounds) for x in (start + n for n in _slow(t, link, "div", "b"))]
+            assert got.nonzero()[0].tolist() == want, link
+
+
+def test_large_page_is_linear(spark):
+    """100,000 nodes, half of which are met by the first step."""
+    import time
+
+    html = "<ul>" + "<li><a href='/x'>t</a>" * 50_000 + "</ul>"
+    page = frag(spark, html).persist()
+    page.count()
+    started = time.time()
+    row = page.select(F.size(dom.select_nodes("dom", "ul li a")), F.size(dom.select_nodes("dom", "li ~ li:nth-child(3n)")), F.size(dom.values("dom", "xpath://li[a]/a/@href"))).first()
+    assert tuple(row) == (50_000, 16_666, 50_000) and time.time() - started < 30
+    page.unpersist()
 
 
 def test_first_values(spark):
