@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from ..session import scratch_folder
 from ..streaming import batches, events
 from . import query
-from .fixtures import task_events
+from .fixtures import EVENTS_SQL, task_events
 from .record_queries import FOLD_SQL, RULE_V2
 
 
@@ -42,10 +42,29 @@ def _(t):
     return last.select("task_id", "r.*")
 
 
-@query("stream_terminal_states", f"SELECT task_id, total_new, total_skip, total_error, done AS final_status, false AS by_timeout FROM ({FOLD_SQL}) WHERE summaries > 0")
+def _in_cuts(events, t, cuts):
+    """The events as a stream of so many files, one a batch, in order of time."""
+    out = scratch_folder(t.spark)
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = (last - first) // cuts + 1
+    for k in range(cuts):
+        here = F.floor((F.unix_micros("ts") - first) / width) == k
+        events.filter(here).coalesce(1).write.parquet(f"{out}/{k}")
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/*")
+
+
+@query(
+    "stream_terminal_states",
+    f"""WITH {EVENTS_SQL}, bound AS (SELECT epoch_ms(max(ts)) - 21600000 AS w FROM task_events),
+    ordered AS (SELECT task_events.*, epoch_ms(ts) AS ms, w, row_number() OVER o AS i, lead(epoch_ms(ts)) OVER o AS following FROM task_events, bound WHERE epoch_ms(ts) < w WINDOW o AS (PARTITION BY task_id ORDER BY ts, seq)),
+    ends AS (SELECT task_id, min(i) AS last FROM ordered WHERE type = 'summary' OR coalesce(following, w) - ms > 86400000 GROUP BY task_id)
+    SELECT task_id, coalesce(sum(new_count) FILTER (type = 'complete'), 0)::BIGINT AS total_new, count(*) FILTER (type = 'skip') AS total_skip, count(*) FILTER (type = 'error') AS total_error,
+        CASE WHEN count(*) FILTER (type = 'error') > 0 THEN 'failed' ELSE 'success' END AS final_status, count(*) FILTER (type = 'summary') = 0 AS by_timeout
+    FROM ordered JOIN ends USING (task_id) WHERE i <= last GROUP BY task_id""",
+)
 def _(t):
-    # Timers keep an "available now" run open for as long as tasks are idle.
-    return _to_table(events.terminal_states(task_events(Streams(t))), t, "update", once=True).drop("batch")
+    stream = _in_cuts(task_events(t), t, 5)
+    return _to_table(events.terminal_states(stream, idle_seconds=86_400, late_seconds=21_600, keep_seconds=90 * 86_400), t, "append").drop("batch")
 
 
 @query("stream_event_log", "SELECT user_id AS task_id, count(*) AS events FROM events GROUP BY user_id")

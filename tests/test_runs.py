@@ -233,13 +233,45 @@ def test_event_stream_equals_batch(spark, tmp_path):
     assert {r.task_id: r.final_status for r in runs.close_tasks(want).collect()} == {1: "failed", 2: "success", 3: "success"}
 
 
-def test_terminal_states_at_summary(spark, tmp_path):
+def _folded(rows, idle, late):
+    """Terminal states of (task, ts, seq, type, new) by a plain loop."""
+    bound = max(r[1] for r in rows) - late
+    out = []
+    for task in sorted({r[0] for r in rows}):
+        own = sorted(r[1:] for r in rows if r[0] == task and r[1] < bound)
+        met = []
+        for i, (ts, _, kind, new) in enumerate(own):
+            met.append((kind, new))
+            gap = (own[i + 1][0] if i + 1 < len(own) else bound) - ts > idle
+            if kind == "summary" or gap:
+                kinds = [k for k, _ in met]
+                out.append((task, sum(n or 0 for k, n in met if k == "complete"), kinds.count("skip"), kinds.count("error"), "failed" if "error" in kinds else "success", kind != "summary"))
+                break
+    return out
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 7])
+def test_terminal_states_do_not_depend_on_the_cut(spark, tmp_path, cuts):
+    import random
+
+    random.seed(17)
+    kinds = ["start", "complete", "error", "skip", "skip", "summary", "progress"]
+    rows = [(i % 9, 1_000_000 + random.randrange(4_000), i, random.choice(kinds), random.choice([None, 1, 5])) for i in range(200)]
+    # Within a cut in any order, and up to 300 seconds behind what has come.
+    rows.sort(key=lambda r: r[1] + random.randrange(300))
     src = str(tmp_path / "in")
-    _write(src, "1.jsonl", [e | {"ts": i} for i, e in enumerate(EVENTS)])
-    out = events.terminal_states(_task_events(events.event_stream(spark, src)), idle_seconds=3600)
-    q = out.writeStream.outputMode("update").format("memory").queryName("closed").trigger(once=True).start()
-    q.awaitTermination(120)
-    assert [(r.task_id, r.total_new, r.final_status, r.by_timeout) for r in spark.table("closed").collect()] == [(2, 5, "success", False)]
+    size = -(-len(rows) // cuts)
+    for k in range(cuts):
+        own = [dict(zip(("task_id", "ts", "seq", "type", "new_count"), r)) for r in rows[k * size : (k + 1) * size]]
+        _write(src, f"{k}.jsonl", own)
+        os.utime(os.path.join(src, f"{k}.jsonl"), (1_000 + k, 1_000 + k))
+    stream = spark.readStream.schema("task_id long, ts long, seq long, type string, new_count long").option("maxFilesPerTrigger", 1).json(src)
+    out = events.terminal_states(stream, idle_seconds=250, late_seconds=600, keep_seconds=1_000_000)
+    q = out.writeStream.outputMode("append").format("memory").queryName(f"closed{cuts}").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = sorted(tuple(r) for r in spark.table(f"closed{cuts}").collect())
+    want = _folded(rows, 250, 600)
+    assert got == want and {r[5] for r in want} == {True, False}
 
 
 def test_persist_and_replay(spark, tmp_path):
