@@ -1,43 +1,97 @@
-"""Micro-batches through the batch operators: one code path for both."""
+"""Streams of items: unseen ones by keyed state, each micro-batch through the
+batch operators, so that there is one code path for both."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import dedup
 from ..operators.governance import Policy
 from ..plans import collect
 from ..session import cut_lineage
+from .events import STATE_STORE
 
 REGISTRY = "id string, platform string, raw_id string, url string"
+#: Keys of items without an id: they spread over so many, and none is remembered.
+_NO_ID, _SPREAD = "\0", 1024
 
 
-def _registry(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Registry rows of earlier batches. A replayed batch does not see the rows
-    of its own first attempt. Only a registry that does not exist yet is
-    empty; other faults are raised, as all items would pass as new."""
+def stream_name(checkpoint: str) -> str:
+    """The name under which a stream registers ids: one for each checkpoint."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def _registry(spark: SparkSession, path: str, stream: str, before: int = 0) -> DataFrame | None:
+    """Registry rows of other streams, and of this one's batches before that
+    one: a batch that is run again does not see the rows of its own first
+    attempt. None if there is no registry yet; other faults are raised, as all
+    items would pass as new."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(REGISTRY + ", batch_id long").parquet(path).filter(F.col("batch_id") < before)
+        rows = spark.read.schema(REGISTRY + ", stream string, batch_id long").parquet(path)
     except AnalysisException as fault:
         if fault.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], REGISTRY)
+        return None
+    return rows.filter((F.col("stream") != stream) | (F.col("batch_id") < before))
+
+
+class SeenIds(StatefulProcessor):
+    """Lets the items of an id pass that no earlier batch has brought."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((True,))
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not key[0].startswith(_NO_ID):
+            if self.seen.exists():
+                return
+            self.seen.update((True,))
+        yield from rows  # without the key
 
-def dedup_batch(batch: DataFrame, batch_id: int, registry_path: str) -> DataFrame:
-    """Unseen items of a batch; their ids are registered under ``batch_id``."""
-    spark = batch.sparkSession
-    registry = _registry(spark, registry_path, batch_id)
-    fresh = cut_lineage(dedup.drop_seen(batch, registry.select("id")))
+
+def unseen(items: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """The items of a stream whose id (platform and raw_id) no earlier batch
+    has brought and the registry (id), if there is one, doesn't hold. Copies
+    inside a batch pass together; items without an id always do.
+
+    Ids are keys of the stream's state in RocksDB: a batch looks up its own
+    ids where they lie, and neither reads nor shuffles what is remembered. The
+    registry is read once, as the state that a new checkpoint starts from. A
+    batch that is run again starts from the state before it.
+    """
+    spark = items.sparkSession
+    spark.conf.set(*STATE_STORE)
+    none = F.concat(F.lit(_NO_ID), F.pmod(F.xxhash64(*items.columns), F.lit(_SPREAD)).cast("string"))
+    keyed = items.withColumn("_key", F.coalesce(dedup.registry_id(), none))
+    start = registry.filter("id IS NOT NULL").select(F.col("id").alias("_key")).distinct().groupBy("_key") if registry is not None else None
+    return keyed.groupBy("_key").transformWithStateInPandas(SeenIds(), items.schema, "append", "None", initialState=start)
+
+
+def _register(fresh: DataFrame, batch_id: int, path: str, stream: str) -> None:
+    """Write the ids of a batch under its stream and number, so that a retry
+    replaces them."""
     keyed = fresh.withColumn("id", dedup.registry_id()).filter("id IS NOT NULL").select("id", "platform", "raw_id", "url")
-    additions = dedup.first_per_key(keyed, ["id"], ["url"]).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    additions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(registry_path)
+    additions = dedup.first_per_key(keyed, ["id"], ["url"]).withColumns({"stream": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
+    additions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch_id").parquet(path)
+
+
+def dedup_batch(batch: DataFrame, batch_id: int, registry_path: str, stream: str = "batch") -> DataFrame:
+    """Unseen items of one batch against the registry's table, for batch jobs;
+    their ids are registered under ``stream`` and ``batch_id``."""
+    registry = _registry(batch.sparkSession, registry_path, stream, batch_id)
+    fresh = cut_lineage(dedup.drop_seen(batch, registry.select("id")) if registry is not None else batch)
+    _register(fresh, batch_id, registry_path, stream)
     return fresh
 
 
@@ -52,25 +106,32 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 
 
 def dedup_stream(items: DataFrame, registry_path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Incremental de-duplication with the registry table as state."""
+    """Incremental de-duplication: unseen items under ``out``, and their ids in
+    the registry's table, which later streams start from."""
+    stream = stream_name(checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        _append_once(dedup_batch(batch, batch_id, registry_path), batch_id, out)
+        fresh = cut_lineage(batch)  # state is looked up once, though there are two writes
+        _register(fresh, batch_id, registry_path, stream)
+        _append_once(fresh, batch_id, out)
 
-    return _start(items, work, checkpoint)
+    return _start(unseen(items, _registry(items.sparkSession, registry_path, stream)), work, checkpoint)
 
 
 def governed_stream(pages: DataFrame, rule: dict, registry_path: str, out: str, checkpoint: str) -> StreamingQuery:
     """Pages as they arrive: extract, de-duplicate, govern, append."""
+    stream = stream_name(checkpoint)
+    items = collect.collect_items(pages, rule, ["page_id"]).drop("seq")
+    fields = list(dict.fromkeys([*collect.rule_fields(rule), "raw_id"]))
+    if "url" not in items.columns:
+        items = items.withColumn("url", F.lit(None).cast("string"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        items = collect.collect_items(batch, rule, ["page_id"]).withColumn("run_id", F.lit(f"batch-{batch_id}"))
-        fields = list(dict.fromkeys([*collect.rule_fields(rule), "raw_id"]))
-        if "url" not in items.columns:
-            items = items.withColumn("url", F.lit(None).cast("string"))
-        fresh = dedup_batch(items, batch_id, registry_path)
-        outcome = collect.run_items(fresh, None, Policy.from_rule(rule), fields, materialise=True)
+        fresh = cut_lineage(batch)
+        _register(fresh, batch_id, registry_path, stream)
+        run = fresh.withColumns({"run_id": F.lit(f"batch-{batch_id}"), "seq": F.struct("page_id", "pos")})
+        outcome = collect.run_items(run, None, Policy.from_rule(rule), fields, materialise=True)
         _append_once(outcome.governed.drop("seq"), batch_id, f"{out}/items")
         _append_once(outcome.summary, batch_id, f"{out}/summary")
 
-    return _start(pages, work, checkpoint)
+    return _start(unseen(items, _registry(pages.sparkSession, registry_path, stream)), work, checkpoint)

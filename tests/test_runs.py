@@ -297,10 +297,36 @@ def test_dedup_stream_state_and_retry(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(reg).collect()) == ["p_1", "p_2", "p_3"]
     # A batch that is run again sees what it saw the first time.
     again = spark.createDataFrame([("p", "2", "v2"), ("p", "3", "v3")], schema)
-    assert sorted(r.url for r in batches.dedup_batch(again, 1, reg).collect()) == ["v3"]
+    own = batches.stream_name(str(tmp_path / "ck"))
+    assert sorted(r.url for r in batches.dedup_batch(again, 1, reg, own).collect()) == ["v3"]
     assert spark.read.parquet(reg).filter("id = 'p_3'").count() == 1
 
 
+def test_seen_ids_are_state(spark, tmp_path):
+    """What a batch reads does not grow with what is remembered, and another
+    stream starts from the registry."""
+    src, reg = str(tmp_path / "in"), str(tmp_path / "reg")
+    schema = "platform string, raw_id string, url string"
+    read, plan = [], ""
+    for k in range(4):
+        _write(src, f"{k}.jsonl", [{"platform": "p", "raw_id": str(i), "url": f"{k}"} for i in range(100 * k, 100 * k + 150)])
+        os.utime(os.path.join(src, f"{k}.jsonl"), (1_000 + k, 1_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+    q = batches.dedup_stream(stream, reg, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(240)
+    plan = q._jsq.explainInternal(False)
+    progress = [p for p in q.recentProgress if p["numInputRows"]]
+    read = [p["numInputRows"] for p in progress]
+    assert read == [150] * 4 and reg not in plan and "TransformWithState" in plan
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress] == [150, 250, 350, 450]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(reg).count() == 450
+    _write(src, "4.jsonl", [{"platform": "p", "raw_id": "new", "url": "n"}])
+    later = spark.readStream.schema(schema).json(src)
+    batches.dedup_stream(later, reg, str(tmp_path / "out2"), str(tmp_path / "ck2")).awaitTermination(240)
+    assert [r.raw_id for r in spark.read.schema(schema).parquet(str(tmp_path / "out2")).collect()] == ["new"]
+    assert spark.read.parquet(reg).count() == 451
+
+
 def test_governed_stream(spark, tmp_path):
     src, reg, out = (str(tmp_path / n) for n in ("in", "reg", "out"))
     _write(src, "1.jsonl", [{"page_id": 1, "html": list_html(("/d/1", "a"), ("/d/1", "a"), ("/d/2", "b"))}])
