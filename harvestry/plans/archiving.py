@@ -126,11 +126,11 @@ def archive_run(list_pages: DataFrame, pages: DataFrame, rule: dict, **known: Da
     return archived, page_records(archived, rule)
 
 
-def save_run(archived: DataFrame, rule: dict, root: str) -> None:
-    """Store archived pages and their records. The pages are checkpointed
-    first, so the five tables come from one parse."""
+def save_run(archived: DataFrame, rule: dict, root: str, run_id: str) -> str:
+    """Commit archived pages and their records as one run. The pages are
+    checkpointed first, so the five tables come from one parse."""
     pages = cut_lineage(archived)
-    writers.save_archive(archive.storage_tables(pages, page_records(pages, rule)), root)
+    return writers.save_archive(archive.storage_tables(pages, page_records(pages, rule)), root, run_id)
 
 
 def archive_single(pages: DataFrame, rule: dict, first_titles: DataFrame | None = None, **known: DataFrame) -> tuple[DataFrame, DataFrame]:

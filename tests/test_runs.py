@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harvestry.operators import archive, lists, runs, sources_registry
 from harvestry.plans import archiving, collect, reports
-from harvestry.sources import readers, writers
+from harvestry.sources import commits, readers, writers
 from harvestry.streaming import batches, events
 
 T0 = dt.datetime(2024, 1, 1)
@@ -137,16 +137,68 @@ def test_collect_run(spark):
     assert [r.title for r in collect.preview_rule(pages, RULE, 2).collect()] == ["a", "b"]
 
 
-def test_run_tables_append(spark, tmp_path):
+def test_run_tables_commit(spark, tmp_path):
     pages = spark.createDataFrame([(1, list_html(("/d/1", "a")))], "page_id int, html string")
     run = collect.run_rule(pages, RULE, None, "r1", materialise=True)
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     record = collect.run_record(run, RULE, "rules/news.yaml", start, start + F.expr("INTERVAL 90 SECONDS"))
-    writers.append_run_tables(run.tables() | {"collection_runs": record}, str(tmp_path))
-    assert sorted(os.listdir(tmp_path)) == ["collection_governance_records", "collection_items", "collection_run_items", "collection_runs"]
-    r = spark.read.parquet(f"{tmp_path}/collection_runs").first()
+    root = str(tmp_path)
+    for run_id in ("r1", "r1", "r2"):
+        writers.save_run_tables(run.tables() | {"collection_runs": record}, root, run_id)
+    assert sorted(os.listdir(tmp_path)) == ["_commits", "collection_governance_records", "collection_items", "collection_run_items", "collection_runs"]
+    r = commits.committed(spark, root, "collection_runs").first()
     assert (r.rule_name, r.subject, r.platform, r.status, r.saved_count, r.duration_seconds) == ("news", "web", "docs", "success", 1, 90.0)
-    assert spark.read.parquet(f"{tmp_path}/collection_run_items").count() == 2
+    assert commits.committed(spark, root, "collection_run_items").count() == 4 and commits.committed(spark, root, "none") is None
+
+
+def test_broken_write_is_not_seen(spark, tmp_path):
+    """Rows without a line in the manifest don't show; the retry replaces them."""
+    root = str(tmp_path)
+    good = spark.createDataFrame([(1, "a")], "id int, v string")
+    bad = good.select("id", F.raise_error(F.lit("lost")).cast("string").alias("v"))
+    assert commits.committed(spark, root, "first") is None
+    with pytest.raises(Exception, match="lost"):
+        commits.commit({"first": good, "second": bad}, root, "u/1")
+    assert commits.committed(spark, root, "first") is None and os.listdir(f"{root}/first")
+    commits.commit({"first": good, "second": good}, root, "u/1")
+    commits.commit({"first": good.filter("false"), "second": good.withColumn("w", F.lit(2))}, root, "u 2")
+    assert [tuple(r) for r in commits.committed(spark, root, "first").collect()] == [(1, "a")]
+    assert {(r.id, r.v, r.w) for r in commits.committed(spark, root, "second").collect()} == {(1, "a", 2), (1, "a", None)}
+    commits.commit({"first": spark.createDataFrame([(7, "z")], "id int, v string")}, root, "u/1")
+    assert [tuple(r) for r in commits.committed(spark, root, "first").collect()] == [(7, "z")]
+
+
+def test_archive_hashes_are_unique_across_runs(spark, tmp_path):
+    root = str(tmp_path)
+    pages = archive.build_pages(spark.createDataFrame([(f"https://e.org/{i}", f"<p>{i}</p>") for i in (1, 2)], "source_url string, html string"))
+    one, two = (archive.storage_tables(pages.filter(F.col("meta.source_url").endswith(x))) for x in ("1", "2"))
+    both = archive.storage_tables(pages.union(pages))
+    writers.save_archive(one, root, "a")
+    writers.save_archive(both, root, "b")  # page 1 is known, page 2 twice in the run
+    writers.save_archive(both, root, "b")
+    found = writers.read_archive(spark, root)
+    assert sorted(r.source_url for r in found["archive_pages"].collect()) == ["https://e.org/1", "https://e.org/2"]
+    # Side by side neither run sees the other: the one committed first holds.
+    commits.commit(two, root, "c")
+    found = writers.read_archive(spark, root)
+    assert found["archive_pages"].count() == 2 and set(found) == {"archive_pages", "archive_blocks", "archive_assets", "ocr_results"}
+    assert found["archive_blocks"].count() == found["archive_blocks"].select("id").distinct().count()
+
+
+def test_result_meta(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame(ITEMS, "subject string, platform string, collected_date string, url string, title string")
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    summary = spark.createDataFrame([("r1", 2, 0.5)], "run_id string, item_count int, quality_score double")
+    for _ in range(2):
+        writers.save_results(df, path, "r1", "news", at(3), 4, summary)
+    writers.save_results(df.filter("platform = 'p1'"), path, "r2", "news", at(2))
+    assert spark.read.parquet(path).count() == 3
+    meta = writers.result_meta(spark, path)
+    assert sorted((r.platform, r.run_id, r["count"], r.dedup_filtered) for r in meta.collect()) == [("p1", "r1", 1, 4), ("p1", "r2", 1, 0), ("p2", "r1", 1, 4)]
+    rows = spark.read.parquet(path).select("subject", F.col("run_id").alias("file"), at(1).alias("modified_at"), F.lit(1).alias("pos"), "url")
+    view = writers.combined_meta(writers.combined_latest(rows), meta).first()
+    assert (view.subject, view.platform, str(view.collected_at), view["count"]) == ("s1", "combined", "2024-01-03 00:00:00", 2)
 
 
 def test_archive_run_orders_and_dedups(spark, tmp_path):
@@ -166,12 +218,14 @@ def test_archive_run_orders_and_dedups(spark, tmp_path):
     # is not stored, is archived by the second run.
     second = archiving.archive_run(lp, pages, RULE, archived=stored)[0]
     assert [r.meta.source_url for r in second.collect()] == ["https://e.org/d/3"]
-    writers.save_packages(arch, str(tmp_path / "pkg"))
-    assert spark.read.json(str(tmp_path / "pkg")).count() == 2
-    archiving.save_run(arch, RULE, str(tmp_path / "db"))
-    assert spark.read.parquet(str(tmp_path / "db/structured_records")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "db/archive_blocks")).count() == 4
-    assert spark.read.parquet(str(tmp_path / "db/archive_pages")).select("id").distinct().count() == 2
+    for unit in ("r1", "r1", "r2"):
+        writers.save_packages(arch, str(tmp_path / "pkg"), unit)
+    assert writers.read_packages(spark, str(tmp_path / "pkg")).count() == 2
+    for unit in ("r1", "r1", "r2"):
+        archiving.save_run(arch, RULE, str(tmp_path / "db"), unit)
+    db = writers.read_archive(spark, str(tmp_path / "db"))
+    assert {n: t.count() for n, t in db.items()}.items() >= {"structured_records": 2, "archive_blocks": 4, "archive_pages": 2}.items()
+    assert db["archive_pages"].select("id").distinct().count() == 2
 
 
 def test_archive_takes_the_newest_capture(spark):
