@@ -8,8 +8,8 @@ pair itself, all others as sorted coordinates. Counts are summed over blocks,
 frequent pairs are ranked in their turn, and neighbouring pairs of overlapping
 phrases are the pairs of the next round, one word longer.
 
-A block keeps its own distinct words or pairs, and ids come to it by a join on
-those, so nothing that grows with the corpus is sent to every task.
+Ids come to the blocks from a table sent to every task while frequent words or
+pairs are few enough, and beyond that by a join on each block's own ones.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import column, slices, written
 
 #: Text of a block (a longer one is a block of its own), and of what is split at once.
-BLOCK, CHUNK = 16 << 20, 4 << 20
+BLOCK, CHUNK = 16 << 20, 2 << 20
+#: Frequent words or pairs that may be sent to every task.
+SENT = 500_000
 #: Ids along the side of a tile; a tile is dense if it holds as many pairs as
 #: every DENSE-th of its cells.
 TILE, DENSE = 256, 8
@@ -62,63 +65,54 @@ def word_numbers(data: bytes, chunk: int = CHUNK) -> tuple[list[bytes], np.ndarr
     return words, np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
-def count_pairs(a: np.ndarray, b: np.ndarray, tile: int = TILE, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n) of the distinct pairs of ids, and for each pair given its
-    number among them. Ids are ranks, so low ones are frequent."""
+def count_pairs(a: np.ndarray, b: np.ndarray, tile: int = TILE, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) of the distinct pairs of ids. Ids are ranks, so low ones are
+    frequent and the tiles where they meet are full."""
     if not len(a):
         none = np.empty(0, np.int64)
-        return none, none, none, none
-    base = min(int(a.min()), int(b.min()))
-    x, y = a - base, b - base
-    side = max(int(x.max()), int(y.max())) // tile + 1
-    in_tile = x // tile * side + y // tile
-    tiles, held = np.unique(in_tile, return_counts=True) if side > 4096 else (np.arange(side * side), np.bincount(in_tile, minlength=side * side))
-    head = tiles[held >= tile * tile // dense]
-    number = np.empty(len(a), np.int64)
-    pairs, counts, made = [], [], 0
+        return none, none, none
+    base, key, span = _keys(a, b, tile)
+    side = span // tile
+    in_tile = key // (span * tile) * side + key % span // tile
+    tiles, held = np.unique(in_tile, return_counts=True) if side > 1024 else (np.arange(side * side), np.bincount(in_tile, minlength=side * side))
+    pairs, counts = [], []
     rest = np.ones(len(a), bool)
-    for t in head.tolist():
-        here = np.flatnonzero(in_tile == t)
-        rest[here] = False
-        cell = x[here] % tile * tile + y[here] % tile
-        n = np.bincount(cell, minlength=tile * tile)
+    for t in tiles[held >= tile * tile // dense].tolist():
+        here = in_tile == t
+        rest &= ~here
+        own = key[here]
+        n = np.bincount(own // span % tile * tile + own % tile, minlength=tile * tile)
         full = np.flatnonzero(n)
-        place = np.cumsum(n > 0) - 1 + made
-        number[here] = place[cell]
-        pairs.append((full // tile + t // side * tile) * (side * tile) + full % tile + t % side * tile)
+        pairs.append((full // tile + t // side * tile) * span + full % tile + t % side * tile)
         counts.append(n[full])
-        made += len(full)
-    key, at, n = np.unique(x[rest] * (side * tile) + y[rest], return_inverse=True, return_counts=True)
-    number[rest] = at + made
-    key, n = np.concatenate([*pairs, key]), np.concatenate([*counts, n])
-    return key // (side * tile) + base, key % (side * tile) + base, n, number
+    sparse, n = np.unique(key[rest], return_counts=True)
+    key, n = np.concatenate([*pairs, sparse]), np.concatenate([*counts, n])
+    return key // span + base, key % span + base, n
 
 
-def _entries(block: int, lang: str, columns: dict[str, pa.Array], n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A block's distinct keys with their counts, a row each, and then a row
-    with the number of the key at each place."""
-    size = len(n)
-    for start in range(0, size, ENTRIES):
-        rows = min(ENTRIES, size - start)
-        made = [pa.array(np.full(rows, block)), pa.array([lang] * rows, pa.string()), pa.array(np.arange(start, start + rows)), *[c.slice(start, rows) for c in columns.values()], pa.array(n[start : start + rows]), pa.nulls(rows, pa.binary())]
-        yield pa.RecordBatch.from_arrays(made, ["block", "lang", "i", *columns, "n", "at"])
-    last = [pa.array([block]), pa.array([lang]), pa.array([-1]), *[pa.nulls(1, c.type) for c in columns.values()], pa.nulls(1, pa.int64()), pa.array([at.astype("<i4").tobytes()], pa.binary())]
-    yield pa.RecordBatch.from_arrays(last, ["block", "lang", "i", *columns, "n", "at"])
+def _keys(a: np.ndarray, b: np.ndarray, tile: int = 1) -> tuple[int, np.ndarray, int]:
+    """Pairs as whole numbers (a - base) * span + b - base; span is a whole
+    number of tiles."""
+    base = min(int(a.min()), int(b.min()))
+    span = (max(int(a.max()), int(b.max())) - base) // tile * tile + tile
+    if span >= 3_000_000_000:
+        raise OverflowError("more than 3e9 frequent phrases in one language")
+    return base, (a - base) * span + (b - base), span
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (lang, text) as blocks of words."""
-    from pyspark import TaskContext
+def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    block, held, size = TaskContext.get().partitionId() << 32, {}, 0
 
-    def blocks() -> Iterator[pa.RecordBatch]:
-        nonlocal block
-        for lang, texts in held.items():
-            words, at = word_numbers(b"\n".join(texts).lower().translate(_PLAIN))
-            n = np.bincount(at[at >= 0], minlength=len(words))
-            yield from _entries(block, lang, {"word": pa.array(words, pa.binary()).cast(pa.string())}, n, at)
-            block += 1
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Batches of (lang, text) as blocks: language, distinct words, and the
+    number of the word at each place."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+
+    def blocks() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        for lang in list(held):
+            yield lang, *word_numbers(b"\n".join(held.pop(lang)).lower().translate(_PLAIN))
 
     for b in slices(batches, 1):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -126,26 +120,105 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(text)
         if size >= BLOCK:
             yield from blocks()
-            held, size = {}, 0
+            size = 0
     yield from blocks()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (block, lang, at, known) as the same blocks with pairs of
-    neighbouring ids in the place of keys; known: (i, id) of the block's
-    frequent keys."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of each block's distinct words, and of null for all of them."""
+    for lang, words, at in _texts(batches):
+        n = np.bincount(at[at >= 0], minlength=len(words))
+        yield _batch({"lang": pa.array([lang]), "word": pa.nulls(1, pa.string()), "n": pa.array([int(n.sum())])})
+        for start in range(0, len(words), ENTRIES):
+            part = pa.array(words[start : start + ENTRIES], pa.binary()).cast(pa.string())
+            yield _batch({"lang": pa.array([lang] * len(part), pa.string()), "word": part, "n": pa.array(n[start : start + ENTRIES])})
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their distinct words, a row each (block, lang, i, word), and
+    then the number of the word at each place (i -1, at)."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
+    for lang, words, at in _texts(batches):
+        for start in range(0, len(words), ENTRIES):
+            part = pa.array(words[start : start + ENTRIES], pa.binary()).cast(pa.string())
+            rows = len(part)
+            yield _batch({"block": pa.array(np.full(rows, block)), "lang": pa.array([lang] * rows, pa.string()), "i": pa.array(np.arange(start, start + rows)), "word": part, "at": pa.nulls(rows, pa.binary())})
+        yield _batch({"block": pa.array([block]), "lang": pa.array([lang]), "i": pa.array([-1]), "word": pa.nulls(1, pa.string()), "at": pa.array([at.astype("<i4").tobytes()], pa.binary())})
+        block += 1
+
+
+def _looked_up(at: np.ndarray, i: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The ids of the numbers i in the place of these; -1 for others."""
+    table = np.full(max(int(at.max(initial=0)), int(i.max(initial=0))) + 2, -1, np.int64)
+    table[i] = ids
+    return table[at]  # -1 between pieces is the table's last entry
+
+
+def _word_ids(shared: Broadcast, width: str):
+    """Batches of (lang, text) as blocks of word ids, with all frequent words
+    at hand: by language, the words in order and their ids."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for lang, words, at in _texts(batches):
+            known = shared.value.get(lang, {})
+            met = [(i, known[w]) for i, w in enumerate(words) if w in known]
+            if met:
+                i, ids = np.array(met, np.int64).T
+                yield _block(block, lang, _looked_up(at, i, ids), width)
+            block += 1
+
+    return step
+
+
+def _block(block: int, lang: str, ids: np.ndarray, width: str) -> pa.RecordBatch:
+    return _batch({"block": pa.array([block]), "lang": pa.array([lang], pa.string()), "ids": pa.array([ids.astype(width).tobytes()], pa.binary())})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, pa.RecordBatch, int]]:
+    """(block, lang, ids, places whose next place has an id too, batch, row)."""
     for b in batches:
-        for block, lang, at, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            own = np.frombuffer(at.as_buffer(), "<i4")
-            i, ids = (known.values.field(k).to_numpy(False) for k in (0, 1))
-            table = np.full(max(int(own.max(initial=0)), int(i.max())) + 2, -1, np.int64)
-            table[i] = ids
-            ids = table[own]  # -1 between pieces is the table's last entry, which is -1
-            both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            first, second, n, number = count_pairs(ids[both], ids[both + 1])
-            following = np.full(len(own), -1, np.int64)
-            following[both] = number
-            yield from _entries(block, lang, {"a": pa.array(first), "b": pa.array(second)}, n, following)
+        for row, (block, lang, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
+            ids = np.frombuffer(raw.as_buffer(), width).astype(np.int64)
+            yield block, lang, ids, np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0)), b, row
+
+
+def _pairs(width: str, keep_block: bool):
+    """Blocks of ids as their distinct neighbouring pairs: (a, b, n), or with
+    the block in n's place."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, ids, both, _, _ in _blocks(batches, width):
+            a, b, n = count_pairs(ids[both], ids[both + 1])
+            for start in range(0, len(n), ENTRIES):
+                own = slice(start, start + ENTRIES)
+                third = {"block": pa.array(np.full(len(n[own]), block))} if keep_block else {"n": pa.array(n[own])}
+                yield _batch({"a": pa.array(a[own]), "b": pa.array(b[own]), **third})
+
+    return step
+
+
+def _paired(ids: np.ndarray, both: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray | None:
+    """The ids of known pairs (a, b, id) at the places where they begin; -1
+    elsewhere; None if the block has none."""
+    out = np.full(len(ids), -1, np.int64)
+    if not len(both) or not len(known[0]):
+        return None
+    base, key, span = _keys(ids[both], ids[both + 1])
+    a, b, own = known
+    inside = (a >= base) & (a < base + span) & (b >= base) & (b < base + span)
+    wanted = (a[inside] - base) * span + (b[inside] - base)
+    if not len(wanted):
+        return None
+    order = np.argsort(wanted)
+    wanted, own = wanted[order], own[inside][order]
+    place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+    out[both] = np.where(wanted[place] == key, own[place], -1)
+    return out
 
 
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -159,34 +232,85 @@ def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     return written(sorted_.join(before, "__part").withColumn("id", place).drop("__at", "__part", "__before"))
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
+def _level_one(own: DataFrame, words: DataFrame, count: int, sent: int, width: str) -> DataFrame:
+    """(block, lang, ids): the blocks of own (lang, text) with the id of the
+    frequent word (lang, word, id) at each place, -1 for other words and
+    between pieces. Up to ``sent`` words go to every task; more are joined with
+    the distinct words of each block."""
+    spark, schema = own.sparkSession, "block long, lang string, ids binary"
+    if count <= sent:
+        by_lang: dict[str, dict[bytes, int]] = {}
+        for lang, word, number in zip(*(c.to_pylist() for c in words.select("lang", "word", "id").toArrow().columns), strict=True):
+            by_lang.setdefault(lang, {})[word.encode()] = number
+        return own.mapInArrow(_word_ids(spark.sparkContext.broadcast(by_lang), width), schema)
+    table = written(own.mapInArrow(_numbered, "block long, lang string, i long, word string, at binary"))
+    known = table.filter("i >= 0").select("block", "lang", "i", "word").join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("known"))
+    places = table.filter("i < 0").select("block", "lang", "at").join(known, "block").select("block", "lang", "at", "known")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, lang, at, met in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                i, ids = (met.values.field(k).to_numpy(False) for k in (0, 1))
+                yield _block(block, lang, _looked_up(np.frombuffer(at.as_buffer(), "<i4"), i, ids), width)
+
+    return places.mapInArrow(step, schema)
+
+
+def _next_level(table: DataFrame, pairs: DataFrame, count: int, sent: int, width: str, next_width: str) -> DataFrame:
+    """The blocks of table with the ids of frequent pairs (a, b, id) in the
+    place of their first id. Pairs come to the blocks like words."""
+    spark, schema = table.sparkSession, "block long, lang string, ids binary"
+    if count <= sent:
+        shared = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in pairs.select("a", "b", "id").toArrow().columns))
+
+        def with_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, lang, ids, both, _, _ in _blocks(batches, width):
+                if (out := _paired(ids, both, shared.value)) is not None:
+                    yield _block(block, lang, out, next_width)
+
+        return table.mapInArrow(with_all, schema)
+    met = table.mapInArrow(_pairs(width, True), "a long, b long, block long").join(pairs, ["a", "b"])
+    known = met.groupBy("block").agg(F.collect_list(F.struct("a", "b", "id")).alias("known"))
+
+    def with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, lang, ids, both, b, row in _blocks(batches, width):
+            own = b.column(3)[row].values
+            if (out := _paired(ids, both, tuple(own.field(k).to_numpy(False) for k in range(3)))) is not None:
+                yield _block(block, lang, out, next_width)
+
+    return table.join(known, "block").select("block", "lang", "ids", "known").mapInArrow(with_own, schema)
+
+
+def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "text", lang: str = "lang", sent: int = SENT) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n): all word occurrences; and for each length from 1 a table of
     the phrases with ``least`` or more contiguous occurrences within pieces:
     id, lang, words, f, prefixes and suffixes (f of the first and last 1, 2, ...
     words), and from two words on left and right, the ids of the phrase without
     its last and first word."""
     own = docs.select(F.coalesce(column(lang), F.lit("und")).alias("lang"), F.coalesce(column(text), F.lit("")).alias("text"))
-    table = written(own.mapInArrow(_words, "block long, lang string, i long, word string, n long, at binary"))
-    entries = table.filter("i >= 0").drop("at")
-    totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
-    counted = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    counts = own.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    held = written(counts.filter((F.col("f") >= least) | F.col("word").isNull()))
+    totals = held.filter("word IS NULL").select("lang", F.col("f").alias("n"))
     one = F.array("f")
-    found = counted.select("lang", F.array("word").alias("words"), "f", one.alias("prefixes"), one.alias("suffixes"))
+    found = held.filter("word IS NOT NULL").select("lang", F.array("word").alias("words"), "f", one.alias("prefixes"), one.alias("suffixes"))
     levels: list[DataFrame] = []
-    key = ["lang", "word"]
+    table, width = own, ""
     while True:
-        # Rows of one language are neighbours, so a block's ids are near ranks of its language.
-        own_ids = ranked(found, [F.col("lang"), F.col("f").desc(), F.col("words")])
-        levels.append(own_ids)
-        if len(levels) == longest or own_ids.isEmpty():
-            return written(totals), levels
-        ids = own_ids.select("lang", F.col("words")[0].alias("word"), "id") if len(levels) == 1 else own_ids.select(F.col("left").alias("a"), F.col("right").alias("b"), "id")
-        known = table.filter("i >= 0").select("block", "i", *key).join(ids, key).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("known"))
-        places = table.filter("i < 0").select("block", "lang", "at").join(known, "block").select("block", "lang", "at", "known")
-        table = written(places.mapInArrow(_pairs, "block long, lang string, i long, a long, b long, n long, at binary"))
-        counted = table.filter("i >= 0").groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        ends = [own_ids.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("lang", "words", "prefixes", "suffixes")]) for x in ("a", "b")]
-        found = counted.join(ends[0], "a").join(ends[1], "b").select(
+        # Rows of one language are neighbours, so its ids are near its ranks.
+        ids = ranked(found, [F.col("lang"), F.col("f").desc(), F.col("words")])
+        levels.append(ids)
+        count = ids.count()
+        if len(levels) == longest or not count:
+            return totals, levels
+        next_width = "<i4" if count < 1 << 31 else "<i8"
+        if len(levels) == 1:
+            table = written(_level_one(own, ids.select("lang", F.col("words")[0].alias("word"), "id"), count, sent, next_width))
+        else:
+            table = written(_next_level(table, ids.select(F.col("left").alias("a"), F.col("right").alias("b"), "id"), count, sent, width, next_width))
+        width = next_width
+        counted = table.mapInArrow(_pairs(width, False), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        ends = [ids.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("lang", "words", "prefixes", "suffixes")]) for x in ("a", "b")]
+        found = written(counted).join(ends[0], "a").join(ends[1], "b").select(
             F.col("a_lang").alias("lang"),
             F.concat("a_words", F.slice("b_words", -1, 1)).alias("words"),
             "f",
@@ -195,7 +319,6 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
             F.col("a").alias("left"),
             F.col("b").alias("right"),
         )
-        key = ["a", "b"]
 
 
 def _best_cut(size: int) -> Column:
@@ -210,7 +333,7 @@ def _best_cut(size: int) -> Column:
     return F.array_min(F.array(*cuts))
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int = 2000, absorb: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int = 2000, absorb: int = 100, text: str = "text", lang: str = "lang", sent: int = SENT) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``most`` best
     phrases of 2 to ``longest`` words with ``least`` or more occurrences.
 
@@ -227,10 +350,11 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
 
     Null languages are ``und``, null texts empty. Repeated rows count again. A
     text of any length is read whole, a word too. Other columns are not read.
-    An empty table gives an empty result. Each round writes a table of what it
-    has counted to the shared folder, which lost tasks read again.
+    An empty table gives an empty result. Each round writes its blocks and
+    counts to the shared folder, which lost tasks read again. ``sent``: frequent
+    words or pairs up to which their ids go to every task.
     """
-    totals, levels = frequent_phrases(docs, longest, least, text, lang)
+    totals, levels = frequent_phrases(docs, longest, least, text, lang, sent)
     parts = []
     for size, level in enumerate(levels[1:], 2):
         own = level
