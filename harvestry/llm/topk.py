@@ -11,6 +11,7 @@ those down to the task's own kth.
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ from .common import written
 #: Rows of a block of queries and of candidates, bins of a histogram.
 QUERIES, CANDIDATES, BINS = 1024, 4096, 256
 _BLOCK = "block long, n long, ids binary, no_id binary, vectors binary, reach double"
-#: Beyond this a component is cut, so that a sum of products stays in 64 bits.
-_LIMIT = 1 << 26
+#: Whole components beyond this are no numbers to the search: the sum of as
+#: many products as a vector has would not fit a decimal of 38 digits.
+_LARGEST = float(1 << 59)
 
 
 def _pack(rows: int, dim: int, scale: float):
@@ -37,17 +39,19 @@ def _pack(rows: int, dim: int, scale: float):
 
         block = TaskContext.get().partitionId() << 32
         ids, none = np.empty(0, np.int64), np.empty(0, np.int8)
-        vectors = np.empty((0, dim), np.int32)
+        vectors = np.empty((0, dim), np.int64)
         for b in [*batches, None]:
             if b is not None:
                 matrix, good = _matrix(b.column(1), dim)
-                vectors = np.concatenate([vectors, np.clip(np.floor(matrix[good] * scale), -_LIMIT, _LIMIT).astype(np.int32)])
+                whole = np.floor(np.where(good[:, None], matrix, 0.0) * scale)
+                good &= (np.abs(whole) < _LARGEST).all(1)
+                vectors = np.concatenate([vectors, whole[good].astype(np.int64)])
                 none = np.concatenate([none, np.asarray(b.column(0).is_null())[good].astype(np.int8)])
                 ids = np.concatenate([ids, b.column(0).fill_null(0).to_numpy(False)[good].astype(np.int64)])
             while len(ids) >= rows or b is None and len(ids):
                 v = vectors[:rows]
                 reach = float(np.sqrt((v.astype(float) ** 2).sum(1).max()))
-                out = [block, len(v), ids[:rows].tobytes(), none[:rows].tobytes(), v.astype("<i4").tobytes(), reach]
+                out = [block, len(v), ids[:rows].tobytes(), none[:rows].tobytes(), v.astype("<i8").tobytes(), reach]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [c.split()[0] for c in _BLOCK.split(", ")])
                 block, ids, none, vectors = block + 1, ids[rows:], none[rows:], vectors[rows:]
 
@@ -67,17 +71,21 @@ def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products; in doubles where all sums stay exact."""
+    """Exact inner products: in doubles where all sums stay exact, in 64 bits
+    where the products fit them, else in Python's whole numbers."""
     if float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 1 << 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    norms = [float(np.sqrt((x.astype(float) ** 2).sum(1).max())) for x in (q, c)]
+    if norms[0] * norms[1] < 1 << 62:  # sums that pass 64 bits on the way come back
+        return q @ c.T
+    return q.astype(object) @ c.T.astype(object)
 
 
 def _blocks(b: pa.RecordBatch, dim: int) -> Iterator[tuple]:
     """(query block, ids, matrix, candidate ids, matrix, row) of each row."""
     for r in b.to_pylist():
-        q = np.frombuffer(r["q_vectors"], "<i4").reshape(-1, dim)
-        c = np.frombuffer(r["vectors"], "<i4").reshape(-1, dim)
+        q = np.frombuffer(r["q_vectors"], "<i8").reshape(-1, dim)
+        c = np.frombuffer(r["vectors"], "<i8").reshape(-1, dim)
         q_ids, ids, none = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["no_id"], np.int8) > 0
         s = _scores(q, c)
         other = (q_ids[:, None] != ids[None, :]) | none[None, :]
@@ -91,8 +99,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
     Components are floor(scale * x) in doubles; the score is their inner
     product. is_query: a condition that says which rows are queries. Vectors
     that are null, or hold null or non-finite components, take no part; shorter
-    vectors count as filled with zeros; components beyond 2 ** 26 in size are
-    cut there. A row without an id is a candidate, last among equal scores, and
+    vectors count as filled with zeros. A vector with a component of 2 ** 59 or
+    more in size after scaling takes no part either. Scores are compared as they
+    are, however large; one beyond 64 bits is returned as the nearest long. A row without an id is a candidate, last among equal scores, and
     never a query unless is_query says so of null. A repeated query row has
     each of its results again. Columns other than the two are not read. An
     empty table gives an empty result.
@@ -111,7 +120,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
     facts = blocks.agg(F.max("reach"), F.count(F.lit(1))).first()
     reach = (facts[0] or 0.0) * (asked.agg(F.max("reach")).first()[0] or 0.0)
     groups = groups or max(1, min(spark.sparkContext.defaultParallelism, facts[1]))
-    limit = int(reach) + 2
+    limit = int(reach * (1 + 1e-9)) + 2
+    # Scores beyond 62 bits are counted by their upper bits.
+    shift = max(0, limit.bit_length() - 61)
+    limit = (limit >> shift) + 1
 
     queries = asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     # Which group meets which block of queries is the same for all: every
@@ -127,7 +139,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
             sums: dict[int, np.ndarray] = {}
             for b in batches:
                 for r, q_ids, _, _, s, other in _blocks(b, dim):
-                    over = s - np.array(r["lows"])[:, None]
+                    over = (s >> shift).astype(np.int64) - np.array(r["lows"])[:, None]
                     inside = other & (over >= 0) & (over < span)
                     flat = (np.arange(len(q_ids))[:, None] * BINS + over // width)[inside]
                     counts = np.bincount(flat, minlength=len(q_ids) * BINS).reshape(-1, BINS)
@@ -163,21 +175,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
         for b in batches:
             for r, q_ids, ids, none, s, other in _blocks(b, dim):
                 low = np.array(r["lows"])[:, None]
-                row, at = np.nonzero(other & (s >= low))
-                score, cand, tie = s[row, at], ids[at], s[row, at] == low[row, 0]
-                # Of a row's equal scores only the k smallest ids can be in.
-                order = np.lexsort((cand, row))
+                high = (s >> shift).astype(np.int64)
+                row, at = np.nonzero(other & (high >= low))
+                score, cand, tie = s[row, at], ids[at], high[row, at] == low[row, 0]
+                # Of a row's scores in the last bin only the k best can be in.
+                order = np.lexsort((cand, row)) if not shift else np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], cand[i])), np.int64)
                 order = order[tie[order]]
                 rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
                 keep = np.concatenate([np.flatnonzero(~tie), order[rank < k]])
                 known = ~none[at[keep]]
+                shown = pa.array(score[keep].astype(np.int64)) if not shift else pa.array([decimal.Decimal(int(x)) for x in score[keep]], pa.decimal128(38, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keep), r["q"])), pa.array(row[keep]), pa.array(q_ids[row[keep]]), pa.array(cand[keep], mask=~known), pa.array(score[keep])], ["q", "row", "query_id", "vec_id", "score"]
+                    [pa.array(np.full(len(keep), r["q"])), pa.array(row[keep]), pa.array(q_ids[row[keep]]), pa.array(cand[keep], mask=~known), shown], ["q", "row", "query_id", "vec_id", "score"]
                 )
 
-    found = pairs.join(_lows(state), "q").mapInArrow(final, "q long, row long, query_id long, vec_id long, score long")
+    found = pairs.join(_lows(state), "q").mapInArrow(final, f"q long, row long, query_id long, vec_id long, score {'decimal(38,0)' if shift else 'long'}")
     rank = F.row_number().over(W.partitionBy("q", "row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ends = [F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1)]
+    score = F.greatest(ends[0], F.least(ends[1], F.col("score"))).cast("long") if shift else F.col("score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _lows(state: DataFrame) -> DataFrame:
