@@ -8,9 +8,11 @@ matching decides there and counts the edits.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -87,46 +89,73 @@ def _places(text: bytes, piece: bytes) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
-def _matches(notice: str, stretch: str) -> Iterator[regex.Match]:
-    """The best match in the stretch, and those in what lies before and behind it."""
-    open_ = [(0, len(stretch))]
+def _matches(notice: str, window: str) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the best match in a window and of those in what
+    lies before and behind it."""
+    found, open_ = [], [(0, len(window))]
     while open_:
         a, b = open_.pop()
         # Without an untouched piece there is no match.
-        if b - a < len(notice) - budget(notice) or not any(stretch.find(piece, a, b) >= 0 for _, piece in _pieces(notice)):
+        if b - a < len(notice) - budget(notice) or not any(window.find(piece, a, b) >= 0 for _, piece in _pieces(notice)):
             continue
-        m = _pattern(notice).search(stretch, a, b)
+        m = _pattern(notice).search(window, a, b)
         if m:
-            yield m
+            found.append((*m.span(), sum(m.fuzzy_counts)))
             open_ += [(a, m.start()), (m.end(), b)]
+    return found
+
+
+def _apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of finds that overlap the one with the fewest edits, then the first."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = []
+    for start, end, edits in sorted(found, key=lambda f: (f[2], f[0], f[1])):
+        at = bisect_left(starts, start)
+        if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end):
+            starts.insert(at, start)
+            ends.insert(at, end)
+            kept.append((start, end, edits))
+    return kept
 
 
 def fuzzy(words: bytes) -> list[tuple[str, int, int, int]]:
     """(notice, start, end, edits) of every notice in words with a space
-    between, in characters; of overlapping finds of a notice the best."""
-    hits: dict[str, list[int]] = {}
+    between, in characters; of overlapping finds of a notice the best.
+
+    Each place where a notice may begin is searched once, in a window that
+    holds it whole with any edits, so time grows with the number of places."""
+    hits: dict[str, set[int]] = {}
     for seed, owners in _seeds().items():
         for at in _places(words, seed):
             for notice, offset in owners:
-                hits.setdefault(notice, []).append(at - offset)
+                hits.setdefault(notice, set()).add(at - offset)
+    if not hits:
+        return []
+    # Characters that begin before a byte.
+    begins = None if words.isascii() else np.flatnonzero((np.frombuffer(words, np.uint8) & 0xC0) != 0x80)
     found = []
-    for notice, starts in hits.items():
-        most, size = budget(notice), len(notice)
-        # Bytes of a window: a character that an edit puts in has four at most.
-        stretches: list[list[int]] = []
-        for s in sorted(starts):
-            a, b = max(0, s - 4 * most), s + size + 4 * most
-            if stretches and a <= stretches[-1][1]:
-                stretches[-1][1] = b
-            else:
-                stretches.append([a, b])
-        for a, b in stretches:
+    for notice, places in hits.items():
+        most, exact = budget(notice), notice.encode()
+        met: set[tuple[int, int, int]] = set()
+        known: dict[str, list[tuple[int, int, int]]] = {}
+        for s in places:
+            # Bytes of a window: a character that an edit puts in has four at most.
+            whole = s >= 0 and words.startswith(exact, s)
+            a, b = (s, s + len(exact)) if whole else (max(0, s - 4 * most), s + len(exact) + 4 * most)
             while a < len(words) and words[a] & 0xC0 == 0x80:
                 a += 1
-            base = len(words[:a].decode())
-            stretch = words[a:b].decode(errors="ignore")
-            for m in _matches(notice, stretch):
-                found.append((notice, base + m.start(), base + m.end(), sum(m.fuzzy_counts)))
+            base = a if begins is None else int(np.searchsorted(begins, a))
+            if whole:
+                met.add((base, base + len(notice), 0))
+                continue
+            window = words[a:b].decode(errors="ignore")
+            if window not in known:
+                if len(known) >= 4096:
+                    known.clear()
+                known[window] = _matches(notice, window)
+            met.update((base + start, base + end, edits) for start, end, edits in known[window])
+        found += [(notice, *f) for f in _apart(met)]
     return found
 
 
@@ -135,11 +164,12 @@ def scan_text(text: str | None) -> tuple:
     split = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     words = b" ".join(split)
     hay = b" " + words + b" "
-    at, base = [], set()
+    starts, base = [], set()
     for phrase, label in PHRASES.items():
         for p in _places(hay, b" " + phrase.encode() + b" "):
-            at.append(hay.count(b" ", 0, p))
+            starts.append(p)
             base.add(label)
+    at = np.searchsorted(np.flatnonzero(np.frombuffer(hay, np.uint8) == 32), starts).tolist() if starts else []
     found = fuzzy(words)
     spans = []
     if found:
@@ -163,8 +193,6 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 def _at(ends: list[int], character: int) -> int:
     """The word in which a character of the joined words lies."""
-    from bisect import bisect_left
-
     return min(bisect_left(ends, character + 1), len(ends) - 1)
 
 
