@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import column, slices, written
 
-#: Text of a block (a longer one is a block of its own), and of what is split at once.
-BLOCK, CHUNK = 16 << 20, 2 << 20
+#: Text of a block (a longer one is a block of its own), and of what is split
+#: at once; neighbouring ids that are counted at once.
+BLOCK, CHUNK, COUNTED = 4 << 20, 1 << 20, 1_500_000
 #: Frequent words or pairs that may be sent to every task.
 SENT = 500_000
 #: Ids along the side of a tile; a tile is dense if it holds as many pairs as
@@ -188,16 +189,29 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[tuple[int
 
 
 def _pairs(width: str, keep_block: bool):
-    """Blocks of ids as their distinct neighbouring pairs: (a, b, n), or with
-    the block in n's place."""
+    """Blocks of ids as distinct neighbouring pairs: (a, b, n), of blocks of one
+    language together, or with the block in n's place, each for itself."""
+
+    def counted(block: int, firsts: list[np.ndarray], seconds: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b, n = count_pairs(np.concatenate(firsts), np.concatenate(seconds))
+        for start in range(0, len(n), ENTRIES):
+            own = slice(start, start + ENTRIES)
+            third = {"block": pa.array(np.full(len(n[own]), block))} if keep_block else {"n": pa.array(n[own])}
+            yield _batch({"a": pa.array(a[own]), "b": pa.array(b[own]), **third})
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, ids, both, _, _ in _blocks(batches, width):
-            a, b, n = count_pairs(ids[both], ids[both + 1])
-            for start in range(0, len(n), ENTRIES):
-                own = slice(start, start + ENTRIES)
-                third = {"block": pa.array(np.full(len(n[own]), block))} if keep_block else {"n": pa.array(n[own])}
-                yield _batch({"a": pa.array(a[own]), "b": pa.array(b[own]), **third})
+        held: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for block, lang, ids, both, _, _ in _blocks(batches, width):
+            firsts, seconds = held.setdefault(lang, ([], []))
+            firsts.append(ids[both])
+            seconds.append(ids[both + 1])
+            if keep_block or sum(map(len, firsts)) >= COUNTED:
+                yield from counted(block, *held.pop(lang))
+            if sum(len(x) for f, _ in held.values() for x in f) >= 2 * COUNTED:
+                for lang in list(held):
+                    yield from counted(block, *held.pop(lang))
+        for firsts, seconds in held.values():
+            yield from counted(0, firsts, seconds)
 
     return step
 
