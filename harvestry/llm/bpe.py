@@ -22,14 +22,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import slices, without
 
-#: Bounds of a worker's tables, in entries for each of two generations.
+#: Bounds of a worker's tables, in entries for each of two generations, and
+#: the longest chunk or word that they keep.
 CHUNKS, WORDS, PAIRS = 200_000, 200_000, 600_000
+LONG = 256
 #: White space that separates words in this tokenizer (Unicode White_Space).
 _SPACE = regex.compile(r"[\t\n\v\f\r \x85\xa0  -     　]+")
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
@@ -44,6 +47,15 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def chunk_lists(texts: pa.Array) -> pa.ListArray:
+    """The chunks of each text; of null none. Runs of white space at a text's
+    ends leave empty chunks, which have no ids."""
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        return pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
+
+
 def _byte_letters() -> list[str]:
     """The printable letter of each byte in the vocabulary: itself where it is
     printable and no space, else the next free letter from U+0100 on."""
@@ -99,14 +111,14 @@ class TrieEncoder:
         little-endian 32-bit numbers."""
         out: dict[str, bytes] = {}
         vocab, pairs, coded, longest = self.vocab.get, self.pairs, self.coded, self.longest
-        # Of the path's prefix of d letters: its last token and its encoding.
-        last, ids, path = [-1], [b""], ""
+        # Of the path's prefix of d letters: its last token, and where that starts.
+        last, begins, path = [-1], [0], ""
         for word in sorted(set(words)):  # the paths of the trie in depth-first order
             inner = len(word) - 1
             shared, most = 0, min(len(path), inner)
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :]
+            del last[shared + 1 :], begins[shared + 1 :]
             path = word[:inner]
             for end in range(shared + 1, inner + 2):
                 tail = _END if end > inner else ""
@@ -119,10 +131,14 @@ class TrieEncoder:
                 else:
                     raise ValueError(f"no encoding of {word[:end]!r}")
                 if tail:
-                    out[word] = ids[start] + coded[token]
+                    tokens = [coded[token]]
+                    while start:
+                        tokens.append(coded[last[start]])
+                        start = begins[start]
+                    out[word] = b"".join(tokens[::-1])
                 else:
                     last.append(token)
-                    ids.append(ids[start] + coded[token])
+                    begins.append(start)
         return out
 
 
@@ -139,12 +155,20 @@ class Recent:
         if len(self.young) > self.bound:
             self.young, self.old = {}, self.young
 
-    def missing(self, keys: set[str]) -> set[str]:
-        """The keys in neither generation; those of the old one are young again."""
-        keys, old = keys.difference(self.young), self.old
-        back = {k: old[k] for k in keys if k in old}
-        self.young.update(back)
-        return keys.difference(back)
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Of distinct keys those in neither generation; those of the old one
+        are young again."""
+        young, old = self.young, self.old
+        lacking = [k for k in keys if k not in young]
+        if not old:
+            return lacking
+        young.update({k: old[k] for k in lacking if k in old})
+        return [k for k in lacking if k not in old]
+
+    def forget_long(self, keys: Iterable[str]) -> None:
+        for k in keys:
+            if len(k) > LONG:
+                self.young.pop(k, None)
 
 
 class Tokenizer:
@@ -194,19 +218,25 @@ class Tokenizer:
     def learn(self, fresh: Iterable[str]) -> None:
         """Encode chunks not met lately."""
         single: dict[str, str] = {}
+        ended: dict[str, tuple[str, str]] = {}
         pieces: dict[str, list[str | int]] = {}
         for c in fresh:
-            if c.isascii() and c.isalpha():  # most of them: one word
-                single[c] = c.lower()
+            if c.isalpha() and (low := c.lower() if c.isascii() else self._lowered(c)).isalpha():  # most of them: one word
+                single[c] = low
+            elif c.isascii() and c[:-1].isalpha() and not c[-1].isdigit():  # or one and a mark
+                ended[c] = c[:-1].lower(), c[-1]
             else:
                 pieces[c] = self._pieces(c)
-        new = self.words.missing({*single.values(), *(p for own in pieces.values() for p in own if p.__class__ is str)})
+        met = set(single.values()).union(*ended.values())
+        new = self.words.missing(met.union(p for own in pieces.values() for p in own if p.__class__ is str))
         table, known = self.words.young, self.known.young
         table.update(self.code_words(new))
         known.update({c: table[p] for c, p in single.items()})
+        known.update({c: table[p] + table[q] for c, (p, q) in ended.items()})
         known.update({c: b"".join([table[p] if p.__class__ is str else int(p).to_bytes(4, "little") for p in own]) for c, own in pieces.items()})
+        self.words.forget_long(new)
 
-    def code_words(self, words: set[str]) -> dict[str, bytes]:
+    def code_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of words that are no longer than a piece of the pattern."""
         letters = self._letters
         spelt = {p: p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]) for p in words}
@@ -217,15 +247,25 @@ class Tokenizer:
         """Ids of words in the vocabulary's letters."""
         return self.trie.encode(spelt)
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian 32-bit numbers; none for null."""
-        split = [chunks(t) if t else [] for t in texts]
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids as little-endian 32-bit numbers; none for null. Distinct chunks
+        are looked up once, and their ids gathered for all places."""
+        split = chunk_lists(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         self.known.turn()
         self.words.turn()
-        if fresh := self.known.missing(set().union(*split)):
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(False).tolist()
+        if fresh := self.known.missing(distinct):
             self.learn(fresh)
-        get = self.known.young.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        own = [self.known.young[c] for c in distinct]
+        self.known.forget_long(fresh)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        every, at = np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy(False)
+        size = sizes[at]
+        ends = np.cumsum(size)
+        gathered = every[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [gathered[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' names with a space between, as a tokenizer file without
@@ -260,7 +300,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for b in slices(batches, at):
-            ids = coder.encode_batch(b.column(at).to_pylist())
+            ids = coder.encode_batch(b.column(at))
             made = [pa.array(ids, pa.binary())] + [pa.array(map(coder.decode, ids), pa.string())] * decoded
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *(f[0] for f in fields)])
 

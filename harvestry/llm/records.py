@@ -125,7 +125,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, file
         encoder = _encoder(path)
         end = end_id.to_bytes(4, "little")
         for b in slices(batches, 1):
-            ids = encoder.encode_batch(b.column(1).to_pylist())
+            ids = encoder.encode_batch(b.column(1))
             frames = pa.array([framed(i, encoder.pack(t + end), encoder.width) for i, t in zip(b.column(0).to_pylist(), ids, strict=True)], pa.binary())
             # The writer copies a string's bytes as they are.
             yield pa.RecordBatch.from_arrays([frames.view(pa.utf8())], ["value"])

@@ -536,3 +536,81 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     seen = lambda df: Counter((r.doc_id, r.source, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in df.collect())
     assert seen(encode(spark, spark.createDataFrame(list(mixed.elements()), read.schema), folder)) == want
     assert seen(corpus_pipeline.run(spark, folder)) == want
+
+
+@pytest.mark.parametrize("largest", [1.0, 3e6, 5e9, 4e13])
+def test_top_k_of_large_components(spark, largest):
+    """Scores are exact whole numbers, beyond 64 bits as well."""
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([-1, 1]) * largest * rng.random() for _ in range(4)]) for i in range(60)] + [(100, [largest, 0.0, 0.0, 0.0]), (101, [1e300, 0.0, 0.0, 0.0])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5)
+    whole = {i: [int(np.floor(64 * x)) for x in e] for i, e in rows if i != 101}
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:5]
+        want += [(q, r + 1, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, c) in enumerate(best)]
+    assert [tuple(r) for r in out.orderBy("query_id", "rank").collect()] == want
+
+
+def test_long_word_in_little_memory():
+    import tracemalloc
+
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefghinoprst") for _ in range(200_000))
+    coder = bpe.Tokenizer(vocabulary())
+    tracemalloc.start()
+    got = coder.encode_batch([word, "a " + word[:300] + " b"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and not coder.known.young.keys() - {"a", "b"}
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def _plain_edits(notice, words):
+    """For each end in words the fewest edits of the notice that ends there."""
+    row = list(range(len(notice) + 1))
+    best = []
+    for c in words:
+        above = row
+        row = [0]
+        for i, n in enumerate(notice):
+            row.append(min(above[i] + (n != c), above[i + 1] + 1, row[i] + 1))
+        best.append(row[-1])
+    return best
+
+
+def test_notices_against_edit_distance():
+    rng = random.Random(9)
+    notices = list(licenses.NOTICES)
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            own = list(rng.choice(notices))
+            for _ in range(rng.randrange(9)):
+                i = rng.randrange(len(own))
+                own[i : i + 1] = rng.choice(["", "x", "q" + own[i]])
+            parts.append("".join(own))
+        text = " some words between ".join(parts)
+        words = " ".join(text.split())
+        labels = set()
+        best = 0.0
+        for n, label in licenses.NOTICES.items():
+            edits = min(_plain_edits(n, words))
+            if edits <= licenses.budget(n):
+                labels.add(label)
+                best = max(best, 1 - edits / len(n))
+        got = licenses.scan_text(text)
+        assert set(filter(None, got[5].split(","))) == labels | set(filter(None, got[4].split(",")))
+        assert got[6] == (1.0 if got[1] else pytest.approx(best))
+
+
+def test_repeated_notices_in_linear_time():
+    import time
+
+    for text in ("released under the mit license ", "relesed undr the mit licence foo "):
+        started = time.time()
+        found = licenses.scan_text(text * 20_000)
+        assert len(found[7]) == 20_000 and time.time() - started < 5
