@@ -47,10 +47,22 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
-def chunk_lists(texts: pa.Array) -> pa.ListArray:
+#: A sentence mark behind a letter that stays one letter when normalised.
+_ENDED = r"([0-9A-Za-zÀ-ÖØ-öø-įı-ſ])([.,;:!?])(\s|$)"
+
+
+def chunk_lists(texts: pa.Array, mark: str) -> pa.ListArray:
     """The chunks of each text; of null none. Runs of white space at a text's
-    ends leave empty chunks, which have no ids."""
+    ends leave empty chunks, which have no ids.
+
+    So that there are fewer distinct chunks, a sentence mark between a Latin
+    letter or a digit and white space is a chunk of its own, as it is a word of its own
+    anyway, and A-Z are lower-cased here, unless ``mark`` tells that a text may
+    hold added tokens, which are found as they are written."""
     texts = texts.fill_null("")
+    if not pc.any(pc.match_substring(texts, mark)).as_py():
+        texts = pc.ascii_lower(texts)
+    texts = pc.replace_substring_regex(texts, _ENDED, r"\1 \2\3")
     if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
         return pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
     return pc.utf8_split_whitespace(texts)
@@ -250,7 +262,7 @@ class Tokenizer:
     def encode_batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids as little-endian 32-bit numbers; none for null. Distinct chunks
         are looked up once, and their ids gathered for all places."""
-        split = chunk_lists(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        split = chunk_lists(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), self._mark)
         self.known.turn()
         self.words.turn()
         coded = split.flatten().dictionary_encode()

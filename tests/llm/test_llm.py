@@ -614,3 +614,19 @@ def test_repeated_notices_in_linear_time():
         started = time.time()
         found = licenses.scan_text(text * 20_000)
         assert len(found[7]) == 20_000 and time.time() - started < 5
+
+
+@pytest.mark.parametrize("coder", [bpe.Tokenizer, records.LibraryEncoder])
+def test_encoders_on_odd_texts(coder):
+    """Marks, capitals, added tokens and characters that change when normalised."""
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    own, rng = coder(vocabulary()), random.Random(3)
+    letters = "aAbÉé.,;:!?'\"() \t\n\x0b\x1c\x85\u00a0\u3000ΣσςİiÍ\u0301\u0307\u0958中文١2<|>s "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    texts = [t + rng.choice(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>."]) + "A." if rng.random() < 0.1 else t for t in texts]
+    for k in range(0, len(texts), 7):
+        got = own.encode_batch(texts[k : k + 7])
+        for text, ids in zip(texts[k : k + 7], got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
