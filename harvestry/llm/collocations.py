@@ -27,7 +27,7 @@ from .common import column, slices, written
 
 #: Text of a block (a longer one is a block of its own), and of what is split
 #: at once; neighbouring ids that are counted at once.
-BLOCK, CHUNK, COUNTED = 4 << 20, 1 << 20, 1_500_000
+BLOCK, CHUNK, COUNTED = 4 << 20, 1 << 20, 750_000
 #: Frequent words or pairs that may be sent to every task.
 SENT = 500_000
 #: Ids along the side of a tile; a tile is dense if it holds as many pairs as
@@ -54,8 +54,8 @@ def word_numbers(data: bytes, chunk: int = CHUNK) -> tuple[list[bytes], np.ndarr
             if end < 0:
                 end = min((x for x in (data.find(b" ", at + chunk), data.find(b"\n", at + chunk)) if x >= 0), default=len(data))
         coded = pa.array(data[at:end].replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode()
-        own = []
-        for w in coded.dictionary.to_pylist():
+        own: list[int] = []
+        for w in coded.dictionary.to_numpy(False).tolist():
             if (number := numbers.get(w)) is None:
                 number = numbers[w] = len(words)
                 words.append(w)
