@@ -139,13 +139,17 @@ def legacy_records(elements: DataFrame, rule: dict, keys: list[str]) -> DataFram
     return fill_raw_id(records, pattern) if pattern else records
 
 
+def raw_id_of(url: Column, pattern: str) -> Column:
+    """Group 1 of ``pattern`` on a URL; null without a match."""
+    target, source = F.coalesce(url, F.lit("")), java_regex(pattern)
+    return F.when(target.rlike(source), F.regexp_extract(target, source, 1))
+
+
 def fill_raw_id(items: DataFrame, pattern: str, url: str = "url") -> DataFrame:
     """raw_id from group 1 of ``pattern`` on the URL, only where it is empty
     and only on a match."""
     present = F.col("raw_id") if "raw_id" in items.columns else F.lit(None).cast("string")
-    target = F.coalesce(F.col(url), F.lit("")) if url in items.columns else F.lit("")
-    source = java_regex(pattern)
-    found = F.when(target.rlike(source), F.regexp_extract(target, source, 1))
+    found = raw_id_of(F.col(url) if url in items.columns else F.lit(""), pattern)
     empty = F.coalesce(present, F.lit("")) == ""
     return items.withColumn("raw_id", F.when(empty, F.coalesce(found, present)).otherwise(present))
 
