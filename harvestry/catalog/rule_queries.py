@@ -12,8 +12,8 @@ RULES = [
     {"rule_id": "links", "source": {"platform": "nav"}, "list": {"items_path": "css:nav li"}, "dedup": {"url_to_id_pattern": r"/(\w+)$"},
      "extract": {"title": {"selector": "a"}, "url": {"type": "attribute", "selector": "a", "attribute": "href"}}, "governance": {"dedup": "hash", "required_fields": ["title", "url", "raw_id"], "min_completeness": 1.0}},
     {"rule_id": "ads", "source": {"platform": "ad"}, "list": {"items_path": "xpath://div[@class='ad']"}, "extract": {"body": {}, "title": {"selector": "p"}}, "governance": {"dedup": "", "required_fields": ["title", "body"], "min_completeness": 0.5}},
-    {"rule_id": "heads", "source": {"platform": "head"}, "list": {"items_path": "css:html > head"},
-     "extract": {"title": {"selector": "title", "transform": "trim"}, "links": {"type": "list", "selector": "meta"}}, "governance": {"dedup": "simhash", "simhash_threshold": 0, "required_fields": ["title"]}},
+    {"rule_id": "heads", "source": {"platform": "head"}, "list": {"items_path": "css:body > nav"},
+     "extract": {"title": {"selector": "li:first-child", "transform": "trim"}, "links": {"type": "list", "selector": "a::attr(href)"}}, "governance": {"dedup": "simhash", "simhash_threshold": 0, "required_fields": ["title"]}},
     {"rule_id": "off", "enabled": False, "list": {"items_path": "css:p"}, "extract": {"title": {}}},
     {"rule_id": "broken", "list": {"items_path": "css:p:hover"}, "extract": {"title": {}}},
     {"rule_id": "links", "list": {"items_path": "css:p"}, "extract": {"title": {}}},
@@ -22,7 +22,7 @@ RULES = [
 _SQL = f"""WITH {LI_SQL},
     l AS (SELECT DISTINCT trim(regexp_replace(body, '<[^>]+>', '', 'g')) AS title, trim(regexp_extract(body, 'href="([^"]*)"', 1)) AS url FROM li),
     lk AS (SELECT title, url, nullif(regexp_extract(url, '/([a-zA-Z0-9_]+)$', 1), '') AS raw_id FROM l),
-    hd AS (SELECT DISTINCT regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM pages)"""
+    hd AS (SELECT DISTINCT trim(regexp_replace(body, '<[^>]+>', '', 'g')) AS t FROM li WHERE pos = 0)"""
 _FULL = "round((CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN url <> '' THEN 1 ELSE 0 END + CASE WHEN raw_id IS NOT NULL THEN 1 ELSE 0 END) / 3.0, 4)"
 
 
