@@ -28,6 +28,8 @@ from .common import column, slices, written
 #: Text of a block (a longer one is a block of its own), and of what is split
 #: at once; neighbouring ids that are counted at once.
 BLOCK, CHUNK, COUNTED = 4 << 20, 1 << 20, 750_000
+#: Ids of a row in which a block is kept.
+STRETCH = 1 << 14
 #: Frequent words or pairs that may be sent to every task.
 SENT = 500_000
 #: Ids along the side of a tile; a tile is dense if it holds as many pairs as
@@ -170,12 +172,22 @@ def _word_ids(shared: Broadcast, width: str):
             met = [(i, known[w]) for i, w in enumerate(words) if w in known]
             if met:
                 i, ids = np.array(met, np.int64).T
-                yield _block(block, lang, _looked_up(at, i, ids), width)
+                yield _stretches(block, lang, _looked_up(at, i, ids), width)
             block += 1
 
     return step
 
 
+def _stretches(block: int, lang: str, ids: np.ndarray, width: str) -> pa.RecordBatch:
+    """A block in rows of some STRETCH ids, cut where no id is: no pair lies
+    there, and small values are what readers and writers of tables like."""
+    gaps = np.flatnonzero(ids < 0)
+    at = np.searchsorted(gaps, np.arange(STRETCH, len(ids), STRETCH))
+    cuts = np.unique(gaps[at[at < len(gaps)]])
+    parts = [p.astype(width) for p in np.split(ids, cuts) if (p >= 0).any()]
+    return _batch({"block": pa.array(np.full(len(parts), block)), "lang": pa.array([lang] * len(parts), pa.string()), "ids": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
 def _block(block: int, lang: str, ids: np.ndarray, width: str) -> pa.RecordBatch:
     return _batch({"block": pa.array([block]), "lang": pa.array([lang], pa.string()), "ids": pa.array([ids.astype(width).tobytes()], pa.binary())})
 
@@ -265,7 +277,7 @@ def _level_one(own: DataFrame, words: DataFrame, count: int, sent: int, width: s
         for b in batches:
             for block, lang, at, met in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 i, ids = (met.values.field(k).to_numpy(False) for k in (0, 1))
-                yield _block(block, lang, _looked_up(np.frombuffer(at.as_buffer(), "<i4"), i, ids), width)
+                yield _stretches(block, lang, _looked_up(np.frombuffer(at.as_buffer(), "<i4"), i, ids), width)
 
     return places.mapInArrow(step, schema)
 

@@ -51,6 +51,7 @@ def collocation_rows(seed, n=400):
 def test_collocations(spark, sent, absorb, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK", 400)
     monkeypatch.setattr(collocations, "CHUNK", 50)
+    monkeypatch.setattr(collocations, "STRETCH", 30)
     rows = collocation_rows(3) + [("new york city hall " * 30, "en"), ("", "en"), (None, None), (" .,; ", "fr")]
     docs = spark.createDataFrame(rows, "text string, lang string").withColumn("n", F.lit("clash"))
     got = collocations.collocations(docs, 5, 6, 25, absorb, sent=sent).collect()
