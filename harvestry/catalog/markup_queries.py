@@ -268,3 +268,32 @@ def _(t):
     pages = t.pages.select("page_id", "url", (F.length("html") % 5).alias("item_count"))
     cfg = {"enabled": True, "trigger": {"when_empty": True, "domains": ["example.org"], "img_keywords": ["xyzzy"]}}
     return lists.image_trigger(pages, images, cfg, ["page_id"]).select("page_id", "triggered")
+
+
+# Response documents with lists, names that vary and two levels of items.
+def _responses(t):
+    row = lambda n, x: F.struct(F.lit(n).alias("no"), (F.col("event_id") * 10 + n).alias("id"), x.alias("score"))
+    items = F.array(row(0, F.col("value")), row(1, F.col("value") * 2), row(2, F.lit(None).cast("double")))
+    body = F.struct(F.struct(items.alias("rows"), F.col("event_type").alias("id")).alias("page"), F.array(F.lit(7), F.lit(8), F.lit(9)).alias("codes"), F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user")).alias("by"))
+    return t.even("events").select("event_id", F.to_json(body).alias("body"))
+
+
+_JSON_FORMS = [
+    ("json_descent", "$..id", "SELECT event_id, 0 AS pos, event_type AS value FROM events UNION ALL SELECT event_id, n + 1, (event_id * 10 + n)::VARCHAR FROM events, (VALUES (0), (1), (2)) x(n)"),
+    ("json_slices", "$.page.rows[1:].id | $.codes[::-2]", "SELECT event_id, n - 1 AS pos, (event_id * 10 + n)::VARCHAR AS value FROM events, (VALUES (1), (2)) x(n) UNION ALL SELECT event_id, p, c FROM events, (VALUES (2, '9'), (3, '7')) y(p, c)"),
+    ("json_unions", "$.by['user','kind']", "SELECT event_id, 0 AS pos, user_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 1, event_type FROM events"),
+    ("json_wildcards", "$.by.*", "SELECT event_id, 0 AS pos, event_type AS value FROM events UNION ALL SELECT event_id, 1, user_id::VARCHAR FROM events"),
+    ("json_filters", "$.page.rows[?(@.score > 30 && @.no != 0 || @.no == 2)].id",
+     "SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY n) - 1)::INTEGER AS pos, (event_id * 10 + n)::VARCHAR AS value FROM events, (VALUES (0), (1), (2)) x(n) WHERE (n = 1 AND value * 2 > 30) OR n = 2"),
+]
+
+
+def _json_form(name, path, sql):
+    @query(name, sql)
+    def _(t):
+        found = extract.json_items(_responses(t), "body", path, ["event_id"])
+        return found.select("event_id", "pos", F.col("item").alias("value"))
+
+
+for _form in _JSON_FORMS:
+    _json_form(*_form)

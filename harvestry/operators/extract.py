@@ -12,6 +12,7 @@ from ..functions.transforms import apply_transforms
 from ..functions.urls import transform_url
 from ..sources.html_nodes import with_fragment
 from . import dom
+from .jsonpath import compiled, find_texts
 
 _CLASS_PATH = re.compile(r"//(\w+)\[@class=['\"]([^'\"]+)['\"]\]")
 _CONTAINS_PATH = re.compile(r"//(\w+)\[contains\(@class,\s*'([^']+)'\)\]")
@@ -191,7 +192,10 @@ def _step(found: Column, part: str, wildcard: bool) -> Column:
 
 
 def _find_first(parsed: Column, path: str) -> Column:
+    compiled(path)
     parts = _json_path(path)
+    if parts is None:
+        return F.try_parse_json(F.try_element_at(find_texts(F.to_json(parsed), path), F.lit(1)))
     if parts is None or len(parts) > 1:
         return F.try_element_at(_find(parsed, path), F.lit(1))
     many = F.try_variant_get(parsed, parts[0], "array<variant>")
@@ -200,9 +204,15 @@ def _find_first(parsed: Column, path: str) -> Column:
 
 def json_find(value: Column | str, path: str) -> Column:
     """All matches of a JSONPath as ``array<variant>``; a match that is a list
-    gives its elements, a bad path or bad JSON an empty array. An empty path
-    means ``$.data``."""
-    return _find(F.try_parse_json(col(value)), path)
+    gives its elements, bad JSON an empty array. An empty path means
+    ``$.data``; one that can't be read is refused with a ValueError.
+
+    Names, indexes and ``[*]`` are looked up in the parsed document; descent,
+    slices, unions, filters and wildcards over names take a walk over it."""
+    compiled(path)
+    if _json_path(path) is not None:
+        return _find(F.try_parse_json(col(value)), path)
+    return F.transform(find_texts(col(value), path), F.try_parse_json)
 
 
 def json_text(v: Column) -> Column:

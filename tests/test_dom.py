@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from harvestry.operators import archive, dom, extract, lists, selectors
+from harvestry.operators import archive, dom, extract, jsonpath, lists, selectors
 from harvestry.sources.html_nodes import node_table, parse_nodes, with_fragment
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a="<p>";</script></head>
@@ -248,13 +248,43 @@ def test_json_paths(spark):
 
     assert found("")[0] == ['{"id":1}', '{"id":2}'] and found("")[1:] == [[], []]
     assert found("data[*].id")[0] == ["1", "2"] and found("$.a.b")[0] == ["x", '["y"]'] and found("a.s")[0] == ["[no]"]
-    assert found("e")[0] == [] and found("$.zz[*].q")[0] == [] and found("$..[bad")[0] == []
+    assert found("e")[0] == [] and found("$.zz[*].q")[0] == []
     first = lambda p: df.select(extract.json_first("v", p)).first()[0]
     assert [first(p) for p in ("a.b", "data", "e", "a.t", "none", "data[1].id", "$.data[*].id")] == ["x", '{"id":1}', "", "true", "", "2", "1"]
     rec = extract.api_records(df.limit(1), [{"name": "u", "type": "computed", "value": "{t}/{i}", "vars": {"t": "a.t", "i": "data[0].id"}}], [], "v").first()
     assert rec.u == "True/1"
 
 
+STORE = """{"a": {"b": [{"id": 1, "p": 8.50, "t": "x"}, {"id": 2, "p": 12, "t": "y", "sub": {"id": 9}}, {"id": 3, "t": null}], "id": 0}, "list": [0, 1, 2, 3, 4, 5], "o": {"k": 1, "m": [2, 3]}, "q'r": "s", "big": 12345678901234567890, "e": 1e3}"""
+
+
+@pytest.mark.parametrize(
+    "path,want",
+    [
+        ("$..id", ["0", "1", "2", "9", "3"]), ("$.a..id", ["0", "1", "2", "9", "3"]), ("$.a.b..id", ["1", "2", "9", "3"]), ("$.list[1:3]", ["1", "2"]), ("$.list[-2:]", ["4", "5"]), ("$.list[::2]", ["0", "2", "4"]), ("list[::-3]", ["5", "2"]),
+        ("$.list[0,2,9]", ["0", "2"]), ("$.list[-1]", ["5"]), ("$.o.*", ["1", "2", "3"]), ("$.a.b[0]['id','t']", ["1", '"x"']), ("$.a.b[?(@.p > 9)].id", ["2"]), ("$.a.b[?(@.p < 9 || @.id == 3)].id", ["1", "3"]),
+        ("$.a.b[?(@.t == 'x' && @.p)].p", ["8.50"]), ("$.a.b[?(!@.p)].id", ["3"]), ("$.a.b[?(@.t != 'x')].id", ["2", "3"]), ("$.a.b[?(@.sub.id >= 9)].t", ['"y"']), ("$.a.b[?(@.t == null)].id", ["3"]), ("$['q\\'r']", ['"s"']),
+        ("$.big | $.e", ["12345678901234567890", "1e3"]), ("$..m", ["2", "3"]), ("$..*[?(@.id == 9)]", []), ("$.o..*", ["1", "2", "3", "2", "3"]), ("$.list[?(@ >= 4)]", ["4", "5"]), ("$.none..x", []),
+    ],
+)
+def test_json_path_forms(path, want):
+    assert jsonpath.found(STORE, path) == want
+
+
+def test_json_path_forms_as_columns(spark):
+    df = spark.createDataFrame([(STORE,), ("{bad",), (None,), ('{"a": NaN}',), ('{"id": 1, "id": 2}',)], "v string")
+    rows = df.select(F.transform(extract.json_find("v", "$..id"), extract.json_text).alias("x"), extract.json_first("v", "$.list[3:]").alias("f")).collect()
+    assert [list(r.x) for r in rows] == [["0", "1", "2", "9", "3"], [], [], [], []] and [r.f for r in rows] == ["3", "", "", "", ""]
+    # Both ways of looking up agree on what both can do.
+    for path in ("$.a.b[*].id", "list", "a.b[1].sub.id", "$['o']['m']", "$.a.b", "e", "big"):
+        plain = df.limit(1).select(F.transform(extract.json_find("v", path), extract.json_text)).first()[0]
+        walked = df.limit(1).select(F.transform(jsonpath.find_texts(F.col("v"), path), lambda t: extract.json_text(F.try_parse_json(t)))).first()[0]
+        assert list(plain) == list(walked), path
+    for bad in ("$..[bad", "$.a[", "$[?(@.x =! 1)]", "$.a[0:1:0]", "a b", "$..", "$.a[]", "$.a['x'"):
+        with pytest.raises(ValueError):
+            extract.json_find("v", bad)
+
+
 def test_details_limit_values():
     assert [lists.details_limit(v) for v in (None, "", 0, "0", "all", "Unlimited", -3, "5", 7)] == [None] * 7 + [5, 7]
     assert [lists.preview_size(v) for v in (None, 0, 1, 20, 99)] == [5, 5, 1, 20, 20]
