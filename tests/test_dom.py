@@ -264,7 +264,7 @@ STORE = """{"a": {"b": [{"id": 1, "p": 8.50, "t": "x"}, {"id": 2, "p": 12, "t":
         ("$..id", ["0", "1", "2", "9", "3"]), ("$.a..id", ["0", "1", "2", "9", "3"]), ("$.a.b..id", ["1", "2", "9", "3"]), ("$.list[1:3]", ["1", "2"]), ("$.list[-2:]", ["4", "5"]), ("$.list[::2]", ["0", "2", "4"]), ("list[::-3]", ["5", "2"]),
         ("$.list[0,2,9]", ["0", "2"]), ("$.list[-1]", ["5"]), ("$.o.*", ["1", "2", "3"]), ("$.a.b[0]['id','t']", ["1", '"x"']), ("$.a.b[?(@.p > 9)].id", ["2"]), ("$.a.b[?(@.p < 9 || @.id == 3)].id", ["1", "3"]),
         ("$.a.b[?(@.t == 'x' && @.p)].p", ["8.50"]), ("$.a.b[?(!@.p)].id", ["3"]), ("$.a.b[?(@.t != 'x')].id", ["2", "3"]), ("$.a.b[?(@.sub.id >= 9)].t", ['"y"']), ("$.a.b[?(@.t == null)].id", ["3"]), ("$['q\\'r']", ['"s"']),
-        ("$.big | $.e", ["12345678901234567890", "1e3"]), ("$..m", ["2", "3"]), ("$..*[?(@.id == 9)]", []), ("$.o..*", ["1", "2", "3", "2", "3"]), ("$.list[?(@ >= 4)]", ["4", "5"]), ("$.none..x", []),
+        ("$.big | $.e", ["12345678901234567890", "1e3"]), ("$..m", ["2", "3"]), ("$..*[?(@.id == 9)]", ['{"id":9}']), ("$.o..*", ["1", "2", "3", "2", "3"]), ("$.list[?(@ >= 4)]", ["4", "5"]), ("$.none..x", []),
     ],
 )
 def test_json_path_forms(path, want):
