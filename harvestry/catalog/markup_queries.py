@@ -30,6 +30,18 @@ def _(t):
     return extract.pick_capture(t.pages.select("url", "html"), mobile).select("url", (F.length("html") - F.when(F.col("html").endswith("mobile -->"), 1).otherwise(0)).alias("n_chars"))
 
 
+@query(
+    "capture_fallback_repeated",
+    "SELECT url, CASE WHEN length(html) < 5000 THEN length(html) + 2 ELSE length(html) END AS n_chars FROM pages",
+)
+def _(t):
+    # Two captures of a page in each form; the older one is much longer.
+    own = lambda day, html: t.pages.select("url", F.lit(day).alias("captured_at"), html.alias("html"))
+    old = F.concat("html", F.repeat("html", F.lit(3)))
+    mobile = own(2, F.concat("html", F.lit("mm"))).unionByName(own(1, old))
+    return extract.pick_capture(own(1, old).unionByName(own(2, F.col("html"))), mobile).select("url", F.length("html").alias("n_chars"))
+
+
 @query(
     "node_table",
     "SELECT page_id, tag, count(*) AS nodes FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL",

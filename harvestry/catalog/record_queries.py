@@ -76,6 +76,12 @@ def _(t):
     return dedup.near_pairs(_fps(t), "fp", 3).withColumns({"a_fp": F.hex("a_fp"), "b_fp": F.hex("b_fp")})
 
 
+@query("near_duplicate_pairs_by_scope", f"SELECT s.scope, p.* FROM ({PAIRS_SQL}) p, (VALUES (NULL), ('all')) s(scope)")
+def _(t):
+    both = _fps(t).withColumn("scope", F.explode(F.array(F.lit(None).cast("string"), F.lit("all"))))
+    return dedup.near_pairs(both, "fp", 3, ["scope"]).withColumns({"a_fp": F.hex("a_fp"), "b_fp": F.hex("b_fp")})
+
+
 # Greedy survivors in input order, by recursion over the rank of the document.
 @query(
     "near_duplicate_survivors",
@@ -160,7 +166,7 @@ SUMMARY_SQL = f"""WITH {GOVERNED_SQL}, s AS (SELECT lang, count(*) AS item_count
 
 def governance_summary(t):
     rows = items(t).select("doc_id", "lang", "title", "content")
-    return governance.summarise(governance.govern(rows, POLICY, ["doc_id"], ["lang"], FIELDS), rows, ["lang"], POLICY.min_completeness)
+    return governance.summarise_kept(governance.govern(rows, POLICY, ["doc_id"], ["lang"], FIELDS, "copies"), "copies", ["lang"], POLICY.min_completeness)
 
 
 query("governance_summary", SUMMARY_SQL)(governance_summary)
@@ -334,7 +340,7 @@ def _(t):
 @query("task_event_replay", f"WITH {EVENTS_SQL} SELECT seq, type, message FROM task_events WHERE task_id = (SELECT max(user_id) FROM events)")
 def _(t):
     top = t.events.agg(F.max("user_id").alias("task_id"))
-    return task_events(t).join(F.broadcast(top), "task_id", "left_semi").orderBy("seq").select("seq", "type", "message")
+    return run_ops.replay(task_events(t), top).select("seq", "type", "message")
 
 
 @query(

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_folder
+from ..sources import writers
 from ..streaming import batches, events
 from . import query
 from .fixtures import EVENTS_SQL, task_events
-from .record_queries import FOLD_SQL, RULE_V2
+from .record_queries import FOLD_SQL, RULE_V2, _lines
 
 
 class Streams:
@@ -67,6 +68,15 @@ def _(t):
     return _to_table(events.terminal_states(stream, idle_seconds=86_400, late_seconds=21_600, keep_seconds=90 * 86_400), t, "append").drop("batch")
 
 
+@query("stream_event_lines", f"WITH {EVENTS_SQL} SELECT type, count(*) AS events, sum(CASE WHEN type = 'complete' THEN new_count END)::BIGINT AS new_count FROM task_events WHERE type IN ('error', 'skip', 'complete') GROUP BY type")
+def _(t):
+    # Lines of all events as files; blank and broken ones are among them.
+    path = f"{scratch_folder(t.spark)}/lines"
+    writers.save_events(_lines(t), path, "run")
+    rows = _to_table(events.event_stream(t.spark, path).select("type", "new_count"), t, "append")
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("events"), F.sum("new_count").alias("new_count"))
+
+
 @query("stream_event_log", "SELECT user_id AS task_id, count(*) AS events FROM events GROUP BY user_id")
 def _(t):
     out = scratch_folder(t.spark)

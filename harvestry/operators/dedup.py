@@ -171,14 +171,16 @@ def near_pairs(fps: DataFrame, fp: str, threshold: int = 3, scope: list[str] | N
     of ``threshold + agree``, 32 bits at the defaults. A pair that meets in
     several bands is kept in the first one, so no distinct is needed afterwards.
     """
-    scope = scope or []
+    own, scope = scope or [], ["_scope"] if scope else []
     if threshold <= 0:
-        none = fps.limit(0)
+        scope, none = own, fps.limit(0)
         return none.select(*scope, F.col("first_seq").alias("a_seq"), F.col("first_seq").alias("b_seq"),
                            F.col(fp).alias("a_fp"), F.col(fp).alias("b_fp"), F.lit(0).alias("distance"))
     masks = band_masks(threshold, agree)
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col(fp).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = fps.select(*scope, fp, "first_seq", F.explode(bands).alias("b")).select(*scope, fp, "first_seq", "b.band", "b.key")
+    # Nulls within a struct are equal, so a null scope has its pairs as well.
+    run = [F.struct(*own).alias("_scope")] if own else []
+    keyed = fps.select(*run, fp, "first_seq", F.explode(bands).alias("b")).select(*scope, fp, "first_seq", "b.band", "b.key")
     at = [*scope, "band", "key"]
     a = keyed.select(*at, F.col(fp).alias("a_fp"), F.col("first_seq").alias("a_seq"))
     b = keyed.select(*at, F.col(fp).alias("b_fp"), F.col("first_seq").alias("b_seq"))
@@ -189,7 +191,7 @@ def near_pairs(fps: DataFrame, fp: str, threshold: int = 3, scope: list[str] | N
         a.join(b, at)
         .filter((F.col("a_seq") < F.col("b_seq")) & (hamming("a_fp", "b_fp") <= threshold))
         .filter(first_band == F.col("band"))
-        .select(*scope, "a_seq", "b_seq", "a_fp", "b_fp", hamming("a_fp", "b_fp").alias("distance"))
+        .select(*[F.col("_scope")[c].alias(c) for c in own], "a_seq", "b_seq", "a_fp", "b_fp", hamming("a_fp", "b_fp").alias("distance"))
     )
 
 

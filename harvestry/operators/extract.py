@@ -11,7 +11,7 @@ from ..functions.text import col, strip
 from ..functions.transforms import apply_transforms
 from ..functions.urls import transform_url
 from ..sources.html_nodes import with_fragment
-from . import dom
+from . import dedup, dom
 from .jsonpath import compiled, find_texts
 
 _CLASS_PATH = re.compile(r"//(\w+)\[@class=['\"]([^'\"]+)['\"]\]")
@@ -259,8 +259,8 @@ def api_records(items: DataFrame, fields: list[dict], keys: list[str], item: str
 
 
 def pick_capture(desktop: DataFrame, mobile: DataFrame, min_chars: int = 5000) -> DataFrame:
-    """(url, html): the desktop capture unless it is short and a mobile one
-    exists."""
-    m = mobile.select("url", F.col("html").alias("_mobile"))
+    """(url, html): the newest desktop capture of each url, unless it is short
+    and a mobile one exists, of which the newest counts as well."""
+    m = dedup.latest_capture(mobile).withColumnRenamed("html", "_mobile")
     short = F.length("html") < min_chars
-    return desktop.join(m, "url", "left").select("url", F.when(short, F.coalesce("_mobile", "html")).otherwise(F.col("html")).alias("html"))
+    return dedup.latest_capture(desktop).join(m, "url", "left").select("url", F.when(short, F.coalesce("_mobile", "html")).otherwise(F.col("html")).alias("html"))

@@ -63,22 +63,26 @@ def annotate(df: DataFrame, fields: list[str], required: tuple[str, ...] | list[
     return safe.withColumns({"field_completeness": completeness(safe, required), "content_hash": record_hash(safe, fields)})
 
 
-def govern(items: DataFrame, policy: Policy, order: list[str], scope: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+def govern(items: DataFrame, policy: Policy, order: list[str], scope: list[str] | None = None, fields: list[str] | None = None, copies: str | None = None) -> DataFrame:
     """Governed items of a run with their governance columns.
 
     ``fields`` are the record's own columns; everything else passes through.
     The de-duplication hash is taken after cleaning and before risk removal.
+    ``copies`` names a column with the number of items that each kept one
+    stands for; near-duplicates (``simhash``) have none.
     """
     scope = scope or []
     names = list(fields or policy.fields)
     cleaned = text.clean_record(spread(items), names, policy.sanitize)
     if policy.dedup in ("hash", "minhash"):
         hashed = cleaned.withColumn("dedup_hash", record_hash(cleaned, names))
-        cleaned = dedup.exact(hashed, "dedup_hash", order, scope)
+        cleaned = dedup.exact(hashed, "dedup_hash", order, scope, copies)
     elif policy.dedup == "simhash":
         strings = [n for n in names if n in text.string_fields(cleaned)]
         printed = cleaned.withColumn("simhash", simhash64(text.record_text(strings)))
         cleaned = dedup.near_survivors(printed, "simhash", order[0], policy.simhash_threshold, scope)
+    elif copies:
+        cleaned = cleaned.withColumn(copies, F.lit(1).cast("bigint"))
     return annotate(cleaned, names, policy.required_fields)
 
 
@@ -99,11 +103,24 @@ def score(item_count: Column, mean_completeness: Column, risk_count: Column, min
     }
 
 
+def summarise_kept(governed: DataFrame, copies: str, scope: list[str], min_completeness: float = 0.8) -> DataFrame:
+    """The same from governed items that know how many ``copies`` they stand
+    for: one pass over the items."""
+    rows = governed.groupBy(*scope).agg(F.count(F.lit(1)).alias("_kept"), F.sum(copies).alias("_in"), F.count_if("injection_risk").alias("_risk"), F.avg("field_completeness").alias("_full"))
+    return _summary(rows, scope, F.col("_kept"), F.col("_risk"), min_completeness)
+
+
+def _summary(rows: DataFrame, scope: list[str], items: Column, risk: Column, min_completeness: float) -> DataFrame:
+    parts = score(items, F.col("_full"), risk, min_completeness)
+    return rows.select(*scope, items.alias("item_count"), (F.col("_in") - items).alias("duplicate_count"), risk.alias("injection_risk_count"), *[c.alias(n) for n, c in parts.items()])
+
+
 def summarise(governed: DataFrame, incoming: DataFrame, scope: list[str], min_completeness: float = 0.8) -> DataFrame:
     """One row per run: counts, completeness, quality, status.
 
     ``incoming`` are the items before governance. Runs that appear only there
-    end with zero items, completeness 1.0.
+    end with zero items, completeness 1.0. Where governed items know their
+    copies, ``summarise_kept`` needs no second look at the items.
     """
     total = incoming.groupBy(*scope).agg(F.count(F.lit(1)).alias("_in"))
     kept = governed.groupBy(*scope).agg(
@@ -117,11 +134,4 @@ def summarise(governed: DataFrame, incoming: DataFrame, scope: list[str], min_co
         total, kept = total.withColumn("_run", F.struct(*scope)), kept.withColumn("_run", F.struct(*scope)).drop(*scope)
     both = total.join(kept, "_run" if scope else "_one", "left")
     items, risk = F.coalesce(F.col("_kept"), F.lit(0)), F.coalesce(F.col("_risk"), F.lit(0))
-    parts = score(items, F.col("_full"), risk, min_completeness)
-    return both.select(
-        *scope,
-        items.alias("item_count"),
-        (F.col("_in") - items).alias("duplicate_count"),
-        risk.alias("injection_risk_count"),
-        *[c.alias(n) for n, c in parts.items()],
-    )
+    return _summary(both, scope, items, risk, min_completeness)

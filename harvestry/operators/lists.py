@@ -183,8 +183,9 @@ def governance_records(files: DataFrame) -> DataFrame:
 
 
 def governance_totals(records: DataFrame, files: int | None = None, order: list[Column] | None = None) -> DataFrame:
-    """Totals over all files, or the ``files`` newest; means are 0 when there are none."""
-    top = records if files is None else newest(records, order or [F.col("file_name").desc()], files)
+    """Totals over all files, or the ``files`` newest, of equal names by subject
+    and platform; means are 0 when there are none."""
+    top = records if files is None else newest(records, order or [F.col("file_name").desc(), F.col("subject"), F.col("platform")], files)
     mean = lambda c: F.coalesce(F.round(F.avg(c), 4), F.lit(0.0))
     return top.agg(
         F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("item_count"), F.lit(0)).alias("total_items"),

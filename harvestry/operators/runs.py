@@ -282,5 +282,9 @@ def close_tasks(folded: DataFrame, return_code: str | None = None) -> DataFrame:
     return folded.withColumn("final_status", F.when(F.col("final_status") == "running", ended).otherwise(F.col("final_status")))
 
 
-def replay(events: DataFrame, task_id: int) -> DataFrame:
-    return events.filter(F.col("task_id") == task_id).orderBy("seq")
+def replay(events: DataFrame, task: int | DataFrame) -> DataFrame:
+    """Events of a task in their order; ``task`` is its id, or a table
+    (task_id) of those to replay one after another."""
+    if isinstance(task, DataFrame):
+        return events.join(task.select("task_id"), "task_id", "left_semi").orderBy("task_id", "seq")
+    return events.filter(F.col("task_id") == task).orderBy("seq")

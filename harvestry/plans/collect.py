@@ -79,6 +79,8 @@ def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fiel
         marked = dedup.split_seen(items, registry, strict_reference)
     marked = cut_lineage(marked) if materialise else marked
     fresh = F.col("matched_existing_id").isNull()
+    if not materialise and policy.dedup != "simhash":
+        return _run_once(marked, policy, fields, scope)
     kept, filtered = marked.filter(fresh).drop("matched_existing_id", "filter_reason"), marked.filter(~fresh)
     governed = governance.govern(kept, policy, ["seq"], scope, fields)
     governed = cut_lineage(governed) if materialise else governed
@@ -96,6 +98,28 @@ def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fiel
     return RunOutcome(raw, kept, filtered, governed, summary, fields)
 
 
+def _run_once(marked: DataFrame, policy: Policy, fields: list[str], scope: list[str]) -> RunOutcome:
+    """The outcome with totals that come from the governed items: those seen
+    before are governed beside the others, as a group of their own, and every
+    item kept tells how many it stands for. So no table of the run reads the
+    items twice."""
+    fresh = F.col("matched_existing_id").isNull()
+    bare = marked.drop("matched_existing_id", "filter_reason")
+    both = governance.govern(marked.withColumn("_seen", ~fresh).drop("matched_existing_id", "filter_reason"), policy, ["seq"], [*scope, "_seen"], fields, "_copies")
+    new = ~F.col("_seen")
+    totals = both.groupBy(*scope).agg(
+        F.sum("_copies").alias("total_collected"), F.coalesce(F.sum(F.when(~new, F.col("_copies"))), F.lit(0)).alias("dedup_filtered"), F.count_if(new).alias("_kept"),
+        F.coalesce(F.sum(F.when(new, F.col("_copies"))), F.lit(0)).alias("_fresh"), F.count_if(new & F.col("injection_risk")).alias("_risk"), F.avg(F.when(new, F.col("field_completeness"))).alias("_full"),
+    )
+    parts = governance.score(F.col("_kept"), F.col("_full"), F.col("_risk"), policy.min_completeness)
+    summary = totals.select(
+        *scope, "total_collected", "dedup_filtered", F.col("_kept").alias("item_count"), (F.col("_fresh") - F.col("_kept")).alias("duplicate_count"),
+        F.col("_risk").alias("injection_risk_count"), *[c.alias(n) for n, c in parts.items()],
+    )
+    kept, filtered = marked.filter(fresh).drop("matched_existing_id", "filter_reason"), marked.filter(~fresh)
+    return RunOutcome(bare, kept, filtered, both.filter(new).drop("_seen", "_copies"), summary, fields)
+
+
 def run_rule(pages: DataFrame, rule: dict, registry: DataFrame | None, run_id: str, keys: list[str] | None = None, materialise: bool = False) -> RunOutcome:
     """A whole collection run of one rule over its captured pages."""
     items = collect_items(pages, rule, keys or ["page_id"]).withColumn("run_id", F.lit(run_id))
