@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, drift
+from ..operators import classify, drift, trend
 from ..sources.html_nodes import with_fragment
 from . import query
+from .stream_queries import _in_cuts, _to_table
 
 RULES = [
     ("spam", "url", "spam-farm"), ("spam", "url", "casino"), ("spam", "keyword", "FREE"), ("de", "keyword", " und "), ("de", "keyword", " nicht "), ("fr", "keyword", " les "), ("es", "keyword", " una "),
@@ -50,3 +51,32 @@ def _(t):
     found = drift.drift_degrees(t.pages, base, ["page_id"])
     degree = F.col("drift_degree")
     return found.select("page_id", F.when(degree.isNull(), "unknown").when(degree == 0, "same").when((degree > 0) & (degree < 1), "changed").alias("kind"))
+
+
+# Items of the event table: a field that errors lack, one that hardly any lacks.
+def _timed(events):
+    title = F.when(F.col("event_type").isin("error", "view") & (F.dayofmonth("ts") > 15) | (F.col("event_type") == "error"), F.lit(" ")).otherwise(F.col("event_type"))
+    return events.select("ts", F.concat(F.lit("u"), F.col("user_id") % 7).alias("platform"), title.alias("title"), F.when(F.col("value") > 1, F.col("props")).alias("props"))
+
+
+_RATES = """items AS (SELECT 'u' || user_id % 7 AS source, date_trunc('day', ts) AS start, ts, (event_type IN ('error', 'view') AND day(ts) > 15) OR event_type = 'error' AS no_title, NOT coalesce(value > 1, false) AS no_props FROM events),
+    lacks AS (SELECT source, start, 'title' AS field, no_title AS lacks FROM items UNION ALL SELECT source, start, 'props', no_props FROM items),
+    rates AS (SELECT source, field, start, count(*) AS items, count(*) FILTER (lacks) AS missing, count(*) FILTER (lacks) * 1000000 // count(*) AS rate FROM lacks GROUP BY ALL)"""
+
+
+@query(
+    "missing_rate_alerts",
+    f"""WITH {_RATES}, e AS (SELECT *, coalesce(sum(rate) OVER b // count(*) OVER b, rate)::BIGINT AS expected FROM rates WINDOW b AS (PARTITION BY source, field ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, sum(rate - expected - 20000) OVER (PARTITION BY source, field ORDER BY start) AS upto FROM e),
+    d AS (SELECT *, (upto - least(0, min(upto) OVER (PARTITION BY source, field ORDER BY start)))::BIGINT AS drift FROM s)
+    SELECT source, field, start, items, missing, rate, expected, drift, drift > 100000 AS alert FROM d""",
+)
+def _(t):
+    return trend.missing_alerts(trend.missing_rates(_timed(t.events), ["title", "props"]))
+
+
+@query("stream_missing_rates", f"WITH {_RATES} SELECT source, field, start, items, missing, rate FROM rates WHERE epoch_ms(start) + 86400000 <= (SELECT epoch_ms(max(ts)) - 21600000 FROM events)")
+def _(t):
+    # Three batches in order of time; the stretches that can still grow stay inside.
+    stream = _in_cuts(t.events, t, 3)
+    return _to_table(trend.missing_rates(_timed(stream), ["title", "props"], late="6 hours"), t, "append").drop("batch")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harvestry.operators import classify, drift
+from harvestry.operators import classify, drift, trend
 from harvestry.sources.html_nodes import parse_nodes, with_fragment
 
 
@@ -72,3 +72,25 @@ def test_drift_grows_with_the_change(spark):
     for k, html in pages:
         two = drift.grams(*_tree(html))
         assert rows[k].drift_degree == pytest.approx(1 - 2 * sum((one & two).values()) / (sum(one.values()) + sum(two.values())), abs=5e-5)
+
+
+def test_alerts_against_a_walk(spark):
+    rng = random.Random(6)
+    rows = []
+    for source in ("a", None):
+        for day in range(40):
+            share = 0.1 if day < 25 or source is None else 0.5
+            rows += [(source, day * 86_400 + rng.randrange(86_400), rng.choice(["", None, " \t"]) if rng.random() < share else "x") for _ in range(30)]
+    df = spark.createDataFrame(rows, "platform string, s long, title string").withColumn("ts", F.timestamp_seconds("s"))
+    got = trend.missing_alerts(trend.missing_rates(df, ["title"]), 20_000, 200_000).orderBy("source", "start").collect()
+    for source in ("a", None):
+        own = [r for r in got if r.source == source]
+        earlier, drift_ = [], 0
+        for day, r in enumerate(own):
+            here = [x for x in rows if x[0] == source and x[1] // 86_400 == day]
+            rate = sum(not (x[2] or "").strip() for x in here) * 1_000_000 // len(here)
+            expected = sum(earlier) // len(earlier) if earlier else rate
+            drift_ = max(0, drift_ + rate - expected - 20_000)
+            earlier.append(rate)
+            assert (r.rate, r.expected, r.drift, r.alert) == (rate, expected, drift_, drift_ > 200_000)
+    assert [r.alert for r in got if r.source == "a"][25:].count(True) > 10
