@@ -7,6 +7,8 @@ every step is a projection without a shuffle. Parsers return a struct
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -408,33 +410,64 @@ def cell_words(ws: Column, left: Column, right: Column, top: Column, bottom: Col
     return F.filter(ws, lambda w: (word_center(w) >= left) & (word_center(w) < right) & (_middle(w) >= top) & (_middle(w) < bottom))
 
 
+def _numbers(lists: pa.Array) -> list[np.ndarray]:
+    """Each list as doubles; a missing value is in no cell."""
+    flat = lists.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(False)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def _in_cells(xs: pa.Array, ys: pa.Array, rows: pa.Array, columns: pa.Array) -> pa.Array:
+    words, in_cell, in_row, in_grid = [], [np.zeros(1, np.int64)], [0], [0]
+    for x, y, r, c in zip(_numbers(xs), _numbers(ys), _numbers(rows), _numbers(columns), strict=True):
+        down, across = max(0, len(r) - 1), max(0, len(c) - 1)
+        i, j = np.searchsorted(r, y, "right") - 1, np.searchsorted(c, x, "right") - 1
+        inside = np.flatnonzero((i >= 0) & (i < down) & (j >= 0) & (j < across))
+        cell = i[inside] * across + j[inside]
+        words.append(inside[np.argsort(cell, kind="stable")])
+        in_cell.append(np.bincount(cell, minlength=down * across))
+        in_row += [in_row[-1] + across * (k + 1) for k in range(down)]
+        in_grid.append(in_grid[-1] + down)
+    cells = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(in_cell)), pa.int32()), pa.array(np.concatenate([*words, np.empty(0, np.int64)]), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(in_grid, pa.int32()), pa.ListArray.from_arrays(pa.array(in_row, pa.int32()), cells))
+
+
+def grid_words(ws: Column, rows: Column, columns: Column) -> Column:
+    """For each row and column of sorted lines the places of the words whose
+    centres lie there, in their order: every word is looked up once among the
+    lines, by halving, so time grows with words and cells and not with both."""
+    found = F.arrow_udf(_in_cells, T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
+    return found(*[c.cast("array<double>") for c in (F.transform(ws, word_center), F.transform(ws, _middle), rows, columns)])
+
+
 def parse_grid(ws: Column | str, grid_rows: Column | str, grid_columns: Column | str, config: dict) -> Column:
     """Records from word boxes over detected table lines; NULL without three
     lines each way or without id and name headers."""
     mapping = _mapping(config.get("column_mapping"))
-    ws = col(ws)
+    ws, rows, cols = col(ws), F.array_sort(col(grid_rows)), F.array_sort(col(grid_columns))
 
-    def whole(rows: Column) -> Column:
-        return let(F.array_sort(col(grid_columns)), lambda cols: F.when((F.size(rows) >= 3) & (F.size(cols) >= 3), headed(rows, cols)))
+    def whole(placed: Column) -> Column:
+        return F.when((F.size(rows) >= 3) & (F.size(cols) >= 3), headed(placed))
+
+    def words_at(placed: Column, i: Column, j: Column) -> Column:
+        return F.transform(F.get(F.get(placed, i), j), lambda k: F.get(ws, k))
 
-    def headed(rows: Column, cols: Column) -> Column:
+    def headed(placed: Column) -> Column:
         def header(j: Column) -> Column:
-            inside = cell_words(ws, F.get(cols, j), F.get(cols, j + 1), F.get(rows, F.lit(0)), F.get(rows, F.lit(1)))
-            return F.struct(j.alias("j"), _mapped(mapping, reading_text(inside, "")).alias("field"))
+            return F.struct(j.alias("j"), _mapped(mapping, reading_text(words_at(placed, F.lit(0), j), "")).alias("field"))
 
         found = F.filter(F.transform(F.sequence(F.lit(0), F.size(cols) - 2), header), lambda c: c["field"].isNotNull())
 
         def ready(fields: Column) -> Column:
             both = F.exists(fields, lambda c: c["field"] == "id") & F.exists(fields, lambda c: c["field"] == "name")
-            return F.when(both, body(rows, cols, fields))
+            return F.when(both, body(placed, fields))
 
         return let(found, ready)
 
-    def body(rows: Column, cols: Column, fields: Column) -> Column:
+    def body(placed: Column, fields: Column) -> Column:
         def line(i: Column) -> Column:
             def cell(c: Column) -> Column:
-                inside = cell_words(ws, F.get(cols, c["j"]), F.get(cols, c["j"] + 1), F.get(rows, i), F.get(rows, i + 1))
-                value = strip(reading_text(inside))
+                value = strip(reading_text(words_at(placed, i, c["j"])))
                 return _entry(c["field"], F.when(c["field"] == "id", first_integer(value)).otherwise(value))
 
             return F.filter(F.transform(fields, cell), lambda e: e["value"] != "")
@@ -455,7 +488,7 @@ def parse_grid(ws: Column | str, grid_rows: Column | str, grid_columns: Column |
             F.when(~ok, F.concat(F.lit(PARTIAL_ERROR[0]), shown, F.lit(PARTIAL_ERROR[1]))).alias("error"),
         )
 
-    return let(F.array_sort(col(grid_rows)), whole)
+    return let(grid_words(ws, rows, cols), whole)
 
 
 def parse_cells(cells: Column | str, config: dict) -> Column:

@@ -177,3 +177,20 @@ def test_header_rows_structuring(spark):
     got = [(r.page_id, r.source_block_id, dict(r.data), r.raw_columns) for r in tables.structured_records(blocks, cfg, ["page_id"]).orderBy("row_no").collect()]
     assert got == [(1, "b1", {"No": "1", "Name": "b"}, ["1", "a", "b", "c"]), (1, "b1", {"No": "2", "Name": ""}, ["2"])]
     assert tables.structured_records(blocks, {"enabled": False}, ["page_id"]).count() == 0
+
+
+def test_words_in_cells_against_every_pair(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        words = [(str(i), float(rng.randrange(-5, 50)), float(rng.randrange(-5, 50)), float(rng.randrange(0, 6)), float(rng.randrange(0, 6))) for i in range(rng.randrange(25))]
+        lines = [[float(rng.randrange(45)) for _ in range(rng.randrange(6))] for _ in range(2)]
+        rows.append((k, words, sorted(lines[0]), sorted(lines[1])))
+    rows += [(100, None, [1.0, 2.0], [1.0, 2.0]), (101, [("x", 1.0, 1.0, 0.0, 0.0)], None, [0.0, 9.0])]
+    df = spark.createDataFrame(rows, "k int, ws array<struct<text:string,left:double,top:double,width:double,height:double>>, r array<double>, c array<double>").repartition(3)
+    for got in df.select("*", tables.grid_words(F.col("ws"), F.col("r"), F.col("c")).alias("at")).collect():
+        r, c = got.r or [], got.c or []
+        want = [[[i for i, w in enumerate(got.ws or []) if c[x] <= w.left + w.width / 2 < c[x + 1] and r[y] <= w.top + w.height / 2 < r[y + 1]] for x in range(len(c) - 1)] for y in range(len(r) - 1)]
+        assert [[list(x) for x in y] for y in got["at"]] == want
