@@ -227,6 +227,17 @@ def _(t):
     return rows.select("p_partkey", tables.html_table_markdown("dom").alias("markdown"), tables.table_row_count("html").alias("row_count"))
 
 
+@query(
+    "html_table_nested",
+    "SELECT p_partkey, '| a | ' || p_name || ' x |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | x |' || chr(10) || '| b | ' || p_brand || ' |' AS markdown FROM part",
+)
+def _(t):
+    inner = F.concat(F.lit("<table><tr><td>"), F.col("p_name"), F.lit("</td><td> x</td></tr></table>"))
+    html = F.concat(F.lit("<table><tbody><tr><td>a</td><td>"), inner, F.lit("</td></tr><tr><th>b</th><td>"), F.col("p_brand"), F.lit("</td></tr></tbody></table>"))
+    rows = with_fragment(t.part.select("p_partkey", html.alias("html")))
+    return rows.select("p_partkey", tables.html_table_markdown("dom").alias("markdown"))
+
+
 @query("cells_markdown", "SELECT p_partkey, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' |  |' AS markdown, '' AS nothing FROM part")
 def _(t):
     cells = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("\n")))))

@@ -604,17 +604,35 @@ def _markdown(rows: Column, cell) -> Column:
     return F.when(F.size(rows) > 0, let(width, build)).otherwise("")
 
 
+def _row_cells(pages: pa.Array) -> pa.Array:
+    out = []
+    for page in pages:
+        nodes = page.values
+        rows: dict[int, list[int]] = {}
+        if nodes is not None and len(nodes):
+            ids, parents, tags = (nodes.field(c).to_pylist() for c in ("id", "parent", "tag"))
+            row_of: list[int] = []  # the nearest row above each node
+            for i, tag in enumerate(tags):
+                above = parents[i] - ids[0]
+                row_of.append(-1 if above < 0 else above if tags[above] == "tr" else row_of[above])
+                if tag == "tr":
+                    rows[i] = []
+                elif tag in ("td", "th") and row_of[i] >= 0:
+                    rows[row_of[i]].append(i)
+        out.append(list(rows.values()))
+    return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+
 def html_table_rows(fragment: Column | str) -> Column:
-    """Cell texts of every table row of a parsed page; blank rows dropped."""
+    """Cell texts of every table row of a parsed page; blank rows dropped. A
+    cell belongs to the nearest row above it, so a table within a cell has rows
+    of its own, behind the outer one, whose cell shows all of its text."""
     from . import dom
 
     f = col(fragment)
-    is_cell = lambda n: n["tag"].isin("td", "th")
-    cells = lambda tr: F.transform(
-        F.filter(f["nodes"], lambda n: is_cell(n) & (n["id"] > tr["id"]) & (n["id"] <= tr["end"])),
-        lambda n: collapse_ws(dom.node_text(f, n)),
-    )
-    rows = F.transform(F.filter(f["nodes"], lambda n: n["tag"] == "tr"), cells)
+    nodes = f["nodes"]
+    places = F.arrow_udf(_row_cells, T.ArrayType(T.ArrayType(T.IntegerType())))(nodes)
+    rows = F.transform(places, lambda row: F.transform(row, lambda i: let(F.get(nodes, i), lambda n: collapse_ws(dom.node_text(f, n)))))
     return F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
 
 
