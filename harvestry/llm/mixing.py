@@ -53,17 +53,18 @@ def targets(sources: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, sources: DataFrame, level_bits: int) -> DataFrame:
-    """For each source ``copies`` and ``below``: a document is taken copies
-    times, and once more if its draw is less than ``below``.
+    """For each source ``copies``, ``below`` and ``some``: a document is taken
+    copies times, and once more if its draw is less than ``below``, or if it is
+    one of ``some`` rows whose draw is ``below``.
 
     sized: (source, draw, size). The documents that are taken once more are
     those, in draw order, whose middle lies within the budget, so a source
-    misses its budget by half a document at most. Rows of equal draw (equal in
-    id and text) are decided together.
+    misses its budget by half a document at most. Of rows of equal draw (equal
+    in id and text) as many are taken as have their middle there.
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     state = sources.withColumn("copies", F.floor(ratio).cast("int")).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
-    state = cut_lineage(state.withColumns({"bucket": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "below": F.lit(None).cast("long"), "done": F.lit(False)}))
+    state = cut_lineage(state.withColumns({"bucket": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "below": F.lit(None).cast("long"), "some": F.lit(0).cast("long"), "done": F.lit(False)}))
     for level in range(1, DRAW_BITS // level_bits + 1):
         shift = DRAW_BITS - level * level_bits
         bounds = state.filter(~F.col("done")).select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), "before", "budget")
@@ -71,13 +72,16 @@ def thresholds(sized: DataFrame, sources: DataFrame, level_bits: int) -> DataFra
         sums = (
             sized.join(bounds, inside)
             .groupBy("source", F.shiftright("draw", shift).alias("bucket"))
-            .agg(F.sum("size").alias("in_bucket"), F.min("draw").alias("least"), F.max("draw").alias("most"), F.first("before").alias("before"), F.first("budget").alias("budget"))
+            .agg(F.sum("size").alias("in_bucket"), F.count(F.lit(1)).alias("rows"), F.min("draw").alias("least"), F.max("draw").alias("most"), F.first("before").alias("before"), F.first("budget").alias("budget"))
         )
         running = F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket"))  # at most 2 ** level_bits rows a source
         at_end = sums.withColumn("before", F.col("before") + running - F.col("in_bucket")).filter(F.col("before") + F.col("in_bucket") > F.col("budget"))
-        end = at_end.groupBy("source").agg(F.min(F.struct("bucket", "before", "in_bucket", "least", "most")).alias("e")).select(F.col("source").alias("__s"), F.lit(True).alias("__found"), "e.*")
+        end = at_end.groupBy("source").agg(F.min(F.struct("bucket", "before", "in_bucket", "rows", "least", "most")).alias("e")).select(F.col("source").alias("__s"), F.lit(True).alias("__found"), "e.*")
         single = F.col("e.least") == F.col("e.most")
-        taken = 2 * F.col("e.before") + F.col("e.in_bucket") <= 2 * F.col("s.budget")
+        # Equal rows have one size: the k-th lies within while before + (k - 1/2) * size does.
+        own_size = F.col("e.in_bucket") / F.col("e.rows")
+        fitting = F.floor(F.try_divide(F.col("s.budget") - F.col("e.before"), own_size) + 0.5)
+        taken = F.greatest(F.lit(0), F.least(F.col("e.rows"), F.coalesce(fitting, F.col("e.rows")))).cast("long")
         fresh = F.col("__found")
         open_ = ~F.col("s.done")
         state = cut_lineage(
@@ -87,14 +91,28 @@ def thresholds(sized: DataFrame, sources: DataFrame, level_bits: int) -> DataFra
                 *[F.col(f"s.{c}") for c in ("source", "source_size", "target", "copies", "budget")],
                 F.coalesce(F.when(open_, F.col("e.bucket")), F.col("s.bucket")).alias("bucket"),
                 F.coalesce(F.when(open_, F.col("e.before")), F.col("s.before")).alias("before"),
-                F.when(open_ & fresh & single, F.col("e.least") + taken.cast("long")).otherwise(F.col("s.below")).alias("below"),
+                F.when(open_ & fresh & single, F.col("e.least") + (taken == F.col("e.rows")).cast("long")).otherwise(F.col("s.below")).alias("below"),
+                F.when(open_ & fresh & single & (taken < F.col("e.rows")), taken).otherwise(F.col("s.some")).alias("some"),
                 (F.col("s.done") | F.coalesce(~fresh | single, F.lit(True))).alias("done"),
             )
         )
         if state.filter(~F.col("done")).isEmpty():
             break
     # No bucket reaches beyond the budget: only of sources without any size.
-    return state.select("source", "source_size", "target", "copies", F.coalesce("below", F.lit(0).cast("long")).alias("below"))
+    return state.select("source", "source_size", "target", "copies", F.coalesce("below", F.lit(0).cast("long")).alias("below"), "some")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (__source, ...) with ``__nth``, a number from 1 within the source:
+    places within each of the table's parts, plus the rows of the parts before.
+    No part's order matters, as rows of a source are equal here."""
+    placed = written(rows.withColumns({"__part_no": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+    in_part = F.row_number().over(W.partitionBy("__source", "__part_no").orderBy("__row"))
+    sizes = placed.groupBy("__source", "__part_no").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(W.partitionBy("__source").orderBy("__part_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(F.col("__source").alias("__s"), F.col("__part_no").alias("__p"), earlier.alias("__before"))
+    joined = placed.withColumn("__in", in_part).join(before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__part_no") == F.col("__p")))
+    return joined.withColumn("__nth", F.col("__before") + F.col("__in"))
 
 
 def mix(docs: DataFrame, size: Column, weights: Sequence[int] = (5, 2, 1), cap: int = 3, level_bits: int = 12) -> DataFrame:
@@ -104,7 +122,8 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[int] = (5, 2, 1), cap:
     docs need doc_id, text and source; size is what a document counts for.
     Rows of a null source form a source of their own, ordered last. Null ids
     and texts count as the texts ``null`` and empty; rows equal in both share
-    one draw and so one decision. Documents of size 0 are taken or not like
+    one draw, and where the budget ends among them, as many are taken as it
+    holds (which of them doesn't matter, they are equal). Documents of size 0 are taken or not like
     others. An empty table gives an empty result. Input columns named
     source_size, target or copies are replaced. The driver learns only whether
     a source is still open. level_bits: histogram levels split a bucket into
@@ -115,8 +134,15 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[int] = (5, 2, 1), cap:
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     # A table whose size Spark knows: it is sent to all tasks while it is small
     # enough for that, and joined by a shuffle beyond.
-    limits = written(thresholds(sized, sources, level_bits).select(F.col("source").alias("__source"), "source_size", "target", F.col("copies").alias("__copies"), "below"))
+    limits = written(thresholds(sized, sources, level_bits).select(F.col("source").alias("__source"), "source_size", "target", F.col("copies").alias("__copies"), "below", F.col("some").alias("__some")))
     own_draw = draw(F.col("doc_id"), F.col("text"))
     joined = own.join(limits, F.col("source").eqNullSafe(F.col("__source")))
     copies = F.least(F.lit(cap), F.col("__copies") + (own_draw < F.col("below")).cast("int"))
-    return joined.select(*[column(c) for c in own.columns], "source_size", "target", copies.alias("copies"))
+    results = [*[column(c) for c in own.columns], "source_size", "target"]
+    whole = joined.select(*results, copies.alias("copies"))
+    if limits.filter("__some > 0").isEmpty():
+        return whole
+    split = (F.col("__some") > 0) & (own_draw == F.col("below"))
+    others = joined.filter(~split).select(*results, copies.alias("copies"))
+    some = F.least(F.lit(cap), F.col("__copies") + (F.col("__nth") <= F.col("__some")).cast("int"))
+    return others.unionAll(_numbered(joined.filter(split)).select(*results, some.alias("copies")))

@@ -42,7 +42,7 @@ def op1_histogram_shards(t: Tables) -> DataFrame:
 _MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS draw
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS draw, row_number() OVER () AS row
   FROM documents
 ), named AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -61,11 +61,11 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM goals
 ), running AS (
   SELECT s.*, p.source_size, p.target, p.copies, p.target - p.copies * p.source_size AS budget,
-    sum(size) OVER (PARTITION BY s.source ORDER BY draw) AS upto, sum(size) OVER (PARTITION BY s.source, draw) AS own
+    sum(size) OVER (PARTITION BY s.source ORDER BY draw, row ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
-  (size * least(3, copies + CASE WHEN source_size > 0 AND 2 * (upto - own) + own <= 2 * budget THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * least(3, copies + CASE WHEN source_size > 0 AND 2 * upto - size <= 2 * budget THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM running
 """
 

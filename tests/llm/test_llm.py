@@ -630,3 +630,17 @@ def test_encoders_on_odd_texts(coder):
         got = own.encode_batch(texts[k : k + 7])
         for text, ids in zip(texts[k : k + 7], got, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_mix_splits_equal_rows(spark):
+    """A third of a table and more in rows that are all the same."""
+    rows = [(7, "w " * 20, "a")] * 400 + [(i, "w " * (i % 5 + 1), "b") for i in range(900)] + [(None, "v " * 9, None)] * 300 + [(8, "", "c")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__part", F.lit("clash")).repartition(6)
+    out = mixing.mix(docs, word_count(F.col("text"))).withColumn("size", word_count(F.col("text"))).collect()
+    assert len(out) == len(rows) and set(out[0].asDict()) == {"doc_id", "text", "source", "__part", "source_size", "target", "copies", "size"}
+    taken, goal = Counter(), {}
+    for r in out:
+        taken[r.source] += r.copies * r.size
+        goal[r.source] = r.target
+        assert 0 <= r.copies <= 3
+    assert all(abs(taken[s] - goal[s]) <= 10 for s in goal) and len({r.copies for r in out if r.source == "a"}) == 2
