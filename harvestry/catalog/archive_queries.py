@@ -156,6 +156,13 @@ def _(t):
     return rows.groupBy("page_id").pivot("kind", ["heading", "image", "ocr", "paragraph"]).count()
 
 
+@query("block_histogram", f"SELECT c_custkey AS page_id, block_type, count(*)::INTEGER AS blocks FROM customer, ({BLOCKS}) b(n, id, block_type, block_order) WHERE n <= c_custkey % 6 GROUP BY ALL")
+def _(t):
+    # Pages of none to five blocks.
+    rows = _page(t).withColumn("blocks", F.slice("blocks", 1, (F.col("page_id") % 6).cast("int")))
+    return rows.select("page_id", F.explode(archive.block_histogram(F.col("blocks"))).alias("block_type", "blocks"))
+
+
 @query("block_type_filter", "SELECT c_custkey AS page_id, id FROM customer, (VALUES ('i1'), ('i2'), ('o1')) b(id)")
 def _(t):
     rows = _page(t).select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.id", "b.block_type")

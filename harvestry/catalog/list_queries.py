@@ -265,6 +265,33 @@ def _(t):
     return lists.governance_totals(run_ops.in_scope(recs, scopes), 100)
 
 
+@query(
+    "governance_latest",
+    f"WITH {REC_SQL}, top AS (SELECT * FROM rec WHERE subject = 'en' ORDER BY file_name DESC, subject, platform LIMIT 100) SELECT subject, platform, file_name, item_count FROM top ORDER BY file_name DESC, subject, platform LIMIT 30",
+)
+def _(t):
+    recs = lists.governance_records(readers.result_meta(_files(t)))
+    return lists.governance_latest(recs.filter("subject = 'en'")).select("subject", "platform", "file_name", "item_count")
+
+
+@query(
+    "governance_totals_equal_names",
+    """WITH rec AS (SELECT lang AS subject, source AS platform, 'data_' || doc_id % 3 AS file_name, sum(length(text))::BIGINT AS item_count FROM documents GROUP BY ALL), top AS (SELECT * FROM rec ORDER BY file_name DESC, subject, platform LIMIT 20)
+    SELECT count(*) AS file_count, sum(item_count)::BIGINT AS total_items FROM top""",
+)
+def _(t):
+    # Every platform has a file of each name.
+    rows = t.documents.groupBy(F.col("lang").alias("subject"), F.col("source").alias("platform"), F.concat(F.lit("data_"), F.col("doc_id") % 3).alias("file_name")).agg(F.sum(F.length("text")).alias("item_count"))
+    full = rows.withColumns({"injection_risk_count": F.lit(0), "field_completeness": F.lit(1.0), "quality_score": F.lit(1.0)})
+    return lists.governance_totals(full, 20).select("file_count", "total_items")
+
+
+@query("log_list", "SELECT 'run_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey || '.log' AS name, length(o_orderpriority) AS size FROM orders WHERE o_orderkey % 4 <> 0")
+def _(t):
+    name = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 4 == 0, ".txt").otherwise(".log"))
+    return lists.log_list(t.orders.select(name.alias("name"), F.length("o_orderpriority").cast("bigint").alias("size")))
+
+
 @query(
     "combined_latest",
     """WITH o AS (SELECT o_orderpriority AS subject, date_trunc('month', o_orderdate) AS seen, o_orderkey AS pos, 'u' || o_custkey AS url FROM orders),

@@ -336,6 +336,12 @@ def page_text(blocks: Column, ocr: Column) -> dict[str, Column]:
     return {"body_text": F.array_join(F.transform(body, lambda b: b["t"]), "\n\n"), "ocr_text": F.array_join(texts, "\n\n")}
 
 
+def block_histogram(blocks: Column) -> Column:
+    """Blocks of a page by type, as a map; a missing type counts as blank."""
+    kinds = F.transform(blocks, lambda b: F.coalesce(b["block_type"], F.lit("")))
+    return F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+
+
 # --- storage tables --------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -142,6 +142,19 @@ def log_tail(logs: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size, modified_at) of the log files of a folder; their contents
+    are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+
+
+def log_list(logs: DataFrame) -> DataFrame:
+    """Logs (name, ...) from the highest name, which for dated names is the
+    newest; other names than ``*.log`` are no logs."""
+    return logs.filter(F.endswith("name", F.lit(".log"))).orderBy(F.desc("name"))
+
+
 # --- result files ----------------------------------------------------------
 
 
@@ -194,6 +207,13 @@ def governance_totals(records: DataFrame, files: int | None = None, order: list[
     )
 
 
+def governance_latest(records: DataFrame, files: int = 100, shown: int = 30, order: list[Column] | None = None) -> DataFrame:
+    """The first ``shown`` records of the ``files`` newest that the limited
+    totals cover, in that order."""
+    own = order or [F.col("file_name").desc(), F.col("subject"), F.col("platform")]
+    return newest(newest(records, own, files), own, shown)
+
+
 def stop_at_empty(pages: DataFrame, keys: list[str], max_pages: int = 10, keep_empty: bool = False, start: int = 1) -> DataFrame:
     """Pages of a run before its first empty one (with it under
     ``keep_empty``), at most ``max_pages``. A gap in the numbers ends a run

@@ -94,3 +94,12 @@ def test_alerts_against_a_walk(spark):
             earlier.append(rate)
             assert (r.rate, r.expected, r.drift, r.alert) == (rate, expected, drift_, drift_ > 200_000)
     assert [r.alert for r in got if r.source == "a"][25:].count(True) > 10
+
+
+def test_log_files_newest_first(spark, tmp_path):
+    from harvestry.operators import lists
+
+    for name in ("run_2024.log", "run_2023.log", "notes.txt"):
+        (tmp_path / name).write_text("x" * len(name))
+    rows = lists.log_list(lists.log_files(spark, str(tmp_path))).collect()
+    assert [(r.name, r["size"]) for r in rows] == [("run_2024.log", 12), ("run_2023.log", 12)] and rows[0].modified_at is not None
