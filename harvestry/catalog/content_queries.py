@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import classify, drift, trend
+from ..session import scratch_folder
+from ..sources import line_files
 from ..sources.html_nodes import with_fragment
 from . import query
 from .stream_queries import _in_cuts, _to_table
@@ -80,3 +82,28 @@ def _(t):
     # Three batches in order of time; the stretches that can still grow stay inside.
     stream = _in_cuts(t.events, t, 3)
     return _to_table(trend.missing_rates(_timed(stream), ["title", "props"], late="6 hours"), t, "append").drop("batch")
+
+
+def _in_one_file(rows, t):
+    """Rows (n, value) as lines of one file, in order of n."""
+    path = f"{scratch_folder(t.spark)}/lines"
+    rows.coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(path)
+    return path
+
+
+_LINES = "l AS (SELECT o_orderkey AS n, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN '{broken' ELSE '{\"k\":' || o_orderkey || '}' END AS value FROM orders)"
+
+
+def _order_lines(t):
+    k = F.col("o_orderkey")
+    return t.orders.select(k.alias("n"), F.when(k % 7 == 0, "").when(k % 7 == 1, "{broken").otherwise(F.concat(F.lit('{"k":'), k, F.lit("}"))).alias("value"))
+
+
+@query("file_tail", f"WITH {_LINES}, m AS (SELECT count(*) OVER () AS total, row_number() OVER (ORDER BY n) AS line_no, value AS line FROM l) SELECT * FROM m WHERE line_no > total - 50")
+def _(t):
+    return line_files.file_tail(t.spark, _in_one_file(_order_lines(t), t), 50).select("total", "line_no", "line")
+
+
+@query("file_line_items", f"WITH {_LINES} SELECT (SELECT count(*) FROM l WHERE value <> '') AS total, row_number() OVER (ORDER BY n) - 1 AS pos, value AS item FROM l WHERE n % 7 > 1")
+def _(t):
+    return line_files.line_items(t.spark, _in_one_file(_order_lines(t), t)).select("total", "pos", "item")

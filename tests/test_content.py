@@ -103,3 +103,36 @@ def test_log_files_newest_first(spark, tmp_path):
         (tmp_path / name).write_text("x" * len(name))
     rows = lists.log_list(lists.log_files(spark, str(tmp_path))).collect()
     assert [(r.name, r["size"]) for r in rows] == [("run_2024.log", 12), ("run_2023.log", 12)] and rows[0].modified_at is not None
+
+
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    from harvestry.sources import line_files
+
+    rng = random.Random(2)
+    want, items = {}, {}
+    for name in ("a", "b", "c d"):
+        own = [rng.choice(["", "  ", "{bad", '{"k": %d}' % i, "x" * rng.randrange(300), "[1]"]) for i in range(400)]
+        (tmp_path / name).write_text("\n".join(own) + rng.choice(["", "\n"]))
+        own = own[:-1] if own[-1] == "" else own
+        want[name] = own
+        good = [x.strip() for x in own if x.strip() in ("[1]",) or x.startswith('{"k"')]
+        items[name] = (sum(bool(x.strip()) for x in own), good)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = line_files.file_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        rows = lines.collect()
+        got = line_files.line_items(spark, str(tmp_path)).collect()
+        tail = line_files.file_tail(spark, str(tmp_path), 7).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, own in want.items():
+        mine = sorted((r.line_no, r.line, r.total) for r in rows if r.file.replace("%20", " ").endswith("/" + name))
+        assert [m[1] for m in mine] == own and [m[0] for m in mine] == list(range(1, len(own) + 1)) and {m[2] for m in mine} == {len(own)}
+        total, good = items[name]
+        mine = sorted((r.pos, r["item"], r.total) for r in got if r.file.replace("%20", " ").endswith("/" + name))
+        assert [m[1] for m in mine] == good and [m[0] for m in mine] == list(range(len(good))) and {m[2] for m in mine} == {total}
+    assert tail == 21
