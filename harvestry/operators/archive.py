@@ -102,30 +102,39 @@ def detail_blocks(fragment: Column | str, title: Column, content: str = "body")
     return F.concat(F.when(title != "", F.array(heading)).otherwise(_no_blocks()), F.filter(numbered, lambda b: b["text"] != ""))
 
 
-def read_details(pages: DataFrame, rule: dict | None = None, html: str = "html") -> DataFrame:
-    """Add ``title`` and ``blocks`` of a detail page."""
+def read_details(pages: DataFrame, rule: dict | None = None, html: str = "html", images: dict | None = None) -> DataFrame:
+    """Add ``title`` and ``blocks`` of a detail page, and where ``images``
+    says which, its ``image_list`` from the same parse (see ``listed_images``)."""
     metadata = (((rule or {}).get("archive") or {}).get("detail") or {}).get("metadata") or {}
     title = (metadata.get("title") or {}).get("selector") or "h1"
     content = (metadata.get("content") or {}).get("selector") or "body"
     parsed = with_fragment(pages, html).withColumn("title", detail_title("dom", title))
-    return parsed.withColumn("blocks", detail_blocks("dom", F.col("title"), content)).drop("dom")
+    listed = {} if images is None else {"image_list": image_list(F.col("dom"), images)}
+    return parsed.withColumns({"blocks": detail_blocks("dom", F.col("title"), content), **listed}).drop("dom")
 
 
 def discover_images(pages: DataFrame, keys: list[str], config: dict | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """(keys, image_no, source_img_url, source_img_alt, raw_src): the first
     ``max_images`` matches, then those with a source."""
-    config = config or {}
+    parsed = with_fragment(pages.select(*dict.fromkeys([*keys, url, html])), html)
+    return listed_images(parsed.select(*dict.fromkeys([*keys, url]), image_list(F.col("dom"), config or {}).alias("image_list")), keys, url)
+
+
+def image_list(page: Column, config: dict) -> Column:
+    """The images of a parsed page as array of (image_no, src, alt)."""
     attr = config.get("src_attribute") or "src"
-    page = F.col("dom")
     found = F.slice(dom.select_nodes(page, config.get("selector") or "img"), 1, int(config.get("max_images") or 10))
     alt = (lambda n: strip(_or_blank(n["attrs"]["alt"]))) if config.get("include_alt", True) else (lambda _n: F.lit(""))
-    listed = F.filter(
+    return F.filter(
         F.transform(found, lambda n, i: F.struct((i + 1).alias("image_no"), strip(_or_blank(n["attrs"][attr])).alias("src"), alt(n).alias("alt"))),
         lambda x: x["src"] != "",
     )
-    rows = with_fragment(pages.select(*dict.fromkeys([*keys, url, html])), html).select(*dict.fromkeys([*keys, url]), listed.alias("_img"))
-    rows = rows.withColumn("_abs", resolve_urls(url, F.col("_img.src")))
-    zipped = F.zip_with("_img", "_abs", lambda i, u: F.struct(i["image_no"].alias("image_no"), u.alias("url"), i["alt"].alias("alt"), i["src"].alias("src")))
+
+
+def listed_images(pages: DataFrame, keys: list[str], url: str = "url") -> DataFrame:
+    """``discover_images`` of pages whose ``image_list`` is known."""
+    rows = pages.select(*dict.fromkeys([*keys, url]), "image_list").withColumn("_abs", resolve_urls(url, F.col("image_list.src")))
+    zipped = F.zip_with("image_list", "_abs", lambda i, u: F.struct(i["image_no"].alias("image_no"), u.alias("url"), i["alt"].alias("alt"), i["src"].alias("src")))
     return rows.select(*keys, F.explode(zipped).alias("i")).select(
         *keys, "i.image_no", F.col("i.url").alias("source_img_url"), F.col("i.alt").alias("source_img_alt"), F.col("i.src").alias("raw_src")
     )

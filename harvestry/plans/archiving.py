@@ -83,11 +83,17 @@ def archive_details(
         known = archived_ocr if archived_ocr is not None else archived.select("page_id", F.lit("").alias("engine")).filter(F.lit(False))
         hashed = dedup.drop_archived_by_engine(hashed, archived, known)
     unique = dedup.by_body(hashed, "body_hash", ("seq",))
-    parsed = archive.read_details(unique.withColumnRenamed("title", "list_title") if "title" in unique.columns else unique, rule)
+    unique = unique.withColumnRenamed("title", "list_title") if "title" in unique.columns else unique
+    if engine and ocr is not None:
+        # What one parse of a page gives is kept, without the page, for its two uses.
+        read = cut_lineage(archive.read_details(unique.select("body_hash", "url", "html"), rule, images=image_config.get("images") or {}).drop("html"))
+        parsed = unique.join(read.select("body_hash", "title", "blocks"), "body_hash")
+    else:
+        parsed = archive.read_details(unique, rule)
     if "list_title" in parsed.columns:
         parsed = parsed.withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("list_title")))
     if engine and ocr is not None:
-        images = archive.discover_images(parsed, ["body_hash"], image_config.get("images"))
+        images = archive.listed_images(read, ["body_hash"])
         extra = archive.image_ocr_blocks(images, ocr, ["body_hash"], engine)
         parsed = parsed.join(extra, "body_hash", "left")
         blocks, assets = archive.append_image_blocks(F.col("blocks"), F.col("image_blocks"), F.col("image_assets"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import archive, dom, lists, runs, sources_registry, tables
+from ..session import cut_lineage
 from ..sources.html_nodes import with_fragment
 
 SAMPLES = 3
@@ -72,7 +73,8 @@ def recognise_images(pages: DataFrame, ocr: DataFrame, config: dict, keys: list[
     ``pages(keys, url, html, item_count)``; ``ocr(source_img_url,
     source_img_path, ocr struct)`` holds recogniser results by image address.
     """
-    images = archive.discover_images(pages, keys, config.get("images"), url).join(pages.select(*keys, url), keys)
+    # Images are looked at twice: the pages are parsed once for both.
+    images = cut_lineage(archive.discover_images(pages, [*keys, url], config.get("images"), url))
     triggered = lists.image_trigger(pages.select(*keys, url, "item_count"), images, config, keys, url).filter("triggered").select(*keys)
     chosen = lists.image_filter(images.join(triggered, keys, "left_semi"), config.get("trigger") or {}, url)
     parse = config.get("parse") or {}
