@@ -100,12 +100,12 @@ def run_items(items: DataFrame, registry: DataFrame | None, policy: Policy, fiel
 
 def _run_once(marked: DataFrame, policy: Policy, fields: list[str], scope: list[str]) -> RunOutcome:
     """The outcome with totals that come from the governed items: those seen
-    before are governed beside the others, as a group of their own, and every
-    item kept tells how many it stands for. So no table of the run reads the
-    items twice."""
+    before go along emptied, as a group of their own, and every item kept
+    tells how many it stands for. So no table of the run reads the items twice."""
     fresh = F.col("matched_existing_id").isNull()
     bare = marked.drop("matched_existing_id", "filter_reason")
-    both = governance.govern(marked.withColumn("_seen", ~fresh).drop("matched_existing_id", "filter_reason"), policy, ["seq"], [*scope, "_seen"], fields, "_copies")
+    emptied = {c: F.when(fresh, F.col(c)) for c in bare.columns if c not in (*scope, "seq")}
+    both = governance.govern(marked.withColumn("_seen", ~fresh).withColumns(emptied).drop("matched_existing_id", "filter_reason"), policy, ["seq"], [*scope, "_seen"], fields, "_copies")
     new = ~F.col("_seen")
     totals = both.groupBy(*scope).agg(
         F.sum("_copies").alias("total_collected"), F.coalesce(F.sum(F.when(~new, F.col("_copies"))), F.lit(0)).alias("dedup_filtered"), F.count_if(new).alias("_kept"),
