@@ -205,8 +205,7 @@ def _(t):
     k = F.col("p_type")
     ints = lambda *xs: F.array(*[F.lit(x) for x in xs])
     grid = F.filter(_grid_words(), lambda w: F.trim(w["text"]) != "")
-    base = t.part.join(_part_words(t).select("p_partkey", "words"), "p_partkey")
-    rows = base.select(
+    rows = _part_words(t).select(
         "p_partkey", k.alias("k"), F.lit("No,Title\n1,plain").alias("text"), F.when(k == "ECONOMY", grid).when(k == "STANDARD", F.col("words")).alias("words"),
         F.when(k == "ECONOMY", ints(0, 40, 130, 260)).alias("grid_rows"), F.when(k == "ECONOMY", ints(0, 80, 260, 420)).alias("grid_columns"), F.when(k == "PROMO", _cells()).alias("table_cells"),
     )

@@ -194,3 +194,11 @@ def test_words_in_cells_against_every_pair(spark):
         r, c = got.r or [], got.c or []
         want = [[[i for i, w in enumerate(got.ws or []) if c[x] <= w.left + w.width / 2 < c[x + 1] and r[y] <= w.top + w.height / 2 < r[y + 1]] for x in range(len(c) - 1)] for y in range(len(r) - 1)]
         assert [[list(x) for x in y] for y in got["at"]] == want
+
+
+def test_parser_cascade_joins_nothing(spark):
+    """Parts joined with their own words were broadcast, words and all."""
+    from harvestry.catalog import load_all
+
+    plan = load_all()["parser_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
