@@ -296,3 +296,10 @@ def test_pages_until_empty(spark):
     got = lambda **k: sorted((r.run, r.page_no) for r in lists.stop_at_empty(df, ["run"], **k).collect())
     assert got(max_pages=2) == [("a", 1), ("b", 1), ("c", 1), ("c", 2)]
     assert got(max_pages=9, keep_empty=True) == [("a", 1), ("a", 2), ("b", 1), ("c", 1), ("c", 2), ("c", 3)]
+
+
+def test_references_need_their_semicolon():
+    html = "<title>a &amp &amp; &notit; &lt;</title><a href='/x?a=1&copy=2&amp;b=3'>&#65 &#x42; &eacute;&amp</a>"
+    rows, text = parse_nodes(html)
+    assert text.decode() == "a &amp & &notit; <A B é&amp"
+    assert dict(next(r[5] for r in rows if r[4] == "a")) == {"href": "/x?a=1&copy=2&b=3"}
