@@ -227,7 +227,7 @@ def _(t):
     f"""SELECT url AS source_url, trim({_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, {WS}) AS title, sha256(url || chr(10) || url || chr(10) || html || chr(10)) AS content_hash FROM pages""",
 )
 def _(t):
-    titles = t.pages.select("url", F.lit("first item").alias("title"))
+    titles = t.pages.select("page_id", "url", F.lit("first item").alias("title"))
     pages, _records = archiving.archive_single(t.pages, RULE, titles)
     return pages.select("meta.source_url", "meta.title", "meta.content_hash")
 
@@ -235,7 +235,7 @@ def _(t):
 @query("archive_title_fallback", "SELECT url AS source_url, 'first item of ' || page_id AS title FROM pages")
 def _(t):
     bare = t.pages.withColumn("html", F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h2>")), F.lit("</h1>"), F.lit("</h2>")))
-    titles = t.pages.select("url", F.concat(F.lit("first item of "), F.col("page_id").cast("string")).alias("title"))
+    titles = t.pages.select("page_id", "url", F.concat(F.lit("first item of "), F.col("page_id").cast("string")).alias("title"))
     return archiving.archive_single(bare, RULE, titles)[0].select("meta.source_url", "meta.title")
 
 
@@ -272,8 +272,10 @@ def _(t):
 
 @query("archive_structured_records", f"WITH {IMG_SQL} SELECT count(*) AS records, count(DISTINCT url) AS pages, sum(length(regexp_extract(src, '([^/]*)$', 1)))::BIGINT AS chars FROM r")
 def _(t):
-    pages, records = archiving.archive_single(with_images(t), IMAGE_RULE, ocr=_page_ocr(t))
-    return records.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("content_hash").alias("pages"), F.sum(F.length(F.col("data")["Name"])).alias("chars"))
+    # An address that was captured twice is one page here.
+    pages, _records = archiving.archive_single(with_images(t), IMAGE_RULE, ocr=_page_ocr(t))
+    records = archiving.page_records(pages, IMAGE_RULE, ("content_hash", "source_url"))
+    return records.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source_url").alias("pages"), F.sum(F.length(F.col("data")["Name"])).alias("chars"))
 
 
 # --- paging ----------------------------------------------------------------

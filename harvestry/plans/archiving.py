@@ -114,12 +114,13 @@ def archive_details(
     return pages.withColumn("meta", F.col("meta").withField("content_hash", stored).withField("ocr_engine", F.when(has_ocr, engine)))
 
 
-def page_records(pages: DataFrame, rule: dict) -> DataFrame:
-    """Structured records of archived pages, by content hash."""
-    rows = pages.select(F.col("meta.content_hash").alias("content_hash"), F.explode("blocks").alias("b")).select(
-        "content_hash", "b.id", "b.block_type", "b.text", "b.ocr_text"
+def page_records(pages: DataFrame, rule: dict, keys: tuple[str, ...] = ("content_hash",)) -> DataFrame:
+    """Structured records of archived pages, by content hash (or by the fields
+    ``keys`` of their meta)."""
+    rows = pages.select(*[F.col(f"meta.{k}").alias(k) for k in keys], F.explode("blocks").alias("b")).select(
+        *keys, "b.id", "b.block_type", "b.text", "b.ocr_text"
     )
-    return tables.structured_records(rows, rule.get("structuring") or {}, ["content_hash"])
+    return tables.structured_records(rows, rule.get("structuring") or {}, list(keys))
 
 
 def archive_run(list_pages: DataFrame, pages: DataFrame, rule: dict, **known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +142,13 @@ def save_run(archived: DataFrame, rule: dict, root: str, run_id: str) -> str:
 
 def archive_single(pages: DataFrame, rule: dict, first_titles: DataFrame | None = None, **known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Archive pages as they are, without discovery. An empty title falls back
-    to the page's first item (``first_titles(url, title)``)."""
+    to the page's first item: that of its page_id and url where ``first_titles(url,
+    title)`` has a page_id as well, else the smallest of its url's."""
     details = pages.select("url", "html", F.struct(F.col("page_id")).alias("seq"))
     if first_titles is not None:
-        details = details.join(first_titles.select("url", "title"), "url", "left").withColumn("title", F.coalesce("title", F.lit("")))
+        keys = [c for c in ("page_id", "url") if c in first_titles.columns]
+        titles = first_titles.groupBy(*keys).agg(F.min("title").alias("title"))
+        own = pages.select("url", "html", "page_id", F.struct("page_id").alias("seq"))
+        details = own.join(titles, keys, "left").select("url", "html", "seq", F.coalesce("title", F.lit("")).alias("title"))
     archived = archive_details(details, rule, **known)
     return archived, page_records(archived, rule)

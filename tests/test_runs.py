@@ -389,3 +389,20 @@ def test_governed_stream(spark, tmp_path):
     assert sorted(r.title for r in spark.read.parquet(f"{out}/items").collect()) == ["a", "b"]
     s = spark.read.parquet(f"{out}/summary").first()
     assert (s.total_collected, s.item_count, s.duplicate_count) == (3, 2, 1)
+
+
+def test_first_titles_of_pages_that_share_a_url(spark):
+    rule = {"archive": {"detail": {"title": {"selector": "h1"}, "metadata": {"content": {"selector": "article"}}}}, "source": {"platform": "p", "url": "https://e.org/"}}
+    pages = spark.createDataFrame([(1, "https://e.org/a", "<article><p>x</p></article>"), (2, "https://e.org/a", "<article><p>y</p></article>")], "page_id int, url string, html string")
+    titles = pages.selectExpr("page_id", "url", "concat('first ', page_id) AS title")
+    found = archiving.archive_single(pages, rule, titles)[0].select("meta.title").collect()
+    assert sorted(r.title for r in found) == ["first 1", "first 2"]
+    assert [r.title for r in archiving.archive_single(pages, rule, titles.drop("page_id"))[0].select("meta.title").collect()] == ["first 1"] * 2
+
+
+def test_records_by_address(spark):
+    block = archive.make_block(id=F.lit("o"), block_type=F.lit("ocr"), ocr_text=F.lit("No Name\n1 x"))
+    pages = spark.range(2).select(F.struct(F.col("id").cast("string").alias("content_hash"), F.lit("u").alias("source_url")).alias("meta"), F.array(block).alias("blocks"))
+    rule = {"structuring": {"enabled": True, "strategies": [{"applies_to": {"keywords": ["No"]}, "record_type": "row"}]}}
+    found = archiving.page_records(pages, rule, ("content_hash", "source_url")).collect()
+    assert sorted((r.content_hash, r.source_url) for r in found) == [("0", "u"), ("1", "u")]
