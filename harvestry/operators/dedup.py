@@ -94,12 +94,12 @@ def by_body(pages: DataFrame, body: str = "body_hash", order: tuple[str, ...] =
     return first_per_key(pages, [*(scope or []), body], list(order))
 
 
-def latest_capture(pages: DataFrame, order: tuple[str, ...] = ("captured_at", "page_id")) -> DataFrame:
-    """(url, html): the newest capture of each url, by those of the ``order``
+def latest_capture(pages: DataFrame, order: tuple[str, ...] = ("captured_at", "page_id"), keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """(url, html): the newest capture of each url (or of other ``keys``), by those of the ``order``
     columns that pages has and then by the hash of the html. Pages without a
     url are left out."""
     rank = F.struct(*[F.col(c) for c in order if c in pages.columns], F.xxhash64("html"))
-    return pages.filter(F.col("url").isNotNull()).groupBy("url").agg(F.max_by("html", rank).alias("html"))
+    return pages.filter(F.col("url").isNotNull()).groupBy(*keys).agg(F.max_by("html", rank).alias("html"))
 
 
 # --- against the archive ---------------------------------------------------

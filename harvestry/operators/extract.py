@@ -258,9 +258,10 @@ def api_records(items: DataFrame, fields: list[dict], keys: list[str], item: str
     return items.withColumn("_json", F.try_parse_json(item)).select(*keys, *columns)
 
 
-def pick_capture(desktop: DataFrame, mobile: DataFrame, min_chars: int = 5000) -> DataFrame:
+def pick_capture(desktop: DataFrame, mobile: DataFrame, min_chars: int = 5000, keys: tuple[str, ...] = ("url",)) -> DataFrame:
     """(url, html): the newest desktop capture of each url, unless it is short
-    and a mobile one exists, of which the newest counts as well."""
-    m = dedup.latest_capture(mobile).withColumnRenamed("html", "_mobile")
+    and a mobile one exists, of which the newest counts as well. ``keys`` says
+    what is one page where several pages share a url."""
+    m = dedup.latest_capture(mobile, keys=keys).withColumnRenamed("html", "_mobile")
     short = F.length("html") < min_chars
-    return dedup.latest_capture(desktop).join(m, "url", "left").select("url", F.when(short, F.coalesce("_mobile", "html")).otherwise(F.col("html")).alias("html"))
+    return dedup.latest_capture(desktop, keys=keys).join(m, list(keys), "left").select(*keys, F.when(short, F.coalesce("_mobile", "html")).otherwise(F.col("html")).alias("html"))

@@ -303,3 +303,10 @@ def test_references_need_their_semicolon():
     rows, text = parse_nodes(html)
     assert text.decode() == "a &amp & &notit; <A B é&amp"
     assert dict(next(r[5] for r in rows if r[4] == "a")) == {"href": "/x?a=1&copy=2&b=3"}
+
+
+def test_captures_of_pages_that_share_a_url(spark):
+    rows = spark.createDataFrame([(1, "u", "long " * 9), (2, "u", "s"), (3, "v", "t")], "page_id int, url string, html string")
+    mobile = rows.withColumn("html", F.concat(F.lit("m"), "html"))
+    picked = extract.pick_capture(rows, mobile, 10, ("page_id", "url"))
+    assert {tuple(r) for r in picked.collect()} == {(1, "u", "long " * 9), (2, "u", "ms"), (3, "v", "mt")}
