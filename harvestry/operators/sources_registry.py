@@ -89,7 +89,8 @@ def source_summary(sources: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("lifecycle_status") == "ACTIVE").alias("active"),
         F.count_if(F.col("lifecycle_status") == "PAUSED").alias("paused"),
-        F.coalesce(F.round(F.avg("trust_score"), 4), F.lit(0.0)).alias("avg_trust_score"),
+        # As decimals: a sum of doubles depends on the order of its rows, and with it a tie.
+        F.coalesce(F.round(F.avg(F.col("trust_score").cast("decimal(20,10)")), 4).cast("double"), F.lit(0.0)).alias("avg_trust_score"),
     )
 
 

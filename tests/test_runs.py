@@ -406,3 +406,10 @@ def test_records_by_address(spark):
     rule = {"structuring": {"enabled": True, "strategies": [{"applies_to": {"keywords": ["No"]}, "record_type": "row"}]}}
     found = archiving.page_records(pages, rule, ("content_hash", "source_url")).collect()
     assert sorted((r.content_hash, r.source_url) for r in found) == [("0", "u"), ("1", "u")]
+
+
+def test_mean_trust_at_a_tie(spark):
+    """58 of 0.85 and 22 of 0.3: 0.69875, in whatever order they are added up."""
+    for scores in ([0.85] * 58 + [0.3] * 22, [0.3] * 22 + [0.85] * 58, ([0.85, 0.3] * 22) + [0.85] * 36):
+        rows = spark.createDataFrame([(s, "ACTIVE") for s in scores], "trust_score double, lifecycle_status string").coalesce(1)
+        assert sources_registry.source_summary(rows).first().avg_trust_score == 0.6988
