@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import exploded, strip
 from ..operators import archive, dom, lists, runs as run_ops
 from ..plans import archiving, reports
 from ..sources import writers
@@ -28,7 +28,7 @@ def _page(t):
         a(source_url=F.concat(F.lit("https://img.example.org/"), key), storage_uri=F.lit("/a/b.c/pic.JPG")),
         a(id=F.lit("third"), storage_uri=F.concat(F.lit("/img/"), key, F.lit(".png"))),
     )
-    return t.customer.select(
+    return t.dealt("customer").select(
         F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://c.example.org:8080/"), key).alias("source_url"), F.lit("crm").alias("platform"),
         F.col("c_mktsegment").alias("subject"), F.col("c_name").alias("title"), F.concat(F.lit("<p>"), "c_name", F.lit("</p>")).alias("html"), blocks.alias("blocks"), assets.alias("assets"),
     )
@@ -39,13 +39,13 @@ BLOCKS = "VALUES (1, 'block-1', 'heading', 1), (2, 'i1', 'image', 2), (3, 'i2',
 
 @query("block_defaults", f"SELECT c_custkey AS page_id, id, block_type, block_order FROM customer, ({BLOCKS}) b(n, id, block_type, block_order)")
 def _(t):
-    rows = _page(t).select("page_id", F.explode(archive.normalize_blocks(F.col("blocks"))).alias("b"))
+    rows = exploded(_page(t), ["page_id"], archive.normalize_blocks(F.col("blocks")), "b")
     return rows.select("page_id", "b.id", "b.block_type", "b.block_order")
 
 
 @query("asset_defaults", "SELECT c_custkey AS page_id, id FROM customer, (VALUES ('old'), ('asset-2'), ('third')) a(id)")
 def _(t):
-    return _page(t).select("page_id", F.explode(archive.normalize_assets(F.col("assets"))).alias("a")).select("page_id", "a.id")
+    return exploded(_page(t), ["page_id"], archive.normalize_assets(F.col("assets")), "a").select("page_id", "a.id")
 
 
 @query(
@@ -55,13 +55,13 @@ def _(t):
 )
 def _(t):
     pages = archive.build_pages(_page(t))
-    return pages.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.id", "b.asset_id")
+    return exploded(pages, ["page_id"], "blocks", "b").select("page_id", "b.id", "b.asset_id")
 
 
 @query("asset_claims", "SELECT c_custkey AS page_id, id, block_id FROM customer, (VALUES ('old', NULL), ('asset-2', 'i2'), ('third', 'i1')) a(id, block_id)")
 def _(t):
     pages = archive.build_pages(_page(t))
-    return pages.select("page_id", F.explode("assets").alias("a")).select("page_id", "a.id", "a.block_id")
+    return exploded(pages, ["page_id"], "assets", "a").select("page_id", "a.id", "a.block_id")
 
 
 @query(
@@ -70,7 +70,7 @@ def _(t):
        UNION ALL SELECT c_custkey, 'o2', NULL, NULL, 'success', c_name, '{}', false FROM customer WHERE c_acctbal > 0""",
 )
 def _(t):
-    rows = archive.build_pages(_page(t)).select("page_id", F.explode("ocr_results").alias("o"))
+    rows = exploded(archive.build_pages(_page(t)), ["page_id"], "ocr_results", "o")
     return rows.select("page_id", *[f"o.{c}" for c in ("block_id", "parent_block_id", "engine", "status", "ocr_text", "structured_data", "manual_review_required")])
 
 
@@ -131,8 +131,8 @@ def _(t):
 )
 def _(t):
     pages = archive.build_pages(_page(t))
-    blocks = pages.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.block_order", "b.block_type", "b.text")
-    ocr = pages.select("page_id", F.posexplode("ocr_results").alias("ocr_no", "o")).select("page_id", "ocr_no", "o.ocr_text")
+    blocks = exploded(pages, ["page_id"], "blocks", "b").select("page_id", "b.block_order", "b.block_type", "b.text")
+    ocr = exploded(pages, ["page_id"], "ocr_results", "o", "ocr_no").select("page_id", "ocr_no", "o.ocr_text")
     return run_ops.archive_texts(t.customer.select(F.col("c_custkey").alias("id")), blocks, ocr).select("id", "body_text", "ocr_text", "text_blocks")
 
 

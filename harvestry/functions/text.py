@@ -41,6 +41,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(df: DataFrame, keep: list, array: Column | str, name: str, position: str = "_no") -> DataFrame:
+    """(keep, position, name): a row per element, none for an empty array.
+
+    Spark infers ``size(array) > 0`` from a plain explode and pushes it down to
+    the scan, where it works out a costly array a second time, before the rows
+    have been dealt out; from an outer explode it infers nothing.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(position, name)).filter(F.col(position).isNotNull())
+
+
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space on both ends (plain ``trim`` only takes
     U+0020). Looks at the ends alone, so long texts cost nothing extra."""

@@ -158,3 +158,11 @@ def test_states_and_paths(spark):
     df = spark.createDataFrame([("Running",), ("cancelled",), ("odd",), (None,)], "v string")
     assert [r[0] for r in df.select(text.task_state("v")).collect()] == ["RUNNING", "CANCELLED", "PENDING", "PENDING"]
     assert one(spark, text.normalize_rule_path("v", "/srv/e"), "/srv/e/rules\\a.yaml") == "rules/a.yaml"
+
+
+def test_exploded_works_an_array_out_once(spark):
+    rows = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "k int, a array<int>").repartition(3)
+    found = text.exploded(rows, ["k"], F.transform("a", lambda x: x + 1), "x", "no")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 2), (1, 1, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and plan.count("transform(") == 1, plan
