@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import exploded
 from ..functions.transforms import OCR_RESULT, WORD, RecognizerRegistry
 from ..operators import archive, tables
 from ..plans import reports
@@ -25,7 +26,7 @@ def entry(record, name):
 
 
 def rows_of(df, column, keys):
-    return df.select(*keys, F.posexplode(F.col(f"{column}.records")).alias("row_no", "record"), F.size(f"{column}.errors").alias("errors"), F.col(f"{column}.semi").alias("semi"))
+    return exploded(df, [*keys, F.size(f"{column}.errors").alias("errors"), F.col(f"{column}.semi").alias("semi")], f"{column}.records", "record", "row_no")
 
 
 # --- text tables -----------------------------------------------------------
@@ -81,7 +82,7 @@ def _part_words(t):
         word(key, 12, shift + 40, 10), word(F.col("p_name"), 90, shift + 41, 60), word(F.col("p_brand"), 300, shift + 39, 50), word(F.col("p_type"), 495, shift + 40),
         word("more", 95, shift + 55), word("7", 12, shift + 80, 10), word(F.when(F.col("p_size") <= 25, F.col("p_type")).otherwise(" "), 110, shift + 80),
     )
-    return t.even("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", ws.alias("words"))
+    return t.dealt("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", ws.alias("words"))
 
 
 @query(
@@ -124,7 +125,7 @@ def _(t):
     head = F.get(tables.word_rows("words"), F.lit(0))
     ranges = tables.column_ranges(tables.header_fields(head, tables._mapping(NAMES)))
     finite = lambda c: F.when(F.abs(c) < 1e300, c)
-    return _part_words(t).select("p_partkey", F.explode(ranges).alias("r")).select("p_partkey", "r.field", finite(F.col("r.start")).alias("start"), finite(F.col("r.end")).alias("end"))
+    return exploded(_part_words(t), ["p_partkey"], ranges, "r").select("p_partkey", "r.field", finite(F.col("r.start")).alias("start"), finite(F.col("r.end")).alias("end"))
 
 
 @query("inferred_id_column", "SELECT l_orderkey, l_linenumber, l_linenumber + CASE WHEN l_tax > 0.04 THEN 6.0 WHEN l_quantity > 25 THEN 7.0 ELSE 5.0 END AS center FROM lineitem")
@@ -161,7 +162,7 @@ def _grid_words():
 def _(t):
     ints = lambda *xs: F.array(*[F.lit(x) for x in xs])
     ws = F.filter(_grid_words(), lambda w: F.trim(w["text"]) != "")
-    rows = t.even("part").select("p_partkey", ws.alias("words"), ints(0, 130, 40, 260).alias("rows"), ints(0, 80, 260, 420).alias("cols"))
+    rows = t.dealt("part").select("p_partkey", ws.alias("words"), ints(0, 130, 40, 260).alias("rows"), ints(0, 80, 260, 420).alias("cols"))
     out = rows.select("p_partkey", tables.parse_grid("words", "rows", "cols", {"column_mapping": NAMES}).alias("r"))
     return rows_of(out, "r", ["p_partkey"]).select("p_partkey", "row_no", *[entry("record", c).alias(c) for c in ("id", "name", "brand", "ocr_text")], "errors")
 
@@ -192,7 +193,7 @@ def _cells():
        (p_partkey + row_no) || ' ' || CASE row_no WHEN 0 THEN p_name || ' ' || p_brand ELSE p_type END AS ocr_text FROM part, (VALUES (0), (1)) r(row_no)""",
 )
 def _(t):
-    out = t.even("part").select("p_partkey", tables.parse_cells(_cells(), {"column_mapping": NAMES}).alias("r"))
+    out = t.dealt("part").select("p_partkey", tables.parse_cells(_cells(), {"column_mapping": NAMES}).alias("r"))
     return rows_of(out, "r", ["p_partkey"]).select("p_partkey", "row_no", *[entry("record", c).alias(c) for c in ("id", "name", "brand", "ocr_text")])
 
 
@@ -222,7 +223,7 @@ def _(t):
 )
 def _(t):
     html = F.concat(F.lit("<table><tr><td>No<td> Name</tr><tr><th>"), F.col("p_partkey").cast("string"), F.lit("</th><th><b>"), "p_name", F.lit("</b>|"), "p_brand", F.lit("</th></tr><TR><td> </td></tr><tr><td>&amp;</td></tr></table>"))
-    rows = with_fragment(t.part.select("p_partkey", html.alias("html")))
+    rows = with_fragment(t.dealt("part").select("p_partkey", html.alias("html")))
     return rows.select("p_partkey", tables.html_table_markdown("dom").alias("markdown"), tables.table_row_count("html").alias("row_count"))
 
 
@@ -233,7 +234,7 @@ def _(t):
 def _(t):
     inner = F.concat(F.lit("<table><tr><td>"), F.col("p_name"), F.lit("</td><td> x</td></tr></table>"))
     html = F.concat(F.lit("<table><tbody><tr><td>a</td><td>"), inner, F.lit("</td></tr><tr><th>b</th><td>"), F.col("p_brand"), F.lit("</td></tr></tbody></table>"))
-    rows = with_fragment(t.part.select("p_partkey", html.alias("html")))
+    rows = with_fragment(t.dealt("part").select("p_partkey", html.alias("html")))
     return rows.select("p_partkey", tables.html_table_markdown("dom").alias("markdown"))
 
 
@@ -264,7 +265,7 @@ def _line(text, x, y, score=0.9):
 )
 def _(t):
     lines = F.array(_line("h", 40, 20), _line("I", 100, 60, 0.2), _line("11", 40, 60), _line(F.col("p_name"), 190, 55), _line(F.col("p_brand"), 430, 62), _line("2", 40, 100), _line("a", 190, 95), _line(F.col("p_type"), 180, 105), _line("end", 610, 100))
-    out = t.even("part").select("p_partkey", tables.lines_table(lines, F.lit(686)).alias("r"))
+    out = t.dealt("part").select("p_partkey", tables.lines_table(lines, F.lit(686)).alias("r"))
     return out.select("p_partkey", "r.markdown", F.get("r.corrections", F.lit(0))["source"].alias("source"), F.size("r.corrections").alias("n"))
 
 
