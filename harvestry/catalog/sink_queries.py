@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import archive, runs
-from ..session import scratch_folder
+from ..session import cut_lineage, scratch_folder
 from ..sources import commits, writers
 from . import query
 from .archive_queries import _page
@@ -66,7 +66,7 @@ _PAGE_ID = "sha256(sha256('https://c.example.org:8080/' || c_custkey || chr(10)
 )
 def _(t):
     root = scratch_folder(t.spark)
-    pages = archive.build_pages(_page(t))
+    pages = cut_lineage(archive.build_pages(_page(t)))
     some = pages.filter(F.col("page_id") % 2 == 0)
     for unit, rows in (("first", some), ("second", pages.unionByName(some)), ("second", pages.unionByName(some))):
         writers.save_archive(archive.storage_tables(rows), root, unit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import first_per_key
 from ..operators.lists import top_per_key
+from ..session import cut_lineage
 from . import commits
 
 _RESULT_KEYS = ("subject", "platform", "collected_date", "run_id")
@@ -76,17 +77,20 @@ def save_archive(tables: dict[str, DataFrame], root: str, unit: str) -> str:
     """Commit the archive tables of a run as one unit, with pages whose
     content hash no other unit has archived, each once, and what belongs to
     them. Read them with ``read_archive``."""
-    pages = first_per_key(tables["archive_pages"], ["content_hash"], ["source_url"])
-    known = commits.committed(pages.sparkSession, root, "archive_pages", origin=True)
+    every = tables["archive_pages"]
+    own = first_per_key(every.select("content_hash", "source_url", F.col("id").alias("page_id")), ["content_hash"], ["source_url"]).select("page_id", "content_hash")
+    known = commits.committed(every.sparkSession, root, "archive_pages", origin=True)
     if known is not None:
         others = known.filter(F.col(commits.UNIT) != unit).select("content_hash")
-        pages = pages.join(others, "content_hash", "left_anti").select(*pages.columns)
-    return commits.commit(_belonging(tables | {"archive_pages": pages}), root, unit)
+        own = own.join(others, "content_hash", "left_anti").select("page_id", "content_hash")
+    # What is new is worked out once for all tables.
+    own = cut_lineage(own)
+    pages = first_per_key(every.join(own.select("content_hash"), "content_hash", "left_semi").select(*every.columns), ["content_hash"], ["source_url"])
+    return commits.commit(_belonging(tables | {"archive_pages": pages}, own), root, unit)
 
 
-def _belonging(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables with the rows that belong to their archive_pages, ids once."""
-    pages = tables["archive_pages"].select(F.col("id").alias("page_id"), "content_hash")
+def _belonging(tables: dict[str, DataFrame], pages: DataFrame) -> dict[str, DataFrame]:
+    """Tables with the rows that belong to pages (page_id, content_hash), ids once."""
     out = {}
     for name, rows in tables.items():
         if name != "archive_pages":

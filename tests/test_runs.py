@@ -413,3 +413,13 @@ def test_mean_trust_at_a_tie(spark):
     for scores in ([0.85] * 58 + [0.3] * 22, [0.3] * 22 + [0.85] * 58, ([0.85, 0.3] * 22) + [0.85] * 36):
         rows = spark.createDataFrame([(s, "ACTIVE") for s in scores], "trust_score double, lifecycle_status string").coalesce(1)
         assert sources_registry.source_summary(rows).first().avg_trust_score == 0.6988
+
+
+def test_new_pages_are_worked_out_once(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([("p", "h", "u")], "id string, content_hash string, source_url string")
+    blocks = spark.createDataFrame([("b", "p"), ("x", "q")], "id string, page_id string")
+    saved = {}
+    monkeypatch.setattr(writers.commits, "commit", lambda tables, *_: saved.update(tables))
+    writers.save_archive({"archive_pages": pages, "archive_blocks": blocks}, str(tmp_path), "a")
+    assert [r.id for r in saved["archive_blocks"].collect()] == ["b"]
+    assert "min_by" not in saved["archive_blocks"]._jdf.queryExecution().optimizedPlan().toString()
