@@ -276,7 +276,7 @@ def _(t):
 def _(t):
     y = F.lit(80) + (F.col("p_size") % 7) * 2
     pos = F.transform(F.array(_line("head", 200, 20), _line("1", 40, 60), _line("2", 40, y)), tables._positioned)
-    bands = t.part.select("p_partkey", F.posexplode(tables.anchor_bands(pos, F.lit(686.0))).alias("i", "b"))
+    bands = exploded(t.dealt("part"), ["p_partkey", "p_size"], tables.anchor_bands(pos, F.lit(686.0)), "b", "i")
     return bands.select("p_partkey", "i", "b.start", F.when(F.col("b.end") < 1e300, F.col("b.end")).alias("end"))
 
 

@@ -735,21 +735,21 @@ def id_correction(rows: Column) -> Column:
 def anchor_bands(positioned: Column, image_width: Column) -> Column:
     """Integer texts in the first column by y, each with its row band: half way
     to its neighbours, below the header line, open at the end."""
-    anchors = _sorted(F.filter(positioned, lambda p: p["text"].rlike(r"(?U)\A\d+\z") & (p["x"] < image_width * COLUMN_SHARES[0])), lambda p: p["y"])
-    ys = F.transform(positioned, lambda p: p["y"])
-    top = F.array_min(ys)
-    header = F.coalesce(F.array_max(F.filter(ys, lambda y: F.abs(y - top) <= 18)), top, F.lit(0.0))
-    return let(
-        anchors,
-        lambda a: F.transform(
-            a,
-            lambda p, i: F.struct(
-                p.alias("anchor"),
-                F.when(i == 0, header + 12).otherwise((F.get(a, i - 1)["y"] + p["y"]) / 2).alias("start"),
-                F.coalesce((p["y"] + F.get(a, i + 1)["y"]) / 2, F.lit(float("inf"))).alias("end"),
-            ),
-        ),
-    )
+
+    def bands(found: Column) -> Column:
+        anchors = _sorted(F.filter(found, lambda p: p["text"].rlike(r"(?U)\A\d+\z") & (p["x"] < image_width * COLUMN_SHARES[0])), lambda p: p["y"])
+        ys = F.transform(found, lambda p: p["y"])
+        header = let(F.array_min(ys), lambda top: F.coalesce(F.array_max(F.filter(ys, lambda y: F.abs(y - top) <= 18)), top, F.lit(0.0)))
+        return let(F.struct(anchors.alias("anchors"), header.alias("header")), lambda known: F.transform(known["anchors"], lambda p, i: band(known, p, i)))
+
+    def band(known: Column, p: Column, i: Column) -> Column:
+        return F.struct(
+            p.alias("anchor"),
+            F.when(i == 0, known["header"] + 12).otherwise((F.get(known["anchors"], i - 1)["y"] + p["y"]) / 2).alias("start"),
+            F.coalesce((p["y"] + F.get(known["anchors"], i + 1)["y"]) / 2, F.lit(float("inf"))).alias("end"),
+        )
+
+    return let(positioned, bands)
 
 
 def _column_of(x: Column, width: Column) -> Column:

@@ -202,3 +202,11 @@ def test_parser_cascade_joins_nothing(spark):
 
     plan = load_all()["parser_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_anchor_bands_are_worked_out_by_many_tasks(spark):
+    from harvestry.catalog import load_all
+
+    found = load_all()["line_anchor_bands"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.count("aggregate(") == 2, plan
