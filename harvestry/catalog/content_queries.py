@@ -84,10 +84,10 @@ def _(t):
     return _to_table(trend.missing_rates(_timed(stream), ["title", "props"], late="6 hours"), t, "append").drop("batch")
 
 
-def _in_one_file(rows, t):
-    """Rows (n, value) as lines of one file, in order of n."""
+def _in_parts(rows, t):
+    """Rows (n, value) as lines of one file in parts, in order of n."""
     path = f"{scratch_folder(t.spark)}/lines"
-    rows.coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(path)
+    rows.repartitionByRange("n").sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(path)
     return path
 
 
@@ -101,9 +101,9 @@ def _order_lines(t):
 
 @query("file_tail", f"WITH {_LINES}, m AS (SELECT count(*) OVER () AS total, row_number() OVER (ORDER BY n) AS line_no, value AS line FROM l) SELECT * FROM m WHERE line_no > total - 50")
 def _(t):
-    return line_files.file_tail(t.spark, _in_one_file(_order_lines(t), t), 50).select("total", "line_no", "line")
+    return line_files.file_tail(t.spark, _in_parts(_order_lines(t), t), 50, parts=True).select("total", "line_no", "line")
 
 
 @query("file_line_items", f"WITH {_LINES} SELECT (SELECT count(*) FROM l WHERE value <> '') AS total, row_number() OVER (ORDER BY n) - 1 AS pos, value AS item FROM l WHERE n % 7 > 1")
 def _(t):
-    return line_files.line_items(t.spark, _in_one_file(_order_lines(t), t)).select("total", "pos", "item")
+    return line_files.line_items(t.spark, _in_parts(_order_lines(t), t), parts=True).select("total", "pos", "item")

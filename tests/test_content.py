@@ -136,3 +136,35 @@ def test_lines_of_files_in_many_splits(spark, tmp_path):
         mine = sorted((r.pos, r["item"], r.total) for r in got if r.file.replace("%20", " ").endswith("/" + name))
         assert [m[1] for m in mine] == good and [m[0] for m in mine] == list(range(len(good))) and {m[2] for m in mine} == {total}
     assert tail == 21
+
+
+def test_files_of_a_folder_are_one_in_parts(spark, tmp_path):
+    from harvestry.sources import line_files
+
+    rng = random.Random(3)
+    own = [rng.choice(["", "  ", "{bad", '{"k": %d}' % i, "x" * rng.randrange(300)]) for i in range(500)]
+    for at in range(0, 500, 100):
+        (tmp_path / f"part-{at:05}").write_text("".join(x + "\n" for x in own[at : at + 100]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = sorted((r.line_no, r.line, r.total) for r in line_files.file_lines(spark, str(tmp_path), parts=True).collect())
+        tail = sorted(r.line_no for r in line_files.file_tail(spark, str(tmp_path), 150, parts=True).collect())
+        items = line_files.line_items(spark, str(tmp_path), parts=True)
+        got = sorted((r.pos, r.item, r.total) for r in items.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert lines == [(i + 1, x, 500) for i, x in enumerate(own)] and tail == list(range(351, 501))
+    good = [x for x in own if x.startswith('{"k"')]
+    assert got == [(i, x, sum(bool(x.strip()) for x in own)) for i, x in enumerate(good)]
+
+
+def test_lines_of_a_large_file_are_written_by_many_tasks(spark):
+    from harvestry.catalog import Tables, content_queries
+
+    rows = spark.range(200_000, 0, -1).selectExpr("id AS n", "id || sha2(CAST(id AS STRING), 256) AS value")
+    path = content_queries._in_parts(rows, Tables(spark, "."))
+    files = spark.read.text(path).selectExpr("_metadata.file_name AS f", "CAST(left(value, length(value) - 64) AS INT) AS v").groupBy("f").agg({"v": "min"}).orderBy("f").collect()
+    assert len(files) > 1 and [r[1] for r in files] == sorted(r[1] for r in files)
