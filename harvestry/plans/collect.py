@@ -147,7 +147,8 @@ def run_all(items: DataFrame, registry: DataFrame | None, rules: DataFrame, poli
     (run_id, status, saved_count, ...). Disabled rules are skipped."""
     flags = rules.select("run_id", "enabled", "source_enabled", "error")
     active = rules.filter(F.coalesce("enabled", F.lit(True)) & F.coalesce("source_enabled", F.lit(True)) & (F.coalesce("error", F.lit("")) == "")).select("run_id")
-    outcome = run_items(items.join(active, "run_id", "left_semi"), registry, policy, fields)
+    # Rules are few, and a shuffle by rule would send a rule's items to one task.
+    outcome = run_items(items.join(F.broadcast(active), "run_id", "left_semi"), registry, policy, fields)
     on = F.coalesce("enabled", F.lit(True)) & F.coalesce("source_enabled", F.lit(True))
     rows = flags.join(outcome.summary.withColumnRenamed("status", "governance_status"), "run_id", "left").select(
         "run_id", run_status(on, F.col("error"), F.col("governance_status")).alias("status"),

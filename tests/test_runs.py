@@ -423,3 +423,20 @@ def test_new_pages_are_worked_out_once(spark, tmp_path, monkeypatch):
     writers.save_archive({"archive_pages": pages, "archive_blocks": blocks}, str(tmp_path), "a")
     assert [r.id for r in saved["archive_blocks"].collect()] == ["b"]
     assert "min_by" not in saved["archive_blocks"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_are_not_shuffled_by_rule(spark):
+    from harvestry.operators.governance import Policy
+    from harvestry.plans import collect
+
+    items = spark.createDataFrame([("a", 1, "p", "1", "t"), ("b", 2, "p", "2", "u")], "run_id string, seq int, platform string, raw_id string, title string")
+    rules = spark.createDataFrame([("a", True, None, None), ("b", False, None, None)], "run_id string, enabled boolean, source_enabled boolean, error string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        outcome, rows = collect.run_all(items, None, rules, Policy((), 0.8, "hash"), ["title"])
+        plan = outcome.raw._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+        assert sorted((r.run_id, r.saved_count) for r in rows.collect()) == [("a", 1), ("b", 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
