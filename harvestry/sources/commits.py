@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -30,13 +32,28 @@ def commit(tables: dict[str, DataFrame], root: str, unit: str, partition: list[s
     attempt = uuid.uuid4().hex
     for name, rows in tables.items():
         staged = rows.withColumns({UNIT: F.lit(unit), ATTEMPT: F.lit(attempt)})
-        staged.write.mode("append").partitionBy(UNIT, ATTEMPT, *(partition or [])).format(fmt).save(f"{root}/{name}")
+        with _open_writers(spark, fmt):
+            staged.write.mode("append").partitionBy(UNIT, ATTEMPT, *(partition or [])).format(fmt).save(f"{root}/{name}")
     schemas = {name: rows.schema.json() for name, rows in tables.items()}
     line = spark.createDataFrame([(unit, attempt, datetime.now(timezone.utc), schemas)], _LINE)
     line.coalesce(1).write.mode("append").json(f"{root}/{_MANIFEST}")
     return attempt
 
 
+@contextmanager
+def _open_writers(spark: SparkSession, fmt: str) -> Iterator[None]:
+    """Lines go to a few open files side by side, rather than be sorted by
+    folder first; files of other formats hold much in memory until they close."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    old = spark.conf.get(key)
+    if fmt == "json":
+        spark.conf.set(key, "32")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _lines(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.schema(_LINE).json(f"{root}/{_MANIFEST}")
@@ -56,9 +73,11 @@ def commits(spark: SparkSession, root: str) -> DataFrame | None:
     return lines.groupBy("unit").agg(last.alias("l")).select("unit", "l.*")
 
 
-def committed(spark: SparkSession, root: str, table: str, fmt: str = "parquet", origin: bool = False) -> DataFrame | None:
+def committed(spark: SparkSession, root: str, table: str, fmt: str = "parquet", origin: bool = False, place: str | None = None) -> DataFrame | None:
     """The rows of a table that hold; with ``origin`` also the unit that wrote
-    them and when. None for a table that no unit has written.
+    them and when. None for a table that no unit has written. ``place`` names
+    a column that numbers the rows of all files as they are read: no filter
+    goes below it, so each use of the table within one query numbers alike.
 
     The table has the columns that the unit committed last gave it."""
     units = commits(spark, root)
@@ -73,7 +92,8 @@ def committed(spark: SparkSession, root: str, table: str, fmt: str = "parquet",
     except AnalysisException as fault:
         if fault.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        rows = spark.createDataFrame([], T.StructType([*schema.fields, *[T.StructField(m, T.StringType()) for m in marks]]))
+    rows = rows.withColumn(place, F.monotonically_increasing_id()) if place else rows
     own = named.select(F.col("unit").alias(UNIT), F.col("attempt").alias(ATTEMPT), F.col("committed_at").alias(COMMITTED))
     held = rows.join(own, marks)
-    return held.select(*schema.names, *([UNIT, COMMITTED] if origin else []))
+    return held.select(*schema.names, *([UNIT, COMMITTED] if origin else []), *([place] if place else []))

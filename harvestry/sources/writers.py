@@ -141,12 +141,15 @@ def save_packages(pages: DataFrame, root: str, unit: str) -> str:
 
 
 def read_packages(spark: SparkSession, root: str) -> DataFrame | None:
-    """The committed packages, one for each content hash: the newest."""
-    rows = commits.committed(spark, root, "packages", "json", origin=True)
+    """The committed packages, one for each content hash: the newest.
+
+    Packages are told by the place where they are read, and a hash table of
+    places picks them, so that no whole package is ever sorted."""
+    rows = commits.committed(spark, root, "packages", "json", origin=True, place="_place")
     if rows is None:
         return None
-    newest = rows.groupBy("content_hash").agg(F.max(F.struct(commits.COMMITTED, commits.UNIT)).alias("m")).select("content_hash", f"m.{commits.UNIT}")
-    return rows.join(newest, ["content_hash", commits.UNIT], "left_semi").drop(commits.UNIT, commits.COMMITTED).dropDuplicates(["content_hash"])
+    newest = rows.groupBy("content_hash").agg(F.max(F.struct(commits.COMMITTED, commits.UNIT, "_place")).alias("m")).select("content_hash", "m._place")
+    return rows.join(newest.hint("shuffle_hash"), ["content_hash", "_place"], "left_semi").drop(commits.UNIT, commits.COMMITTED, "_place")
 
 
 # Fields of each event type, after type and ts.

@@ -440,3 +440,22 @@ def test_items_are_not_shuffled_by_rule(spark):
         assert sorted((r.run_id, r.saved_count) for r in rows.collect()) == [("a", 1), ("b", 0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_packages_are_not_sorted(spark, tmp_path):
+    from harvestry.sources import commits, writers
+
+    root = str(tmp_path / "p")
+    meta = "named_struct('subject', {0}, 'platform', 'p', 'content_hash', {1}, 'title', {2}) AS meta"
+    rest = ["'c' AS content", "array('b') AS blocks", "array('a') AS assets", "array('o') AS ocr_results"]
+    for unit, title, n in (("first", "'old'", 6), ("second", "'new'", 4)):
+        # Every hash twice within a unit, over two subjects.
+        rows = spark.range(2 * n).selectExpr(meta.format("CAST(id % 2 AS STRING)", "CAST(id DIV 2 AS STRING)", title), *rest)
+        writers.save_packages(rows, root, unit)
+    found = writers.read_packages(spark, root)
+    assert sorted((r.content_hash, r.meta.title) for r in found.collect()) == [(str(i), "new" if i < 4 else "old") for i in range(6)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan, plan
+    with commits._open_writers(spark, "json"):
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 1
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
