@@ -95,7 +95,7 @@ def _(t):
     SELECT f.seq AS doc_id FROM (SELECT min(doc_id) AS seq FROM prints GROUP BY fp) f WHERE NOT list_contains((SELECT gone FROM walk ORDER BY r DESC LIMIT 1), f.seq)""",
 )
 def _(t):
-    prints = t.even("documents").select("doc_id", hashing.simhash64("text").alias("fp"))
+    prints = t.dealt("documents").select("doc_id", hashing.simhash64("text").alias("fp"))
     return dedup.near_survivors(prints, "fp", "doc_id", 3).select("doc_id")
 
 

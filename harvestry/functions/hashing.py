@@ -74,9 +74,11 @@ _CHUNK = 1 << 16
 
 def _fingerprint(text: str | None) -> int:
     """Vote of the low 64 bits of sha256 over all tokens; ties give 0."""
-    tokens: Counter[str] = Counter()
-    for segment in (text or "").split():
-        tokens.update(segment) if "\u4e00" <= segment[0] <= "\u9fff" else tokens.update((segment,))
+    tokens: Counter[str] = Counter((text or "").split())
+    for segment in [s for s in tokens if "\u4e00" <= s[0] <= "\u9fff"]:
+        n = tokens.pop(segment)
+        for character in segment:
+            tokens[character] += n
     votes = np.zeros(64, np.int64)
     items = iter(tokens.items())
     while chunk := list(islice(items, _CHUNK)):

@@ -208,6 +208,8 @@ def near_survivors(items: DataFrame, fp: str, seq: str, threshold: int = 3, scop
         items, scope = items.withColumn("_scope", F.struct(*scope)), ["_scope"]
     else:
         scope = []
+    # Both uses of the items read what is worked out once.
+    items = cut_lineage(items)
     fps = cut_lineage(distinct_fingerprints(items, fp, seq, scope))
     pairs = near_pairs(fps, fp, threshold, scope)
     edges = cut_lineage(pairs.select(*scope, F.col("a_fp").alias("early"), F.col("b_fp").alias("late")))

@@ -148,3 +148,15 @@ def test_repeated_registry_ids_multiply_nothing(spark):
     items = spark.createDataFrame([("p", "1"), ("p", "2")], "platform string, raw_id string")
     registry = spark.createDataFrame([("p_1",), ("p_1",)], "id string")
     assert dedup.split_seen(items, registry).count() == 2
+
+
+def test_survivors_work_their_items_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, i << 20) for i in range(20)], "seq long, x long").select("seq", counted("x").alias("fp"))
+    assert dedup.near_survivors(rows, "fp", "seq", 1).count() > 0 and seen.value == 20
