@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col
-from ..sources.html_nodes import with_fragment
+from ..sources.html_nodes import RUN, in_runs, with_fragment
 
 #: Children in a window; beyond the first and the last there is nothing.
 WINDOW = 3
@@ -39,6 +40,10 @@ def grams(tags: list[str], parents: list[int]) -> Counter[str]:
 
 @F.arrow_udf(T.MapType(T.StringType(), T.IntegerType()))
 def _profiles(nodes: pa.Array) -> pa.Array:
+    return in_runs(nodes, pc.list_value_length(nodes).fill_null(0).to_numpy(False).astype("int64"), _bags, RUN >> 4)
+
+
+def _bags(nodes: pa.Array) -> pa.Array:
     out = []
     for page in nodes:
         rows = page.values

@@ -1,5 +1,7 @@
 """Parsing and selection on small pages."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +312,18 @@ def test_captures_of_pages_that_share_a_url(spark):
     mobile = rows.withColumn("html", F.concat(F.lit("m"), "html"))
     picked = extract.pick_capture(rows, mobile, 10, ("page_id", "url"))
     assert {tuple(r) for r in picked.collect()} == {(1, "u", "long " * 9), (2, "u", "ms"), (3, "v", "mt")}
+
+
+def test_pages_are_parsed_in_runs():
+    from harvestry.sources import html_nodes
+
+    pages = pa.array(["<p>a</p>" * n for n in (1, 50, 2, 0, 40)] + [None])
+    runs = []
+
+    def work(some):
+        runs.append(len(some))
+        return html_nodes._parsed(some)
+
+    sizes = np.array([len(p or "") for p in pages.to_pylist()])
+    assert html_nodes.in_runs(pages, sizes, work, 100).equals(html_nodes._parsed(pages)) and runs == [1, 3, 2]
+    assert len(html_nodes.in_runs(pages[:0], sizes[:0], work, 100)) == 0
