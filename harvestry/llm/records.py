@@ -103,6 +103,14 @@ def _encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """Free a worker's encoders: where files are read they have been written,
+    and their tables would lie beside whole files."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def write_records(docs: DataFrame, folder: str, path: str, end_id: int = 1, file_bytes: int = 16 << 20) -> None:
     """Encode the whole texts of docs (doc_id, text) and write them to
     ``folder``/data in ascending doc_id order, null ids first, rows of equal id
@@ -144,6 +152,7 @@ def write_index(spark: SparkSession, folder: str) -> None:
     """Walk over all files once and write the place of every record."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, start = [], 0
@@ -171,6 +180,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     schema = "file long, record long, doc_id long, ids binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows: list[tuple] = []
@@ -200,6 +210,7 @@ def read_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     schema = "file long, record long, doc_id long, ids binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for b in batches:
             for file, data, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 buffer = data.as_buffer()

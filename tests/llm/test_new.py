@@ -215,3 +215,11 @@ def test_whitening_of_odd_tables(spark):
     assert all(abs(r.explained - 1) < 1e-12 for r in line)
     huge = whitening.whiten(spark.createDataFrame([(1, [1e12, 0.0]), (2, [0.0, 5.0]), (3, [3.0, 4.0])], "vec_id long, embedding array<double>")).collect()
     assert {r.deviation for r in huge} == {None}  # beyond 64 bits
+
+
+def test_encoders_are_freed_where_files_are_read():
+    from harvestry.llm import records
+
+    records._ENCODERS["x"] = object()
+    records._forget()
+    assert not records._ENCODERS
