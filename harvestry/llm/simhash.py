@@ -9,10 +9,12 @@ children at most, so no key of these joins is hot, and equal fingerprints are on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -108,11 +110,11 @@ def close_pairs(leaves: DataFrame, bits: int, budget: int) -> DataFrame:
     return pairs.filter(F.col("a") != F.col("b"))
 
 
-def collect_kids(leaves: DataFrame, bits: int, depth: int, step: int, extra: Sequence[str] = ()) -> DataFrame:
+def collect_kids(leaves: DataFrame, bits: int, depth: int, step: int) -> DataFrame:
     """(tree, node, kids): the nodes of a depth with their children ``step``
-    bits further down (k), and the columns ``extra`` of leaves."""
+    bits further down (k)."""
     node = F.shiftrightunsigned("fp", bits - depth - step)
-    kid = F.struct(node.bitwiseAND(F.lit((1 << step) - 1)).cast("int").alias("k"), *extra)
+    kid = F.struct(node.bitwiseAND(F.lit((1 << step) - 1)).cast("int").alias("k"))
     return leaves.groupBy("tree", F.shiftrightunsigned(node, step).alias("node")).agg(F.collect_set(kid).alias("kids"))
 
 
@@ -124,17 +126,16 @@ def _differ() -> Column:
     return (F.col("diff") + F.bit_count(F.col("x.k").bitwiseXOR(F.col("y.k")))).alias("diff")
 
 
-def _down(pairs: DataFrame, kids: DataFrame, step: int, budget: int, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def _down(pairs: DataFrame, kids: DataFrame, step: int, budget: int) -> DataFrame:
     """Pairs of nodes with each pair x, y of their children that is within the
-    budget (and wanted); other pairs never become rows."""
+    budget; other pairs never become rows."""
     left = kids.select("tree", F.col("node").alias("a"), F.col("kids").alias("of_a"))
     right = kids.select("tree", F.col("node").alias("b"), F.col("kids").alias("of_b"))
     both = pairs.join(left, ["tree", "a"]).join(right, ["tree", "b"]).withColumn("x", F.explode("of_a")).drop("of_a")
 
     def near(y: Column) -> Column:
         x = F.col("x")
-        inside = (F.bit_count(y["k"].bitwiseXOR(x["k"])) + F.col("diff") <= budget) & ((F.col("a") != F.col("b")) | (y["k"] >= x["k"]))
-        return inside if wanted is None else inside & wanted(x, y)
+        return (F.bit_count(y["k"].bitwiseXOR(x["k"])) + F.col("diff") <= budget) & ((F.col("a") != F.col("b")) | (y["k"] >= x["k"]))
 
     return both.withColumn("y", F.explode(F.filter("of_b", near)))
 
@@ -251,34 +252,143 @@ def _most(count: int, similarity: float) -> float:
     return float(64 * count * share + 4.5 * np.sqrt(64 * count * share * (1 - share)))
 
 
-def _settle(texts: DataFrame, firsts: DataFrame, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int) -> DataFrame:
-    """firsts (node, rank, row, fps, root) with the roots that hold once every
-    candidate (a, b) is compared or lies within a group.
+def _sifted(rows: DataFrame, key: Column, wanted: DataFrame, most: int) -> DataFrame:
+    """rows with ``__hit``: true for every row whose key (a long) ``wanted``
+    has in its first column, and for one in nine others or so. most: the rows
+    of wanted, or more.
+
+    Lets a large table stay where it is but for the rows that a join needs.
+    Some eight bits a key are sent to all tasks, 2 ** 26 at most; beyond that
+    more rows pass, and the join drops them as it does the others.
+    """
+    slots = 1 << min(26, max(6, (8 * most).bit_length()))
+
+    def slot(k: Column) -> Column:
+        return F.xxhash64(k).bitwiseAND(F.lit(slots - 1))
+
+    bit = F.expr("shiftleft(1L, cast(__slot & 63 AS int))")
+    marks = wanted.select(slot(column(wanted.columns[0])).alias("__slot")).select(F.shiftright("__slot", 6).alias("__at"), bit.alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
+    asked = rows.withColumn("__slot", slot(key)).withColumn("__at", F.shiftright("__slot", 6))
+    return asked.join(F.broadcast(marks), "__at", "left").withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__at", "__bits", "__slot")
+
+
+def _among(rows: DataFrame, key: str, wanted: DataFrame, most: int) -> DataFrame:
+    """The rows whose key is in ``wanted``, and a few others."""
+    return _sifted(rows, F.col(key), wanted, most).filter("__hit").drop("__hit")
+
+
+def _row_pairs(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, i, j), at most so many at once: for each k the pairs of a place i of
+    the of_a[k] from a[k] on with a place j of the of_b[k] from b[k] on."""
+    ends = np.cumsum(of_a * of_b)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, most):
+        at = np.arange(start, min(start + most, int(ends[-1])))
+        k = np.searchsorted(ends, at, "right")
+        at -= ends[k] - of_a[k] * of_b[k]
+        yield k, a[k] + at // of_b[k], b[k] + at % of_b[k]
+
+
+def _meeting(fp: np.ndarray, root: np.ndarray, node: np.ndarray, sketch: np.ndarray, masks: Sequence[int], most: float, every: bool) -> list[np.ndarray]:
+    """a, b, a_root, b_root, more of ``_meetings`` for the texts of a subtrie."""
+    order = np.lexsort((node, root, fp))
+    fp, root, node, sketch = fp[order], root[order], node[order], sketch[order]
+    start = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (root[1:] != root[:-1])]))  # of each group in each leaf
+    size = np.diff(np.append(start, len(fp)))
+    leaf = np.flatnonzero(np.concatenate([[True], np.diff(fp[start]) != 0]))
+    groups, leaves = np.diff(np.append(leaf, len(start))), fp[start][leaf]
+    found: list[np.ndarray] = []
+    for mask in masks:
+        other = np.minimum(np.searchsorted(leaves, leaves ^ mask), len(leaves) - 1)
+        met = np.flatnonzero((leaves[other] == leaves ^ mask) & ((leaves < leaves[other]) | ((mask == 0) & (groups > 1))))
+        for _, x, y in _row_pairs(leaf[met], groups[met], leaf[other[met]], groups[other[met]]):
+            apart = (root[start[x]] != root[start[y]]) & ((x < y) | (mask != 0))
+            x, y = x[apart], y[apart]
+            for k, i, j in _row_pairs(start[x], size[x], start[y], size[y]):
+                alike = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= most  # of negative numbers it would count the absolute value
+                if every:
+                    i, j = i[alike], j[alike]
+                    more = np.ones(len(i), bool)
+                else:
+                    k = np.unique(k[alike])
+                    i, j, more = start[x[k]], start[y[k]], size[x[k]] * size[y[k]] > 1
+                swap = node[i] > node[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                if len(i):
+                    found.append(np.stack([node[i], node[j], root[i], root[j], more.astype(np.int64)]))
+    return list(np.concatenate(found, axis=1)) if found else [np.empty(0, np.int64)] * 5
+
+
+def _meetings(leaves: DataFrame, bits: int, budget: int, most: float, every: bool = False) -> DataFrame:
+    """(a, b, a_root, b_root, more): texts a < b of different groups whose
+    leaves in a tree differ in ``budget`` bits at most and whose sketches do in
+    ``most``, some of them more than once.
+
+    leaves: (tree, fp, node, root, sketch). A group has for each of its leaves
+    its smallest text there stand for all, if a text there is alike to one of
+    the other group; more: there are others. every: all pairs of such texts.
+
+    The trie is hung once from each of budget + 1 parts of the bits, as two
+    leaves within the budget agree in one part at least: leaves that agree in
+    the first bits of a part are a subtrie in one place, where a leaf looks up
+    those that differ from it in other parts.
+    """
+    parts = np.array_split(np.arange(bits), budget + 1)
+    first = min(5, *map(len, parts))
+    masks = []
+    for k, p in enumerate(parts):  # equal leaves meet in the first place
+        others = [1 << i for i in range(bits) if i not in p]
+        masks.append([sum(c) for n in range(min(k, 1), budget + 1) for c in combinations(others, n)])
+    hung = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", int(p[-1]) + 1 - first).bitwiseAND(F.lit((1 << first) - 1)).cast("int").alias("top")) for i, p in enumerate(parts)]
+    dealt = leaves.withColumn("hung", F.explode(F.array(*hung))).select(((F.col("tree") * len(parts) + F.col("hung.part")) * (1 << first) + F.col("hung.top")).cast("int").alias("place"), F.col("fp").cast("long").alias("fp"), "node", F.nullif("root", "node").alias("root"), "sketch")
+
+    def step(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        of = masks[key[0].as_py() // (1 << first) % len(parts)]
+        node = table.column("node").to_numpy()
+        root = pc.coalesce(table.column("root"), table.column("node")).to_numpy()
+        made = _meeting(table.column("fp").to_numpy(), root, node, table.column("sketch").to_numpy(), of, most, every)
+        return pa.table([*made[:4], made[4].astype(bool)], names=["a", "b", "a_root", "b_root", "more"])
+
+    return dealt.groupBy("place").applyInArrow(step, "a long, b long, a_root long, b_root long, more boolean")
+
+
+def _settle(texts: DataFrame, firsts: DataFrame, roots: DataFrame, sets: DataFrame | None, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int) -> tuple[DataFrame, DataFrame | None]:
+    """roots (node, root) that hold once every candidate (a, b) is compared or
+    lies within a group, and sets with the shingles that this took.
 
     A round joins groups by their roots alone: what goes round are the links
     just found, not those of earlier rounds. Each round asks eight times as
     far down a node's candidates as the one before, so the rounds grow with
-    the logarithm of the most candidates that a node has."""
-    signs = [firsts.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps"), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+    the logarithm of the most candidates that a node has. Texts and
+    fingerprints of other nodes stay where they are."""
+    pairs = written(candidates.select("a", "b").distinct())
+    if not (n := pairs.count()):
+        return roots, sets
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    own = written(_among(firsts, "node", ends, 2 * n).join(ends, "node").join(roots, "node").select("node", "rank", "row", "fps", "root"))
+    signs = [own.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps"), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
     close = (_apart(F.col("a_fps"), F.col("b_fps")) <= _most(count, similarity)) & (F.col("a_root") != F.col("b_root"))
     # A node asks its smallest candidates first, as far as it is the larger end.
     turn = F.row_number().over(W.partitionBy("b").orderBy("a")).alias("turn")
-    open_ = written(candidates.distinct().join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b", "a_root", "b_root", turn))
+    open_ = written(pairs.join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b", "a_root", "b_root", turn))
+    n = open_.count()
     touched = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
-    heads = texts.join(firsts.join(touched, "node", "left_semi").select("node", "rank", "row"), ["rank", "row"])
-    sets = written(_sets(heads.select("node", "text").dropDuplicates(["node"]), words))
-    ends = [sets.select(F.col("node").alias(x), F.col("shingles").alias(side)) for x, side in (("a", "left"), ("b", "right"))]
+    lacking = written((touched if sets is None else touched.join(_among(sets, "node", touched, 2 * n), "node", "left_anti")).join(own, "node").select("node", "rank", "row"))
+    heads = _among(texts, "row", lacking.select("row"), 2 * n).join(lacking, ["rank", "row"])
+    made = written(_sets(heads.select("node", "text").dropDuplicates(["node"]), words))
+    sets = made if sets is None else sets.unionByName(made)
     nodes = firsts.select("node", "rank")
-    while not open_.isEmpty():
-        compared = open_.filter(F.col("turn") <= per_round).join(ends[0], "a").join(ends[1], "b")
-        near = written(compared.filter(_jaccard() >= similarity).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    while n:
+        asked = open_.filter(F.col("turn") <= per_round)
+        left, right = (_among(sets, "node", asked.select(x), n).select(F.col("node").alias(x), F.col("shingles").alias(side)) for x, side in (("a", "left"), ("b", "right")))
+        near = written(asked.join(left, "a").join(right, "b").filter(_jaccard() >= similarity).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         open_ = open_.filter(F.col("turn") > per_round)
         per_round *= 8
         if not near.isEmpty():
             labels = _labels(nodes, near).select("node", F.col("label.node").alias("top"))
-            firsts = written(_moved(firsts, labels, "root"))
+            roots = written(_moved(roots, labels, "root"))
             open_ = written(_moved(_moved(open_, labels, "a_root"), labels, "b_root").filter(F.col("a_root") != F.col("b_root")))
-    return firsts
+        n = open_.count()
+    return roots, sets
 
 
 def _moved(rows: DataFrame, labels: DataFrame, root: str) -> DataFrame:
@@ -303,7 +413,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
 
     Equal texts (A-Z lower-cased, white space aside) are one node from the
     start. Texts of equal fingerprints go first: each is a candidate of the
-    smallest of its leaf. Then the trie is joined with the groups found so
+    smallest of its leaf. Then the trie, hung from each half of its bits, is
+    joined with the groups found so
     far: a leaf holds its texts by group, and groups of one leaf or of near
     leaves meet unless they are the same, at first by their smallest texts
     there, and if they are still apart after that by every pair of their texts.
@@ -317,51 +428,50 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     docs are kept as they are.
     """
     rank, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(*[column(c) for c in docs.columns])
-    keyed = docs.withColumns({"__rank": rank, "__row": row})
     texts = docs.select(rank.alias("rank"), row.alias("row"), "text")
     per_word = 64 // bits
     count = -(-trees // per_word)
     marked = _marked(texts, words, count).filter("node IS NOT NULL")
-    firsts = written(marked.groupBy("node").agg(F.min(F.struct("rank", "row", "fps")).alias("first")).select("node", "first.*", F.col("node").alias("root")))
+    firsts = written(marked.groupBy("node").agg(F.min(F.struct("rank", "row", "fps")).alias("first")).select("node", "first.*"))
+    roots = firsts.select("node", F.col("node").alias("root"))
     cut = [F.shiftrightunsigned(F.col("fps")[i // per_word], bits * (i % per_word)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(trees)]
     in_trees = F.posexplode(F.array(*cut)).alias("tree", "fp")
 
-    spread = firsts.select("node", in_trees)
-    full = spread.groupBy("tree", "fp").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter(F.col("a") != F.col("last")).drop("last")
-    same = spread.join(full, ["tree", "fp"]).select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b"))
-    firsts = _settle(texts, firsts, same, words, similarity, count, per_round)
+    leaf = F.shiftleft(F.col("tree").cast("long"), bits).bitwiseOR(F.col("fp"))
+    spread = firsts.select("node", in_trees).select(leaf.alias("leaf"), "node")
+    same = spread.withColumn("a", F.min("node").over(W.partitionBy("leaf"))).select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b"))
+    roots, sets = _settle(texts, firsts, roots, None, same, words, similarity, count, per_round)
 
-    # Two words of each fingerprint travel along and stop nearly all chance
+    # A word of each fingerprint travels along and stops nearly all chance
     # meetings before they are rows.
-    short = min(count, 2)
-    most = _most(short, similarity)
-
-    def alike(x: Column, y: Column) -> Column:
-        return _apart(x["sketch"], y["sketch"]) <= most
+    most = _most(1, similarity)
 
-    def wanted(x: Column, y: Column) -> Column:
-        return (x["root"] != y["root"]) & F.exists(x["members"], lambda m: F.exists(y["members"], lambda o: alike(m, o)))
+    def leaves(of: DataFrame, grouped: DataFrame) -> DataFrame:
+        return of.join(grouped, "node").select("node", "root", F.element_at("fps", -1).alias("sketch"), in_trees)
 
-    member = F.struct("node", F.slice("fps", 1, short).alias("sketch")).alias("member")
-    leaves = written(firsts.select("root", member, in_trees).groupBy("tree", "fp", "root").agg(F.collect_set("member").alias("members")))
-    above, step = _walk(leaves.select("tree", "fp").distinct(), bits, budget)
-    kids = collect_kids(leaves, bits, bits - step, step, ["root", "members"])
-    met = written(_down(above, kids, step, budget, wanted).select(F.col("x.root").alias("a_root"), F.col("y.root").alias("b_root"), F.col("x.members").alias("left"), F.col("y.members").alias("right")))
-    heads = [F.array_min(side)["node"] for side in ("left", "right")]
-    firsts = _settle(texts, firsts, met.select(F.least(*heads).alias("a"), F.greatest(*heads).alias("b")), words, similarity, count, per_round)
+    met = written(_meetings(leaves(firsts, roots), bits, budget, most))
+    before = roots
+    roots, sets = _settle(texts, firsts, roots, sets, met, words, similarity, count, per_round)
 
     # Groups that are still apart: every member of one with every near one of the other.
-    top = firsts.select("node", F.col("root").alias("top"))
-    apart = written(_moved(_moved(met, top, "a_root"), top, "b_root").filter(F.col("a_root") != F.col("b_root")))
-    if not apart.isEmpty():
-        every = apart.select("right", F.explode("left").alias("x")).select("x", F.explode(F.filter("right", lambda y: alike(F.col("x"), y))).alias("y"))
-        rest = every.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        firsts = _settle(texts, firsts, rest, words, similarity, count, per_round)
-    keep = firsts.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k")).select("k.*")
-    # Rows equal in every column are one; the hash of its own lets them meet
-    # only after a first reduction where they lie.
-    stays = keyed.join(keep, (F.col("__rank") == F.col("rank")) & (F.col("__row") == F.col("row")), "left_semi")
+    top = before.select("root", F.col("root").alias("node")).distinct().join(roots.withColumnRenamed("root", "top"), "node").select("node", "top")
+    apart = _moved(_moved(met.filter("more").select("a_root", "b_root", F.col("a_root").alias("a_top"), F.col("b_root").alias("b_top")), top, "a_top"), top, "b_top").filter(F.col("a_top") != F.col("b_top"))
+    still = written(apart.select(F.col("a_root").alias("before")).union(apart.select("b_root")).distinct())
+    if not still.isEmpty():
+        members = written(before.select("node", F.col("root").alias("before")).join(still, "before").join(roots, "node").select("node", "root"))
+        some = _among(firsts, "node", members, members.count())
+        roots, sets = _settle(texts, firsts, roots, sets, _meetings(leaves(some, members), bits, budget, most, every=True), words, similarity, count, per_round)
+    keep = written(firsts.join(roots, "node").groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k")).select("k.*"))
+
+    # Only rows that go, or of which there are equal ones, are joined with
+    # what stays; the others needn't move. Rows equal in every column are one;
+    # the hash of its own lets them meet only after a first reduction.
     own = [column(c) for c in docs.columns]
+    with_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.withColumns({"__rank": rank, "__row": row, "__word": with_word})
+    times = keyed.filter("__word").groupBy(F.col("__rank").alias("rank"), F.col("__row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    unsure = written(times.join(keep.withColumn("stays", F.lit(True)), ["rank", "row"], "left").filter("stays IS NULL OR n > 1").select("row").distinct())
+    sifted = _sifted(keyed, F.col("__row"), unsure, unsure.count())
+    stays = sifted.filter("__word AND __hit").join(keep, (F.col("__rank") == F.col("rank")) & (F.col("__row") == F.col("row")), "left_semi")
     once = stays.withColumn("__equal", F.xxhash64(F.lit("equal"), *own)).dropDuplicates(["__equal"]).select(*own)
-    without_word = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return once.unionByName(docs.filter(without_word).select(*own))
+    return sifted.filter("NOT __word OR NOT __hit").select(*own).unionByName(once)

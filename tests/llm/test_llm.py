@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -644,3 +645,38 @@ def test_mix_splits_equal_rows(spark):
         goal[r.source] = r.target
         assert 0 <= r.copies <= 3
     assert all(abs(taken[s] - goal[s]) <= 10 for s in goal) and len({r.copies for r in out if r.source == "a"}) == 2
+
+
+def test_meetings_by_brute_force(spark):
+    """Near leaves of texts in groups, with sketches of either sign."""
+    rng = random.Random(8)
+    most, texts = 20, []
+    for node in range(-150, 150):
+        base = rng.choice((0, 0xABCDEF, 0x00F00F, 0x555555))
+        fp = base ^ sum(1 << rng.randrange(24) for _ in range(rng.randrange(3)))
+        texts.append((0, fp, node, node - node % rng.choice((1, 1, 5)), rng.choice((0, -1)) ^ rng.getrandbits(8)))
+    leaves = spark.createDataFrame(texts, "tree int, fp long, node long, root long, sketch long")
+    near = set()
+    for x, y in combinations(texts, 2):
+        if x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= 1 and ((x[4] ^ y[4]) & (1 << 64) - 1).bit_count() <= most:
+            near.add((x[2], y[2], x[3], y[3], x[1], y[1]))
+    assert Counter((r.a, r.b) for r in simhash._meetings(leaves, 24, 1, most, every=True).collect()) == Counter(n[:2] for n in near)
+    got = simhash._meetings(leaves, 24, 1, most).collect()
+    assert {frozenset((r.a_root, r.b_root)) for r in got} == {frozenset(n[2:4]) for n in near}
+    assert len(got) == len({frozenset(((n[2], n[4]), (n[3], n[5]))) for n in near})
+
+
+def test_deduplicate_moves_few_texts(spark):
+    """What the step shuffles is a small multiple of its texts, which stay
+    where they are unless they have a near-duplicate."""
+    texts = variants(1, 300, 1, 0) + variants(2, 10, 3, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    assert simhash.deduplicate(docs).count() == 310
+    assert sum(n for k, n in shuffled().items() if k not in before) < 2.5 * sum(map(len, texts))
