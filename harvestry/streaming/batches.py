@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -18,8 +18,8 @@ from ..session import cut_lineage
 from .events import STATE_STORE
 
 REGISTRY = "id string, platform string, raw_id string, url string"
-#: Keys of items without an id: they spread over so many, and none is remembered.
-_NO_ID, _SPREAD = "\0", 1024
+#: Keys of the state, each with the ids of one hash; a checkpoint depends on it.
+_BUCKETS = 4096
 
 
 def stream_name(checkpoint: str) -> str:
@@ -44,20 +44,26 @@ def _registry(spark: SparkSession, path: str, stream: str, before: int = 0) -> D
 
 
 class SeenIds(StatefulProcessor):
-    """Lets the items of an id pass that no earlier batch has brought."""
+    """Lets the items of an id pass that no earlier batch has brought. A key of
+    the state is a bucket of ids, so that Python is called for many at once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.seen = handle.getMapState("seen", "id string", "seen boolean")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((True,))
+        for i in initialState["seen_id"]:
+            self.seen.updateValue((i,), (True,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not key[0].startswith(_NO_ID):
-            if self.seen.exists():
-                return
-            self.seen.update((True,))
-        yield from rows  # without the key
+        fresh: dict[str, bool] = {}  # the bucket's ids of this batch
+        for some in rows:
+            for i in some["seen_id"].dropna().unique():
+                if i not in fresh:
+                    fresh[i] = not self.seen.containsKey((i,))
+                    if fresh[i]:
+                        self.seen.updateValue((i,), (True,))
+            passed = some["seen_id"].map(lambda i: fresh.get(i, True)).astype(bool)
+            yield some[passed].drop(columns=["seen_id", "seen_bucket"], errors="ignore")
 
 
 def unseen(items: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -65,17 +71,24 @@ def unseen(items: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     has brought and the registry (id), if there is one, doesn't hold. Copies
     inside a batch pass together; items without an id always do.
 
-    Ids are keys of the stream's state in RocksDB: a batch looks up its own
-    ids where they lie, and neither reads nor shuffles what is remembered. The
+    Ids are entries of the stream's state in RocksDB, in buckets by their hash:
+    a batch looks up its own ids where they lie, and neither reads nor shuffles
+    what is remembered. A bucket's ids of one batch are held in a worker. The
     registry is read once, as the state that a new checkpoint starts from. A
-    batch that is run again starts from the state before it.
+    batch that is run again starts from the state before it. Checkpoints of
+    versions that had a key for each id can't be read.
     """
     spark = items.sparkSession
     spark.conf.set(*STATE_STORE)
-    none = F.concat(F.lit(_NO_ID), F.pmod(F.xxhash64(*items.columns), F.lit(_SPREAD)).cast("string"))
-    keyed = items.withColumn("_key", F.coalesce(dedup.registry_id(), none))
-    start = registry.filter("id IS NOT NULL").select(F.col("id").alias("_key")).distinct().groupBy("_key") if registry is not None else None
-    return keyed.groupBy("_key").transformWithStateInPandas(SeenIds(), items.schema, "append", "None", initialState=start)
+
+    def bucket(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(_BUCKETS)).cast("int")
+
+    # Items without an id spread over the buckets, and none is remembered.
+    own = F.when(F.col("seen_id").isNull(), bucket(F.struct(*items.columns))).otherwise(bucket(F.col("seen_id")))
+    keyed = items.withColumn("seen_id", dedup.registry_id()).withColumn("seen_bucket", own)
+    start = registry.filter("id IS NOT NULL").select(bucket(F.col("id")).alias("seen_bucket"), F.col("id").alias("seen_id")).distinct().groupBy("seen_bucket") if registry is not None else None
+    return keyed.groupBy("seen_bucket").transformWithStateInPandas(SeenIds(), items.schema, "append", "None", initialState=start)
 
 
 def _register(fresh: DataFrame, batch_id: int, path: str, stream: str) -> None:

@@ -459,3 +459,25 @@ def test_packages_are_not_sorted(spark, tmp_path):
     with commits._open_writers(spark, "json"):
         assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 1
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_seen_ids_call_python_by_bucket(spark, tmp_path, monkeypatch):
+    """Ids share keys of the state: Python is not called once for each of them."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _write(src, "1.jsonl", [{"platform": "p", "raw_id": str(i % 400), "url": f"{i}"} for i in range(500)] + [{"platform": "p", "url": f"n{i}"} for i in range(20)] * 2)
+    monkeypatch.setattr(batches, "_BUCKETS", 4)
+    stream = spark.readStream.schema("platform string, raw_id string, url string").json(src)
+    call = batches.SeenIds.handleInputRows
+    folder = str(tmp_path / "calls")
+    os.makedirs(folder)
+
+    class Counted(batches.SeenIds):
+        def handleInputRows(self, key, rows, timerValues):
+            open(os.path.join(folder, str(key[0])), "a").write("x\n")
+            yield from call(self, key, rows, timerValues)
+
+    monkeypatch.setattr(batches, "SeenIds", Counted)
+    batches.dedup_stream(stream, str(tmp_path / "reg"), out, str(tmp_path / "ck")).awaitTermination(120)
+    grouped = [len(open(os.path.join(folder, f)).readlines()) for f in os.listdir(folder)]
+    assert spark.read.parquet(out).count() == 540 and spark.read.parquet(str(tmp_path / "reg")).count() == 400
+    assert grouped == [1] * 4
