@@ -288,15 +288,46 @@ def _row_pairs(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray,
         yield k, a[k] + at // of_b[k], b[k] + at % of_b[k]
 
 
-def _meeting(fp: np.ndarray, root: np.ndarray, node: np.ndarray, sketch: np.ndarray, masks: Sequence[int], most: float, every: bool) -> list[np.ndarray]:
-    """a, b, a_root, b_root, more of ``_meetings`` for the texts of a subtrie."""
+def _tops(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each place the smallest one that it reaches over the links i, j."""
+    top = np.arange(count)
+    while (unlike := top[i] != top[j]).any():
+        i, j = i[unlike], j[unlike]
+        np.minimum.at(top, np.maximum(top[i], top[j]), np.minimum(top[i], top[j]))
+        while (top[top] != top).any():
+            top = top[top]
+    return top
+
+
+class _Pairs:
+    """Pairs of ``count`` items. A pair of which an end has more than
+    ``crowded`` partners is only kept as a way from item to item, so what is
+    held grows with the items and not with the square of a crowd."""
+
+    def __init__(self, count: int, crowded: int | None) -> None:
+        self.count, self.crowded = count, crowded
+        self.partners, self.top = np.zeros(count, np.int64), np.arange(count)
+        self.sparse = np.empty((3, 0), np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray, more: np.ndarray) -> None:
+        self.partners += np.bincount(np.concatenate([i, j]), minlength=self.count)
+        self.sparse = np.concatenate([self.sparse, np.stack([i, j, more.astype(np.int64)])], axis=1)
+        if self.crowded is not None:
+            dense = (self.partners[self.sparse[:2]] > self.crowded).any(0)
+            ways = np.concatenate([self.sparse[:2, dense], np.stack([np.arange(self.count), self.top])], axis=1)
+            self.top, self.sparse = _tops(self.count, *ways), self.sparse[:, ~dense]
+
+
+def _meeting(fp: np.ndarray, root: np.ndarray, node: np.ndarray, sketch: np.ndarray, masks: Sequence[int], most: float, every: bool, crowded: int | None) -> list[np.ndarray]:
+    """a, b, a_root, b_root, more, dense of ``_meetings`` for the texts of a
+    subtrie; sketch: a row for each text."""
     order = np.lexsort((node, root, fp))
     fp, root, node, sketch = fp[order], root[order], node[order], sketch[order]
     start = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (root[1:] != root[:-1])]))  # of each group in each leaf
     size = np.diff(np.append(start, len(fp)))
     leaf = np.flatnonzero(np.concatenate([[True], np.diff(fp[start]) != 0]))
     groups, leaves = np.diff(np.append(leaf, len(start))), fp[start][leaf]
-    found: list[np.ndarray] = []
+    pairs = _Pairs(len(node) if every else len(start), crowded)
     for mask in masks:
         other = np.minimum(np.searchsorted(leaves, leaves ^ mask), len(leaves) - 1)
         met = np.flatnonzero((leaves[other] == leaves ^ mask) & ((leaves < leaves[other]) | ((mask == 0) & (groups > 1))))
@@ -304,34 +335,47 @@ def _meeting(fp: np.ndarray, root: np.ndarray, node: np.ndarray, sketch: np.ndar
             apart = (root[start[x]] != root[start[y]]) & ((x < y) | (mask != 0))
             x, y = x[apart], y[apart]
             for k, i, j in _row_pairs(start[x], size[x], start[y], size[y]):
-                alike = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= most  # of negative numbers it would count the absolute value
+                alike = _unlike_bits(sketch[i], sketch[j]) <= most
                 if every:
-                    i, j = i[alike], j[alike]
-                    more = np.ones(len(i), bool)
+                    pairs.add(i[alike], j[alike], np.ones(alike.sum(), bool))
                 else:
                     k = np.unique(k[alike])
-                    i, j, more = start[x[k]], start[y[k]], size[x[k]] * size[y[k]] > 1
-                swap = node[i] > node[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                if len(i):
-                    found.append(np.stack([node[i], node[j], root[i], root[j], more.astype(np.int64)]))
-    return list(np.concatenate(found, axis=1)) if found else [np.empty(0, np.int64)] * 5
+                    pairs.add(x[k], y[k], size[x[k]] * size[y[k]] > 1)
+    at = np.arange(len(node)) if every else start
+    far = np.flatnonzero(root[at] != root[at[pairs.top]])
+    i, j = at[np.concatenate([pairs.sparse[0], far])], at[np.concatenate([pairs.sparse[1], pairs.top[far]])]
+    dense = np.arange(len(i)) >= pairs.sparse.shape[1]
+    more = np.concatenate([pairs.sparse[2] > 0, np.zeros(len(far), bool)])
+    swap = node[i] > node[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return [node[i], node[j], root[i], root[j], more, dense]
 
 
-def _meetings(leaves: DataFrame, bits: int, budget: int, most: float, every: bool = False) -> DataFrame:
-    """(a, b, a_root, b_root, more): texts a < b of different groups whose
-    leaves in a tree differ in ``budget`` bits at most and whose sketches do in
-    ``most``, some of them more than once.
+def _unlike_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which rows of sketches differ."""
+    return np.bitwise_count((left ^ right).view(np.uint64)).sum(-1, dtype=np.int64)  # of negative numbers it would count the absolute value
 
-    leaves: (tree, fp, node, root, sketch). A group has for each of its leaves
-    its smallest text there stand for all, if a text there is alike to one of
-    the other group; more: there are others. every: all pairs of such texts.
+
+def _meetings(leaves: DataFrame, bits: int, budget: int, most: float, every: bool = False, crowded: int | None = None) -> DataFrame:
+    """(a, b, a_root, b_root, more, dense): texts a < b of different groups
+    whose leaves in a tree differ in ``budget`` bits at most and whose sketches
+    do in ``most``, some of them more than once.
+
+    leaves: (tree, fp, node, root, sketch), more columns that begin with
+    sketch lengthen it. A group has for each of its leaves its smallest text
+    there stand for all, if a text there is alike to one of the other group;
+    more: there are others. every: all pairs of such texts.
+
+    crowded: pairs of which an end has more partners than that in a place are
+    no rows. Each text there has one dense row instead, and a text reaches
+    over dense rows and groups all that it would have met.
 
     The trie is hung once from each of budget + 1 parts of the bits, as two
     leaves within the budget agree in one part at least: leaves that agree in
     the first bits of a part are a subtrie in one place, where a leaf looks up
     those that differ from it in other parts.
     """
+    sketches = [c for c in leaves.columns if c.startswith("sketch")]
     parts = np.array_split(np.arange(bits), budget + 1)
     first = min(5, *map(len, parts))
     masks = []
@@ -339,16 +383,16 @@ def _meetings(leaves: DataFrame, bits: int, budget: int, most: float, every: boo
         others = [1 << i for i in range(bits) if i not in p]
         masks.append([sum(c) for n in range(min(k, 1), budget + 1) for c in combinations(others, n)])
     hung = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", int(p[-1]) + 1 - first).bitwiseAND(F.lit((1 << first) - 1)).cast("int").alias("top")) for i, p in enumerate(parts)]
-    dealt = leaves.withColumn("hung", F.explode(F.array(*hung))).select(((F.col("tree") * len(parts) + F.col("hung.part")) * (1 << first) + F.col("hung.top")).cast("int").alias("place"), F.col("fp").cast("long").alias("fp"), "node", F.nullif("root", "node").alias("root"), "sketch")
+    dealt = leaves.withColumn("hung", F.explode(F.array(*hung))).select(((F.col("tree") * len(parts) + F.col("hung.part")) * (1 << first) + F.col("hung.top")).cast("int").alias("place"), F.col("fp").cast("long").alias("fp"), "node", F.nullif("root", "node").alias("root"), *sketches)
 
     def step(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         of = masks[key[0].as_py() // (1 << first) % len(parts)]
         node = table.column("node").to_numpy()
         root = pc.coalesce(table.column("root"), table.column("node")).to_numpy()
-        made = _meeting(table.column("fp").to_numpy(), root, node, table.column("sketch").to_numpy(), of, most, every)
-        return pa.table([*made[:4], made[4].astype(bool)], names=["a", "b", "a_root", "b_root", "more"])
+        sketch = np.stack([table.column(c).to_numpy() for c in sketches], axis=1)
+        return pa.table(_meeting(table.column("fp").to_numpy(), root, node, sketch, of, most, every, crowded), names=["a", "b", "a_root", "b_root", "more", "dense"])
 
-    return dealt.groupBy("place").applyInArrow(step, "a long, b long, a_root long, b_root long, more boolean")
+    return dealt.groupBy("place").applyInArrow(step, "a long, b long, a_root long, b_root long, more boolean, dense boolean")
 
 
 def _settle(texts: DataFrame, firsts: DataFrame, roots: DataFrame, sets: DataFrame | None, candidates: DataFrame, words: int, similarity: float, count: int, per_round: int) -> tuple[DataFrame, DataFrame | None]:
@@ -372,10 +416,7 @@ def _settle(texts: DataFrame, firsts: DataFrame, roots: DataFrame, sets: DataFra
     open_ = written(pairs.join(signs[0], "a").join(signs[1], "b").filter(close).select("a", "b", "a_root", "b_root", turn))
     n = open_.count()
     touched = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
-    lacking = written((touched if sets is None else touched.join(_among(sets, "node", touched, 2 * n), "node", "left_anti")).join(own, "node").select("node", "rank", "row"))
-    heads = _among(texts, "row", lacking.select("row"), 2 * n).join(lacking, ["rank", "row"])
-    made = written(_sets(heads.select("node", "text").dropDuplicates(["node"]), words))
-    sets = made if sets is None else sets.unionByName(made)
+    sets = _with_sets_of(touched, 2 * n, texts, own, sets, words)
     nodes = firsts.select("node", "rank")
     while n:
         asked = open_.filter(F.col("turn") <= per_round)
@@ -391,13 +432,100 @@ def _settle(texts: DataFrame, firsts: DataFrame, roots: DataFrame, sets: DataFra
     return roots, sets
 
 
+def _with_sets_of(touched: DataFrame, most: int, texts: DataFrame, own: DataFrame, sets: DataFrame | None, words: int) -> DataFrame:
+    """sets, and those of the nodes touched that it lacks. own: (node, rank,
+    row, ..) of these at least; most: as many as they are, or more."""
+    lacking = written((touched if sets is None else touched.join(_among(sets, "node", touched, most), "node", "left_anti")).join(own, "node").select("node", "rank", "row"))
+    heads = _among(texts, "row", lacking.select("row"), most).join(lacking, ["rank", "row"])
+    made = written(_sets(heads.select("node", "text").dropDuplicates(["node"]), words))
+    return made if sets is None else sets.unionByName(made)
+
+
+def _alike(root: np.ndarray, side: np.ndarray, sketch: np.ndarray, size: np.ndarray, shingles: np.ndarray, most: float, similarity: float) -> list[tuple[int, int]]:
+    """Links between groups that hold near-duplicates: places of texts, one
+    link for any two groups that others don't link. Texts of one side don't
+    meet. shingles: of all texts one after the other."""
+    _, own, held = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((own, -held[own]))  # a large group first: its texts needn't meet each other
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    ids = np.unique(shingles, return_inverse=True)[1]
+    of, side, sketch, n, begin = own[order], side[order], sketch[order], size[order], begin[order]
+    before = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    before = np.repeat(before, np.diff(np.append(before, len(of))))
+    marked, links = np.zeros(len(ids), bool), []
+    for p in np.flatnonzero(before):
+        q = slice(0, before[p])
+        fits = (of[q] != of[p]) & (np.minimum(n[q], n[p]) >= similarity * np.maximum(n[q], n[p])) & (side[q] != side[p])
+        near = np.flatnonzero(fits)
+        near = near[_unlike_bits(sketch[near], sketch[p]) <= most]
+        marked[ids[begin[p] : begin[p] + n[p]]] = True
+        for some in np.split(near, np.flatnonzero(np.diff(np.cumsum(n[near]) >> 20)) + 1):
+            if len(some):
+                ends = np.cumsum(n[some])
+                at = np.arange(ends[-1]) + np.repeat(begin[some] - ends + n[some], n[some])
+                both = np.add.reduceat(marked[ids[at]], ends - n[some], dtype=np.int64)
+                for r in some[both / (n[some] + n[p] - both) >= similarity]:
+                    if of[r] != of[p]:
+                        links.append((int(order[p]), int(order[r])))
+                        of[of == of[r]] = of[p]
+        marked[ids[begin[p] : begin[p] + n[p]]] = False
+    return links
+
+
+def _crowd_links(held: DataFrame, most: float, similarity: float) -> DataFrame:
+    """(a, b): roots of groups of a crowd that hold near-duplicates; any two
+    such groups are linked over others at least. held: (crowd, node, root,
+    shingles) and columns that begin with sketch.
+
+    All texts of a crowd meet, block by block: each task has two blocks of
+    some 2 ** 21 shingles, and a text is sent once for every block of its crowd."""
+    sketches = [c for c in held.columns if c.startswith("sketch")]
+    blocks = F.greatest(F.ceil(F.sum(F.size("shingles")) / (1 << 21)), F.least(F.lit(4), F.ceil(F.count(F.lit(1)) / 512))).cast("int")
+    crowds = written(held.groupBy("crowd").agg(blocks.alias("blocks")))
+    own = held.join(crowds, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = sent.select("crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "shingles", *sketches)
+
+    def step(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy()
+        side = table.column("block").to_numpy() if key[1] != key[2] else np.arange(len(root))
+        sketch = np.stack([table.column(c).to_numpy() for c in sketches], axis=1)
+        size = pc.list_value_length(table.column("shingles")).to_numpy().astype(np.int64)
+        links = _alike(root, side, sketch, size, pc.list_flatten(table.column("shingles")).to_numpy(), most, similarity)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table([root[a], root[b]], names=["a", "b"])
+
+    return cells.groupBy("crowd", "low", "high").applyInArrow(step, "a long, b long")
+
+
+def _settle_crowds(texts: DataFrame, firsts: DataFrame, roots: DataFrame, sets: DataFrame | None, dense: DataFrame, words: int, similarity: float, most: float) -> tuple[DataFrame, DataFrame | None]:
+    """roots (node, root) that hold once all texts that reach each other over
+    groups and dense (a_root, b_root) are compared, and the crowd of each of
+    these (node, crowd). firsts: with sketches."""
+    top = roots.withColumnRenamed("root", "top")
+    ways = written(_moved(_moved(dense.select("a_root", "b_root").distinct(), top, "a_root"), top, "b_root").filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    if ways.isEmpty():
+        return roots, None
+    nodes = firsts.select("node", "rank")
+    crowds = _labels(nodes, ways).select(F.col("node").alias("root"), F.col("label.node").alias("crowd"))
+    members = written(roots.join(crowds, "root").select("node", "root", "crowd"))
+    n = members.count()
+    own = written(_among(firsts, "node", members, n).join(members, "node"))
+    sets = _with_sets_of(members.select("node"), n, texts, own, sets, words)
+    held = written(own.drop("rank", "row").join(_among(sets, "node", members, n), "node"))
+    links = written(_crowd_links(held, most, similarity))
+    if not links.isEmpty():
+        roots = written(_moved(roots, _labels(nodes, links).select("node", F.col("label.node").alias("top")), "root"))
+    return roots, members.select("node", "crowd")
+
+
 def _moved(rows: DataFrame, labels: DataFrame, root: str) -> DataFrame:
     """rows with each root replaced by its top, if it has one in labels (node, top)."""
     own = rows.join(labels.withColumnRenamed("node", root), root, "left")
     return own.withColumn(root, F.coalesce("top", root)).select(*rows.columns)
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 48, bits: int = 24, budget: int = 1, per_round: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 48, bits: int = 24, budget: int = 1, per_round: int = 4, crowded: int = 4) -> DataFrame:
     """The rows of docs less near-duplicates: of each group the row with the
     smallest doc_id stays (of rows with that id, the one of the smallest text
     hash, and of equal ones any one).
@@ -418,9 +546,14 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     far: a leaf holds its texts by group, and groups of one leaf or of near
     leaves meet unless they are the same, at first by their smallest texts
     there, and if they are still apart after that by every pair of their texts.
-    So any two texts that meet in a tree are compared or lie in one group, and
-    a large group of near copies costs as many rows as it has stragglers. In
-    the first round a node compares itself with at most per_round candidates
+    So any two texts that meet in a tree are compared or lie in one group.
+    A text that meets more than ``crowded`` others in a place of a tree is in a
+    crowd with them, say of copies that are less alike than ``similarity``.
+    Pairs of a crowd are no rows: all its texts are compared within tasks, each
+    of which has two blocks of the crowd and returns a link for groups that
+    turn out to be one. The time of that grows with the square of the crowd,
+    its rows with the texts, times the crowd's blocks of some 2 ** 21 shingles.
+    In the first round a node compares itself with at most per_round candidates
     outside its group and in each later one with eight times as many; candidates that have been
     tried are gone, and those within a group need no try, so a group of n
     copies costs some n comparisons and not its square. Texts without a word are no duplicates of anything and stay.
@@ -442,25 +575,35 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees:
     same = spread.withColumn("a", F.min("node").over(W.partitionBy("leaf"))).select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b"))
     roots, sets = _settle(texts, firsts, roots, None, same, words, similarity, count, per_round)
 
-    # A word of each fingerprint travels along and stops nearly all chance
+    # Two words of the fingerprints travel along and stop nearly all chance
     # meetings before they are rows.
-    most = _most(1, similarity)
+    most = _most(2, similarity)
+    firsts = firsts.withColumns({"sketch": F.element_at("fps", -1), "sketch_2": F.element_at("fps", -min(2, count))})
+    sketched = firsts.drop("fps")
 
     def leaves(of: DataFrame, grouped: DataFrame) -> DataFrame:
-        return of.join(grouped, "node").select("node", "root", F.element_at("fps", -1).alias("sketch"), in_trees)
+        return of.join(grouped, "node").select("node", "root", "sketch", "sketch_2", in_trees)
 
-    met = written(_meetings(leaves(firsts, roots), bits, budget, most))
+    met = written(_meetings(leaves(firsts, roots), bits, budget, most, crowded=crowded))
     before = roots
-    roots, sets = _settle(texts, firsts, roots, sets, met, words, similarity, count, per_round)
+    roots, sets = _settle(texts, firsts, roots, sets, met.filter("NOT dense"), words, similarity, count, per_round)
+    roots, crowds = _settle_crowds(texts, sketched, roots, sets, met.filter("dense"), words, similarity, most)
 
-    # Groups that are still apart: every member of one with every near one of the other.
+    # Groups that are still apart, but for those of a crowd: every member of
+    # one with every near one of the other.
     top = before.select("root", F.col("root").alias("node")).distinct().join(roots.withColumnRenamed("root", "top"), "node").select("node", "top")
-    apart = _moved(_moved(met.filter("more").select("a_root", "b_root", F.col("a_root").alias("a_top"), F.col("b_root").alias("b_top")), top, "a_top"), top, "b_top").filter(F.col("a_top") != F.col("b_top"))
+    apart = met.filter("more AND NOT dense").select("a_root", "b_root").distinct()
+    for labels in (top, None if crowds is None else crowds.withColumnRenamed("crowd", "top")):
+        if labels is not None:
+            ends = apart.withColumns({"a_top": F.col("a_root"), "b_top": F.col("b_root")})
+            apart = _moved(_moved(ends, labels, "a_top"), labels, "b_top").filter("a_top <> b_top").select("a_root", "b_root")
     still = written(apart.select(F.col("a_root").alias("before")).union(apart.select("b_root")).distinct())
     if not still.isEmpty():
         members = written(before.select("node", F.col("root").alias("before")).join(still, "before").join(roots, "node").select("node", "root"))
         some = _among(firsts, "node", members, members.count())
-        roots, sets = _settle(texts, firsts, roots, sets, _meetings(leaves(some, members), bits, budget, most, every=True), words, similarity, count, per_round)
+        met = written(_meetings(leaves(some, members), bits, budget, most, every=True, crowded=crowded))
+        roots, sets = _settle(texts, firsts, roots, sets, met.filter("NOT dense"), words, similarity, count, per_round)
+        roots, _ = _settle_crowds(texts, sketched, roots, sets, met.filter("dense"), words, similarity, most)
     keep = written(firsts.join(roots, "node").groupBy("root").agg(F.min(F.struct("rank", "row")).alias("k")).select("k.*"))
 
     # Only rows that go, or of which there are equal ones, are joined with

@@ -680,3 +680,78 @@ def test_deduplicate_moves_few_texts(spark):
     before = shuffled()
     assert simhash.deduplicate(docs).count() == 310
     assert sum(n for k, n in shuffled().items() if k not in before) < 2.5 * sum(map(len, texts))
+
+
+def test_deduplicate_crowd_in_linear_rows(spark, monkeypatch):
+    """Near copies of each other that are no near-duplicates, some of them with
+    one: rows for each text, not for each pair of them, and right groups."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(620):
+        words = list(base)
+        for at in rng.sample(range(150), 3):
+            words[at] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+        if i % 20 == 0:
+            texts.append(" ".join(words + ["tail"]))
+    meetings, made = simhash._meetings, []
+
+    def counted(*args, **more):
+        out = simhash.written(meetings(*args, **more))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_meetings", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    assert got == sorted(set(jaccard_groups(texts)))
+    assert sum(made) < 100 * len(texts)
+
+
+def test_meetings_of_crowds_reach_all(spark):
+    """Over sparse and dense pairs and groups a text reaches as many as over all pairs."""
+    rng = random.Random(9)
+    texts = []
+    for node in range(400):
+        base = rng.choice((0, 0xABCDEF, 0x00F00F, 0x555555, rng.getrandbits(24)))
+        fp = base ^ sum(1 << rng.randrange(24) for _ in range(rng.randrange(4)))
+        texts.append((0, fp, node, node - node % rng.choice((1, 1, 5)), rng.getrandbits(8)))
+    leaves = spark.createDataFrame(texts, "tree int, fp long, node long, root long, sketch long")
+
+    def reached(pairs):
+        of = {t[2]: t[2] for t in texts}
+        for a, b in [*pairs, *[(t[2], t[3]) for t in texts]]:
+            low, high = sorted((of[a], of[b]))
+            of = {k: low if v == high else v for k, v in of.items()}
+        return of
+
+    for every in (False, True):
+        whole = [(r.a, r.b) for r in simhash._meetings(leaves, 24, 1, 20, every).collect()]
+        some = simhash._meetings(leaves, 24, 1, 20, every, crowded=2).collect()
+        assert any(r.dense for r in some) and not all(r.dense for r in some) and len(some) < len(whole)
+        assert {(r.a, r.b) for r in some if not r.dense} <= set(whole)
+        assert reached([(r.a, r.b) for r in some]) == reached(whole)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_alike_by_brute_force(sides):
+    rng = random.Random(sides)
+    sets = []
+    for _ in range(150):
+        start = rng.randrange(0, 120, 2)
+        sets.append(sorted({start + k for k in range(rng.choice((9, 10, 11)))} | {1000 + rng.randrange(40)}))
+    root = np.array([i - i % rng.choice((1, 1, 4)) for i in range(150)])
+    side = np.array([rng.randrange(2) for _ in sets]) if sides == 2 else np.arange(150)
+    sizes, flat = np.array([len(x) for x in sets]), np.concatenate([np.array(x) for x in sets])
+    links = simhash._alike(root, side, np.zeros((150, 2), np.int64), sizes, flat, 0.0, 0.8)
+    want = [(i, j) for i, j in combinations(range(150), 2) if side[i] != side[j] and root[i] != root[j] and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+
+    def groups(pairs):
+        of = root.copy()
+        for i, j in pairs:
+            of[of == of[j]] = of[i]
+        return {frozenset(np.flatnonzero(of == v).tolist()) for v in of}
+
+    assert want and groups(links) == groups(want) and {tuple(sorted(x)) for x in links} <= set(want)
+    assert len(links) == len(set(root.tolist())) - len(groups(links))
