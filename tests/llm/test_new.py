@@ -178,6 +178,74 @@ def test_cuts_lose_no_neighbours(monkeypatch, spark):
     assert one <= many and len(many) < 1.1 * len(one) and len(one) > 900
 
 
+def crowd_of_copies(seed, count, most, words=120):
+    """A text, copies of it with up to so many words replaced, and doc_ids."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, count):
+        own = list(base)
+        for _ in range(rng.randrange(1, most)):
+            own[rng.randrange(words)] = f"v{rng.randrange(10**6)}"
+        rows.append((i * 7 % 10_007, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_a_part, block", [(200_000, 1 << 20), (1_000, 1 << 14)])
+def test_forest_of_a_crowd(monkeypatch, spark, rows_a_part, block):
+    """Copies that are near to the first text alone are found among 800 others,
+    and those a little further off are left apart."""
+    monkeypatch.setattr(forest, "ROWS", rows_a_part)
+    monkeypatch.setattr(forest, "BLOCK", block)
+    monkeypatch.setattr(forest, "TEXTS", block >> 9)
+    rows = crowd_of_copies(8, 800, 12)
+    out = forest.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in out), key=repr) == plain_groups(rows)
+
+
+def test_links_of_a_crowd_against_all_pairs():
+    """Groups joined by the links are those of all pairs, whichever texts ask."""
+    rows = crowd_of_copies(9, 300, 12)
+    sets = [np.unique(forest.shingle_hashes(t, 2)) for _, t in rows]
+    n = np.array([len(s) for s in sets])
+    marks = np.frombuffer(b"".join(forest.signature(s) for s in sets), np.uint8).reshape(-1, forest.POOL)
+    node = np.arange(300)
+    near = [(i, j) for i in node for j in node[:i] if 100 * len(both := np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j] - len(both))]
+    root = forest_roots(300, [p for p in near if max(p) < 40])
+    root[40:] = node[40:]
+    main = root == np.bincount(root).argmax()
+    twice = np.concatenate([node, node[~main]])
+    asking = np.arange(len(twice)) >= 300
+    links = forest.crowd_links(asking, twice, root[twice], main[twice], marks[twice], n[twice], np.concatenate([sets[i] for i in twice]).view(np.int64), 80)
+    groups = forest_roots(300, [(i, root[i]) for i in node] + [(twice[i], twice[j]) for i, j in links])
+    assert (groups == forest_roots(300, near)).all() and len(links) == len(set(root)) - len(set(groups))
+
+
+def forest_roots(count, links):
+    top = np.arange(count)
+    for i, j in links:
+        top[top == max(top[i], top[j])] = min(top[i], top[j])
+    return top
+
+
+def test_ways_in_a_crowd_reach_all_that_agree():
+    """Labels that agree in enough minima reach each other, of any group; labels
+    of sizes too different, or that agree in fewer, do not by themselves."""
+    rng = np.random.default_rng(6)
+    kind = rng.integers(0, 3, 90)
+    label = np.zeros((90, 16), np.uint8)
+    label[:, 5:] = (kind[:, None] + 1) * 10 + np.arange(11)
+    for own in label:
+        own[5 + rng.choice(11, 2, replace=False)] = rng.integers(100, 256, 2)
+    n = np.where(kind == 2, 300, 100)
+    root = np.where(np.arange(90) < 20, np.flatnonzero(kind == 0)[0] + 1000, 1000 + np.arange(90))
+    root[kind != 0] = 1000 + np.flatnonzero(kind != 0)
+    a, b = forest.ways_in_crowd(label, n, root, 80)
+    reached = forest_roots(90, list(zip(a - 1000, b - 1000, strict=True)))[root - 1000]
+    assert all((reached[i] == reached[j]) == (kind[i] == kind[j]) for i in range(90) for j in range(90))
+    assert len(a) == len(set(root)) - 3
+
+
 # --- whitening --------------------------------------------------------------
 
 
